@@ -1,0 +1 @@
+"""operators of the site-content quality library."""

@@ -1,0 +1 @@
+"""plans of the site-content quality library."""

@@ -1,0 +1 @@
+"""sources of the site-content quality library."""

@@ -1,0 +1 @@
+"""streaming of the site-content quality library."""
