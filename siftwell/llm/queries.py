@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import isomedia, mixing, sharding, urlfilter
+from siftwell.llm import isomedia, langid, mixing, sharding, spm, urlfilter
 
 URL_RULES = (
     urlfilter.Rule("allow", "org", "/"),
@@ -24,6 +25,22 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return langid.identify(docs, langid.fit(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = spm.encode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.range_sorted(mixing.mix_plan(_documents(spark, sf_dir)))
     return planned.select("doc_id", "source", "size", "source_size", "weight", "target", "copies", "taken", "first_position", "positions")
@@ -87,6 +104,8 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_mixing": op3_mixing,
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
