@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import isomedia, langid, mixing, sharding, spm, urlfilter
+from siftwell.llm import isomedia, langid, mixing, secret_scan, sharding, spm, urlfilter
 
 URL_RULES = (
     urlfilter.Rule("allow", "org", "/"),
@@ -103,6 +103,21 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    text = secret_scan.spans_text(F.col("spans"))
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(text, 256).alias("base_sha256"),  # every rule here is a base rule
+        text.alias("spans"),
+        "blob",
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
@@ -110,5 +125,6 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
     "op9_media_columns": op9_media_columns,
+    "op10_secret_scans": op10_secret_scans,
 }
 ORACLES = {"op8_url_filters": OP8_SQL}
