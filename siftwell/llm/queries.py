@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import isomedia, langid, mixing, secret_scan, sharding, spm, urlfilter
+from siftwell.llm import isomedia, langid, mixing, secret_scan, sharding, spm, syncmers, urlfilter
 
 URL_RULES = (
     urlfilter.Rule("allow", "org", "/"),
@@ -46,6 +46,25 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "source", "size", "source_size", "weight", "target", "copies", "taken", "first_position", "positions")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    pairs = syncmers.with_next(_documents(spark, sf_dir), "doc_id", {"text": text, "anchors": syncmers.anchors(text)})
+    edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next_text, cast(length(text) div 2 as int))"))
+    return (
+        pairs.withColumn("edited", edited)
+        .withColumn("edited_anchors", syncmers.anchors(F.col("edited")))
+        .select(
+            "doc_id",
+            F.length("text").cast("long").alias("n_chars"),
+            F.sha2("edited", 256).alias("edited_sha256"),
+            syncmers.fingerprint(F.col("anchors")).alias("fingerprint"),
+            syncmers.fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
+            syncmers.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+            syncmers.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        )
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.interleaved_shards(_documents(spark, sf_dir), n_shards=16)
     return placed.select(
@@ -122,6 +141,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_mixing": op3_mixing,
+    "op6_fingerprints": op6_fingerprints,
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
     "op9_media_columns": op9_media_columns,
