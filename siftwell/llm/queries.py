@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import isomedia, langid, mixing, secret_scan, sharding, spm, syncmers, urlfilter
+from siftwell.llm import isomedia, langid, mixing, secret_scan, sharding, spm, syncmers, urlfilter, warc
 
 URL_RULES = (
     urlfilter.Rule("allow", "org", "/"),
@@ -46,6 +46,22 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "source", "size", "source_size", "weight", "target", "copies", "taken", "first_position", "positions")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce(F.pmod("page_id", F.lit(100_000_000)), F.lit(0)))
+    index = warc.write_archives(_pages(spark, sf_dir).withColumn("captured", captured))
+    return warc.read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS keep FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN keep IS NOT NULL AND page_id IS DISTINCT FROM keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keep IS NOT NULL AND page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h
+"""
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     pairs = syncmers.with_next(_documents(spark, sf_dir), "doc_id", {"text": text, "anchors": syncmers.anchors(text)})
@@ -141,10 +157,11 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
     "op6_fingerprints": op6_fingerprints,
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
     "op9_media_columns": op9_media_columns,
     "op10_secret_scans": op10_secret_scans,
 }
-ORACLES = {"op8_url_filters": OP8_SQL}
+ORACLES = {"op4_warc": OP4_SQL, "op8_url_filters": OP8_SQL}
