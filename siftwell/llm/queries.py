@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import isomedia, langid, mixing, secret_scan, sharding, spm, syncmers, urlfilter, warc
+from siftwell.llm import isomedia, jaccard, langid, mixing, secret_scan, sharding, spm, syncmers, urlfilter, warc
 
 URL_RULES = (
     urlfilter.Rule("allow", "org", "/"),
@@ -62,6 +62,10 @@ FROM p LEFT JOIN g ON p.h = g.h
 """
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     pairs = syncmers.with_next(_documents(spark, sf_dir), "doc_id", {"text": text, "anchors": syncmers.anchors(text)})
@@ -158,6 +162,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_fingerprints": op6_fingerprints,
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
