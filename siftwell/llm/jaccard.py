@@ -12,12 +12,14 @@ Two sets of x and y shingles link when 100 * |intersection| >= 75 * |union|, tha
    segments; for sets that link, the number of differing shingles is bounded, so if every
    segment i may differ by a_i and the (a_i + 1) add up to the bound plus one, some segment
    keeps its promise. A set indexes its segments and their one-deletion neighbours in its own
-   band, and probes its own and the next lower band with the allocation of -1 (skipped), 0 or
-   1 that is cheapest by expected list length; empty and tiny segments are thus avoided.
-4. *Candidates.* Each distinct set of classes that meet in a signature gives all pairs if it is
-   small. A larger one gives stars around a few of its members; only pairs whose ends are still
-   in different components after that are then formed, so no link that could join
-   components is lost and a large group of near copies costs in proportion to its size.
+   band. It probes its own and the neighbouring bands for sets with as many shared shingles or
+   more, with the allocation of -1 (skipped), 0 or 1 that is cheapest by the counted lengths of
+   the lists. A much edited copy in a large group of copies thus looks in the short lists of its
+   edits and not in the long ones of the text that all have.
+4. *Candidates.* Each distinct set of classes that meet in a signature gives its pairs if it is
+   small. A larger one gives a star around its fullest member; after that only
+   pairs whose ends are still in different components are formed, so no link that could join
+   components is lost and a large group of near copies costs little more than its size.
 5. *Verification* compares the shared shingles of both classes exactly; components are found by
    alternating star contraction over the verified links, in tables.
 
@@ -37,7 +39,8 @@ from siftwell.llm.shared import slots, stored
 SLICE = 4 << 20  # bytes of text worked on at once
 BUCKET = 2_000_000  # packed values that a bucket holds on average
 ALL_PAIRS = 6  # largest set of classes that is expanded to all pairs at once
-STARS = 4
+INDEXED, NEIGHBOUR, EXACT, NEAR, SHORTER = range(5)  # roles of a signature, in its lowest bits
+ROLELESS = ~7 & 0xFFFFFFFFFF  # a signature's bits that are packed, without its role
 BLOBS = "key long, cids binary, sizes binary, counts binary, values binary, witnesses binary"
 
 
@@ -223,87 +226,175 @@ def segments_of(start: int, end: int) -> int:
     return max(2 * start // 7 + 1, -(-(most + 1) // 2))
 
 
-# expected lists of a segment with 0, 1, 2, ... shingles
-LIST_LENGTH = (1e9, 1e3, 30.0, 3.0, 1.0, 0.5)
+def allocate(lists, sizes, need: int):
+    """a_i of -1, 0 or 1: the (a_i + 1) add up to ``need``, at the least cost.
 
-
-def allocate(sizes, need: int):
-    """a_i of -1, 0 or 1 for segments of these sizes: the (a_i + 1) add up to ``need``, at the least expected cost."""
+    ``lists``: how many sets index just this segment. One deletion more is taken to cost that for the segment and each of its neighbours.
+    """
     import numpy as np
 
-    length = np.array(LIST_LENGTH)
-    exact = length[np.minimum(sizes, 5)]
-    with_deletions = exact + sizes * length[np.clip(sizes - 1, 0, 5)] + (sizes == 0) * 1e9
-    steps = np.concatenate([exact, np.maximum(with_deletions, exact + 1e-6)])
+    exact = lists + 0.01
+    steps = np.concatenate([exact, 4 * (exact + 1) * (sizes + 2)])
     chosen = np.argsort(steps, kind="stable")[:need]
     return np.bincount(chosen % len(sizes), minlength=len(sizes)) - 1
 
 
-def signatures(n: int, values, starts: list[int]):
-    """(signature, role) of one set. Roles: 0 indexed segment, 1 its neighbour, 2 probed segment, 3 its neighbour."""
+def probed_bands(n: int, shared: int, starts: list[int]) -> list[tuple[int, int]]:
+    """(band, need) of a set of n shingles, ``shared`` of them shared: where it looks for sets with as many shared ones or more.
+
+    need: one more than the number of shared shingles by which it may differ from a set of that band and link with it.
+    """
+    import numpy as np
+
+    own = int(np.searchsorted(starts, n, side="right")) - 1
+    out = []
+    for k in range(max(own - 1, 0), min(own + 2, len(starts) - 1)):
+        largest = min(starts[k + 1] - 1, 4 * n // 3)
+        need = (7 * shared - 6 * n + largest) // 7 + 1
+        if need > 0 and largest >= max(starts[k], shared) and 4 * largest >= 3 * n:
+            out.append((k, need))
+    return out
+
+
+def segment_hashes(values, k: int, starts: list[int]):
+    """Signature of each segment of a set in band k; of each shingle's segment without it; its segment; sizes of segments."""
     import numpy as np
 
     from siftwell.llm.shingles import mix
 
-    band = int(np.searchsorted(starts, n, side="right")) - 1
-    out, roles = [], []
-    for k in (band, band - 1):
-        if k < 0:
-            continue
-        m = segments_of(starts[k], starts[k + 1] - 1)
-        largest = n if k == band else starts[k + 1] - 1
-        need = (7 * len(values) - 6 * n + largest) // 7 + 1
-        if k == band or (need > 0 and 4 * largest >= 3 * n):
-            mixed = mix(values + np.uint64(k * 0x9E3779B1 & 0xFFFFFFFF))
-            segment = (((mixed >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(segment, kind="stable")
-            mixed, segment = mixed[order], segment[order]
-            sizes = np.bincount(segment, minlength=m)
-            running = np.append(np.uint64(0), np.cumsum(mixed, dtype=np.uint64))
-            ends = np.cumsum(sizes)
-            sums = running[ends] - running[ends - sizes]
-            salt = mix(np.arange(m, dtype=np.uint64) + np.uint64((k + 1) << 32))
-            whole = mix(sums ^ salt)
-            less = mix((sums[segment] - mixed) ^ salt[segment])
-            if k == band:
-                out += [whole, less]
-                roles += [np.zeros(m, np.uint8), np.ones(len(less), np.uint8)]
-            if need > 0:
-                a = allocate(sizes, min(need, 2 * m))
-                near = less[a[segment] == 1]
-                out += [whole[a >= 0], near]
-                roles += [np.full(int((a >= 0).sum()), 2, np.uint8), np.full(len(near), 3, np.uint8)]
-    return np.concatenate(out), np.concatenate(roles)
+    m = segments_of(starts[k], starts[k + 1] - 1)
+    mixed = mix(values + np.uint64(k * 0x9E3779B1 & 0xFFFFFFFF))
+    segment = (((mixed >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(segment, kind="stable")
+    mixed, segment = mixed[order], segment[order]
+    sizes = np.bincount(segment, minlength=m)
+    running = np.append(np.uint64(0), np.cumsum(mixed, dtype=np.uint64))
+    ends = np.cumsum(sizes)
+    sums = running[ends] - running[ends - sizes]
+    salt = mix(np.arange(m, dtype=np.uint64) + np.uint64((k + 1) << 32))
+    return mix(sums ^ salt) & ROLELESS, mix((sums[segment] - mixed) ^ salt[segment]) & ROLELESS, segment, sizes
+
+
+def index_entries(n: int, values, starts: list[int]):
+    """Signatures with roles INDEXED and NEIGHBOUR of a set, in its own band."""
+    import numpy as np
+
+    whole, less, _, _ = segment_hashes(values, int(np.searchsorted(starts, n, side="right")) - 1, starts)
+    return np.concatenate([whole | np.uint64(INDEXED), less | np.uint64(NEIGHBOUR)])
+
+
+def probe_entries(n: int, values, starts: list[int], frequency):
+    """Signatures with roles EXACT, NEAR and SHORTER. ``frequency``: lists of the signatures of the bands probed, in their order."""
+    import numpy as np
+
+    out, at = [np.zeros(0, np.uint64)], 0
+    for k, need in probed_bands(n, len(values), starts):
+        whole, less, segment, sizes = segment_hashes(values, k, starts)
+        a = allocate(frequency[at : at + len(whole)], sizes, need)
+        at += len(whole)
+        out += [whole[a == 0] | np.uint64(EXACT), whole[a == 1] | np.uint64(NEAR), less[a[segment] == 1] | np.uint64(SHORTER)]
+    return np.concatenate(out)
+
+
+def _dealt(found: list, cids, extra, n_buckets: int, places: list | None = None) -> list[tuple]:
+    """Rows of ``BLOBS``: the values of each set of a batch, by bucket. ``extra``: a number of each set that goes along, ``places``: one of each value."""
+    import numpy as np
+
+    place = np.concatenate(places).astype(np.int32) if places else None
+    value, owner = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
+    bucket = _bucket(value, n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+    rows = []
+    for b in range(n_buckets):
+        at = order[ends[b] : ends[b + 1]]
+        if len(at):
+            who, counts = np.unique(owner[at], return_counts=True)
+            rows.append((b, cids[who].tobytes(), extra[who].tobytes(), counts.astype(np.int32).tobytes(), _pack(value[at]), place[at].tobytes() if places else b""))
+    return rows
+
+
+def _opened(table):
+    """Owner, its extra number, and value of every entry of a bucket."""
+    import numpy as np
+
+    join = lambda name: b"".join(x.as_py() for x in table.column(name))
+    counts = np.frombuffer(join("counts"), np.int32)
+    return np.repeat(np.frombuffer(join("cids"), np.int64), counts), np.repeat(np.frombuffer(join("sizes"), np.int32), counts), _unpack(join("values"))
+
+
+def list_lengths(kept: DataFrame, starts: list[int], n_buckets: int) -> DataFrame:
+    """cid, frequency: for each segment that the set may probe, how many sets index it."""
+
+    def deal(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                found, cids, places = [], [], []
+                for r in batch.slice(start, 500).to_pylist():
+                    values = np.frombuffer(r["shared"], np.uint64)
+                    own = segment_hashes(values, int(np.searchsorted(starts, r["n"], side="right")) - 1, starts)[0]
+                    asked = [segment_hashes(values, k, starts)[0] | np.uint64(EXACT) for k, _ in probed_bands(r["n"], len(values), starts)]
+                    found.append(np.concatenate([own | np.uint64(INDEXED), *asked]))
+                    places.append(np.append(np.full(len(own), -1), np.arange(len(found[-1]) - len(own))))
+                    cids.append(r["cid"])
+                if found:
+                    yield _batch(BLOBS, _dealt(found, np.array(cids, dtype=np.int64), np.zeros(len(cids), np.int32), n_buckets, places))
+
+    def count(table):
+        import numpy as np
+        import pyarrow as pa
+
+        owner, _, value = _opened(table)
+        place = np.frombuffer(b"".join(x.as_py() for x in table.column("witnesses")), np.int32)
+        asked = place >= 0
+        indexed = np.sort(value[~asked] & ROLELESS)
+        wanted = value[asked] & ROLELESS
+        n = np.searchsorted(indexed, wanted, side="right") - np.searchsorted(indexed, wanted, side="left")
+        owner, place = owner[asked], place[asked]
+        order = np.argsort(owner, kind="stable")
+        owner, place, n = owner[order], place[order], n[order]
+        who, counts = np.unique(owner, return_counts=True)
+        ends = np.cumsum(counts)
+        rows = [(int(c), place[a:b].astype(np.int32).tobytes(), n[a:b].astype(np.int32).tobytes()) for c, a, b in zip(who, ends - counts, ends)]
+        return pa.Table.from_batches([_batch("cid long, places binary, lists binary", rows)])
+
+    def gather(table):
+        import numpy as np
+        import pyarrow as pa
+
+        join = lambda name: b"".join(x.as_py() for x in table.column(name))
+        places, lists = np.frombuffer(join("places"), np.int32), np.frombuffer(join("lists"), np.int32)
+        out = np.zeros(places.max() + 1, np.int32)
+        out[places] = lists
+        return pa.Table.from_batches([_batch("cid long, frequency binary", [(table.column("cid")[0].as_py(), out.tobytes())])])
+
+    counted = kept.select("cid", "n", "shared").mapInArrow(deal, BLOBS).groupBy("key").applyInArrow(count, "cid long, places binary, lists binary")
+    return counted.groupBy("cid").applyInArrow(gather, "cid long, frequency binary")
 
 
 def meeting_sets(kept: DataFrame) -> DataFrame:
-    """Distinct sets of classes that share a signature: set id, cid, members (how many)."""
+    """Distinct sets of classes that meet in a signature: set, cid, shared, probes (or is indexed), members (how many)."""
     totals = kept.agg(F.max("n").alias("n"), F.sum(F.octet_length("shared") / 8).alias("values")).first()
     starts = band_starts(totals["n"] or 1)
     n_buckets = max(1, -(-int(2.5 * (totals["values"] or 0)) // BUCKET))
+    lengths = list_lengths(kept, starts, n_buckets)
 
     def deal(batches: Iterator) -> Iterator:
         import numpy as np
 
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                cids, found, owners = [], [], []
-                for i, r in enumerate(batch.slice(start, 500).to_pylist()):
-                    s, role = signatures(r["n"], np.frombuffer(r["shared"], np.uint64), starts)
+                found, cids, shared = [], [], []
+                for r in batch.slice(start, 500).to_pylist():
+                    values = np.frombuffer(r["shared"], np.uint64)
+                    probes = probe_entries(r["n"], values, starts, np.frombuffer(r["frequency"] or b"", np.int32))
+                    found.append(np.concatenate([index_entries(r["n"], values, starts), probes]))
                     cids.append(r["cid"])
-                    found.append((s & ~np.uint64(3)) | role)
-                    owners.append(np.full(len(s), i))
-                value, owner, cid = np.concatenate(found), np.concatenate(owners), np.array(cids, dtype=np.int64)
-                bucket = _bucket(value, n_buckets)
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-                rows = []
-                for b in range(n_buckets):
-                    at = order[ends[b] : ends[b + 1]]
-                    if len(at):
-                        who, counts = np.unique(owner[at], return_counts=True)
-                        rows.append((b, cid[who].tobytes(), b"", counts.astype(np.int32).tobytes(), _pack(value[at]), b""))
-                yield _batch(BLOBS, rows)
+                    shared.append(len(values))
+                if found:
+                    yield _batch(BLOBS, _dealt(found, np.array(cids, dtype=np.int64), np.array(shared, dtype=np.int32), n_buckets))
 
     def meet(table):
         import numpy as np
@@ -311,38 +402,68 @@ def meeting_sets(kept: DataFrame) -> DataFrame:
 
         from siftwell.llm.shingles import mix
 
-        join = lambda name: b"".join(x.as_py() for x in table.column(name))
-        owner = np.repeat(np.frombuffer(join("cids"), np.int64), np.frombuffer(join("counts"), np.int32))
-        value = _unpack(join("values"))
-        role, value = value & np.uint64(3), value >> np.uint64(2)
-        order = np.lexsort((owner, value))
-        value, owner, role = value[order], owner[order], role[order]
-        first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-        use = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-        use &= np.maximum.reduceat(role, first) >= 2  # a probe
-        use &= np.minimum.reduceat(role, first) <= 1  # and something indexed
-        use = np.repeat(use, np.diff(np.append(first, len(value))))
-        value, owner = value[use], owner[use]
-        keep = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])) if len(value) else np.zeros(0, bool)
-        value, owner = value[keep], owner[keep]
-        sets, cids, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(value):
-            first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-            size = np.diff(np.append(first, len(value)))
-            name = np.add.reduceat(mix(owner.view(np.uint64)), first).view(np.int64)
-            _, one = np.unique(name, return_index=True)
-            for i in one:
-                sets.append(np.full(size[i], name[i]))
-                members.append(np.full(size[i], size[i]))
-                cids.append(owner[first[i] : first[i] + size[i]])
-        return pa.table({"set": np.concatenate(sets), "cid": np.concatenate(cids), "members": np.concatenate(members)})
-
-    blobs = kept.select("cid", "n", "shared").mapInArrow(deal, BLOBS)
-    return blobs.groupBy("key").applyInArrow(meet, "set long, cid long, members long").dropDuplicates(["set", "cid"])
-
-
-def verified(pairs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose classes link, by exact comparison."""
+        owner, shared, value = _opened(table)
+        role, value = (value & np.uint64(7)).astype(np.int64), value >> np.uint64(3)
+        # roles that may meet: EXACT with INDEXED, NEAR with both, SHORTER with INDEXED
+        parts = []
+        for probing, indexed in (((EXACT, NEAR, SHORTER), (INDEXED,)), ((NEAR,), (NEIGHBOUR,))):
+            is_probe, is_index = np.isin(role, probing), np.isin(role, indexed)
+            use = is_probe | is_index
+            key = np.lexsort((owner[use], is_probe[use], value[use]))
+            v, o, p, x = value[use][key], owner[use][key], is_probe[use][key], shared[use][key]
+            if len(v):
+                keep = np.append(True, (v[1:] != v[:-1]) | (o[1:] != o[:-1]) | (p[1:] != p[:-1]))
+                v, o, p, x = v[keep], o[keep], p[keep], x[keep]
+                first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+                several = np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first)
+                several &= np.logical_or.reduceat(p, first) & ~np.logical_and.reduceat(p, first)
+                size = np.diff(np.append(first, len(v)))
+                name = np.add.reduceat(mix(o.view(np.uint64) ^ (p.astype(np.uint64) << np.uint64(63)) ^ np.uint64(0x51ED27)), first).view(np.int64)
+                names, one = np.unique(name[several], return_index=True)
+                for s, i in zip(names, np.flatnonzero(several)[one]):
+                    at = slice(first[i], first[i] + size[i])
+                    parts.append((np.full(size[i], s), o[at], x[at], p[at], np.full(size[i], size[i])))
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, np.int64)]
+        return pa.table({"set": columns[0], "cid": columns[1], "shared": columns[2].astype(np.int32), "probes": columns[3], "members": columns[4]})
+
+    blobs = kept.join(lengths, "cid", "left").select("cid", "n", "shared", "frequency").mapInArrow(deal, BLOBS)
+    met = blobs.groupBy("key").applyInArrow(meet, "set long, cid long, shared int, probes boolean, members long")
+    return met.dropDuplicates(["set", "cid", "probes"])
+
+
+SKETCH = [f"s{i}" for i in range(8)]
+
+
+def sketches(kept: DataFrame) -> DataFrame:
+    """cid, n, shared and 512 parity bits of the shared shingles: two sets differ by as many shingles, at least, as sketches by bits."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from siftwell.llm.shingles import mix
+
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            bits = [np.bincount((mix(x) & np.uint64(511)).astype(np.int64), minlength=512) & 1 for x in sets]
+            words = np.packbits(np.array(bits, dtype=np.uint8).reshape(len(sets), 512), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(8))],
+                names=["cid", "n", "shared", *SKETCH],
+            )
+
+    return kept.select("cid", "n", "shared").mapInArrow(run, "cid long, n int, shared int, " + ", ".join(f"{c} long" for c in SKETCH))
+
+
+def may_link(a: str, b: str):
+    """Sizes and sketches of two sets (aliases a and b) leave room for a link: no linked pair fails."""
+    differ = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in SKETCH)
+    sizes = f"4 * least({a}.n, {b}.n) >= 3 * greatest({a}.n, {b}.n)"
+    return F.expr(f"{sizes} and {differ} <= {a}.shared + {b}.shared - 2 * cast(ceil(3 * ({a}.n + {b}.n) / 7) as int)")
+
+
+def verified(pairs: DataFrame, kept: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose classes link: sketches rule most others out, the rest is compared exactly."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -358,11 +479,11 @@ def verified(pairs: DataFrame, kept: DataFrame) -> DataFrame:
                 ok.append(7 * int((y[at] == x).sum()) >= 3 * (r["na"] + r["nb"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    l, r = sketch.alias("l"), sketch.alias("r")
+    likely = pairs.join(l, F.col("a") == F.col("l.cid")).join(r, F.col("b") == F.col("r.cid")).where(may_link("l", "r")).select("a", "b")
     left = kept.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("shared").alias("x"))
     right = kept.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("y"))
-    sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b")
-    fitting = sized.where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    return fitting.drop("na", "nb").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+    return likely.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -385,36 +506,33 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _labelled(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    return sets.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("set", "cid", F.coalesce("root", "cid").alias("root"))
+def candidate_pairs(sets: DataFrame, fitting=None) -> DataFrame:
+    """a, b of each set: one probes, the other is indexed and has as many shared shingles or more (of equals, the larger id).
+
+    ``fitting``: a further condition on the aliases p and i.
+    """
+    p, i = sets.where("probes").alias("p"), sets.where("not probes").alias("i")
+    turn = (F.col("p.shared") < F.col("i.shared")) | ((F.col("p.shared") == F.col("i.shared")) & (F.col("p.cid") < F.col("i.cid")))
+    met = p.join(i, (F.col("p.set") == F.col("i.set")) & turn & (F.lit(True) if fitting is None else fitting))
+    return met.select(F.least("p.cid", "i.cid").alias("a"), F.greatest("p.cid", "i.cid").alias("b"))
 
 
 def linked_classes(kept: DataFrame) -> DataFrame:
     """node, root of every class that links with another."""
     sets = stored(meeting_sets(kept), "sets")
-    few = sets.where(F.col("members") <= ALL_PAIRS).select("set", "cid")
-    pairs = few.alias("l").join(few.alias("r"), "set").where("l.cid < r.cid").select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct()
-    many = sets.where(F.col("members") > ALL_PAIRS).select("set", "cid")
-    hubs = many.groupBy("set").agg(F.min("cid").alias("hub"))
-    stars = many.join(hubs, "set").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    links = stored(verified(pairs.union(stars).distinct(), kept), "links")
+    sketch = stored(sketches(kept), "sketches")
+    few = candidate_pairs(sets.where(F.col("members") <= ALL_PAIRS))
+    many = sets.where(F.col("members") > ALL_PAIRS)
+    hubs = many.groupBy("set").agg(F.max(F.struct("shared", "cid")).alias("hub")).select("set", F.col("hub.cid").alias("hub"))
+    stars = many.join(hubs, "set").where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
+    links = stored(verified(few.union(stars).distinct(), kept, sketch), "links")
     roots = components(links)
-    open_sets = many
-    for turn in range(STARS):
-        # sets whose classes are in several components: a star from another member to those outside its component
-        labelled = _labelled(open_sets, roots)
-        torn = labelled.groupBy("set").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("cid", "root"), F.xxhash64(F.lit(turn), "cid")).alias("hub"))
-        torn = torn.where("lo <> hi").select("set", "hub")
-        open_sets = stored(open_sets.join(torn.select("set"), "set", "left_semi"), "open")
-        if open_sets.isEmpty():
-            return roots
-        crossing = labelled.join(torn, "set").where("root <> hub.root")
-        pairs = crossing.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
-        links = stored(links.union(verified(pairs, kept)), "links")
-        roots = components(links)
-    labelled = stored(_labelled(open_sets, roots), "labelled")
-    cross = labelled.alias("l").join(labelled.alias("r"), "set").where("l.root < r.root").select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
-    return components(stored(links.union(verified(cross, kept)), "links"))
+    labelled = many.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    torn = labelled.groupBy("set").agg((F.min("root") != F.max("root")).alias("torn")).where("torn").select("set")
+    open_sets = labelled.join(torn, "set", "left_semi").select("set", "cid", "probes", "root").join(sketch, "cid")
+    cross = candidate_pairs(stored(open_sets, "open"), (F.col("p.root") != F.col("i.root")) & may_link("p", "i")).distinct()
+    more = verified(cross, kept, sketch)
+    return components(stored(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "links"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -143,12 +143,29 @@ def test_pigeonhole_holds_for_linked_sets():
         # shingles that only one of the two has may be missing from the shared ones
         own = np.setdiff1d(x, y)
         xs = np.setdiff1d(x, own[: len(own) // 2]) if rng.random() < 0.5 else x
+        ys = np.setdiff1d(y, np.setdiff1d(y, x)) if rng.random() < 0.5 else y
         starts = jaccard.band_starts(1000)
-        found = []
-        for size, v in ((len(x), xs), (len(y), y)):
-            s, role = jaccard.signatures(size, v, starts)
-            found.append((set(s[role <= 1].tolist()), set(s[role >= 2].tolist())))
-        assert found[0][0] & found[1][1] or found[1][0] & found[0][1]
+        (few, n), (more, m) = sorted(((xs, len(x)), (ys, len(y))), key=lambda p: len(p[0]))
+        lists = rng.integers(0, 1000, 5000)
+        index, probes = jaccard.index_entries(m, more, starts), jaccard.probe_entries(n, few, starts, lists)
+        met = set()
+        for a, b in ((jaccard.EXACT, 0), (jaccard.NEAR, 0), (jaccard.SHORTER, 0), (jaccard.NEAR, jaccard.NEIGHBOUR)):
+            met |= set((probes[probes & np.uint64(7) == a] >> np.uint64(3)).tolist()) & set((index[index & np.uint64(7) == b] >> np.uint64(3)).tolist())
+        assert met
+
+
+def test_allocation_adds_up():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        m = int(rng.integers(1, 50))
+        need = int(rng.integers(1, 2 * m + 1))
+        a = jaccard.allocate(rng.integers(0, 100, m), rng.integers(0, 6, m), need)
+        assert (a + 1).sum() == need and a.min() >= -1 and a.max() <= 1
+    for n in range(1, 3000):
+        starts = jaccard.band_starts(n)
+        starts.append(starts[-1] * 4 // 3 + 1)
+        for k, need in jaccard.probed_bands(n, n, starts):
+            assert need <= 2 * jaccard.segments_of(starts[k], starts[k + 1] - 1)
 
 
 def test_components_of_chains(spark):
