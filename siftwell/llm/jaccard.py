@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.shared import slots, stored
 
-SLICE = 4 << 20  # bytes of text worked on at once
+SLICE = 2 << 20  # bytes of text worked on at once
 BUCKET = 2_000_000  # packed values that a bucket holds on average
 ALL_PAIRS = 6  # largest set of classes that is expanded to all pairs at once
 INDEXED, NEIGHBOUR, EXACT, NEAR, SHORTER = range(5)  # roles of a signature, in its lowest bits
@@ -151,6 +151,9 @@ def shared_shingles(df: DataFrame, text_col: str, n_values: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        from siftwell.llm.shared import give_back
+
+        give_back()
         key = table.column("key")[0].as_py()
         if key >= n_buckets:
             return pa.Table.from_batches(table.drop_columns(["witnesses"]).to_batches()).set_column(0, "key", pa.array([key - n_buckets] * table.num_rows, pa.int64()))
@@ -318,6 +321,9 @@ def _opened(table):
     """Owner, its extra number, and value of every entry of a bucket."""
     import numpy as np
 
+    from siftwell.llm.shared import give_back
+
+    give_back()  # what the group before has left
     join = lambda name: b"".join(x.as_py() for x in table.column(name))
     counts = np.frombuffer(join("counts"), np.int32)
     return np.repeat(np.frombuffer(join("cids"), np.int64), counts), np.repeat(np.frombuffer(join("sizes"), np.int32), counts), _unpack(join("values"))

@@ -199,7 +199,7 @@ def _marked(df: DataFrame, model: Model | None, text_col: str, keep: tuple[str,
         import pyarrow as pa
 
         for whole in batches:
-            for batch in text_slices(whole, at, 1 << 20):
+            for batch in text_slices(whole, at, 1 << 19):
                 lang, score = np.full(batch.num_rows, UND, dtype=object), np.zeros(batch.num_rows)
                 rejected = np.ones(batch.num_rows, dtype=bool)
                 if model is not None:

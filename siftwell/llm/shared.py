@@ -70,7 +70,7 @@ def prefix_in_group(df: DataFrame, group: str, slot: str, order: list[Column], a
     )
 
 
-def text_slices(batch, column: int, max_bytes: int = 4 << 20):
+def text_slices(batch, column: int, max_bytes: int = 1 << 20):
     """Slices of an Arrow batch with about ``max_bytes`` of text each; a longer text is alone in its slice."""
     import numpy as np
     import pyarrow as pa
@@ -86,3 +86,17 @@ def text_slices(batch, column: int, max_bytes: int = 4 << 20):
         stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on for other stages, and its allocators would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
 LONG = 64  # characters of a word above which its pairs are kept in a heap
-CACHE = 200_000  # words a task remembers before it starts afresh; a bound on memory only
+CACHE = 100_000  # words a task remembers before it starts afresh; a bound on memory only
 
 
 class CharMap:
@@ -353,7 +353,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int32)))
 
         for whole in batches:
-            for batch in text_slices(whole, len(names), 2 << 20):
+            for batch in text_slices(whole, len(names)):
                 ids, begins, ends, texts = [], [], [], []
                 given = [t or "" for t in batch.column(len(names)).to_pylist()]
                 for text, (got, begin, end) in zip(given, pieces.encode_all(given)):
