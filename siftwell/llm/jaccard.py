@@ -40,7 +40,7 @@ SLICE = 2 << 20  # bytes of text worked on at once
 BUCKET = 2_000_000  # packed values that a bucket holds on average
 ALL_PAIRS = 6  # largest set of classes that is expanded to all pairs at once
 INDEXED, NEIGHBOUR, EXACT, NEAR, SHORTER = range(5)  # roles of a signature, in its lowest bits
-ROLELESS = ~7 & 0xFFFFFFFFFF  # a signature's bits that are packed, without its role
+ROLELESS = ~7 & (1 << 64) - 1  # a signature without its role
 BLOBS = "key long, cids binary, sizes binary, counts binary, values binary, witnesses binary"
 
 
@@ -275,7 +275,7 @@ def segment_hashes(values, k: int, starts: list[int]):
     ends = np.cumsum(sizes)
     sums = running[ends] - running[ends - sizes]
     salt = mix(np.arange(m, dtype=np.uint64) + np.uint64((k + 1) << 32))
-    return mix(sums ^ salt) & ROLELESS, mix((sums[segment] - mixed) ^ salt[segment]) & ROLELESS, segment, sizes
+    return mix(sums ^ salt) & np.uint64(ROLELESS), mix((sums[segment] - mixed) ^ salt[segment]) & np.uint64(ROLELESS), segment, sizes
 
 
 def index_entries(n: int, values, starts: list[int]):
@@ -330,7 +330,7 @@ def _opened(table):
 
 
 def list_lengths(kept: DataFrame, starts: list[int], n_buckets: int) -> DataFrame:
-    """cid, frequency: for each segment that the set may probe, how many sets index it."""
+    """cid, frequency: for each place among the segments that the set may probe, how many sets index it."""
 
     def deal(batches: Iterator) -> Iterator:
         import numpy as np
@@ -355,8 +355,8 @@ def list_lengths(kept: DataFrame, starts: list[int], n_buckets: int) -> DataFram
         owner, _, value = _opened(table)
         place = np.frombuffer(b"".join(x.as_py() for x in table.column("witnesses")), np.int32)
         asked = place >= 0
-        indexed = np.sort(value[~asked] & ROLELESS)
-        wanted = value[asked] & ROLELESS
+        indexed = np.sort(value[~asked] & np.uint64(ROLELESS))
+        wanted = value[asked] & np.uint64(ROLELESS)
         n = np.searchsorted(indexed, wanted, side="right") - np.searchsorted(indexed, wanted, side="left")
         owner, place = owner[asked], place[asked]
         order = np.argsort(owner, kind="stable")
@@ -366,25 +366,27 @@ def list_lengths(kept: DataFrame, starts: list[int], n_buckets: int) -> DataFram
         rows = [(int(c), place[a:b].astype(np.int32).tobytes(), n[a:b].astype(np.int32).tobytes()) for c, a, b in zip(who, ends - counts, ends)]
         return pa.Table.from_batches([_batch("cid long, places binary, lists binary", rows)])
 
-    def gather(table):
-        import numpy as np
-        import pyarrow as pa
+    counted = kept.select("cid", "n", "shared").mapInArrow(deal, BLOBS).groupBy("key").applyInArrow(count, "cid long, places binary, lists binary")
+    return counted.groupBy("cid").agg(F.collect_list(F.struct("places", "lists")).alias("frequency"))  # one entry a bucket
 
-        join = lambda name: b"".join(x.as_py() for x in table.column(name))
-        places, lists = np.frombuffer(join("places"), np.int32), np.frombuffer(join("lists"), np.int32)
-        out = np.zeros(places.max() + 1, np.int32)
-        out[places] = lists
-        return pa.Table.from_batches([_batch("cid long, frequency binary", [(table.column("cid")[0].as_py(), out.tobytes())])])
 
-    counted = kept.select("cid", "n", "shared").mapInArrow(deal, BLOBS).groupBy("key").applyInArrow(count, "cid long, places binary, lists binary")
-    return counted.groupBy("cid").applyInArrow(gather, "cid long, frequency binary")
+def _frequency(parts: list | None):
+    """Lists by place, from the answers of the buckets."""
+    import numpy as np
+
+    if not parts:
+        return np.zeros(0, np.int32)
+    places = np.concatenate([np.frombuffer(p["places"], np.int32) for p in parts])
+    out = np.zeros(places.max() + 1, np.int32)
+    out[places] = np.concatenate([np.frombuffer(p["lists"], np.int32) for p in parts])
+    return out
 
 
 def meeting_sets(kept: DataFrame) -> DataFrame:
     """Distinct sets of classes that meet in a signature: set, cid, shared, probes (or is indexed), members (how many)."""
     totals = kept.agg(F.max("n").alias("n"), F.sum(F.octet_length("shared") / 8).alias("values")).first()
     starts = band_starts(totals["n"] or 1)
-    n_buckets = max(1, -(-int(2.5 * (totals["values"] or 0)) // BUCKET))
+    n_buckets = max(1, -(-int(4 * (totals["values"] or 0)) // BUCKET))
     lengths = list_lengths(kept, starts, n_buckets)
 
     def deal(batches: Iterator) -> Iterator:
@@ -395,7 +397,7 @@ def meeting_sets(kept: DataFrame) -> DataFrame:
                 found, cids, shared = [], [], []
                 for r in batch.slice(start, 500).to_pylist():
                     values = np.frombuffer(r["shared"], np.uint64)
-                    probes = probe_entries(r["n"], values, starts, np.frombuffer(r["frequency"] or b"", np.int32))
+                    probes = probe_entries(r["n"], values, starts, _frequency(r["frequency"]))
                     found.append(np.concatenate([index_entries(r["n"], values, starts), probes]))
                     cids.append(r["cid"])
                     shared.append(len(values))
