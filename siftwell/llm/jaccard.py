@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.shared import slots, stored
 
 SLICE = 2 << 20  # bytes of text worked on at once
+BLOCK = 500  # sets of either side that are compared in one group
 BUCKET = 2_000_000  # packed values that a bucket holds on average
 ALL_PAIRS = 6  # largest set of classes that is expanded to all pairs at once
 INDEXED, NEIGHBOUR, EXACT, NEAR, SHORTER = range(5)  # roles of a signature, in its lowest bits
@@ -471,27 +472,37 @@ def may_link(a: str, b: str):
 
 
 def verified(pairs: DataFrame, kept: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose classes link: sketches rule most others out, the rest is compared exactly."""
+    """The pairs (a, b) whose classes link: sketches rule most others out, the rest is compared exactly.
 
-    def run(batches: Iterator) -> Iterator:
+    Pairs are dealt to blocks by their cluster, so a set travels once for all its pairs. A cluster of more
+    than ``BLOCK`` sets is cut into squares of about ``BLOCK`` by ``BLOCK``.
+    """
+    l, r = sketch.alias("l"), sketch.alias("r")
+    likely = pairs.join(l, F.col("a") == F.col("l.cid")).join(r, F.col("b") == F.col("r.cid")).where(may_link("l", "r")).select("a", "b")
+    likely = stored(likely, "likely")
+    cluster = components(likely)
+    cuts = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
+    placed = likely.join(cluster.select(F.col("node").alias("a"), "root"), "a").join(cuts, "root")
+    square = lambda c: F.pmod(F.xxhash64(c), F.col("cuts"))
+    placed = placed.select(F.xxhash64("root", square("a"), square("b")).alias("block"), "a", "b")
+    needed = placed.select(F.col("block").alias("home"), F.col("a").alias("cid")).union(placed.select("block", "b")).distinct()
+    sets = needed.join(kept, "cid").select("home", "cid", "n", "shared")
+
+    def compare(asked, given):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            ok = []
-            for r in batch.to_pylist():
-                x, y = np.frombuffer(r["x"], np.uint64), np.frombuffer(r["y"], np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                ok.append(7 * int((y[at] == x).sum()) >= 3 * (r["na"] + r["nb"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    l, r = sketch.alias("l"), sketch.alias("r")
-    likely = pairs.join(l, F.col("a") == F.col("l.cid")).join(r, F.col("b") == F.col("r.cid")).where(may_link("l", "r")).select("a", "b")
-    left = kept.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("shared").alias("x"))
-    right = kept.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("y"))
-    return likely.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+        known = {c: (n, np.frombuffer(x, np.uint64)) for c, n, x in zip(*(given.column(k).to_pylist() for k in ("cid", "n", "shared")))}
+        ok = []
+        for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist()):
+            (n, x), (m, y) = known[a], known[b]
+            if len(x) > len(y):
+                x, y = y, x
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            ok.append(7 * int((y[at] == x).sum()) >= 3 * (n + m))
+        return asked.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return placed.groupBy("block").cogroup(sets.groupBy("home")).applyInArrow(compare, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
