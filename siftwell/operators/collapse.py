@@ -12,9 +12,19 @@ TEMPLATE_CHECKS = ("duplication", "empty_row", "actions", "empty_slot", "misspel
 SAMPLE = 8
 
 
+SALTS = 64
+
+
 def first_of(df: DataFrame, key: list[str], value: str, most: int, out: str) -> DataFrame:
-    """``key`` and the first ``most`` distinct values in order: ranks, so no group is gathered in full."""
-    ranked = df.select(*key, value).distinct().withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy(value))).where(F.col("_rn") <= most)
+    """``key`` and the first ``most`` distinct values in order.
+
+    Ranks inside salted parts of a key leave a few rows of each part, ranks over those the rest: a key that
+    nearly all rows have is sorted by many tasks and gathered by none.
+    """
+    part = W.partitionBy(*key, "_salt").orderBy(value)
+    salted = df.select(*key, value).distinct().withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    few = salted.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= most)
+    ranked = few.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy(value))).where(F.col("_rn") <= most)
     return ranked.groupBy(*key).agg(F.array_sort(F.collect_list(value)).alias(out))
 
 

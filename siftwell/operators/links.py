@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftwell.functions import text as T
+from siftwell.operators.collapse import first_of
 
 REFUSED = (400, 401, 402, 403, 406, 429, 999)  # fixed values: statuses by which other sites refuse a probe
 
@@ -20,12 +21,10 @@ def sources_of(edges: DataFrame, stored: int = 5) -> DataFrame:
     """target, page_count (true), sources (first few by name), truncated.
 
     A target of the footer has every page as source: sources are counted and their first names kept
-    by a running rank per target, never gathered in full.
+    by salted ranks, never gathered in full.
     """
     named = edges.groupBy("target").agg(F.count("*").alias("page_count"))
-    ranked = edges.withColumn("rn", F.row_number().over(W.partitionBy("target").orderBy("url"))).where(F.col("rn") <= stored)
-    some = ranked.groupBy("target").agg(F.array_sort(F.collect_list("url")).alias("sources"))
-    return named.join(some, "target").withColumn("truncated", F.col("page_count") > stored)
+    return named.join(first_of(edges, ["target"], "url", stored, "sources"), "target").withColumn("truncated", F.col("page_count") > stored)
 
 
 def link_class(target: Column, internal: Column) -> Column:

@@ -229,9 +229,9 @@ def r15_phones_dial(spark, sf):
 
 @query()
 def r17_sister_brand(spark, sf):
-    """First words of titles stand for names of the brand."""
-    p = pages(spark, sf)
-    names = p.groupBy("brand").agg(F.min(F.regexp_extract("title", r"^(\w{4,})", 1)).alias("name")).where("name <> ''").orderBy("brand").limit(40)
+    """Brands are registrable domains; the first word of their first title stands for their name."""
+    p = pages(spark, sf).withColumn("brand", T.registrable(F.col("brand")))
+    names = p.groupBy("brand").agg(F.min(F.nullif(F.regexp_extract("title", r"^(\w{4,})", 1), F.lit(""))).alias("name")).where("name is not null")
     return page_rules.check_sister_brand(p.select("url", "brand", F.col("visible_text").alias("text"), F.col("title").alias("subject")), names).select("url", "class", "matched")
 
 
