@@ -505,23 +505,43 @@ def verified(pairs: DataFrame, kept: DataFrame, sketch: DataFrame) -> DataFrame:
     return placed.groupBy("block").cogroup(sets.groupBy("home")).applyInArrow(compare, "a long, b long")
 
 
+def _forest(batches: Iterator) -> Iterator:
+    """The edges of each batch as stars around the smallest node of its own components: fewer edges, shorter ways."""
+    import pyarrow as pa
+
+    for batch in batches:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        pairs = [(x, find(x)) for x in list(parent)]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of every node of the links, by alternating large and small stars."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = stored(edges, "edges")
-    before = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    edges = stored(edges.mapInArrow(_forest, "u long, v long").distinct(), "edges")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # of each node: its least neighbour, how many smaller ones it has, and whether it has larger ones
+        ends = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") < F.col("u")).alias("lower"), F.bool_or(F.col("v") > F.col("u")).alias("upper"))
+        ends = stored(ends, "ends")
+        if ends.where("lower > 1 or lower = 1 and upper").isEmpty():
+            break
+        large = both.where("v > u").join(ends.select("u", F.least("u", "m").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
         edges = stored(small.distinct(), "edges")
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            break
-        before = state
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
