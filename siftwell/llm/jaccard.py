@@ -597,5 +597,5 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``df`` without those that link, directly or not, to a row of a smaller id. Of rows with the same id and text one stays."""
     found = jaccard_components(df, id_col, text_col)
     gone = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    once = df.dropDuplicates([id_col, text_col])
-    return once.join(gone, once[id_col] == gone["_gone"], "left_anti").select(*df.columns)
+    rest = df.join(gone, df[id_col] == gone["_gone"], "left_anti").select(*df.columns)
+    return rest.dropDuplicates([id_col, text_col])  # dealt by id already
