@@ -431,13 +431,27 @@ def meeting_sets(kept: DataFrame) -> DataFrame:
                 names, one = np.unique(name[several], return_index=True)
                 for s, i in zip(names, np.flatnonzero(several)[one]):
                     at = slice(first[i], first[i] + size[i])
-                    parts.append((np.full(size[i], s), o[at], x[at], p[at], np.full(size[i], size[i])))
-        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, np.int64)]
-        return pa.table({"set": columns[0], "cid": columns[1], "shared": columns[2].astype(np.int32), "probes": columns[3], "members": columns[4]})
+                    parts.append((int(s), o[at].tobytes(), x[at].astype(np.int32).tobytes(), p[at].tobytes()))
+        return pa.Table.from_batches([_batch("set long, cids binary, shared binary, probes binary", parts)])
+
+    def members(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in (whole.slice(i, 200) for whole in batches for i in range(0, whole.num_rows, 200)):
+            join = lambda i: b"".join(batch.column(i).to_pylist())  # noqa: E731, B023
+            sizes = np.array([len(c) // 8 for c in batch.column(1).to_pylist()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.frombuffer(join(1), np.int64)), pa.array(np.frombuffer(join(2), np.int32)),
+                    pa.array(np.frombuffer(join(3), bool)), pa.array(np.repeat(sizes, sizes)),
+                ],
+                names=["set", "cid", "shared", "probes", "members"],
+            )
 
     blobs = kept.join(lengths, "cid", "left").select("cid", "n", "shared", "frequency").mapInArrow(deal, BLOBS)
-    met = blobs.groupBy("key").applyInArrow(meet, "set long, cid long, shared int, probes boolean, members long")
-    return met.dropDuplicates(["set", "cid", "probes"])
+    met = blobs.groupBy("key").applyInArrow(meet, "set long, cids binary, shared binary, probes binary")
+    return met.dropDuplicates(["set"]).mapInArrow(members, "set long, cid long, shared int, probes boolean, members long")
 
 
 SKETCH = [f"s{i}" for i in range(8)]
