@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.shared import slots, stored
 
 SLICE = 2 << 20  # bytes of text worked on at once
-BLOCK = 500  # sets of either side that are compared in one group
+BLOCK = 4_000  # sets of either side that are compared in one group
 BUCKET = 2_000_000  # packed values that a bucket holds on average
 ALL_PAIRS = 6  # largest set of classes that is expanded to all pairs at once
 INDEXED, NEIGHBOUR, EXACT, NEAR, SHORTER = range(5)  # roles of a signature, in its lowest bits
