@@ -4,10 +4,16 @@ A text is the mean of the embeddings of its character n-grams (n of 1 to 3 insid
 word edges), hashed into a fixed number of buckets; a linear softmax on top gives the languages.
 Both are trained by stochastic gradient descent in numpy on a bounded sample of labelled
 rows (``per_lang`` rows a language, spread by a seeded hash; the bound is a parameter). A held
-part of the sample fits the temperature, so the score is a probability, and the threshold
+part of the sample fits the temperature, so the score is a probability, and two thresholds
 below which a prediction is rejected. As both layers are linear, prediction needs only their
 product, one row of logits per bucket, which is what the tasks receive.
 
+One threshold is on the score: the conformal quantile of the held part, interpolated from chance where
+the held part is too small to have one. As a softmax is also sure of what no language has, the
+other is on the fit: how often, as a mean logarithm, the n-grams of the text are met in the training texts of
+the language that has each most often. It stands between the fits of the held texts and those of
+the same texts with their letters shuffled. Fewer than five labelled rows have no held part and no such threshold.
+
 Null texts and texts without a letter are ``und`` with score 0 and are rejected. Without any
 labelled row every text is ``und``. Long texts are read whole. The prediction depends on nothing but the text.
 """
@@ -23,6 +29,7 @@ from pyspark.sql import functions as F
 UND = "und"
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
+PRIOR = 10  # n-grams of usual fit that every text has besides its own, so that a few odd ones do not reject a short text
 MAX_LANGS = 1000  # more labels than this in the training rows is an error, not a language set
 
 
@@ -85,15 +92,39 @@ class Model:
     bias: object
     temperature: float
     threshold: float
+    met: object  # BUCKETS: logarithm of the share of a language's training texts that have the bucket
+    usual: object  # languages: mean of ``met`` over the n-grams of its held texts
+    least_fit: float
 
     def probabilities(self, texts: list[str]):
         """Calibrated probabilities (texts x languages) and whether the text has a letter."""
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[str]):
+        """Calibrated probabilities (texts x languages), whether the text has a letter, and whether it is rejected."""
         import numpy as np
 
         buckets, owners, n_letters = hashed_grams(texts)
         sums = np.stack([np.bincount(owners, weights=self.logits[buckets, k], minlength=len(texts)) for k in range(len(self.langs))], axis=1)
         counts = np.bincount(owners, minlength=len(texts))
-        return softmax((sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature), n_letters > 0
+        p = softmax((sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature)
+        fit = fits(np.bincount(owners, weights=self.met[buckets], minlength=len(texts)), counts, self.usual[p.argmax(axis=1)])
+        return p, n_letters > 0, (n_letters == 0) | (p.max(axis=1) < self.threshold) | (fit < self.least_fit)
+
+
+def fits(met, counts, usual):
+    """How far the n-grams of a text are above (or below) the usual fit of its language; few n-grams say little."""
+    return (met - counts * usual) / (counts + PRIOR)
+
+
+def shuffled_letters(text: str, seed: int) -> str:
+    """The text with its letters in another order; words keep their lengths."""
+    import numpy as np
+
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    at = np.flatnonzero(_letters()[codes])
+    codes[at] = np.random.default_rng(seed % 2**63).permutation(codes[at])
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def softmax(z):
@@ -103,8 +134,8 @@ def softmax(z):
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(rows: list[tuple[str, list[int], list[int]]], dim: int = 16, epochs: int = 12, rate: float = 1.0, seed: int = 7, reject_rate: float = 0.001) -> Model | None:
-    """``rows``: language, buckets and their counts of each sample text. Every fifth row calibrates. None without rows."""
+def train(rows: list[tuple], dim: int = 16, epochs: int = 12, rate: float = 1.0, seed: int = 7, reject_rate: float = 0.001) -> Model | None:
+    """``rows``: language, buckets and their counts of each sample text, then of its shuffled form. Every fifth row calibrates. None without rows."""
     import numpy as np
 
     rows = [r for r in rows if len(r[1])]
@@ -117,7 +148,7 @@ def train(rows: list[tuple[str, list[int], list[int]]], dim: int = 16, epochs: i
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim))
     out, bias = rng.uniform(-1 / dim, 1 / dim, (dim, len(langs))), np.zeros(len(langs))
-    features = [(np.array(b), np.array(c) / sum(c), number[x]) for x, b, c in fit]
+    features = [(np.array(b), np.array(c) / sum(c), number[x]) for x, b, c, *_ in fit]
     steps, done = epochs * len(features), 0
     for _ in range(epochs):
         for i in rng.permutation(len(features)):
@@ -137,7 +168,7 @@ def train(rows: list[tuple[str, list[int], list[int]]], dim: int = 16, epochs: i
     logits = embed @ out
 
     def scores(some):
-        return np.array([(np.array(c) / sum(c)) @ logits[np.array(b)] + bias for _, b, c in some])
+        return np.array([(np.array(c) / sum(c)) @ logits[np.array(b)] + bias for _, b, c, *_ in some])
 
     checked = held or fit
     z, y = scores(checked), np.array([number[r[0]] for r in checked])
@@ -148,13 +179,39 @@ def train(rows: list[tuple[str, list[int], list[int]]], dim: int = 16, epochs: i
     losses = [-np.mean((target * np.log(softmax(z / t) + 1e-12)).sum(axis=1)) for t in grid]
     temperature = float(grid[int(np.argmin(losses))])
     true = np.sort(softmax(z / temperature)[np.arange(len(y)), y])
-    k = int(reject_rate * (len(true) + 1))
     chance = 1.05 / len(langs) if len(langs) > 1 else 0.0
-    return Model(langs, logits, bias, temperature, max(chance, float(true[k - 1]) if k else 0.0))
+    ranked = np.maximum(np.append(chance, true), chance)  # the quantile of rate k / (n + 1) is the k-th; rate 0 rejects what chance gives
+    threshold = float(np.interp(reject_rate * (len(true) + 1), np.arange(len(ranked)), ranked))
+    met, usual, least_fit = _fit_threshold(fit, held, number, reject_rate)
+    return Model(langs, logits, bias, temperature, threshold, met, usual, least_fit)
+
+
+def _fit_threshold(fit: list[tuple], held: list[tuple], number: dict[str, int], reject_rate: float):
+    """``met``, ``usual`` and ``least_fit`` of the model."""
+    import numpy as np
+
+    met = np.full(BUCKETS, -np.inf)
+    for lang in number:
+        of_lang = [r for r in fit if r[0] == lang]
+        seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *[np.array(r[1]) for r in of_lang]]).astype(np.int64), minlength=BUCKETS)
+        met = np.maximum(met, np.log((seen + 0.5) / (len(of_lang) + 1)))
+    if not held:
+        return met, np.zeros(len(number)), -np.inf
+
+    def sums(b, c):
+        return float(met[np.array(b, np.int64)] @ np.array(c, float)), sum(c)
+
+    true, at = np.array([sums(r[1], r[2]) for r in held]), np.array([number[r[0]] for r in held])
+    means = true[:, 0] / true[:, 1]
+    usual = np.array([means[at == i].mean() if (at == i).any() else means.mean() for i in range(len(number))])
+    wrong = np.array([sums(r[3], r[4]) for r in held])
+    low = np.quantile(fits(true[:, 0], true[:, 1], usual[at]), reject_rate)
+    high = np.quantile(fits(wrong[:, 0], wrong[:, 1], usual[at]), 0.95)
+    return met, usual, float(min(low, (low + high) / 2))
 
 
-def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, seed: int) -> list[tuple[str, list[int], list[int]]]:
-    """A bounded sample, as bucket counts made on the executors: about ``per_lang`` rows of each language."""
+def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, seed: int) -> list[tuple]:
+    """A bounded sample, as bucket counts made on the executors, of each text and of its shuffled form: about ``per_lang`` rows of each language."""
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2))
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().limit(MAX_LANGS + 1).collect()}
     if not counts:
@@ -173,16 +230,16 @@ def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_
 
         for batch in batches:
             made = []
-            for text in batch.column(1).to_pylist():
-                buckets, _, _ = hashed_grams([text])
-                made.append(np.unique(buckets, return_counts=True))
+            for text, seed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                both = [np.unique(hashed_grams([t])[0], return_counts=True) for t in (text, shuffled_letters(text.lower(), seed))]
+                made.append([x.tolist() for pair in both for x in pair])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([m[0].tolist() for m in made], pa.list_(pa.int32())), pa.array([m[1].tolist() for m in made], pa.list_(pa.int32()))],
-                names=["lang", "draw", "buckets", "counts"],
+                [batch.column(0), batch.column(2), *[pa.array([m[i] for m in made], pa.list_(pa.int32())) for i in range(4)]],
+                names=["lang", "draw", "buckets", "counts", "shuffled", "shuffled_counts"],
             )
 
-    rows = drawn.mapInArrow(run, "lang string, draw long, buckets array<int>, counts array<int>")
-    return [(r.lang, r.buckets, r.counts) for r in rows.orderBy("draw", "lang").limit(per_lang * len(counts)).collect()]
+    rows = drawn.mapInArrow(run, "lang string, draw long, buckets array<int>, counts array<int>, shuffled array<int>, shuffled_counts array<int>")
+    return [(r.lang, r.buckets, r.counts, r.shuffled, r.shuffled_counts) for r in rows.orderBy("draw", "lang").limit(per_lang * len(counts)).collect()]
 
 
 def _marked(df: DataFrame, model: Model | None, text_col: str, keep: tuple[str, ...]) -> DataFrame:
@@ -203,10 +260,9 @@ def _marked(df: DataFrame, model: Model | None, text_col: str, keep: tuple[str,
                 lang, score = np.full(batch.num_rows, UND, dtype=object), np.zeros(batch.num_rows)
                 rejected = np.ones(batch.num_rows, dtype=bool)
                 if model is not None:
-                    p, ok = model.probabilities([t or "" for t in batch.column(at).to_pylist()])
+                    p, ok, rejected = model.judged([t or "" for t in batch.column(at).to_pylist()])
                     lang = np.where(ok, np.array(model.langs, dtype=object)[p.argmax(axis=1)], UND)
                     score = np.where(ok, p.max(axis=1), 0.0)
-                    rejected = ~ok | (score < model.threshold)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
                     names=[*keep, "_lang", "_score", "_rejected"],
