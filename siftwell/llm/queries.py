@@ -68,17 +68,17 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    pairs = syncmers.with_next(_documents(spark, sf_dir), "doc_id", {"text": text, "anchors": syncmers.anchors(text)})
+    pairs = syncmers.with_next(_documents(spark, sf_dir), "doc_id", {"text": text, "anchors": syncmers.placed_anchors(text)})
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next_text, cast(length(text) div 2 as int))"))
     return (
         pairs.withColumn("edited", edited)
-        .withColumn("edited_anchors", syncmers.anchors(F.col("edited")))
+        .withColumn("edited_anchors", syncmers.placed_anchors(F.col("edited")))
         .select(
             "doc_id",
             F.length("text").cast("long").alias("n_chars"),
             F.sha2("edited", 256).alias("edited_sha256"),
-            syncmers.fingerprint(F.col("anchors")).alias("fingerprint"),
-            syncmers.fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
+            syncmers.fingerprint(syncmers.hashes_of(F.col("anchors"))).alias("fingerprint"),
+            syncmers.fingerprint(syncmers.hashes_of(F.col("edited_anchors"))).alias("edited_fingerprint"),
             syncmers.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
             syncmers.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
         )

@@ -6,6 +6,10 @@ one depends on its own words alone, so an edit moves no anchor outside its reach
 ``K - S + 1`` neighbouring k-mers hold at least one. The fingerprint is the 32-bit hashes of the
 anchors in text order, eight hex digits each; its positions in the string follow those in the text.
 
+Likeness is positional. Each anchor has the number of the word where it starts. The n-th occurrence of
+an anchor in one text is matched to the n-th in the other, and the matches of the most frequent
+difference of positions are counted, as a share of the anchors of the larger text, repeats included.
+
 Texts of fewer than ``SHORT`` words have too few k-mers: each of their words is an anchor.
 Null texts count as empty; an empty fingerprint is like another empty one (1.0) and unlike any other (0.0).
 """
@@ -32,8 +36,23 @@ def _hash32(*parts: Column) -> Column:
     return F.shiftright(F.xxhash64(*parts), 32).cast("int")
 
 
+def _packed(hashed: Column, at: Column) -> Column:
+    """Hash above, word position below, in one long."""
+    return F.shiftleft(hashed.cast("long"), 32).bitwiseOR(at.cast("long"))
+
+
+def hashes_of(placed: Column) -> Column:
+    """The hashes of placed anchors, ``array<int>``."""
+    return F.transform(placed, lambda x: F.shiftright(x, 32).cast("int"))
+
+
 def anchors(text: Column, k: int = K, s: int = S, short: int = SHORT) -> Column:
     """The anchor hashes of a text in order, ``array<int>``."""
+    return hashes_of(placed_anchors(text, k, s, short))
+
+
+def placed_anchors(text: Column, k: int = K, s: int = S, short: int = SHORT) -> Column:
+    """The anchors of a text in order with the number of their first word, ``array<bigint>``, packed."""
     width = k - s + 1
     words = F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT), lambda w: w != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
@@ -47,21 +66,59 @@ def anchors(text: Column, k: int = K, s: int = S, short: int = SHORT) -> Column:
             def closed(i: Column) -> Column:
                 return F.least(F.get(m, i), F.get(m, i + (width - 1))) <= F.least(*[F.get(m, i + j) for j in range(1, width - 1)])
 
-            return F.transform(F.filter(starts, closed), lambda i: _hash32(*[F.get(h, i + j) for j in range(k)]))
+            return F.transform(F.filter(starts, closed), lambda i: _packed(_hash32(*[F.get(h, i + j) for j in range(k)]), i))
 
         return _let(smers, picked)
 
-    return _let(hashes, lambda h: F.when(F.size(h) < max(short, k + 1), F.transform(h, lambda w: _hash32(w))).otherwise(long(h)))
+    return _let(hashes, lambda h: F.when(F.size(h) < max(short, k + 1), F.transform(h, lambda w, i: _packed(_hash32(w), i))).otherwise(long(h)))
 
 
 def fingerprint(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
+def _starts(x: Column, key: Callable[[Column], Column]) -> Column:
+    """Where runs of equal keys start in a sorted array, and its size as the last."""
+    inside = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (key(F.get(x, i)) != key(F.get(x, i - 1))))
+    return F.concat(inside, F.array(F.size(x)))
+
+
+def _differences(a: Column, b: Column) -> Column:
+    """Position in ``b`` less position in ``a`` of the n-th occurrences of the same anchor, for all anchors and n."""
+    side = 1 << 31  # above any position, below the hash
+    both = F.sort_array(F.concat(a, F.transform(b, lambda x: x.bitwiseOR(F.lit(side)))))
+
+    def pairs(m: Column) -> Column:
+        def of_runs(starts: Column) -> Column:
+            # an anchor of both texts is a run of the first's, then one of the second's
+            shared = F.filter(
+                F.sequence(F.lit(0), F.size(starts) - 2),
+                lambda r: (r < F.size(starts) - 2) & (F.shiftright(F.get(m, F.get(starts, r)), 32) == F.shiftright(F.get(m, F.get(starts, r + 1)), 32)),
+            )
+
+            def run(r: Column) -> Column:
+                first, second, end = F.get(starts, r), F.get(starts, r + 1), F.get(starts, r + 2)
+                return F.transform(F.sequence(F.lit(0), F.least(second - first, end - second) - 1), lambda n: F.get(m, second + n) - F.get(m, first + n) - F.lit(side))
+
+            return F.flatten(F.transform(shared, run))
+
+        return _let(_starts(m, lambda x: F.shiftright(x, 31)), of_runs)
+
+    return _let(both, pairs)
+
+
+def _largest_group(x: Column) -> Column:
+    """How many values of a sorted array are equal at most."""
+    return F.when(F.size(x) == 0, 0).otherwise(
+        _let(_starts(x, lambda v: v), lambda at: F.array_max(F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda i: F.get(at, i) - F.get(at, i - 1))))
+    )
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Anchors that both have, as a share of the larger set."""
-    larger = F.greatest(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
-    return F.when(larger == 0, F.lit(1.0)).otherwise(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), larger.cast("double")))
+    """Of placed anchors: the largest group of matches of equal position difference, as a share of the larger text's anchors."""
+    larger, smaller = F.greatest(F.size(a), F.size(b)), F.least(F.size(a), F.size(b))
+    aligned = _let(F.sort_array(_differences(a, b)), _largest_group)
+    return F.when(larger == 0, F.lit(1.0)).when(smaller == 0, F.lit(0.0)).otherwise(aligned.cast("double") / larger.cast("double"))
 
 
 def _falling_part(key: Column, bounds: list[int]) -> Column:

@@ -87,3 +87,38 @@ def test_edits_keep_half_of_the_anchors(spark):
     docs = queries.op6_fingerprints(spark, "/root/testdata/sf0.001").where("n_chars > 400")
     means = docs.agg(F.avg("near_edited"), F.avg("near_next")).first()
     assert means[0] > 0.4 and means[1] < 0.2
+
+
+def brute_likeness(a, b):
+    """(hash, position) lists: n-th occurrences are matched; the largest group of equal difference counts."""
+    def numbered(x):
+        seen, out = {}, {}
+        for h, at in x:
+            seen[h] = seen.get(h, 0) + 1
+            out[h, seen[h]] = at
+        return out
+
+    if not a and not b:
+        return 1.0
+    na, nb = numbered(a), numbered(b)
+    groups = {}
+    for k in set(na) & set(nb):
+        groups[nb[k] - na[k]] = groups.get(nb[k] - na[k], 0) + 1
+    return max(groups.values(), default=0) / max(len(a), len(b))
+
+
+def test_likeness_depends_on_positions_and_repeats(spark):
+    words = LONG.split()[:900]
+    turned = " ".join(words[600:] + words[300:600] + words[:300])
+    texts = [t or "" for t in TEXTS[:5] + TEXTS[7:10] + TEXTS[11:]] + [" ".join(words), turned, " ".join(words[:400]), "new " * 3 + " ".join(words), "a " * 17, "b a " * 40, "a b c a", "c a b a"]
+    rows = [(i, j, s, t) for i, s in enumerate(texts) for j, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, j int, s string, t string").select("i", "j", syncmers.placed_anchors(F.col("s")).alias("a"), syncmers.placed_anchors(F.col("t")).alias("b"))
+    got = {(r.i, r.j): r for r in df.withColumn("near", syncmers.likeness(F.col("a"), F.col("b"))).collect()}
+    split = lambda x: [(v >> 32, v & 0xFFFFFFFF) for v in x]
+    for r in got.values():
+        assert abs(r.near - brute_likeness(split(r.a), split(r.b))) < 1e-12, (r.i, r.j)
+    at = {t: i for i, t in enumerate(texts)}
+    near = lambda s, t: got[at[s], at[t]].near
+    whole = " ".join(words)
+    assert near(whole, whole) == 1.0 and near(whole, turned) < 0.4 and near(whole, "new " * 3 + whole) > 0.95
+    assert near("a " * 500, "a " * 17) < 0.05 and near("a b c a", "c a b a") < 1.0
