@@ -43,13 +43,23 @@ def deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), cut))
 
 
-def within_one_edit(a: Column, b: Column) -> Column:
-    """One insertion, deletion, substitution or swap of neighbours apart."""
-    swaps = F.exists(
+def swapped(a: Column) -> Column:
+    """The word with each two neighbours swapped."""
+    return F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))),
-        lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b,
+        lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))),
     )
-    return (a != b) & ((F.levenshtein(a, b) == 1) | ((F.length(a) == F.length(b)) & swaps))
+
+
+def within_one_edit(a: Column, b: Column) -> Column:
+    """One insertion, deletion, substitution or swap of neighbours apart."""
+    return (a != b) & ((F.levenshtein(a, b) == 1) | ((F.length(a) == F.length(b)) & F.array_contains(swapped(a), b)))
+
+
+def within_two_edits(a: Column, b: Column) -> Column:
+    """Two such edits or fewer apart: a swap may stand before or after the other edit."""
+    other = F.exists(swapped(a), lambda s: (s == b) | within_one_edit(s, b)) | F.exists(swapped(b), lambda s: within_one_edit(s, a))
+    return (a != b) & ((F.levenshtein(a, b) <= 2) | other)
 
 
 def fuzzy_pairs(rare: DataFrame, common: DataFrame) -> DataFrame:
@@ -63,6 +73,14 @@ def fuzzy_pairs(rare: DataFrame, common: DataFrame) -> DataFrame:
     return near.where(within_one_edit(F.col("rare"), F.col("common")))
 
 
+def fuzzy_pairs_two(rare: DataFrame, common: DataFrame) -> DataFrame:
+    """Both: token. Pairs two edits apart or fewer, by the same join over neighbourhoods of two deletions."""
+    two = lambda word: F.array_distinct(F.flatten(F.transform(deletions(word), deletions)))
+    a = rare.select(F.col("token").alias("rare"), F.explode(two(F.col("token"))).alias("k"))
+    b = common.select(F.col("token").alias("common"), F.explode(two(F.col("token"))).alias("k"))
+    return a.join(b, "k").select("rare", "common").distinct().where(within_two_edits(F.col("rare"), F.col("common")))
+
+
 def affix_stems(word: Column, least: int = 6) -> Column:
     """What is left of the word without a common prefix or suffix."""
     stems = [F.when(word.startswith(p) & (F.length(word) >= len(p) + least), F.substring(word, F.lit(len(p) + 1), F.length(word))) for p in PREFIXES]
@@ -102,6 +120,17 @@ def is_british(wrong: Column, correct: Column) -> Column:
     return fits
 
 
+def american_forms(word: Column) -> Column:
+    """The word by each British rule that fits it."""
+    out = []
+    for uk, us in BRITISH:
+        if uk.endswith("$"):
+            out.append(F.when(word.endswith(uk[:-1]), F.concat(F.substring(word, F.lit(1), F.length(word) - len(uk[:-1])), F.lit(us))))
+        else:
+            out.append(F.when(word.contains(uk), F.regexp_replace(word, f"^(.*?){uk}", f"$1{us}")))
+    return F.array_compact(F.array(*out))
+
+
 def british_variants(typos: DataFrame, least: int = 2) -> DataFrame:
     """Splits ``mined_typos``: a site with ``least`` British forms or more has one finding for all, the rest stay single."""
     marked = typos.withColumn("british", is_british(F.col("token"), F.get("candidates", F.lit(0))))
@@ -150,19 +179,26 @@ def unknown_words(words: DataFrame, dictionary: DataFrame, allowed: DataFrame |
     return words.select("brand", "token").distinct().join(ok, ["brand", "token"], "left_anti")
 
 
-def domain_vocabulary(words: DataFrame, unknown: DataFrame, common: DataFrame, brands: int = 2, contexts: int = 3, span: int = 6) -> DataFrame:
-    """``words``: brand, url, at, token. ``unknown``: token. ``common``: token. Unknown words over all sites, classed.
+def domain_vocabulary(words: DataFrame, unknown: DataFrame, common: DataFrame, brands: int = 2, contexts: int = 3, span: int = 6, dictionary: DataFrame | None = None, two_edits: int = 10) -> DataFrame:
+    """``words``: brand, url, at, token. ``unknown``, ``common``, ``dictionary``: token. Unknown words over all sites, classed.
 
-    typo: one edit from a common word. vocab: on several sites in several contexts. template_copy: the same context everywhere. else rare.
+    british: a rule makes it a word of the dictionary (or a common one). typo: one edit from a common word, or two for words of up to
+    ``two_edits`` letters in too few contexts. vocab: on several sites in several contexts. template_copy: the same context everywhere. else rare.
     """
     order = W.partitionBy("brand", "url").orderBy("at")
     around = F.concat_ws(" ", *[F.lag("token", i).over(order) for i in range(span, 0, -1)], *[F.lead("token", i).over(order) for i in range(1, span + 1)])
-    seen = words.withColumn("context", F.sha1(around.cast("binary"))).join(unknown.select("token").distinct(), "token", "left_semi")
+    rare, common = unknown.select("token").distinct(), common.select("token").distinct()
+    seen = words.withColumn("context", F.sha1(around.cast("binary"))).join(rare, "token", "left_semi")
     sums = seen.groupBy("token").agg(F.count_distinct("brand").alias("brands"), F.count_distinct("context").alias("contexts"), F.count("*").alias("freq"))
-    rare = unknown.select(F.lit("").alias("brand"), "token").distinct()
-    typo = fuzzy_pairs(rare, common.select(F.lit("").alias("brand"), "token").distinct()).groupBy(F.col("rare").alias("token")).agg(F.min("common").alias("correct"))
-    cls = F.when(F.col("correct").isNotNull(), "typo").when((F.col("brands") >= brands) & (F.col("contexts") >= contexts), "vocab").when((F.col("freq") > 1) & (F.col("contexts") == 1), "template_copy").otherwise("rare")
-    return sums.join(typo, "token", "left").withColumn("class", cls)
+    known = common if dictionary is None else common.union(dictionary.select("token")).distinct()
+    forms = rare.select("token", F.explode(american_forms(F.col("token"))).alias("american")).join(known.select(F.col("token").alias("american")), "american")
+    british = forms.groupBy("token").agg(F.min("american").alias("american"))
+    no_brand = F.lit("").alias("brand")
+    one = fuzzy_pairs(rare.select(no_brand, "token"), common.select(no_brand, "token")).groupBy(F.col("rare").alias("token")).agg(F.min("common").alias("one"))
+    short = sums.where((F.length("token") <= two_edits) & (F.col("contexts") < contexts)).join(one, "token", "left_anti")
+    two = fuzzy_pairs_two(short.select("token"), common).groupBy(F.col("rare").alias("token")).agg(F.min("common").alias("two"))
+    cls = F.when(F.col("american").isNotNull(), "british").when(F.col("correct").isNotNull(), "typo").when((F.col("brands") >= brands) & (F.col("contexts") >= contexts), "vocab").when((F.col("freq") > 1) & (F.col("contexts") == 1), "template_copy").otherwise("rare")
+    return sums.join(british, "token", "left").join(one, "token", "left").join(two, "token", "left").withColumn("correct", F.coalesce("american", "one", "two")).withColumn("class", cls).drop("american", "one", "two")
 
 
 def proper_noun_allowlist(labels: DataFrame, gazetteer: DataFrame | None = None, wrong: DataFrame | None = None, brands: int = 2) -> DataFrame:
