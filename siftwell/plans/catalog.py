@@ -724,8 +724,8 @@ def j14_british(spark, sf):
 @query()
 def r9_run_together(spark, sf):
     ledger = mining.token_ledger(blocks(spark, sf)).groupBy("token").agg(F.sum("freq").alias("freq"))
-    short = texts(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("visible_text"), F.lit(r"\b[a-z]{3,8}\b"), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    return mining.run_together(ledger, short.where("n >= 100").select("token"), short.where("n >= 5").select("token"))
+    heard = texts(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("visible_text"), F.lit(r"\b[a-z]{3,}\b"), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return mining.run_together(ledger, heard.where("n >= 100").select("token"), heard.where("n >= 5").select("token"))
 
 
 @query(f"""WITH {B_SQL}, {LEDGER_SQL}, t AS (SELECT token, sum(freq) AS f, count(*) AS brands FROM lg GROUP BY token), dict AS (SELECT token FROM t WHERE f >= 5)

@@ -31,3 +31,24 @@ def test_pairs_of_two_edits_against_a_brute_force(spark):
     want = {(r, c) for r in rare for c in common if r != c and c in edits(r) | {y for x in edits(r) for y in edits(x)}}
     frame = lambda x: spark.createDataFrame([(w,) for w in x], "token string")
     assert {(r.rare, r.common) for r in mining.fuzzy_pairs_two(frame(rare), frame(common)).collect()} == want
+
+
+def test_run_together_has_long_parts_and_long_real_words(spark, tmp_path):
+    path = f"file://{tmp_path}/sf"
+    line = "best rehab centers california treatment the"
+    rare = ["bestrehabcalifornia", "treatmentcenterscalifornia", "xqbestrehabcentersyz", "californiaxxxxxxxxxxxxtreatment", "bestrehabthexq"]
+    texts = [("s", line) for _ in range(120)] + [("s", "besttreatmentcenters") for _ in range(6)] + [("s", w) for w in rare]
+    write(spark, path, texts)
+    words = line.split()
+
+    def brute(w):
+        best = {0: (0, 0)}  # end: letters covered, parts, without a gap from the start
+        for end in range(1, len(w) + 1):
+            fits = [(best[end - len(p)][0] + len(p), best[end - len(p)][1] + 1) for p in words if w[:end].endswith(p) and end - len(p) in best]
+            if fits:
+                best[end] = max(fits)
+        ends = [best[e] for e in best if e >= len(w) - 4]
+        return len(w) >= 16 and any(c >= 0.8 * len(w) and n >= 3 for c, n in ends)
+
+    got = {r.token for r in catalog.r9_run_together(spark, path).collect()}
+    assert got == {w for w in rare if brute(w)} == {"bestrehabcalifornia", "treatmentcenterscalifornia"}
