@@ -24,7 +24,9 @@ Two sets of x and y shingles link when 100 * |intersection| >= 75 * |union|, tha
    alternating star contraction over the verified links, in tables.
 
 Nulls and texts without words have no shingles and are alone. Null ids are rows like others but never
-name a component unless the whole class has no id. Shingles are compared by at least 46 bits of a 64-bit hash.
+name a component unless the whole class has no id. Repeated rows are one class; very long texts are sets like
+others, and blocks of comparison are cut by bytes as well as by number. Shingles are compared by all 64 bits of
+their hash, classes are named by a 64-bit sum; signatures carry 40 bits and more, which only adds candidates.
 """
 
 from __future__ import annotations
@@ -33,12 +35,16 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.types import LongType, StructField, StructType
 
-from siftwell.llm.shared import slots, stored
+from siftwell.llm.shared import discard, named_again, numbered_columns, stored
 
 SLICE = 2 << 20  # bytes of text worked on at once
-BLOCK = 4_000  # sets of either side that are compared in one group
-BUCKET = 2_000_000  # packed values that a bucket holds on average
+BLOCK = 1_000  # sets of either side that are compared in one group
+HUB = 250  # pairs of one set that are compared in one group
+BLOCK_BYTES = 4 << 20  # bytes of sets of either side in one group
+BUCKET = 2_000_000  # values that a bucket holds on average
 ALL_PAIRS = 6  # largest set of classes that is expanded to all pairs at once
 INDEXED, NEIGHBOUR, EXACT, NEAR, SHORTER = range(5)  # roles of a signature, in its lowest bits
 ROLELESS = ~7 & (1 << 64) - 1  # a signature without its role
@@ -121,7 +127,6 @@ def shared_shingles(df: DataFrame, text_col: str, n_values: int) -> DataFrame:
                 distinct, place, times = np.unique(values, return_inverse=True, return_counts=True)
                 twice = times[place] > 1
                 bucket = _bucket(values, n_buckets)
-                known = (bucket.astype(np.uint64) << np.uint64(40)) | (values & np.uint64((1 << 40) - 1))
                 # sizes of all classes, and the shingles that this batch has seen twice, go to the class's part
                 part = (cids.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
                 rows = []
@@ -132,7 +137,7 @@ def shared_shingles(df: DataFrame, text_col: str, n_values: int) -> DataFrame:
                     mine = np.flatnonzero(part == p)
                     at = order[ends[p] : ends[p + 1]]
                     counts = np.bincount(owner[at], minlength=len(cids))[mine]
-                    rows.append((int(n_buckets + p), cids[mine].tobytes(), sizes[mine].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), known[at].tobytes(), b""))
+                    rows.append((int(n_buckets + p), cids[mine].tobytes(), sizes[mine].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), values[at].tobytes(), b""))
                 once = np.flatnonzero(~twice)
                 once = once[np.argsort(bucket[once], kind="stable")]
                 ends = np.searchsorted(bucket[once], np.arange(n_buckets + 1))
@@ -144,7 +149,7 @@ def shared_shingles(df: DataFrame, text_col: str, n_values: int) -> DataFrame:
                     at, witness = once[ends[b] : ends[b + 1]], seen[seen_order[seen_ends[b] : seen_ends[b + 1]]]
                     if len(at) or len(witness):
                         who, counts = np.unique(owner[at], return_counts=True)
-                        rows.append((b, cids[who].tobytes(), b"", counts.astype(np.int32).tobytes(), _pack(values[at]), _pack(witness)))
+                        rows.append((b, cids[who].tobytes(), b"", counts.astype(np.int32).tobytes(), values[at].tobytes(), witness.tobytes()))
                 yield _batch(BLOBS, rows)
 
     def settle(table):
@@ -161,7 +166,7 @@ def shared_shingles(df: DataFrame, text_col: str, n_values: int) -> DataFrame:
         join = lambda name: b"".join(x.as_py() for x in table.column(name))
         cids = np.frombuffer(join("cids"), np.int64)
         counts = np.frombuffer(join("counts"), np.int32)
-        values, witnesses = _unpack(join("values")), _unpack(join("witnesses"))
+        values, witnesses = np.frombuffer(join("values"), np.uint64), np.frombuffer(join("witnesses"), np.uint64)
         owner = np.repeat(cids, counts)
         order = np.argsort(values)
         values, owner = values[order], owner[order]
@@ -174,7 +179,7 @@ def shared_shingles(df: DataFrame, text_col: str, n_values: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(witnesses, values[first]), len(witnesses) - 1)
                 shared |= witnesses[at] == values[first]
             shared = np.repeat(shared, np.diff(np.append(first, len(values))))
-            values, owner = values[shared] | (np.uint64(key) << np.uint64(40)), owner[shared]
+            values, owner = values[shared], owner[shared]
             part = (owner.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((owner, part))
             values, owner, part = values[order], owner[order], part[order]
@@ -486,20 +491,31 @@ def may_link(a: str, b: str):
 
 
 def verified(pairs: DataFrame, kept: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose classes link: sketches rule most others out, the rest is compared exactly.
+    """The pairs (a, b) whose classes link, stored: sketches rule most others out, the rest is compared exactly.
 
-    Pairs are dealt to blocks by their cluster, so a set travels once for all its pairs. A cluster of more
-    than ``BLOCK`` sets is cut into squares of about ``BLOCK`` by ``BLOCK``.
+    Pairs are dealt to blocks, to which a set travels once for all its pairs. A set with more than ``HUB`` pairs has blocks of
+    its own, each with so many of its partners; it travels to each of them, its partners to one. The other pairs are
+    dealt by cluster, and a cluster of more than ``BLOCK`` sets (or their bytes) is cut into squares.
     """
     l, r = sketch.alias("l"), sketch.alias("r")
-    likely = pairs.join(l, F.col("a") == F.col("l.cid")).join(r, F.col("b") == F.col("r.cid")).where(may_link("l", "r")).select("a", "b")
-    likely = stored(likely, "likely")
-    cluster = components(likely)
-    cuts = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
-    placed = likely.join(cluster.select(F.col("node").alias("a"), "root"), "a").join(cuts, "root")
+    likely = pairs.join(l, F.col("a") == F.col("l.cid")).join(r, F.col("b") == F.col("r.cid")).where(may_link("l", "r"))
+    likely = stored(likely.select("a", "b", F.greatest("l.shared", "r.shared").alias("most")), "likely")
+    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
+    ends = stored(ends, "degrees")
+    of = lambda name: ends.select(F.col("node").alias(name), F.col("degree").alias(f"of_{name}"))
+    placed = likely.join(of("a"), "a").join(of("b"), "b")
+    first = F.col("of_a") >= F.col("of_b")
+    placed = placed.select("a", "b", "most", F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("partner"), F.greatest("of_a", "of_b").alias("degree"))
+    placed = stored(placed, "placed")
+    cut = F.ceil(F.greatest(F.col("degree") / HUB, F.col("degree") * F.col("most") * 8 / BLOCK_BYTES))
+    starred = placed.where(F.col("degree") > HUB).select(F.xxhash64(F.lit(0), "hub", F.pmod(F.xxhash64("partner"), cut)).alias("block"), "a", "b")
+    rest = placed.where(F.col("degree") <= HUB).select("a", "b")
+    cluster = components(rest)
+    cuts = cluster.join(sketch.select(F.col("cid").alias("node"), "shared"), "node").groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("shared") * 8 / BLOCK_BYTES)).alias("cuts"))
     square = lambda c: F.pmod(F.xxhash64(c), F.col("cuts"))
-    placed = placed.select(F.xxhash64("root", square("a"), square("b")).alias("block"), "a", "b")
-    needed = placed.select(F.col("block").alias("home"), F.col("a").alias("cid")).union(placed.select("block", "b")).distinct()
+    squared = rest.join(cluster.select(F.col("node").alias("a"), "root"), "a").join(cuts, "root").select(F.xxhash64(F.lit(1), "root", square("a"), square("b")).alias("block"), "a", "b")
+    dealt = stored(starred.union(squared), "blocks")
+    needed = dealt.select(F.col("block").alias("home"), F.col("a").alias("cid")).union(dealt.select("block", "b")).distinct()
     sets = needed.join(kept, "cid").select("home", "cid", "n", "shared")
 
     def compare(asked, given):
@@ -516,7 +532,9 @@ def verified(pairs: DataFrame, kept: DataFrame, sketch: DataFrame) -> DataFrame:
             ok.append(7 * int((y[at] == x).sum()) >= 3 * (n + m))
         return asked.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return placed.groupBy("block").cogroup(sets.groupBy("home")).applyInArrow(compare, "a long, b long")
+    links = stored(dealt.groupBy("block").cogroup(sets.groupBy("home")).applyInArrow(compare, "a long, b long"), "links")
+    discard(likely, ends, placed, cluster, dealt)
+    return links
 
 
 def _forest(batches: Iterator) -> Iterator:
@@ -541,7 +559,7 @@ def _forest(batches: Iterator) -> Iterator:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component) of every node of the links, by alternating large and small stars."""
+    """node, root (the smallest node of its component) of every node of the links, by alternating large and small stars; stored."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     edges = stored(edges.mapInArrow(_forest, "u long, v long").distinct(), "edges")
     while True:
@@ -555,8 +573,12 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "edges")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        new = stored(small.distinct(), "edges")
+        discard(edges, ends)
+        edges = new
+    out = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "roots")
+    discard(edges, ends)
+    return out
 
 
 def candidate_pairs(sets: DataFrame, fitting=None) -> DataFrame:
@@ -571,45 +593,83 @@ def candidate_pairs(sets: DataFrame, fitting=None) -> DataFrame:
 
 
 def linked_classes(kept: DataFrame) -> DataFrame:
-    """node, root of every class that links with another."""
+    """node, root of every class that links with another; stored."""
     sets = stored(meeting_sets(kept), "sets")
     sketch = stored(sketches(kept), "sketches")
     few = candidate_pairs(sets.where(F.col("members") <= ALL_PAIRS))
     many = sets.where(F.col("members") > ALL_PAIRS)
     hubs = many.groupBy("set").agg(F.max(F.struct("shared", "cid")).alias("hub")).select("set", F.col("hub.cid").alias("hub"))
     stars = many.join(hubs, "set").where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
-    links = stored(verified(few.union(stars).distinct(), kept, sketch), "links")
+    links = verified(few.union(stars).distinct(), kept, sketch)
     roots = components(links)
     labelled = many.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     torn = labelled.groupBy("set").agg((F.min("root") != F.max("root")).alias("torn")).where("torn").select("set")
-    open_sets = labelled.join(torn, "set", "left_semi").select("set", "cid", "probes", "root").join(sketch, "cid")
-    cross = candidate_pairs(stored(open_sets, "open"), (F.col("p.root") != F.col("i.root")) & may_link("p", "i")).distinct()
+    open_sets = stored(labelled.join(torn, "set", "left_semi").select("set", "cid", "probes", "root").join(sketch, "cid"), "open")
+    cross = candidate_pairs(open_sets, (F.col("p.root") != F.col("i.root")) & may_link("p", "i")).distinct()
     more = verified(cross, kept, sketch)
-    return components(stored(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "links"))
+    out = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    discard(sets, sketch, links, roots, open_sets, more)
+    return out
+
+
+def named_classes(rows: DataFrame, df: DataFrame, text_col: str) -> DataFrame:
+    """cid, component_id and winner (id and cid of the row that stands for the component) of every class with shingles."""
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    classes = rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("rep"))
+    if not total:
+        return classes.select("cid", F.col("rep").alias("component_id"), F.struct(F.col("rep").isNull().alias("no_id"), F.col("rep").alias("id"), "cid").alias("winner"))
+    kept = stored(shared_shingles(df, text_col, total), "kept")
+    roots = linked_classes(kept)
+    discard(kept)
+    reps = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    first = F.struct(F.col("rep").isNull().alias("no_id"), F.col("rep").alias("id"), F.col("cid"))
+    lowest = reps.groupBy("root").agg(F.min("rep").alias("component_id"), F.min(first).alias("winner"))
+    return reps.join(lowest, "root").select("cid", "component_id", "winner")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, cid and component_id: the smallest id that links reach, the row's own included."""
     rows = stored(row_classes(df, id_col, text_col), "classes")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    roots = None
-    if total:
-        kept = stored(shared_shingles(df, text_col, total), "kept")
-        roots = linked_classes(kept)
-    classes = rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("rep"))
-    if roots is None:
-        named = classes.select("cid", F.col("rep").alias("component_id"))
-    else:
-        reps = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        lowest = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
-        named = reps.join(lowest, "root").select("cid", "component_id")
+    named = named_classes(rows, df, text_col).select("cid", "component_id")
     out = rows.join(named, "cid", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "cid", "component_id")
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` without those that link, directly or not, to a row of a smaller id. Of rows with the same id and text one stays."""
-    found = jaccard_components(df, id_col, text_col)
-    gone = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    rest = df.join(gone, df[id_col] == gone["_gone"], "left_anti").select(*df.columns)
-    return rest.dropDuplicates([id_col, text_col])  # dealt by id already
+    """One row of every component: that of the smallest id, null ids last. Rows without words link with nothing and all stay.
+
+    Where rows share that id, one of the class with the smaller number stays, of equal sets the first by text, then by the other columns.
+    A row that shares its id with a linked one but links with nothing itself stays.
+    """
+    rows = stored(row_classes(df, id_col, text_col), "classes")
+    chosen = named_classes(rows, df, text_col).select("winner.id", "winner.cid").distinct()
+    chosen = stored(chosen.select(F.coalesce("id", F.lit(0)).alias("_key"), F.col("id").isNull().alias("_none"), F.col("cid").alias("_cid")), "chosen")
+    discard(rows)
+    numbered, names = numbered_columns(df)
+    marked = with_classes(numbered, names[text_col])
+    one = F.col(names[id_col]).cast("long")
+    keyed = marked.withColumns({"_key": F.coalesce(one, F.lit(0)), "_none": one.isNull()})
+    spread = F.when(F.col("_n") == 0, F.xxhash64(*names.values())).otherwise(F.col("_cid"))  # rows without words are no group
+    keyed = keyed.withColumn("_cid", spread)
+    found = keyed.join(chosen.withColumn("_chosen", F.lit(True)), ["_key", "_none", "_cid"], "left").where("_chosen or _n = 0")
+    order = W.partitionBy("_key", "_none", "_cid").orderBy(names[text_col], F.xxhash64(*names.values()))
+    return named_again(found.withColumn("_rank", F.row_number().over(order)).where("_rank = 1 or _n = 0"), names)
+
+
+def with_classes(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with _n (distinct shingles) and _cid of each row."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from siftwell.llm.shared import text_slices
+        from siftwell.llm.shingles import of_arrow
+
+        for whole in batches:
+            for batch in text_slices(whole, at, SLICE):
+                sets = of_arrow(batch.column(at))
+                made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_id(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "_n", "_cid"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("_n", LongType()), StructField("_cid", LongType())]))

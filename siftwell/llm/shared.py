@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 
@@ -15,10 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, the folder that all executors share.
 
-    Where the session names none (tests on one machine), one is set.
+    Where the session names none, a session on one machine (tests) gets a temporary one; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siftwell-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -28,7 +32,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove stored tables that no plan needs any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named by their place, so that added names clash with none, and the new name of each old one."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c.replace('`', '``')}`").alias(n) for c, n in names.items()]), names
+
+
+def named_again(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``numbered_columns`` under their old names, others left out."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def group_key(col: Column) -> Column:
@@ -36,9 +60,12 @@ def group_key(col: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), col), F.lit("1"))
 
 
-def slots(n_rows: int, rows_per_slot: int = 20_000) -> int:
-    """How many slots keep about ``rows_per_slot`` rows each."""
-    return max(1, -(-n_rows // rows_per_slot))
+def slots(n_rows: int, rows_per_slot: int | None = None) -> int:
+    """How many slots keep about ``rows_per_slot`` rows each; by default, as many slots as a slot has rows.
+
+    Then both levels of ``prefix_in_group`` grow with the root of the table: 100,000 each for 10^10 rows.
+    """
+    return max(1, -(-n_rows // (rows_per_slot or max(250, math.isqrt(n_rows)))))
 
 
 def hash_slot(h: Column, n: int) -> Column:

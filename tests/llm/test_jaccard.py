@@ -105,6 +105,51 @@ def test_given_documents(spark):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted({c for _, _, c in got})
 
 
+def test_rows_that_share_an_id_are_kept_apart(spark):
+    a, b = "one two three four five six seven", "other words that link with nothing at all here"
+    rows = [(1, a, "x"), (8, a, "x"), (8, b, "x"), (8, b, "y"), (None, a, "x"), (None, "text of rows without any id", "x"), (9, "text of rows without  any ID", "x"), (None, "lost row of six words here", "x"), (None, "lost row of six words here", "z")]
+    rows += [(3, None, "x"), (3, None, "x"), (None, "", "x"), (5, "short", "x"), (5, "SHORT", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _cid string").repartition(3)
+    got = sorted(((r.doc_id, r.text, r._cid) for r in jaccard.keep_one_of_each(df).collect()), key=str)
+    want = [(1, a, "x"), (8, b, "x"), (9, "text of rows without  any ID", "x"), (None, "lost row of six words here", "x"), (3, None, "x"), (3, None, "x"), (None, "", "x"), (5, "SHORT", "x")]
+    assert {r[:2] for r in got} == {r[:2] for r in want} and len(got) == len(want)
+
+
+def test_one_bucket_keeps_all_bits_of_a_shingle(spark):
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    texts = [r.text for r in docs.collect()]
+    whole = {jaccard._class_id(s): s for s in shingles.of_arrow(pa.array(texts))}
+    times = np.unique(np.concatenate(list(whole.values())), return_counts=True)
+    shared = set(times[0][times[1] > 1].tolist())
+    found = jaccard.shared_shingles(docs, "text", 1).collect()
+    want = {c for c, s in whole.items() if len(s) and 4 * len(shared & set(s.tolist())) >= 3 * len(s)}
+    assert {r.cid for r in found} == want and found
+    for r in found:
+        assert set(np.frombuffer(r.shared, np.uint64).tolist()) == shared & set(whole[r.cid].tolist())
+
+
+def test_a_large_group_is_compared_in_blocks(spark, monkeypatch):
+    """3,000 near copies, most of which do not link with each other but with the common text, in blocks of 100."""
+    monkeypatch.setattr(jaccard, "HUB", 100)
+    monkeypatch.setattr(jaccard, "BLOCK", 60)
+    rng = random.Random(12)
+    base = [f"h{i}" for i in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 3000):
+        out = list(base)
+        for at in rng.sample(range(10, 90), 2):
+            out[at] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(out)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()), key=str)
+    sets = {i: shingle_set(t) for i, t in rows}
+    assert [g[:2] for g in got] == sorted(((i, len(s)) for i, s in sets.items()), key=str)
+    direct = {i for i, s in sets.items() if 100 * len(s & sets[0]) >= 75 * len(s | sets[0])}
+    assert {g[0] for g in got if g[2] == 0} >= direct and len(direct) > 2500
+
+
 def test_tables_without_words(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()) == [(1, 0, 1), (2, 0, 2)]
