@@ -1,17 +1,19 @@
 """Document fingerprints of closed syncmers, with built-in functions only.
 
-A k-mer is ``K`` consecutive words, an s-mer ``S`` of them. A k-mer is a closed syncmer, and so
+A token is a word, a piece of 32 characters of a longer word, or one character of a script that is written without
+spaces. A k-mer is ``K`` consecutive tokens, an s-mer ``S`` of them; both ends of a text are padded with ``K - 1`` empty
+tokens, so texts of one token and more have k-mers, of one kind for all sizes. A k-mer is a closed syncmer, and so
 an anchor, if the smallest hash of its s-mers stands at its first or last place. Whether it is
-one depends on its own words alone, so an edit moves no anchor outside its reach, and any
-``K - S + 1`` neighbouring k-mers hold at least one. The fingerprint is the 32-bit hashes of the
+one depends on its own tokens alone, so an edit moves no anchor outside its reach, and any
+``K - S`` neighbouring k-mers hold at least one. The fingerprint is the 32-bit hashes of the
 anchors in text order, eight hex digits each; its positions in the string follow those in the text.
 
-Likeness is positional. Each anchor has the number of the word where it starts. The n-th occurrence of
+Likeness is positional. Each anchor has the number of the token where it starts. The n-th occurrence of
 an anchor in one text is matched to the n-th in the other, and the matches of the most frequent
 difference of positions are counted, as a share of the anchors of the larger text, repeats included.
 
-Texts of fewer than ``SHORT`` words have too few k-mers: each of their words is an anchor.
 Null texts count as empty; an empty fingerprint is like another empty one (1.0) and unlike any other (0.0).
+Very long texts are one array of longs a row; repeated rows and equal texts have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-K, S, SHORT = 8, 2, 16
-SPLIT = r"[\x20\x09-\x0D]+"
+K, S = 5, 2
+# fixed values: blocks of scripts without spaces, and what is left of the code points without them and white space
+UNSPACED = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}\x{30000}-\x{3134F}"
+SPACED = r"!-~\x{7F}-\x{DFF}\x{F00}-\x{FFF}\x{10A0}-\x{177F}\x{1800}-\x{303F}\x{3100}-\x{33FF}\x{A000}-\x{F8FF}\x{FB00}-\x{1FFFF}\x{2FA20}-\x{2FFFF}\x{31350}-\x{10FFFF}\x{0}-\x{8}\x{E}-\x{1F}"
+TOKEN = f"[{SPACED}]{{1,32}}|[{UNSPACED}]"
+MAX_PARTS = 65_536  # parts of the order of ids; their bounds, sent to all tasks, are two megabytes at most
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,21 +52,25 @@ def hashes_of(placed: Column) -> Column:
     return F.transform(placed, lambda x: F.shiftright(x, 32).cast("int"))
 
 
-def anchors(text: Column, k: int = K, s: int = S, short: int = SHORT) -> Column:
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """The anchor hashes of a text in order, ``array<int>``."""
-    return hashes_of(placed_anchors(text, k, s, short))
+    return hashes_of(placed_anchors(text, k, s))
 
 
-def placed_anchors(text: Column, k: int = K, s: int = S, short: int = SHORT) -> Column:
-    """The anchors of a text in order with the number of their first word, ``array<bigint>``, packed."""
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
+def placed_anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """The anchors of a text in order with the number of their first (padded) token, ``array<bigint>``, packed."""
     width = k - s + 1
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    pad = F.array(*[F.lit(0).cast("long")] * (k - 1))
+    padded = F.concat(pad, F.transform(tokens(text), lambda w: F.xxhash64(w)), pad)
 
-    def long(h: Column) -> Column:
+    def picked(h: Column) -> Column:
         smers = F.transform(F.slice(h, 1, F.size(h) - (s - 1)), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, s)]))
 
-        def picked(m: Column) -> Column:
+        def closed_ones(m: Column) -> Column:
             starts = F.sequence(F.lit(0), F.size(m) - width)
 
             def closed(i: Column) -> Column:
@@ -68,9 +78,9 @@ def placed_anchors(text: Column, k: int = K, s: int = S, short: int = SHORT) ->
 
             return F.transform(F.filter(starts, closed), lambda i: _packed(_hash32(*[F.get(h, i + j) for j in range(k)]), i))
 
-        return _let(smers, picked)
+        return F.when(F.size(h) > 2 * (k - 1), _let(smers, closed_ones)).otherwise(F.array().cast("array<bigint>"))
 
-    return _let(hashes, lambda h: F.when(F.size(h) < max(short, k + 1), F.transform(h, lambda w, i: _packed(_hash32(w), i))).otherwise(long(h)))
+    return _let(padded, picked)
 
 
 def fingerprint(found: Column) -> Column:
@@ -121,47 +131,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(larger == 0, F.lit(1.0)).when(smaller == 0, F.lit(0.0)).otherwise(aligned.cast("double") / larger.cast("double"))
 
 
-def _falling_part(key: Column, bounds: list[int]) -> Column:
-    """How many of the bounds are above ``key``: blocks of bounds are tried first, then the bounds of one block."""
-    if not bounds:
-        return F.lit(0)
-    falling = sorted(bounds, reverse=True)
+def _part_bounds(df: DataFrame, key: Column, n_parts: int) -> DataFrame:
+    """One row of ``_last`` and ``_every``: quantiles of the key from the largest down, in blocks, and the last of each block."""
+    ids = df.select(key.alias("id"))
+    found = ids.approxQuantile("id", [i / n_parts for i in range(1, n_parts)], 1 / (4 * n_parts)) if n_parts > 1 else []
+    falling = sorted({math.floor(x) for x in found}, reverse=True)
     step = math.isqrt(len(falling)) + 1
     blocks = [falling[i : i + step] for i in range(0, len(falling), step)]
-    last = F.array(*[F.lit(b[-1]).cast("long") for b in blocks])
-    every = F.array(*[F.array(*[F.lit(x).cast("long") for x in b]) for b in blocks])
-    full = F.size(F.filter(last, lambda b: b > key))
-    return _let(full, lambda n: n * step + F.coalesce(F.size(F.filter(F.get(every, n), lambda b: b > key)), F.lit(0)))
+    row = (1, step, [b[-1] for b in blocks], blocks)
+    return df.sparkSession.createDataFrame([row], "_one int, _step int, _last array<bigint>, _every array<array<bigint>>")
+
+
+def _falling_part(key: Column) -> Column:
+    """How many of the bounds are above ``key``: blocks of bounds are tried first, then the bounds of one block."""
+    full = F.size(F.filter("_last", lambda b: b > key))
+    return _let(full, lambda n: n * F.col("_step") + F.coalesce(F.size(F.filter(F.get("_every", n), lambda b: b > key)), F.lit(0)))
 
 
 def with_next(df: DataFrame, id_col: str, columns: dict[str, Column], rows_per_part: int = 5_000) -> DataFrame:
     """id and ``columns`` of each row, and as ``next_...`` those of the row that follows by falling id; the first follows the last.
 
-    Ids are cut into parts at their quantiles. The first row of a part is copied to the end of
+    Ids are cut into parts at their quantiles, ``MAX_PARTS`` at most. The first row of a part is copied to the end of
     the part before it, so one window inside each part finds every follower and no
-    task sees more than a part. Null ids come last; equal ids are ordered by the columns.
+    task sees more than a part. Bounds and first ids of all parts go to the tasks as one row. Null ids come last; equal ids are ordered by the columns.
     """
     names = list(columns)
+    # doubles of the quantiles are exact to 53 bits; beyond that parts are cut a little off, by all rows alike
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    keyed = df.select(key.alias("_key"))
-    n_parts = max(1, -(-df.count() // rows_per_part))
-    bounds = []
-    if n_parts > 1:
-        probabilities = [i / n_parts for i in range(1, n_parts)]
-        ids = df.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
-        bounds = sorted({math.floor(x) for x in ids.approxQuantile("id", probabilities, 1 / (4 * n_parts))})
-    part = _falling_part(F.col("_key"), bounds)
-    heads = keyed.groupBy(part.alias("_part")).agg(F.max("_key").alias("_head"))
-    around = W.partitionBy(F.lit(0)).orderBy("_part")  # one row per part
-    heads = heads.select("_head", F.coalesce(F.lag("_part").over(around), F.max("_part").over(W.partitionBy(F.lit(0)))).alias("_before"))
-    rows = df.select(F.col(id_col).alias("_id"), key.alias("_key"), *[c.alias(n) for n, c in columns.items()])
-    rows = rows.join(F.broadcast(heads), rows["_key"] == heads["_head"], "left")  # at most n_parts rows of two numbers
-    places = F.array_compact(
-        F.array(
-            F.struct(part.alias("part"), F.lit(False).alias("copy")),
-            F.when(F.col("_before").isNotNull(), F.struct(F.col("_before").alias("part"), F.lit(True).alias("copy"))),
-        )
-    )
+    n_parts = min(MAX_PARTS, max(1, -(-df.count() // rows_per_part)))
+    bounds = F.broadcast(_part_bounds(df.where(F.col(id_col).isNotNull()), F.col(id_col).cast("long"), n_parts))
+    one = F.lit(1).alias("_one")
+    heads = df.select(key.alias("_key"), one).join(bounds, "_one").groupBy(_falling_part(F.col("_key")).alias("part")).agg(F.max("_key").alias("head"))
+    found = sorted((r.part, r.head) for r in heads.collect())  # a row for each part, MAX_PARTS at most
+    head, before = [None] * (n_parts + 1), [None] * (n_parts + 1)
+    for (part, top), (previous, _) in zip(found, found[-1:] + found):
+        head[part], before[part] = top, previous
+    heads = df.sparkSession.createDataFrame([(1, head, before)], "_one int, _head array<bigint>, _before array<int>")
+    rows = df.select(F.col(id_col).alias("_id"), key.alias("_key"), one, *[c.alias(n) for n, c in columns.items()]).join(bounds, "_one").withColumn("_part", _falling_part(F.col("_key")))
+    rows = rows.select("_id", "_key", "_one", "_part", *names).join(F.broadcast(heads), "_one")
+    before = F.when(F.get("_head", F.col("_part")) == F.col("_key"), F.get("_before", F.col("_part")))
+    places = F.array_compact(F.array(F.struct(F.col("_part").alias("part"), F.lit(False).alias("copy")), F.when(before.isNotNull(), F.struct(before.alias("part"), F.lit(True).alias("copy")))))
     placed = rows.select("_id", "_key", *names, F.explode(places).alias("_place")).select(
         "_id", "_key", *names, F.col("_place.part").alias("_part"), F.col("_place.copy").alias("_copy")
     )

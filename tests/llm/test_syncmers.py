@@ -8,7 +8,7 @@ from siftwell.llm import queries, syncmers
 rng = random.Random(2)
 WORDS = ["alpha", "bet", "c", "delta", "épsilon", "zeta", "eta", "θ", "iota", "k"]
 LONG = " ".join(f"w{rng.randrange(10**6)}" for _ in range(5000))
-TEXTS = [None, "", " ", "one", "one two three", LONG, LONG[:20000], "\n".join(rng.choice(WORDS) for _ in range(100)), "x" * 9999, "a " * 500, LONG, "😀 " * 20, "p q r s t u v w x y z a b c d e f g h"]
+TEXTS = [None, "", " ", "one", "one two three", LONG, LONG[:20000], "\n".join(rng.choice(WORDS) for _ in range(100)), "x" * 9999, "a " * 500, LONG, "😀 " * 20, "p q r s t u v w x y z a b c d e f g h", "日本語の文章です。これは試験です。" * 3 + "ไทย x"]
 
 
 def frame(spark, texts=TEXTS):
@@ -21,31 +21,45 @@ def hashes(spark, words):
     return [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(F.xxhash64("w")).collect()]
 
 
+UNSPACED = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F), (0x30000, 0x3134F)]
+
+
+def brute_tokens(text):
+    out, word = [], ""
+    for c in (text or "") + " ":
+        alone = any(a <= ord(c) <= b for a, b in UNSPACED)
+        if word and (alone or c in " \t\n\x0b\x0c\r" or len(word) == 32):
+            out.append(word)
+            word = ""
+        if alone:
+            out.append(c)
+        elif c not in " \t\n\x0b\x0c\r":
+            word += c
+    return out
+
+
 def brute_anchors(spark, text):
-    words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in (text or "")).split(" ") if w]
-    h = hashes(spark, words)
-    tuples = [h] if len(words) < syncmers.SHORT else None
-    if tuples:
-        picked = [(x,) for x in h]
-    else:
-        pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(h, h[1:]))], "i int, a long, b long")
-        m = [r[0] for r in pairs.orderBy("i").select(F.xxhash64("a", "b")).collect()]
-        width = syncmers.K - syncmers.S + 1
-        picked = []
-        for i in range(len(m) - width + 1):
-            window = m[i : i + width]
-            if min(window) in (window[0], window[-1]):
-                picked.append(tuple(h[i : i + syncmers.K]))
-    if not picked:
+    words = brute_tokens(text)
+    if not words:
         return []
-    names = [f"c{j}" for j in range(len(picked[0]))]
+    pad = [0] * (syncmers.K - 1)
+    h = pad + hashes(spark, words) + pad
+    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(h, h[1:]))], "i int, a long, b long")
+    m = [r[0] for r in pairs.orderBy("i").select(F.xxhash64("a", "b")).collect()]
+    width = syncmers.K - syncmers.S + 1
+    picked = []
+    for i in range(len(m) - width + 1):
+        window = m[i : i + width]
+        if min(window) in (window[0], window[-1]):
+            picked.append(tuple(h[i : i + syncmers.K]))
+    names = [f"c{j}" for j in range(syncmers.K)]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(picked)], "i int, " + ", ".join(f"{n} long" for n in names))
     return [r[0] for r in df.orderBy("i").select(F.shiftright(F.xxhash64(*names), 32).cast("int")).collect()]
 
 
 def test_anchors_against_a_brute_force(spark):
     got = {r.doc_id: r.anchors for r in syncmers.fingerprints(frame(spark)).collect()}
-    for i in (0, 1, 2, 3, 5, 7, 8, 9, 12):
+    for i in (0, 1, 2, 3, 5, 7, 8, 9, 12, 13):
         assert got[i] == brute_anchors(spark, TEXTS[i]), i
     assert got[5] == got[10] and len(got[9]) >= 1
     assert syncmers.fingerprints(frame(spark).limit(0)).count() == 0
@@ -89,6 +103,26 @@ def test_edits_keep_half_of_the_anchors(spark):
     assert means[0] > 0.4 and means[1] < 0.2
 
 
+def test_one_kind_of_anchors_for_all_sizes(spark):
+    words = [f"w{i}" for i in range(16)]
+    kana = "".join(chr(0x3041 + (i * 7) % 80) for i in range(390))
+    pairs = [(" ".join(words), " ".join(words[:15])), (" ".join(words[:9]), " ".join(words[:8])), (kana, kana[:300] + kana[:90]), ("one", "one"), ("one", "two"), ("x" * 2000, "x" * 1000 + "y" * 1000)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, s string, t string")
+    near = [r[0] for r in df.orderBy("i").select(syncmers.likeness(syncmers.placed_anchors(F.col("s")), syncmers.placed_anchors(F.col("t")))).collect()]
+    assert near[0] > 0.6 and near[1] > 0.4 and near[2] > 0.6 and near[3] == 1.0 and near[4] == 0.0 and 0.4 < near[5] < 0.6
+
+
+def test_halves_of_all_documents(spark):
+    rows = queries.op6_fingerprints(spark, "/root/testdata/sf0.001").collect()
+    half = [r.near_edited for r in rows if r.n_chars > 60]
+    assert min(half) > 0.15 and abs(sum(half) / len(half) - 0.5) < 0.1
+
+
+def test_the_plan_does_not_grow_with_the_rows(spark):
+    plan = lambda n: len(syncmers.with_next(spark.range(n).withColumn("t", F.lit("x")), "id", {"t": F.col("t")}, 10)._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(5000) < 1.2 * plan(500)
+
+
 def brute_likeness(a, b):
     """(hash, position) lists: n-th occurrences are matched; the largest group of equal difference counts."""
     def numbered(x):
