@@ -163,7 +163,8 @@ def with_next(df: DataFrame, id_col: str, columns: dict[str, Column], rows_per_p
     one = F.lit(1).alias("_one")
     heads = df.select(key.alias("_key"), one).join(bounds, "_one").groupBy(_falling_part(F.col("_key")).alias("part")).agg(F.max("_key").alias("head"))
     found = sorted((r.part, r.head) for r in heads.collect())  # a row for each part, MAX_PARTS at most
-    head, before = [None] * (n_parts + 1), [None] * (n_parts + 1)
+    size = max((p for p, _ in found), default=0) + 1
+    head, before = [None] * size, [None] * size
     for (part, top), (previous, _) in zip(found, found[-1:] + found):
         head[part], before[part] = top, previous
     heads = df.sparkSession.createDataFrame([(1, head, before)], "_one int, _head array<bigint>, _before array<int>")
