@@ -3,7 +3,7 @@
 A text is the mean of the embeddings of its character n-grams (n of 1 to 3 inside words, with
 word edges), hashed into a fixed number of buckets; a linear softmax on top gives the languages.
 Both are trained by stochastic gradient descent in numpy on a bounded sample of labelled
-rows (``per_lang`` rows a language, spread by a seeded hash; the bound is a parameter). A held
+rows (``per_lang`` rows a language, the first by a seeded hash; the bound is a parameter). A held
 part of the sample fits the temperature, so the score is a probability, and two thresholds
 below which a prediction is rejected. As both layers are linear, prediction needs only their
 product, one row of logits per bucket, which is what the tasks receive.
@@ -25,12 +25,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+
+from siftwell.llm.shared import named_again, numbered_columns
 
 UND = "und"
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
 PRIOR = 10  # n-grams of usual fit that every text has besides its own, so that a few odd ones do not reject a short text
-MAX_LANGS = 1000  # more labels than this in the training rows is an error, not a language set
 
 
 def hashed_grams(texts: list[str]):
@@ -211,18 +214,15 @@ def _fit_threshold(fit: list[tuple], held: list[tuple], number: dict[str, int],
 
 
 def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, seed: int) -> list[tuple]:
-    """A bounded sample, as bucket counts made on the executors, of each text and of its shuffled form: about ``per_lang`` rows of each language."""
+    """A bounded sample, as bucket counts made on the executors, of each text and of its shuffled form: at most ``per_lang`` rows of each language.
+
+    Of each language a share somewhat larger than wanted is drawn by the hash and ranked by it, so a rare language loses nothing to frequent ones.
+    """
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().limit(MAX_LANGS + 1).collect()}
-    if not counts:
-        return []
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} labels in {lang_col}")
-    draw = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(1e6 * min(1.0, 1.2 * per_lang / n)) + 1)])
-    drawn = usable.where(F.pmod(draw, F.lit(1_000_000)) < F.element_at(share, F.col(lang_col))).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")
-    )
+    usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1_000_000), F.floor(F.lit(1.2e6 * per_lang) / F.col("n")) + 1)
+    drawn = usable.join(counts, "lang").where(F.pmod("draw", F.lit(1_000_000)) < share).select("lang", "text", "draw")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -239,22 +239,24 @@ def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_
             )
 
     rows = drawn.mapInArrow(run, "lang string, draw long, buckets array<int>, counts array<int>, shuffled array<int>, shuffled_counts array<int>")
-    return [(r.lang, r.buckets, r.counts, r.shuffled, r.shuffled_counts) for r in rows.orderBy("draw", "lang").limit(per_lang * len(counts)).collect()]
+    first = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("draw", "buckets", "counts"))).where(F.col("rank") <= per_lang)
+    return [(r.lang, r.buckets, r.counts, r.shuffled, r.shuffled_counts) for r in first.orderBy("draw", "lang", "buckets", "counts").collect()]
 
 
-def _marked(df: DataFrame, model: Model | None, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` columns, then _lang, _score and _rejected."""
+def _marked(df: DataFrame, model: Model | None, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` by ``numbered_columns``, with _lang, _score and _rejected. The model is sent to each executor once."""
     from siftwell.llm.shared import text_slices
 
-    fields = [df.schema[k] for k in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "_lang string, _score double, _rejected boolean"])
-    chosen = df.select(*[F.col(k) for k in keep], *([] if text_col in keep else [F.col(text_col)]))
-    at = chosen.columns.index(text_col)
+    numbered, names = numbered_columns(df)
+    schema = StructType([*numbered.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType()), StructField("_rejected", BooleanType())])
+    at = numbered.columns.index(names[text_col])
+    sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        model = sent.value
         for whole in batches:
             for batch in text_slices(whole, at, 1 << 19):
                 lang, score = np.full(batch.num_rows, UND, dtype=object), np.zeros(batch.num_rows)
@@ -264,17 +266,16 @@ def _marked(df: DataFrame, model: Model | None, text_col: str, keep: tuple[str,
                     lang = np.where(ok, np.array(model.langs, dtype=object)[p.argmax(axis=1)], UND)
                     score = np.where(ok, p.max(axis=1), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
-                    names=[*keep, "_lang", "_score", "_rejected"],
+                    [*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, "_lang", "_score", "_rejected"]
                 )
 
-    return chosen.mapInArrow(run, schema)
+    return numbered.mapInArrow(run, schema), names
 
 
 def identify(df: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with lang_pred, score and rejected, one row per row."""
-    out = _marked(df, model, text_col, keep)
-    return out.select(*[F.col(k) for k in keep], F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+    out, names = _marked(df.select(*dict.fromkeys([*keep, text_col])), model, text_col)
+    return out.select(*[F.col(names[k]).alias(k) for k in keep], F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, seed: int = 11) -> Model | None:
@@ -283,5 +284,5 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
 def keep_identified(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` whose language is not rejected."""
-    out = _marked(df, fit(df, text_col=text_col, **options), text_col, tuple(df.columns))
-    return out.where("not _rejected").select(*df.columns)
+    out, names = _marked(df, fit(df, text_col=text_col, **options), text_col)
+    return named_again(out.where("not _rejected"), names)
