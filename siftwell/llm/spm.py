@@ -15,6 +15,7 @@ Null texts count as empty; an empty text has the end id alone. Texts of any leng
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 from array import array
@@ -38,6 +39,11 @@ class CharMap:
         size = int.from_bytes(blob[:4], "little") if blob else 0
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if size else []
         self.pool = blob[4 + size :]
+        self.leads = np.zeros(256, dtype=bool)  # bytes that a key starts with
+        if self.units:
+            root = (self.units[0] >> 10) << ((self.units[0] & 512) >> 6)
+            for byte in range(1, 256):
+                self.leads[byte] = (root ^ byte) < len(self.units) and self.units[root ^ byte] & 0x800000FF == byte
 
     def longest(self, data: bytes, start: int) -> tuple[int, bytes] | None:
         """(bytes consumed, replacement) of the longest key at ``start``; None if no key fits."""
@@ -72,38 +78,35 @@ class Normalizer:
         data = text.encode()
         if not data:
             return "", np.zeros(1, dtype=np.int32)
-        if not self.map.units and not self.squeeze:
-            return self._plain(text, data)
+        if not self.squeeze:
+            return self._walk(data)
         out, align = bytearray(), []
-        at, was_space = 0, self.squeeze
-        if self.squeeze:
-            while at < len(data):
-                used, new = self._step(data, at)
-                if new != b" ":
-                    break
-                at += used
-            if at == len(data):
-                return "", np.zeros(1, dtype=np.int32)
+        at, was_space = 0, True
+        while at < len(data):
+            used, new = self._step(data, at)
+            if new != b" ":
+                break
+            at += used
+        if at == len(data):
+            return "", np.zeros(1, dtype=np.int32)
         if self.dummy_prefix and at < len(data):
             out += self.space
             align += [at] * len(self.space)
         while at < len(data):
             used, new = self._step(data, at)
-            if self.squeeze:
-                while was_space and new[:1] == b" ":
-                    new = new[1:]
-                if new:
-                    was_space = new[-1:] == b" "
+            while was_space and new[:1] == b" ":
+                new = new[1:]
+            if new:
+                was_space = new[-1:] == b" "
             for byte in new:
                 piece = self.space if byte == 32 else bytes([byte])
                 out += piece
                 align += [at] * len(piece)
             at += used
-        if self.squeeze:
-            while out.endswith(self.space):
-                del out[-len(self.space) :]
-                at = align[len(out)]
-                del align[len(out) :]
+        while out.endswith(self.space):
+            del out[-len(self.space) :]
+            at = align[len(out)]
+            del align[len(out) :]
         return out.decode(), np.array([*align, at], dtype=np.int32)
 
     def _step(self, data: bytes, at: int) -> tuple[int, bytes]:
@@ -114,16 +117,22 @@ class Normalizer:
         used = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
         return used, data[at : at + used]
 
-    def _plain(self, text: str, data: bytes):
-        """An empty map keeps every character; only spaces change."""
+    def _walk(self, data: bytes):
+        """Longest prefixes are looked for where a key may start; the stretches between keep their bytes and offsets."""
         import numpy as np
 
-        width = len(self.space)
-        sizes = np.where(np.frombuffer(data, np.uint8) == 32, width, 1)
-        align = np.repeat(np.arange(len(data), dtype=np.int32), sizes)
+        parts, offsets, at = [], [], 0
+        for start in np.flatnonzero(self.map.leads[np.frombuffer(data, np.uint8)]).tolist():
+            if start >= at and (found := self.map.longest(data, start)):
+                parts += [data[at:start], found[1]]
+                offsets += [np.arange(at, start, dtype=np.int32), np.full(len(found[1]), start, dtype=np.int32)]
+                at = start + found[0]
+        new = b"".join([*parts, data[at:]])
+        align = np.concatenate([*offsets, np.arange(at, len(data), dtype=np.int32)])
+        width, space = len(self.space), self.space.decode()
+        align = np.repeat(align, np.where(np.frombuffer(new, np.uint8) == 32, width, 1))
         prefix = width if self.dummy_prefix else 0
-        space = self.space.decode()
-        return (space if self.dummy_prefix else "") + text.replace(" ", space), np.concatenate([np.zeros(prefix, np.int32), align, np.array([len(data)], np.int32)])
+        return (space if self.dummy_prefix else "") + new.decode().replace(" ", space), np.concatenate([np.zeros(prefix, np.int32), align, np.array([len(data)], np.int32)])
 
 
 class Pieces:
@@ -331,6 +340,12 @@ class Pieces:
         return data.decode("utf-8", "replace")
 
 
+@functools.lru_cache(1)
+def pieces_of(model: bytes) -> Pieces:
+    """One a worker, for all its tasks."""
+    return Pieces(model)
+
+
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, ``keep`` columns, ids, begins, ends (byte spans in the text; the end id's is empty) and the decoded text."""
     from siftwell.llm.shared import text_slices
@@ -345,7 +360,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
         import numpy as np
         import pyarrow as pa
 
-        pieces = Pieces(model)
+        pieces = pieces_of(model)
         tail = [pieces.end] if add_end else []
 
         def column(arrays: list) -> pa.Array:
