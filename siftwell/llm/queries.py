@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import isomedia, jaccard, langid, mixing, secret_scan, sharding, spm, syncmers, urlfilter, warc
+from siftwell.llm import isomedia, jaccard, langid, mixing, secret_scan, shared, sharding, spm, syncmers, urlfilter, warc
 
 URL_RULES = (
     urlfilter.Rule("allow", "org", "/"),
@@ -38,6 +38,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.xxhash64("begins", "ends").alias("spans_hash"),  # of the byte spans of all ids
     )
 
 
@@ -143,17 +144,21 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(_documents(spark, sf_dir))
+    """Two scans through one ledger: what is labelled English first, then the whole table, of which only unseen blobs are read."""
+    docs, ledger = _documents(spark, sf_dir), shared.shared_dir(spark, "ledger")
+    secret_scan.scan(docs.where("lang = 'en'"), ledger)
+    found = secret_scan.scan(docs, ledger, scans=True)
+    base = [r.kind for r in secret_scan.RULES if r.base]
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    text = secret_scan.spans_text(F.col("spans"))
     return found.select(
         "doc_id",
         count("assign").alias("n_assign"),
         count("access").alias("n_access"),
         count("hex").alias("n_hex"),
-        F.sha2(text, 256).alias("base_sha256"),  # every rule here is a base rule
-        text.alias("spans"),
+        F.sha2(secret_scan.spans_text(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("spans")).alias("spans"),
         "blob",
+        "scan",
     )
 
 
