@@ -13,8 +13,11 @@ between ``knots``. Its integral, scaled to the target, is the cumulative token d
 inverse of that, at the token offset of a copy, is the copy's training position. Rows are
 range-sorted by position.
 
+Plans are made of ids, hashes and sizes; texts move once to their place in the plan and once in the range sort.
+
 Null or empty texts have size 0 and are taken 0 times in words; they keep the copies of their
-place in the order. A source without words has target 0. Repeated rows count as rows of their own.
+place in the order. A source without words has target 0. Repeated rows count as rows of their own; rows of equal id and size
+stand in the order of a hash of all their columns. Very long texts are counted whole and are never cut.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwell.llm.shared import WORD, group_key, hash_slot, prefix_in_group, slots
+from siftwell.llm.shared import WORD, group_key, hash_slot, named_again, numbered_columns, prefix_in_group, slots, stored
 
+SOURCES = 10_000  # sources that are ranked in one task
 KNOTS = (0.0, 0.5, 1.0)
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))  # for weights 1, 2, 3: early, even, late
 
@@ -65,33 +69,39 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, cap: int = 3, cycle: int = 3) -> DataFrame:
-    """``sizes``: _group, source_size. Adds weight and target; the sum of targets is the sum of sizes."""
-    everything = W.partitionBy(F.lit(0))
-    weighed = sizes.withColumn("weight", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_group")) - 1) % cycle + 1)
-    by_ratio = everything.orderBy((F.lit(float(cap)) * F.col("source_size") / F.col("weight")), "_group")
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    # the level if all sources before this one, in order of cap / weight, stop at their cap
-    level = (F.sum("source_size").over(everything) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    )
-    tried = weighed.withColumn("_level", F.when(level * F.col("weight") <= cap * F.col("source_size"), level))
-    whole = by_ratio.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return tried.withColumn("_level", F.first("_level", ignorenulls=True).over(whole)).withColumn(
-        "target", F.least(F.lit(float(cap)) * F.col("source_size"), F.coalesce(F.col("_level") * F.col("weight"), F.lit(0.0)))
-    ).drop("_level")
+    """``sizes``: _group, source_size. Adds weight and target; the sum of targets is the sum of sizes.
+
+    Sources are ranked in range parts of about ``SOURCES`` each, and the water level is sought over sums by cap / weight, in
+    slots of its logarithm: no task sees all sources, of which there may be as many as hosts.
+    """
+    n_parts = max(1, -(-sizes.count() // SOURCES))
+    ranged = stored(sizes.repartitionByRange(n_parts, "_group").withColumn("_slot", F.spark_partition_id()), "sources")
+    ranged = ranged.withColumns({"_all": F.lit(0), "_one": F.lit(1).cast("long")})
+    weighed = prefix_in_group(ranged, "_all", "_slot", [F.col("_group")], "_one", "_rank", "_n").drop("_slot", "_one", "_n")
+    weighed = weighed.withColumn("weight", (F.col("_rank") % cycle + 1).cast("int")).drop("_rank")
+    ratio = F.lit(float(cap)) * F.col("source_size") / F.col("weight")
+    sums = weighed.groupBy("_all", ratio.alias("_ratio")).agg(F.sum("source_size").alias("_size"), F.sum("weight").alias("_weight"))
+    sums = sums.withColumn("_slot", F.when(F.col("_ratio") > 0, F.floor(F.log2("_ratio") * 32)).otherwise(F.lit(-(10**6))))
+    sums = prefix_in_group(sums, "_all", "_slot", [F.col("_ratio")], "_size", "_size_before", "_size_all")
+    sums = prefix_in_group(sums, "_all", "_slot", [F.col("_ratio")], "_weight", "_weight_before", "_weight_all")
+    # the level if all sources of a smaller cap / weight stop at their cap; the first that fits is the level
+    level = (F.col("_size_all") - cap * F.col("_size_before")) / (F.col("_weight_all") - F.col("_weight_before"))
+    level = sums.withColumn("_level", level).where("_level <= _ratio").groupBy("_all").agg(F.min_by("_level", "_ratio").alias("_level"))
+    placed = weighed.join(F.broadcast(level), "_all", "left")  # one row
+    return placed.withColumn("target", F.least(F.lit(float(cap)) * F.col("source_size"), F.coalesce(F.col("_level") * F.col("weight"), F.lit(0.0)))).drop("_level", "_all")
+
+
+def _placed(rows: DataFrame, seed: int, cap: int, cycle: int) -> DataFrame:
+    """``rows``: _id, _source, _row (a hash), size and others. Adds _before (words of the source's earlier rows), source_size, weight and target."""
+    rows = rows.withColumns({"_group": group_key(F.col("_source")), "_hash": F.xxhash64(F.lit(seed), "_id", "size")})
+    rows = rows.withColumn("_slot", hash_slot(F.col("_hash"), slots(rows.count())))
+    offset = prefix_in_group(rows, "_group", "_slot", [F.col("_hash"), F.col("_id"), F.col("size"), F.col("_row")], "size", "_before", "source_size")
+    targets = source_targets(rows.groupBy("_group").agg(F.sum("size").alias("source_size")), cap, cycle).drop("source_size")
+    return offset.join(targets, "_group").drop("_group", "_hash", "_slot")
 
 
-def mix_plan(
-    df: DataFrame, seed: int = 42, cap: int = 3, knots: Sequence[float] = KNOTS, schedules: Sequence[Sequence[float]] = SCHEDULES,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """Per document: id, source, ``keep`` columns (named ``_keep_`` and their name), size, source_size, weight, target, copies, taken, positions (one for each copy)."""
-    rows = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), *[F.col(c).alias(f"_keep_{c}") for c in keep], word_count(F.col(text_col)).alias("size"))
-    rows = rows.withColumns({"_group": group_key(F.col("_source")), "_hash": F.xxhash64(F.lit(seed), "_id", "size")})
-    rows = rows.withColumn("_slot", hash_slot(F.col("_hash"), slots(df.count())))
-    offset = prefix_in_group(rows, "_group", "_slot", [F.col("_hash"), F.col("_id"), F.col("size")], "size", "_before", "source_size")
-    targets = source_targets(rows.groupBy("_group").agg(F.sum("size").alias("source_size")), cap, len(schedules)).drop("source_size")
-    planned = offset.join(targets, "_group")
+def _taken(planned: DataFrame, cap: int, knots: Sequence[float], schedules: Sequence[Sequence[float]]) -> DataFrame:
+    """Adds copies, taken and positions (one for each copy) to rows of _before, size, source_size, weight and target."""
     passes = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.col("source_size")))).otherwise(0)
     planned = planned.withColumn("_passes", passes.cast("long"))
     edge = F.col("_before") + F.col("size") / 2 < F.col("target") - F.col("_passes") * F.col("source_size")
@@ -105,11 +115,17 @@ def mix_plan(
         return time
 
     turns = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>"))
-    return planned.select(
-        F.col("_id").alias(id_col), F.col("_source").alias(source_col), *[F.col(f"_keep_{c}") for c in keep],
-        "size", "source_size", "weight", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"), F.transform(turns, place).alias("positions"),
-    )
+    return planned.withColumns({"taken": F.col("copies") * F.col("size"), "positions": F.transform(turns, place)})
+
+
+def mix_plan(
+    df: DataFrame, seed: int = 42, cap: int = 3, knots: Sequence[float] = KNOTS, schedules: Sequence[Sequence[float]] = SCHEDULES,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """Per document: id, source, size, source_size, weight, target, copies, taken, positions (one for each copy)."""
+    rows = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.xxhash64(text_col).alias("_row"), word_count(F.col(text_col)).alias("size"))
+    planned = _taken(_placed(rows, seed, cap, len(schedules)), cap, knots, schedules)
+    return planned.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "weight", "target", "copies", "taken", "positions")
 
 
 def range_sorted(planned: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -118,9 +134,21 @@ def range_sorted(planned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return planned.withColumn("first_position", first).repartitionByRange("first_position", id_col).sortWithinPartitions("first_position", id_col)
 
 
-def mix(df: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the columns of ``df``, one row for each copy taken, range-sorted by training position."""
-    id_col = options.get("id_col", "doc_id")
-    planned = mix_plan(df, keep=tuple(df.columns), **options)
-    copies = planned.select(*[F.col(f"_keep_{c}").alias(c) for c in df.columns], F.explode("positions").alias("_position"))
-    return copies.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col).select(*df.columns)
+def mix(
+    df: DataFrame, seed: int = 42, cap: int = 3, knots: Sequence[float] = KNOTS, schedules: Sequence[Sequence[float]] = SCHEDULES,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The mixed corpus: the columns of ``df``, one row for each copy taken, range-sorted by training position.
+
+    Rows are found again by two hashes of all their columns; equal rows stand next to each other in the plan, and the
+    n-th of them begins n sizes after the first.
+    """
+    numbered, names = numbered_columns(df)
+    one, text, source = names[id_col], names[text_col], names[source_col]
+    keys = {"_row": F.xxhash64(*numbered.columns), "_row2": F.xxhash64(F.lit(seed + 1), *numbered.columns)}
+    rows = numbered.select(F.col(one).alias("_id"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), *[c.alias(k) for k, c in keys.items()])
+    plan = _placed(rows, seed, cap, len(schedules)).groupBy("_row", "_row2").agg(*[F.min(c).alias(c) for c in ("_before", "size", "source_size", "weight", "target")])
+    nth = F.row_number().over(W.partitionBy("_row", "_row2").orderBy("_row")) - 1
+    placed = numbered.withColumns(keys).withColumn("_nth", nth).join(plan, ["_row", "_row2"]).withColumn("_before", F.col("_before") + F.col("_nth") * F.col("size"))
+    copies = _taken(placed, cap, knots, schedules).select(*numbered.columns, F.explode("positions").alias("_position"))
+    return named_again(copies.repartitionByRange("_position", one).sortWithinPartitions("_position", one), names)

@@ -8,7 +8,7 @@ Both ranks are two-level prefix counts over hash (or rank) slots, so a source wi
 of all rows is no larger a task than any other, and no task sees the whole order.
 
 Null sources form one group of their own; null texts have size 1. Repeated rows are ranked
-one after the other. Equal (id, size, text) rows are interchangeable.
+one after the other. Equal (id, size, text) rows are interchangeable. Very long texts only give their size and checksum.
 """
 
 from __future__ import annotations

@@ -52,6 +52,32 @@ def test_targets_and_copies_follow_a_brute_force(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_targets_of_many_sources_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 20)
+    sizes = {f"s{i:03d}": (i * 37) % 101 * (1 if i % 9 else 40) for i in range(150)} | {"t": 10**6}
+    df = spark.createDataFrame([(f"0{k}", v) for k, v in sizes.items()], "_group string, source_size long")
+    weights, targets = brute_targets(sizes)
+    got = {r._group[1:]: (r.weight, r.target) for r in mixing.source_targets(df).collect()}
+    assert {k: v[0] for k, v in got.items()} == weights
+    assert all(got[k][1] == pytest.approx(targets[k]) for k in sizes)
+
+
+def test_columns_of_any_name_rows_of_equal_ids_and_long_texts(spark):
+    rows = [(1, "a b", "s", 0.5), (1, "c d", "s", 0.5), (1, "c d", "s", 0.5), (None, None, None, None), (2, "long word " * 200_000, "t", None), (3, "x", None, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _position double")
+    plan = mixing.mix_plan(df)
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    count = lambda frame, n: sorted((r.doc_id, n(r)) for r in frame.collect() if r.doc_id is not None)
+    times = {}
+    for r in plan.collect():
+        times[r.doc_id] = times.get(r.doc_id, 0) + r.copies
+    got = {}
+    for r in mixed.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {k: v for k, v in times.items() if v} and count(df, lambda r: len(r.text or ""))[-2][1] == 2_000_000
+
+
 def test_inverse_of_the_schedule(spark):
     for levels in mixing.SCHEDULES + ((0.0, 2.0, 0.0),):
         s = mixing.Schedule(mixing.KNOTS, levels)
@@ -95,6 +121,25 @@ def test_shards_hold_the_mixture(spark):
     assert sharding.interleaved_shards(df.limit(0), 16).count() == 0
 
 
+def test_ranks_of_shards_against_a_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    df = docs(spark)
+    keyed = df.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", "source", (F.octet_length("t") + 1).cast("long").alias("size"), F.crc32(F.col("t").cast("binary")).alias("crc"))
+    rows = [tuple(r) for r in keyed.withColumn("h", F.xxhash64(F.lit(42), "doc_id", "crc", "size")).collect()]
+    order = lambda r: (r[4], r[0] is not None, r[0] or 0, r[2], r[3])
+    ranked = []
+    for source in {r[1] for r in rows}:
+        mine = sorted((r for r in rows if r[1] == source), key=order)
+        ranked += [((i + 0.5) / len(mine), source is None, source or "", order(r), r[0]) for i, r in enumerate(mine)]
+    want = [r[4] for r in sorted(ranked)]
+    got = [r.doc_id for r in sharding.interleaved_shards(df, 16).orderBy("position").collect()]
+    assert got == want
+    cut = len(want)
+    shards = [r.shard for r in sharding.interleaved_shards(df, 16).orderBy("position").collect()]
+    assert shards == [i * 16 // cut for i in range(cut)]
+
+
 def test_more_shards_than_rows(spark):
     df = spark.createDataFrame([(i, "t", "en", "s", None, None) for i in range(3)], SCHEMA)
     assert sorted((r.shard, r.slot) for r in sharding.interleaved_shards(df, 16).collect()) == [(0, 0), (5, 0), (10, 0)]
