@@ -6,7 +6,7 @@ tables and gives codec, duration and the byte ranges of the key frames. The payl
 never decoded: it is read back by the sample tables alone.
 
 Null texts count as empty; the payload of an empty text is one unit of zero bytes.
-Broken containers (cut boxes, impossible sizes, missing tables) give null columns, not a failure.
+Very long texts are long containers; repeated rows give equal ones. Broken containers (cut boxes, impossible sizes, missing tables) give null columns, not a failure.
 """
 
 from __future__ import annotations
