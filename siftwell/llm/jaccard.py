@@ -20,7 +20,8 @@ Two sets of x and y shingles link when 100 * |intersection| >= 75 * |union|, tha
    small. A larger one gives a star around its fullest member; after that only
    pairs whose ends are still in different components are formed, so no link that could join
    components is lost and a large group of near copies costs little more than its size.
-5. *Verification* compares the shared shingles of both classes exactly; components are found by
+5. *Verification* compares the shared shingles of both classes exactly, first of each class with the partner that has
+   most candidates, then of all pairs whose ends are still apart; components are found by
    alternating star contraction over the verified links, in tables.
 
 Nulls and texts without words have no shingles and are alone. Null ids are rows like others but never
@@ -41,9 +42,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from siftwell.llm.shared import discard, named_again, numbered_columns, stored
 
 SLICE = 2 << 20  # bytes of text worked on at once
-BLOCK = 1_000  # sets of either side that are compared in one group
-HUB = 250  # pairs of one set that are compared in one group
-BLOCK_BYTES = 4 << 20  # bytes of sets of either side in one group
+BLOCK = 250  # pairs that are compared in one group, about
+BLOCK_BYTES = 4 << 20  # bytes of sets in one group, about
 BUCKET = 2_000_000  # values that a bucket holds on average
 ALL_PAIRS = 6  # largest set of classes that is expanded to all pairs at once
 INDEXED, NEIGHBOUR, EXACT, NEAR, SHORTER = range(5)  # roles of a signature, in its lowest bits
@@ -490,31 +490,43 @@ def may_link(a: str, b: str):
     return F.expr(f"{sizes} and {differ} <= {a}.shared + {b}.shared - 2 * cast(ceil(3 * ({a}.n + {b}.n) / 7) as int)")
 
 
-def verified(pairs: DataFrame, kept: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose classes link, stored: sketches rule most others out, the rest is compared exactly.
-
-    Pairs are dealt to blocks, to which a set travels once for all its pairs. A set with more than ``HUB`` pairs has blocks of
-    its own, each with so many of its partners; it travels to each of them, its partners to one. The other pairs are
-    dealt by cluster, and a cluster of more than ``BLOCK`` sets (or their bytes) is cut into squares.
-    """
+def likely_pairs(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sketches leave room for, with the larger number of shared shingles; stored."""
     l, r = sketch.alias("l"), sketch.alias("r")
-    likely = pairs.join(l, F.col("a") == F.col("l.cid")).join(r, F.col("b") == F.col("r.cid")).where(may_link("l", "r"))
-    likely = stored(likely.select("a", "b", F.greatest("l.shared", "r.shared").alias("most")), "likely")
-    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
-    ends = stored(ends, "degrees")
+    met = pairs.join(l, F.col("a") == F.col("l.cid")).join(r, F.col("b") == F.col("r.cid")).where(may_link("l", "r"))
+    return stored(met.select("a", "b", F.greatest("l.shared", "r.shared").alias("most")), "likely")
+
+
+def with_degrees(pairs: DataFrame) -> DataFrame:
+    """Adds of_a and of_b: how many pairs each end has; stored."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
     of = lambda name: ends.select(F.col("node").alias(name), F.col("degree").alias(f"of_{name}"))
-    placed = likely.join(of("a"), "a").join(of("b"), "b")
-    first = F.col("of_a") >= F.col("of_b")
-    placed = placed.select("a", "b", "most", F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("partner"), F.greatest("of_a", "of_b").alias("degree"))
-    placed = stored(placed, "placed")
-    cut = F.ceil(F.greatest(F.col("degree") / HUB, F.col("degree") * F.col("most") * 8 / BLOCK_BYTES))
-    starred = placed.where(F.col("degree") > HUB).select(F.xxhash64(F.lit(0), "hub", F.pmod(F.xxhash64("partner"), cut)).alias("block"), "a", "b")
-    rest = placed.where(F.col("degree") <= HUB).select("a", "b")
-    cluster = components(rest)
-    cuts = cluster.join(sketch.select(F.col("cid").alias("node"), "shared"), "node").groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("shared") * 8 / BLOCK_BYTES)).alias("cuts"))
-    square = lambda c: F.pmod(F.xxhash64(c), F.col("cuts"))
-    squared = rest.join(cluster.select(F.col("node").alias("a"), "root"), "a").join(cuts, "root").select(F.xxhash64(F.lit(1), "root", square("a"), square("b")).alias("block"), "a", "b")
-    dealt = stored(starred.union(squared), "blocks")
+    return stored(pairs.join(of("a"), "a").join(of("b"), "b"), "degrees")
+
+
+def best_pairs(pairs: DataFrame) -> DataFrame:
+    """``pairs``: with degrees. Of each end the pair with the partner of most pairs: a forest that joins most of what links at all."""
+    each = pairs.select(F.col("a").alias("node"), F.struct(F.col("of_b").alias("of"), F.col("b").alias("partner"), "most").alias("p"))
+    each = each.union(pairs.select("b", F.struct("of_a", "a", "most")))
+    best = each.groupBy("node").agg(F.max("p").alias("p"))
+    return best.select(F.least("node", "p.partner").alias("a"), F.greatest("node", "p.partner").alias("b"), "p.most").distinct()
+
+
+def verified(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """``pairs``: a, b, most. The pairs whose classes link by exact comparison; stored.
+
+    Pairs are dealt to blocks by the end that has more of them, so that end travels to a block once for all its pairs. One with
+    more pairs than a block holds has blocks of its own, each with so many of its partners; it travels to each of them, its partners to one.
+    """
+    placed = with_degrees(pairs)
+    first = (F.col("of_a") > F.col("of_b")) | ((F.col("of_a") == F.col("of_b")) & (F.col("a") < F.col("b")))
+    hub, partner = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    degree = F.greatest("of_a", "of_b")
+    totals = placed.agg(F.count("*").alias("n"), F.sum("most").alias("values")).first()
+    n_blocks = max(1, -(-totals["n"] // BLOCK), -(-(totals["values"] or 0) * 8 // BLOCK_BYTES))
+    cut = F.ceil(F.greatest(degree / BLOCK, degree * F.col("most") * 8 / BLOCK_BYTES))
+    own = F.xxhash64(F.lit(0), hub, F.pmod(F.xxhash64(partner), cut))
+    dealt = stored(placed.select(F.when(cut > 1, own).otherwise(F.pmod(F.xxhash64(hub), F.lit(n_blocks))).alias("block"), "a", "b"), "blocks")
     needed = dealt.select(F.col("block").alias("home"), F.col("a").alias("cid")).union(dealt.select("block", "b")).distinct()
     sets = needed.join(kept, "cid").select("home", "cid", "n", "shared")
 
@@ -533,7 +545,7 @@ def verified(pairs: DataFrame, kept: DataFrame, sketch: DataFrame) -> DataFrame:
         return asked.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     links = stored(dealt.groupBy("block").cogroup(sets.groupBy("home")).applyInArrow(compare, "a long, b long"), "links")
-    discard(likely, ends, placed, cluster, dealt)
+    discard(placed, dealt)
     return links
 
 
@@ -582,14 +594,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(sets: DataFrame, fitting=None) -> DataFrame:
-    """a, b of each set: one probes, the other is indexed and has as many shared shingles or more (of equals, the larger id).
+    """a, b and most of each set: one probes, the other is indexed and has as many shared shingles or more (of equals, the larger id).
 
     ``fitting``: a further condition on the aliases p and i.
     """
     p, i = sets.where("probes").alias("p"), sets.where("not probes").alias("i")
     turn = (F.col("p.shared") < F.col("i.shared")) | ((F.col("p.shared") == F.col("i.shared")) & (F.col("p.cid") < F.col("i.cid")))
     met = p.join(i, (F.col("p.set") == F.col("i.set")) & turn & (F.lit(True) if fitting is None else fitting))
-    return met.select(F.least("p.cid", "i.cid").alias("a"), F.greatest("p.cid", "i.cid").alias("b"))
+    return met.select(F.least("p.cid", "i.cid").alias("a"), F.greatest("p.cid", "i.cid").alias("b"), F.col("i.shared").alias("most"))
 
 
 def linked_classes(kept: DataFrame) -> DataFrame:
@@ -600,15 +612,31 @@ def linked_classes(kept: DataFrame) -> DataFrame:
     many = sets.where(F.col("members") > ALL_PAIRS)
     hubs = many.groupBy("set").agg(F.max(F.struct("shared", "cid")).alias("hub")).select("set", F.col("hub.cid").alias("hub"))
     stars = many.join(hubs, "set").where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
-    links = verified(few.union(stars).distinct(), kept, sketch)
+    likely = likely_pairs(few.select("a", "b").union(stars).distinct(), sketch)
+    ranked = with_degrees(likely)
+    links = verified(best_pairs(ranked), kept)
     roots = components(links)
+    discard(links, ranked)
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = likely.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "most")
+    roots = _joined(roots, stored(apart, "apart"), kept)
     labelled = many.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     torn = labelled.groupBy("set").agg((F.min("root") != F.max("root")).alias("torn")).where("torn").select("set")
     open_sets = stored(labelled.join(torn, "set", "left_semi").select("set", "cid", "probes", "root").join(sketch, "cid"), "open")
-    cross = candidate_pairs(open_sets, (F.col("p.root") != F.col("i.root")) & may_link("p", "i")).distinct()
-    more = verified(cross, kept, sketch)
-    out = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    discard(sets, sketch, links, roots, open_sets, more)
+    cross = candidate_pairs(open_sets, (F.col("p.root") != F.col("i.root")) & may_link("p", "i")).groupBy("a", "b").agg(F.max("most").alias("most"))
+    out = _joined(roots, stored(cross, "cross"), kept)
+    discard(sets, sketch, likely, open_sets)
+    return out
+
+
+def _joined(roots: DataFrame, pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """``roots`` after the links among ``pairs``; both are stored and are removed."""
+    if pairs.isEmpty():
+        discard(pairs)
+        return roots
+    links = verified(pairs, kept)
+    out = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+    discard(roots, pairs, links)
     return out
 
 

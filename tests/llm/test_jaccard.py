@@ -132,8 +132,7 @@ def test_one_bucket_keeps_all_bits_of_a_shingle(spark):
 
 def test_a_large_group_is_compared_in_blocks(spark, monkeypatch):
     """3,000 near copies, most of which do not link with each other but with the common text, in blocks of 100."""
-    monkeypatch.setattr(jaccard, "HUB", 100)
-    monkeypatch.setattr(jaccard, "BLOCK", 60)
+    monkeypatch.setattr(jaccard, "BLOCK", 100)
     rng = random.Random(12)
     base = [f"h{i}" for i in range(100)]
     rows = [(0, " ".join(base))]
