@@ -460,6 +460,7 @@ def meeting_sets(kept: DataFrame) -> DataFrame:
 
 
 SKETCH = [f"s{i}" for i in range(8)]
+WIDE = 400  # from so many shingles on, 512 bits rule little out
 
 
 def sketches(kept: DataFrame) -> DataFrame:
@@ -483,6 +484,39 @@ def sketches(kept: DataFrame) -> DataFrame:
     return kept.select("cid", "n", "shared").mapInArrow(run, "cid long, n int, shared int, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
+def wide_sketches(kept: DataFrame) -> DataFrame:
+    """cid, n, shared and parity words, a power of two of them with a bit for each shingle at least, of the sets from ``WIDE`` shingles on."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from siftwell.llm.shingles import mix
+
+        for batch in batches:
+            words = []
+            for n, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                width = 1 << (n - 1).bit_length()
+                bits = np.bincount((mix(np.frombuffer(x, np.uint64)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+                words.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            shared = pa.array([len(x) // 8 for x in batch.column(2).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), shared, pa.array(words, pa.list_(pa.int64()))], names=["cid", "n", "shared", "words"])
+
+    long = kept.where(F.octet_length("shared") >= 8 * WIDE).select("cid", "n", "shared")
+    return long.mapInArrow(run, "cid long, n int, shared int, words array<bigint>")
+
+
+def wide_fits(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """The pairs (a, b, most) that wide sketches leave room for; a sketch of twice the width is folded to the other's. Others than long ones pass."""
+    l, r = wide.alias("l"), wide.alias("r")
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), F.transform(F.slice(x, F.lit(1), F.size(y)), lambda w, i: w.bitwiseXOR(F.get(x, i + F.size(y))))).otherwise(x)
+    x, y = F.col("l.words"), F.col("r.words")
+    differ = F.aggregate(F.zip_with(fold(x, y), fold(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda sum_, v: sum_ + v)
+    room = F.expr("l.shared + r.shared - 2 * cast(ceil(3 * (l.n + r.n) / 7) as int)")
+    told = pairs.join(l, F.col("a") == F.col("l.cid"), "left").join(r, F.col("b") == F.col("r.cid"), "left")
+    return told.where(F.col("l.cid").isNull() | F.col("r.cid").isNull() | (differ <= room)).select("a", "b", "most")
+
+
 def may_link(a: str, b: str):
     """Sizes and sketches of two sets (aliases a and b) leave room for a link: no linked pair fails."""
     differ = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in SKETCH)
@@ -491,10 +525,10 @@ def may_link(a: str, b: str):
 
 
 def likely_pairs(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sketches leave room for, with the larger number of shared shingles; stored."""
+    """The pairs (a, b) that sketches leave room for, with the larger number of shared shingles."""
     l, r = sketch.alias("l"), sketch.alias("r")
     met = pairs.join(l, F.col("a") == F.col("l.cid")).join(r, F.col("b") == F.col("r.cid")).where(may_link("l", "r"))
-    return stored(met.select("a", "b", F.greatest("l.shared", "r.shared").alias("most")), "likely")
+    return met.select("a", "b", F.greatest("l.shared", "r.shared").alias("most"))
 
 
 def with_degrees(pairs: DataFrame) -> DataFrame:
@@ -612,7 +646,8 @@ def linked_classes(kept: DataFrame) -> DataFrame:
     many = sets.where(F.col("members") > ALL_PAIRS)
     hubs = many.groupBy("set").agg(F.max(F.struct("shared", "cid")).alias("hub")).select("set", F.col("hub.cid").alias("hub"))
     stars = many.join(hubs, "set").where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
-    likely = likely_pairs(few.select("a", "b").union(stars).distinct(), sketch)
+    wide = stored(wide_sketches(kept), "wide")
+    likely = _fitting(likely_pairs(few.select("a", "b").union(stars).distinct(), sketch), wide)
     ranked = with_degrees(likely)
     links = verified(best_pairs(ranked), kept)
     roots = components(links)
@@ -624,8 +659,16 @@ def linked_classes(kept: DataFrame) -> DataFrame:
     torn = labelled.groupBy("set").agg((F.min("root") != F.max("root")).alias("torn")).where("torn").select("set")
     open_sets = stored(labelled.join(torn, "set", "left_semi").select("set", "cid", "probes", "root").join(sketch, "cid"), "open")
     cross = candidate_pairs(open_sets, (F.col("p.root") != F.col("i.root")) & may_link("p", "i")).groupBy("a", "b").agg(F.max("most").alias("most"))
-    out = _joined(roots, stored(cross, "cross"), kept)
-    discard(sets, sketch, likely, open_sets)
+    out = _joined(roots, _fitting(cross, wide), kept)
+    discard(sets, sketch, wide, likely, open_sets)
+    return out
+
+
+def _fitting(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """Pairs of long sets after the test by wide sketches, with all others; stored."""
+    met = stored(pairs, "met")
+    out = stored(wide_fits(met.where(F.col("most") >= WIDE), wide).union(met.where(F.col("most") < WIDE)), "fitting")
+    discard(met)
     return out
 
 

@@ -216,13 +216,14 @@ def _fit_threshold(fit: list[tuple], held: list[tuple], number: dict[str, int],
 def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, seed: int) -> list[tuple]:
     """A bounded sample, as bucket counts made on the executors, of each text and of its shuffled form: at most ``per_lang`` rows of each language.
 
-    Of each language a share somewhat larger than wanted is drawn by the hash and ranked by it, so a rare language loses nothing to frequent ones.
+    The first draws of each language are chosen without their texts, so a rare language loses nothing to frequent ones; what is
+    chosen is less than the sample that comes back, and so it is sent to all tasks.
     """
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2))
     usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1_000_000), F.floor(F.lit(1.2e6 * per_lang) / F.col("n")) + 1)
-    drawn = usable.join(counts, "lang").where(F.pmod("draw", F.lit(1_000_000)) < share).select("lang", "text", "draw")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
+    chosen = usable.groupBy("lang", "draw").agg(F.lit(1).alias("one")).withColumn("rank", rank).where(F.col("rank") <= per_lang).select("lang", "draw")
+    drawn = usable.join(F.broadcast(chosen), ["lang", "draw"]).select("lang", "text", "draw").dropDuplicates(["lang", "draw"])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -239,8 +240,7 @@ def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_
             )
 
     rows = drawn.mapInArrow(run, "lang string, draw long, buckets array<int>, counts array<int>, shuffled array<int>, shuffled_counts array<int>")
-    first = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("draw", "buckets", "counts"))).where(F.col("rank") <= per_lang)
-    return [(r.lang, r.buckets, r.counts, r.shuffled, r.shuffled_counts) for r in first.orderBy("draw", "lang", "buckets", "counts").collect()]
+    return [(r.lang, r.buckets, r.counts, r.shuffled, r.shuffled_counts) for r in rows.orderBy("draw", "lang").collect()]
 
 
 def _marked(df: DataFrame, model: Model | None, text_col: str) -> tuple[DataFrame, dict[str, str]]:
