@@ -169,6 +169,21 @@ def shape(text: Column) -> Column:
     return F.lower(F.substring(F.regexp_replace(text, r"\d+", "N"), 1, 120))
 
 
+def detail(details: Column, key: str) -> Column:
+    """The value of a key in a finding's details (JSON text); null where there is none or the text is broken."""
+    return F.try_variant_get(F.try_parse_json(details), f"$['{key}']", "string")
+
+
+def clean_caveats(text: Column) -> Column:
+    """Old caveats of number lists in their present words."""
+    return F.replace(F.replace(text, F.lit("(NAP 2026-07-02 snapshot; sheet ID unverified)"), F.lit("(from your NAP sheet)")), F.lit("NAP 2026-07-02 snapshot; sheet ID unverified"), F.lit("from your NAP sheet"))
+
+
+def without_count(text: Column) -> Column:
+    """Without a page count at the end, which reports print themselves."""
+    return F.regexp_replace(text, r"(?i)\s*[—-]\s*on\s+[\d,]+\s+pages?\s*$", "")
+
+
 def trim_sentence(text: Column, most: int = 400) -> Column:
     """At most ``most`` characters, cut after a full sentence where there is one."""
     head = F.substring(text, 1, most)

@@ -29,12 +29,15 @@ def first_of(df: DataFrame, key: list[str], value: str, most: int, out: str) ->
 
 
 def dup_across_pages(pages: DataFrame, order: str = "page_id", fields: tuple[str, ...] = ("title", "meta_description", "h1_text")) -> DataFrame:
-    """Equal titles, descriptions or first headings on several pages: field, value, n_pages (true), url (first page), sources (sample)."""
+    """Equal titles, descriptions or first headings on several pages: field, value, n_pages (true), url (first page), sources (sample), pattern (null: none fits exactly)."""
     each = pages.select("url", F.col(order).alias("pos"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.trim(F.coalesce(f, F.lit("")))).alias("value")) for f in fields])).alias("v"))
     each = each.select("url", "pos", "v.*").where("value <> ''")
     groups = each.groupBy("field", "value").agg(F.count_distinct("url").alias("n_pages"), F.min_by("url", F.struct("pos", "url")).alias("url")).where("n_pages > 1")
-    sample = first_of(each.join(groups.select("field", "value"), ["field", "value"], "left_semi"), ["field", "value"], "url", SAMPLE, "sources")
-    return groups.join(sample, ["field", "value"])
+    hit = each.join(groups.select("field", "value"), ["field", "value"], "left_semi")
+    sample = first_of(hit, ["field", "value"], "url", SAMPLE, "sources")
+    finding = F.sha2(F.concat_ws(":", "field", "value"), 256).alias("finding")
+    pattern = source_pattern(hit.select(finding, "url"), pages.select("url"))
+    return groups.join(sample, ["field", "value"]).withColumn("finding", finding).join(pattern, "finding", "left").drop("finding")
 
 
 def dedupe_findings(found: DataFrame, content: tuple[str, ...] = ("url", "class", "severity", "issue", "snippet", "matched")) -> DataFrame:
@@ -48,11 +51,17 @@ def dedupe_findings(found: DataFrame, content: tuple[str, ...] = ("url", "class"
 def collapse_phone(found: DataFrame) -> DataFrame:
     """Findings of class retired, unknown or non_canonical: one per class and number, with all pages counted."""
     site_wide = F.col("class").isin("retired", "unknown", "non_canonical")
-    grouped = found.where(site_wide).groupBy("class", F.col("matched").alias("number")).agg(F.count_distinct("url").alias("page_count"), F.min("url").alias("url"), F.min("severity").alias("severity"))
+    grouped = found.where(site_wide).groupBy("class", F.col("matched").alias("number")).agg(F.count_distinct("url").alias("page_count"), F.min("url").alias("url"), F.min_by("severity", T.severity_rank(F.col("severity"))).alias("severity"))
     kept = found.where(~site_wide).select("class", F.col("matched").alias("number"), F.lit(1).cast("long").alias("page_count"), "url", "severity")
     return grouped.unionByName(kept)
 
 
+def phone_sources(found: DataFrame) -> DataFrame:
+    """class, number, url: every page of every collapsed number, as rows, since a number of the footer is on all pages."""
+    site_wide = F.col("class").isin("retired", "unknown", "non_canonical")
+    return found.where(site_wide).select("class", F.col("matched").alias("number"), "url").distinct()
+
+
 def collapse_repeats(found: DataFrame, least_pages: int = 3, checks: tuple[str, ...] = TEMPLATE_CHECKS) -> DataFrame:
     """One template finding for each shape on ``least_pages`` pages or more; rarer ones stay as they are.
 
@@ -60,7 +69,7 @@ def collapse_repeats(found: DataFrame, least_pages: int = 3, checks: tuple[str,
     """
     base = F.regexp_replace("class", r"#\d+$", "")
     shaped = found.withColumn("shape", F.when(F.col("check").isin(*checks), T.shape(F.coalesce(F.nullif("matched", F.lit("")), "snippet", F.lit(""))))).withColumn("base", base)
-    sizes = shaped.where("shape is not null").groupBy("check", "base", "shape").agg(F.count_distinct("url").alias("page_count"), F.min("url").alias("first_url"), F.min("severity").alias("sev")).where(F.col("page_count") >= least_pages)
+    sizes = shaped.where("shape is not null").groupBy("check", "base", "shape").agg(F.count_distinct("url").alias("page_count"), F.min("url").alias("first_url"), F.min_by("severity", T.severity_rank(F.col("severity"))).alias("sev")).where(F.col("page_count") >= least_pages)
     template = sizes.select(
         F.col("first_url").alias("url"), "check", F.col("base").alias("class"), T.fingerprint(F.col("check"), F.col("base"), "template", F.col("shape")).alias("fingerprint"),
         F.col("sev").alias("severity"), "page_count", F.lit(True).alias("template_wide"),
@@ -108,12 +117,11 @@ def source_pattern(affected: DataFrame, audited: DataFrame, key: str = "finding"
 def rollup(found: DataFrame) -> DataFrame:
     """Counts in total and by severity, check, check and severity, status: one pass of grouping sets."""
     status = found if "status" in found.columns else found.withColumn("status", F.lit("new"))
-    status.createOrReplaceTempView("_siftwell_rollup")
-    sql = """
-        SELECT CASE grouping_id(severity, check, status) WHEN 7 THEN 'total' WHEN 3 THEN 'severity' WHEN 5 THEN 'check' WHEN 1 THEN 'check_severity' ELSE 'status' END AS level,
-            severity, check, status, count(*) AS n
-        FROM _siftwell_rollup GROUP BY GROUPING SETS ((), (severity), (check), (severity, check), (status))"""
-    return found.sparkSession.sql(sql)
+    one = lambda c: F.col(c)
+    sets = [[], [one("severity")], [one("check")], [one("severity"), one("check")], [one("status")]]
+    level = F.when(F.grouping_id() == 7, "total").when(F.grouping_id() == 3, "severity").when(F.grouping_id() == 5, "check").when(F.grouping_id() == 1, "check_severity").otherwise("status")
+    counted = status.groupingSets(sets, "severity", "check", "status").agg(level.alias("level"), F.count("*").alias("n"))
+    return counted.select("level", "severity", "check", "status", "n")
 
 
 def boilerplate_share(blocks: DataFrame, share: float = 0.3, least_pages: int = 2, least_chars: int = 40) -> DataFrame:

@@ -15,20 +15,23 @@ def changed_components(prior: DataFrame, current: DataFrame) -> DataFrame:
     return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("component")
 
 
-def diff_runs(prior: DataFrame, current: DataFrame, audited: DataFrame, live: DataFrame | None, changed_checks: DataFrame) -> DataFrame:
+def diff_runs(prior: DataFrame, current: DataFrame, audited: DataFrame, live: DataFrame | None, changed_checks: DataFrame, now: str | None = None) -> DataFrame:
     """``prior``: fingerprint, url, check, first_seen. ``current``: fingerprint, url, check. ``audited``, ``live``: url. ``changed_checks``: check.
 
+    New findings are first seen ``now``. Pages are the same with and without last slashes.
+
     One row per fingerprint of either run. Gone findings: page_removed or page_unsitemapped if their page was
     not audited (live known and without it, or not), else rule_changed if their check moved, else resolved.
     """
     p = prior.select("fingerprint", F.col("url").alias("p_url"), F.col("check").alias("p_check"), "first_seen")
     c = current.select("fingerprint", "url", "check", F.lit(True).alias("now"))
     both = p.join(c, "fingerprint", "full_outer").select("fingerprint", F.coalesce("url", "p_url").alias("url"), F.coalesce("check", "p_check").alias("check"), "first_seen", "now", F.col("p_url").isNotNull().alias("before"))
-    both = both.join(audited.select("url").distinct().withColumn("seen", F.lit(True)), "url", "left")
+    page = lambda df, name: df.select(F.regexp_replace("url", "/+$", "").alias("_page")).distinct().withColumn(name, F.lit(True))
+    both = both.withColumn("_page", F.regexp_replace("url", "/+$", "")).join(page(audited, "seen"), "_page", "left")
     if live is None:
         both = both.withColumn("alive", F.lit(True))
     else:
-        both = both.join(live.select("url").distinct().withColumn("alive", F.lit(True)), "url", "left")
+        both = both.join(page(live, "alive"), "_page", "left")
     both = both.join(changed_checks.select("check").distinct().withColumn("moved", F.lit(True)), "check", "left")
     status = (
         F.when(F.col("now") & F.col("before"), "persisting")
@@ -38,7 +41,7 @@ def diff_runs(prior: DataFrame, current: DataFrame, audited: DataFrame, live: Da
         .when(F.col("moved"), "rule_changed")
         .otherwise("resolved")
     )
-    return both.select("fingerprint", "url", "check", status.alias("status"), F.when(status.isin("persisting", "resolved", "rule_changed", "page_removed", "page_unsitemapped"), F.col("first_seen")).alias("first_seen"))
+    return both.select("fingerprint", "url", "check", status.alias("status"), F.when(status == "new", F.lit(now)).otherwise(F.col("first_seen")).alias("first_seen"))
 
 
 def checks_of_components(components: DataFrame, wiring: DataFrame) -> DataFrame:

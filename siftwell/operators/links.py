@@ -121,6 +121,22 @@ def audit_scope(sitemap: DataFrame, listing: DataFrame, static: DataFrame) -> Da
     return first.select("url", "rank", "pos")
 
 
+def scope_intersection(cached: DataFrame, scope: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``cached``, ``scope``: url. Cached rows whose page is still in scope, and those that are dropped."""
+    canonical = scope.select(T.canonical_url(F.col("url")).alias("_u")).distinct()
+    same = T.canonical_url(F.col("url")) == F.col("_u")
+    return cached.join(canonical, same, "left_semi"), cached.join(canonical, same, "left_anti")
+
+
+def difference_counts(sitemap: DataFrame, listing: DataFrame) -> DataFrame:
+    """One row: pages of the sitemap, of the listing, of the listing alone (missing) and of the sitemap alone."""
+    both = sitemap_reconcile(sitemap, listing)
+    return both.agg(
+        F.count_if("in_sitemap").alias("sitemap_total"), F.count_if("in_listing").alias("listing_total"),
+        F.count_if(F.col("in_listing") & ~F.col("in_sitemap")).alias("missing"), F.count_if(F.col("in_sitemap") & ~F.col("in_listing")).alias("sitemap_only"),
+    )
+
+
 def off_brand(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``pages``: url, final_url. Pages that stay on their registrable domain, and findings for those that left it."""
     left = T.registrable(T.host(F.col("url"))) != T.registrable(T.host(F.coalesce("final_url", "url")))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwell.operators.page_rules import LOREM_PAGE, URL_IN_TEXT, lorem_markers
+from siftwell.operators.page_rules import LOREM_PAGE, RULES, URL_IN_TEXT, check_known_misspellings, check_scope, lorem_markers
+from siftwell.sources.extract import extract_pages
 
 # fixed values
 TOKEN = r"[A-Za-z][A-Za-z'’-]*"
@@ -15,13 +16,29 @@ BRITISH = (
     ("our", "or"), ("re$", "er"), ("res$", "ers"), ("ise", "ize"), ("isation", "ization"), ("yse", "yze"), ("lling", "ling"), ("lled", "led"),
     ("llor", "lor"), ("ence$", "ense"), ("ogue$", "og"), ("ae", "e"), ("oe", "e"),
 )
+CREDENTIALS = (
+    "LMFT", "AMFT", "LCSW", "ACSW", "LPCC", "APCC", "MFTI", "CADC", "RADT", "CATC", "PsyD", "MSW", "LVN", "CDCA", "Licensed Marriage and Family Therapist",
+    "Clinical Director", "Program Director",
+)
+BIOGRAPHY = (
+    r"Attended\s+[A-Z]", "graduated from", "graduate of", "Originally from", "earned (his|her)", "received (his|her)", "holds a (BA|MA|BS|MS|degree)", "alma mater",
+    "years of dedicated experience",
+)
+REVIEW_PHRASES = (
+    "highly recommend", "would recommend", "recommend this place", "saved my life", "living proof", "best decision", "thank you so much", "the staff (is|are|was|were)",
+    "staff really", "really cared", "changed my life", "forever grateful",
+)
+FIRST_PERSON = ("I", "I’m", "I'm", "I’ve", "I've", "my", "me")
+EVALUATIVE = ("amazing", "wonderful", "helpful", "caring", "incredible", "awesome", "great", "beyond helpful", "top notch", "grateful", "blessed", "life[- ]changing")
+PERSONAL_PAGES = ("about-us", "about", "our-team", "team", "staff", "leadership", "meet-the-team", "testimonial", "testimonials", "reviews", "alumni")
 PREFIXES = "re de un non pre post over under anti semi multi co mis sub inter intra extra micro macro hyper hypo dis out self".split()
 SUFFIXES = "s es ed ing ly er ers ion ions al able ment ments ness".split()
 
 
 def tokens(blocks: DataFrame, keep: tuple[str, ...] = ("brand", "url")) -> DataFrame:
     """``keep``, raw, token of every word of the blocks; blocks of placeholder Latin and web addresses are left out."""
-    clean = blocks.where(F.size(lorem_markers(F.col("text"), LOREM_PAGE)) < 3).select(*keep, F.regexp_replace("text", URL_IN_TEXT, " ").alias("clean"))
+    latin = F.col("text").rlike(r"(?i)\b(?:" + "|".join(LOREM_PAGE) + r")\b") & (F.size(lorem_markers(F.col("text"), LOREM_PAGE)) >= 3)
+    clean = blocks.where(~latin).select(*keep, F.regexp_replace("text", URL_IN_TEXT, " ").alias("clean"))
     words = clean.select(*keep, F.posexplode(F.regexp_extract_all("clean", F.lit(TOKEN), F.lit(0))).alias("at", "raw"))
     return words.withColumn("raw", F.regexp_replace("raw", "^['’-]+|['’-]+$", "")).withColumn("token", F.lower("raw")).where(F.col("token").rlike("^[a-z]{5,}$"))
 
@@ -37,6 +54,18 @@ def token_ledger(blocks: DataFrame) -> DataFrame:
     return tokens(blocks).groupBy("brand", "token").agg(F.count("*").alias("freq"), F.bool_or(F.col("raw").rlike("^[a-z]")).alias("ever_lower"), F.min("url").alias("example_url"))
 
 
+def with_places_and_examples(ledger: DataFrame, blocks: DataFrame, pad: int = 60) -> DataFrame:
+    """Adds placelike (a state code follows the word somewhere) and example_text: the words around its first place on its example page."""
+    where = blocks.join(ledger.select("brand", F.col("example_url").alias("url")).distinct(), ["brand", "url"], "left_semi")
+    words = tokens(where.withColumn("whole", F.regexp_replace("text", URL_IN_TEXT, " ")), ("brand", "url", "pos", "whole"))
+    first = words.groupBy("brand", "url", "token").agg(F.min_by(F.struct("raw", "whole"), F.struct("pos", "at")).alias("w"))
+    at = F.instr(F.col("w.whole"), F.col("w.raw")) - 1
+    example = F.trim(F.substring(F.col("w.whole"), F.greatest(at - pad, F.lit(0)) + 1, F.length("w.raw") + pad + F.least(at, F.lit(pad))))
+    first = first.select("brand", F.col("url").alias("example_url"), "token", example.alias("example_text"))
+    marked = ledger.join(places(blocks).withColumn("placelike", F.lit(True)), ["brand", "token"], "left").withColumn("placelike", F.coalesce("placelike", F.lit(False)))
+    return marked.join(first, ["brand", "example_url", "token"], "left")
+
+
 def deletions(word: Column) -> Column:
     """The word and all its one-letter deletions."""
     cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
@@ -235,6 +264,28 @@ def seed_mistakes(texts: DataFrame, mistakes: dict[str, str]) -> DataFrame:
     return frame
 
 
+def known_defect_sweep(pages: DataFrame, known: dict[str, str], lower_only: dict[str, str]) -> DataFrame:
+    """``pages``: brand and the columns of the rules. Per brand: pages, known mistakes in addresses and in bodies, pages that say county for country."""
+    brands = pages.select("url", "brand").distinct()
+    hits = check_known_misspellings(pages, known, lower_only).select("url", F.when(F.col("class").startswith("slug"), "slug_hits").otherwise("body_hits").alias("what"))
+    scope = check_scope(pages).select("url", F.lit("scope_pages").alias("what")).distinct()
+    each = brands.select("brand", F.lit("pages").alias("what")).union(hits.union(scope).join(brands, "url").select("brand", "what"))
+    return each.groupBy("brand").pivot("what", ["pages", "slug_hits", "body_hits", "scope_pages"]).count().na.fill(0)
+
+
+def hidden_text_impact(raw: DataFrame, rules: tuple[str, ...] = ("blank", "lorem_page", "placeholder", "empty_slot", "misspelling", "scope")) -> DataFrame:
+    """``raw``: url, html. Findings of each rule, and visible characters, with hidden text read and without: what, before, after."""
+    out = None
+    for name, hidden in (("before", True), ("after", False)):
+        pages = extract_pages(raw, keep_hidden=hidden)
+        counts = pages.agg(F.sum(F.length("visible_text")).alias("n")).select(F.lit("visible_chars").alias("what"), "n")
+        for rule in rules:
+            counts = counts.union(RULES[rule]["run"](pages).agg(F.count("*").alias("n")).select(F.lit(rule), "n"))
+        counts = counts.withColumnRenamed("n", name)
+        out = counts if out is None else out.join(counts, "what")
+    return out
+
+
 def seeded_recall(seeded: DataFrame, found: DataFrame) -> DataFrame:
     """``found``: url, matched. Share of seeded mistakes that were found, by mistake."""
     hit = seeded.join(found.select("url", F.lower("matched").alias("wrong")).distinct(), ["url", "wrong"], "left_semi").groupBy("wrong").agg(F.count("*").alias("hits"))
@@ -246,9 +297,11 @@ def visible_char_quantiles(pages: DataFrame) -> DataFrame:
 
 
 def person_or_review(text: Column, url: Column) -> Column:
-    """Staff biographies and reviews: not the site's own claims."""
-    credential = text.rlike(r"\b(M\.?D\.?|Ph\.?D\.?|LCSW|LMFT|RN|MSW|PsyD|CADC)\b")
-    voice = text.rlike(r"(?i)\b(he|she|they) (is|was|has|holds|earned|received|graduated|joined)\b")
-    review = (F.length(text) < 260) & text.rlike(r"(?i)\b(i|my|me)\b") & text.rlike(r"(?i)\b(great|amazing|best|love|loved|recommend|thank|wonderful|helped|saved)\b")
-    page = url.rlike(r"(?i)/(team|staff|about-us/team|our-team|leadership|author)/")
-    return credential | voice | review | page
+    """Staff biographies and reviews, by what they say or by the page they stand on: not the site's own claims."""
+    review = (F.length(text) < 260) & text.rlike(_any(FIRST_PERSON)) & text.rlike("(?i)" + _any(EVALUATIVE))
+    page = url.rlike("(?i)/(" + "|".join(PERSONAL_PAGES) + ")(/|$)")
+    return text.rlike(_any(CREDENTIALS)) | text.rlike(_any(BIOGRAPHY)) | text.rlike("(?i)" + _any(REVIEW_PHRASES)) | review | page
+
+
+def _any(words: tuple[str, ...]) -> str:
+    return r"\b(" + "|".join(words) + r")\b"

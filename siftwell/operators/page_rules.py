@@ -35,14 +35,14 @@ SHORTCODE = r"\[(?:[a-z][a-z0-9]*(?:[_-][a-z0-9]+)+|[a-z_]{6,})(?:\s+[^\]\n]{0,8
 VARIABLE_NAME = r"(?<![\w-])(?<![A-Z]{2}\s)(GEO|CITY|STATE|TOPIC|DRUG|FULL_GEO|NEAR_IN|NEAR-IN)(?![\w-])(?!\s+[A-Z][a-z])(?!\s+[A-Z]{2,})"
 ACF = r"\[acf field=[\"']?([\w-]+)"
 CURLY = r"\{\{[^}]+\}\}"
-_PREP = "(?:in|on|at|of|to|by|for|from|during|within|near|across|between|through|until|since)"
-_NUM = r"\d+(?:[.,]\d+)*"
-_UNITS = "miles?|mi|km|kilometers?|metres?|meters?|m|feet|ft|blocks?|minutes?|mins?|hours?|hrs?|days?|weeks?|months?|years?|percent|%"
+_PLACE_WORDS = "(?:in|on|at|of|to|by|for|from|during|within|near|across|between|through|until|since)"
+_FIGURE = r"\d+(?:[.,]\d+)*"
+_MEASURES = "miles?|mi|km|kilometers?|metres?|meters?|m|feet|ft|blocks?|minutes?|mins?|hours?|hrs?|days?|weeks?|months?|years?|percent|%"
 EMPTY_SLOT = (
-    ("orphan_comma", rf"(?i)\b{_PREP}\s+,\s+\w", "error"),
-    ("double_preposition", rf"(?i)\b{_PREP}\s{{2,}}{_PREP}\b|\b{_PREP}\s+(?:of|in)\s+(?![a-z]*-)", "error"),
+    ("orphan_comma", rf"(?i)\b{_PLACE_WORDS}\s+,\s+\w", "error"),
+    ("double_preposition", rf"(?i)\b{_PLACE_WORDS}\s{{2,}}{_PLACE_WORDS}\b|\b{_PLACE_WORDS}\s+(?:of|in)\s+(?![a-z]*-)", "error"),
     ("empty_percent", r"(?<![\d.])\s%", "error"),
-    ("missing_unit", rf"(?i)\bwithin\s+(?>{_NUM}(?:(?:\s*(?:,|to|through|and|or|[-–—])\s*)+{_NUM})*)(?!\s*(?:{_UNITS})\b)", "error"),
+    ("missing_unit", rf"(?i)\bwithin\s+(?>{_FIGURE}(?:(?:\s*(?:,|to|through|and|or|[-–—])\s*)+{_FIGURE})*)(?!\s*(?:{_MEASURES})\b)", "error"),
     ("not_found_sentinel", r"\bNot found\b", "error"),
     ("count_disagreement", r"(?i)(?<![\w.\-])1\s+(?:programs|facilities|centers|centres|clinics|rehabs|providers|options|services|beds|reviews|results|locations|hospitals|sites)\b", "error"),
     ("truncated_word", r"(?<![\d.])\b[a-z]+\s+([bcdfghjklmnpqrstvwyz])\s+[a-z]+\b(?!\.)", "warning"),
@@ -58,11 +58,17 @@ MISSPELLINGS = {
     "asssited": "assisted", "graditude": "Gratitude", "txreatment": "treatment", "stres": "stress", "goint": "going",
 }
 LOWER_ONLY = {"heath": "health"}
+TEXT_CHECKS = ("blank", "placeholder", "empty_slot", "misspelling", "scope", "phone", "spelling")
 BARE_COUNTY = r"(?i)\b(?:across|in|throughout|around|within|serving|nationwide in)\s+the\s+county\b(?!\s+of\b)"
-ACTION_WORDS = r"(?i)\b(view|learn|read|see|get|call|contact|verify|find|start|book|schedule|apply|download|explore|discover|join|sign|subscribe|submit|request|click|show|load|more|now|today)\b"
-NETWORKS = {
-    "facebook": ("facebook.com", "fb.com"), "instagram": ("instagram.com",), "twitter": ("twitter.com", "x.com"), "youtube": ("youtube.com", "youtu.be"),
-    "linkedin": ("linkedin.com",), "tiktok": ("tiktok.com",), "pinterest": ("pinterest.com",),
+CALL_TO_ACTION = (
+    r"(?i)^\s*(?:verify|apply|call|get\s+in\s+touch|get\s+started|get\s+help|learn\s+more|read\s|view\s|see\s+(?:our|all|centers)|contact|start|begin|book|schedule|check\s|download|"
+    r"submit|send|request|enroll|join|find\s+(?:a|out|help)|talk\s+to|speak|reach|tour|explore|claim|register|sign\s+up|subscribe|donate)\b"
+)
+BUTTON_CLASS = r"(?i)(?:^|[\s_-])(btn|button|cta)(?:$|[\s_-])"
+SOCIAL_WORD = r"(facebook|instagram|linked\s?-?in|youtube|twitter|tiktok|pinterest)"
+SOCIAL_HOSTS = {
+    "facebook": "facebook", "fb": "facebook", "instagram": "instagram", "linkedin": "linkedin", "youtube": "youtube", "youtu": "youtube", "twitter": "twitter", "x": "twitter",
+    "tiktok": "tiktok", "pinterest": "pinterest",
 }
 
 RULES: dict[str, dict] = {}
@@ -107,14 +113,19 @@ def matches(df: DataFrame, text: Column, pattern: str, group: int = 0, keep: tup
 
 
 @rule("meta", ("meta", "thresholds"))
-def check_meta(pages: DataFrame, title_min: int = 15, title_max: int = 70) -> DataFrame:
+def check_meta(pages: DataFrame, title_min: int = 15, title_max: int = 70, bounds: DataFrame | None = None) -> DataFrame:
+    """``bounds``: brand, title_min, title_max of brands with bounds of their own; ``pages`` then need brand."""
+    low, high = F.lit(title_min), F.lit(title_max)
+    if bounds is not None:
+        pages = pages.join(bounds.select("brand", F.col("title_min").alias("_low"), F.col("title_max").alias("_high")), "brand", "left")
+        low, high = F.coalesce("_low", low), F.coalesce("_high", high)
     title, desc = F.coalesce("title", F.lit("")), F.coalesce("meta_description", F.lit(""))
     slug = T.slug(F.col("url"))
     parts = F.filter(F.transform(F.split(title, TITLE_SEPARATOR), lambda s: F.lower(F.trim(s))), lambda s: F.length(s) > 2)
     case = lambda c, severity, issue: F.struct(F.lit(c).alias("c"), F.lit(severity).alias("s"), F.lit(issue).alias("i"))
     cases = F.array_compact(F.array(
         F.when(title == "", case("missing_title", "error", "missing meta title")),
-        F.when((title != "") & ~F.length(title).between(title_min, title_max), case("title_length", "warning", "title length out of bounds")),
+        F.when((title != "") & ~F.length(title).between(low, high), case("title_length", "warning", "title length out of bounds")),
         F.when(F.size(F.array_distinct(parts)) < F.size(parts), case("repeated_segment", "warning", "repeated segment in title")),
         F.when(desc == "", case("missing_desc", "warning", "missing meta description")),
         F.when(T.is_collision_slug(F.col("url")), case("collision_slug", "warning", "address ends in -2")),
@@ -148,42 +159,47 @@ def check_blank(pages: DataFrame, least: int = 500) -> DataFrame:
     return union(no_h1, thin)
 
 
-def _pattern_rule(pages: DataFrame, check: str, cls: str, pattern: str, severity: str, issue: str) -> DataFrame:
-    hit = matches(pages, F.col("visible_text"), pattern).withColumn("key", F.lower(F.trim("matched")))
-    n = numbered(hit, ["key"], ["pos"])
-    return findings(n, check, T.slot(cls, F.col("nth")), severity, [F.col("key")], issue, matched=F.trim("matched"))
-
-
 def lorem_markers(text: Column, words: list[str]) -> Column:
     return F.array_intersect(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))), F.array(*[F.lit(w) for w in words]))
 
 
+def all_matches(df: DataFrame, text: Column, patterns: list[tuple[str, str, int]], keep: tuple[str, ...] = (), more: tuple[Column, ...] = ()) -> DataFrame:
+    """url, ``keep``, cls, pos and matched of every match of every (class, pattern, group): one scan of the text and one explode for all."""
+
+    def one(cls: str, pattern: str, group: int) -> Column:
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m, i: F.struct(F.lit(cls).alias("cls"), i.alias("pos"), m.alias("matched")))
+        return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<cls:string,pos:int,matched:string>>"))
+
+    every = F.concat(*[one(*p) for p in patterns], *more)
+    return df.select("url", *keep, F.explode(every).alias("m")).select("url", *keep, "m.cls", "m.pos", "m.matched")
+
+
 @rule("placeholder", ("placeholder",), reads_visible_text=True)
 def check_placeholder(pages: DataFrame) -> DataFrame:
-    marked = pages.where(F.size(lorem_markers(F.col("visible_text"), LOREM_PLACEHOLDER)) >= 3)
-    lorem = findings(marked, "placeholder", "lorem_ipsum", "error", [], "placeholder Latin is visible on the page")
-    patterns = [
-        _pattern_rule(pages, "placeholder", "empty_state", EMPTY_STATE, "error", "a widget's empty message shows as content"),
-        _pattern_rule(pages, "placeholder", "shortcode", SHORTCODE, "error", "an unrendered shortcode is visible"),
-        _pattern_rule(pages, "placeholder", "variable_name", VARIABLE_NAME, "error", "a template field name shows in place of its value"),
-    ]
-    acf = matches(pages, F.col("visible_text"), ACF, 1).select("url", "matched").distinct()
-    curly = matches(pages, F.col("visible_text"), CURLY).select("url", "matched").distinct()
-    return union(
-        lorem, *patterns,
-        findings(acf, "placeholder", "acf", "error", [F.col("matched")], "unresolved field token", "body", matched=F.col("matched")),
-        findings(curly, "placeholder", "curly", "error", [F.col("matched")], "leftover template token", "body", matched=F.col("matched")),
+    text = F.coalesce("visible_text", F.lit(""))
+    lorem = F.when(F.size(lorem_markers(text, LOREM_PLACEHOLDER)) >= 3, F.array(F.struct(F.lit("lorem_ipsum").alias("cls"), F.lit(0).alias("pos"), F.lit("").alias("matched"))))
+    lorem = F.coalesce(lorem, F.array().cast("array<struct<cls:string,pos:int,matched:string>>"))
+    patterns = [("empty_state", EMPTY_STATE, 0), ("shortcode", SHORTCODE, 0), ("variable_name", VARIABLE_NAME, 0), ("acf", ACF, 1), ("curly", CURLY, 0)]
+    token = F.col("cls").isin("acf", "curly")
+    hit = all_matches(pages, text, patterns, more=(lorem,)).withColumn("matched", F.when(token, F.col("matched")).otherwise(F.trim("matched")))
+    n = numbered(hit.withColumn("key", F.when(token, F.col("matched")).otherwise(F.lower("matched"))), ["cls", "key"], ["pos"]).where(~token | (F.col("nth") == 0))
+    issue = (
+        F.when(F.col("cls") == "lorem_ipsum", "placeholder Latin is visible on the page").when(F.col("cls") == "empty_state", "a widget's empty message shows as content")
+        .when(F.col("cls") == "shortcode", "an unrendered shortcode is visible").when(F.col("cls") == "variable_name", "a template field name shows in place of its value")
+        .when(F.col("cls") == "acf", "unresolved field token").otherwise("leftover template token")
     )
+    location = F.when(token, "body").otherwise("page body")
+    return findings(n, "placeholder", T.slot(F.col("cls"), F.col("nth")), "error", [F.col("key")], issue, location, matched=F.nullif("matched", F.lit("")))
 
 
 @rule("empty_slot", ("empty_slot",), reads_visible_text=True)
 def check_empty_slot(pages: DataFrame) -> DataFrame:
     """Residue of merge fields that came out empty."""
-    out = []
-    for cls, pattern, severity in EMPTY_SLOT:
-        n = numbered(matches(pages, F.col("visible_text"), pattern).withColumn("key", F.lower("matched")), ["key"], ["pos"])
-        out.append(findings(n, "empty_slot", T.slot(cls, F.col("nth")), severity, [F.col("key")], "empty template variable left broken text", matched=F.col("matched")))
-    return union(*out)
+    hit = all_matches(pages, F.coalesce("visible_text", F.lit("")), [(cls, pattern, 0) for cls, pattern, _ in EMPTY_SLOT])
+    n = numbered(hit.withColumn("key", F.lower("matched")), ["cls", "key"], ["pos"])
+    warn = [cls for cls, _, severity in EMPTY_SLOT if severity == "warning"]
+    severity = F.when(F.col("cls").isin(*warn), "warning").otherwise("error")
+    return findings(n, "empty_slot", T.slot(F.col("cls"), F.col("nth")), severity, [F.col("key")], "empty template variable left broken text", matched=F.col("matched"))
 
 
 def body_blocks(pages: DataFrame) -> DataFrame:
@@ -195,13 +211,15 @@ def body_blocks(pages: DataFrame) -> DataFrame:
 def check_corruption(blocks: DataFrame) -> DataFrame:
     """``blocks``: url, pos, text. Doubled words, missing spaces, letter runs and stacked marks, one block at a time."""
     clean = blocks.select("url", F.col("pos").alias("block"), F.regexp_replace("text", URL_IN_TEXT, " ").alias("clean"))
-    text = F.col("clean")
-    doubled = matches(clean, text, r"(?i)\b([A-Za-z]{2,})[^\S\n]+\1\b", keep=("block",)).where(~F.lower(F.regexp_extract("matched", r"^(\w+)", 1)).isin(LEGIT_DOUBLE)).withColumn("cls", F.lit("doubled_word"))
-    spaces = matches(clean, text, r"\b[A-Za-z]{2,}\.[A-Z][a-z]{2,}\b", keep=("block",))
-    spaces = spaces.where(~F.lower(F.split_part("matched", F.lit("."), F.lit(1))).isin(ABBREVIATIONS) & ~F.lower(F.split_part("matched", F.lit("."), F.lit(2))).isin(TLD)).withColumn("cls", F.lit("missing_space"))
-    runs = matches(clean, text, r"\b[a-z]*([a-z])\1{2,}[a-z]*\b", keep=("block",)).withColumn("cls", F.lit("repeated_letters"))
-    marks = matches(clean, text, r"[?!]\s*\.|[,;:]\s*[,;:]|\.{4,}", keep=("block",)).withColumn("cls", F.lit("stacked_punctuation"))
-    n = numbered(union(doubled, spaces, runs, marks).withColumn("key", F.lower("matched")), ["cls", "key"], ["block", "pos"])
+    patterns = [
+        ("doubled_word", r"(?i)\b([A-Za-z]{2,})[^\S\n]+\1\b", 0), ("missing_space", r"\b[A-Za-z]{2,}\.[A-Z][a-z]{2,}\b", 0),
+        ("repeated_letters", r"\b[a-z]*([a-z])\1{2,}[a-z]*\b", 0), ("stacked_punctuation", r"[?!]\s*\.|[,;:]\s*[,;:]|\.{4,}", 0),
+    ]
+    hit = all_matches(clean, F.col("clean"), patterns, keep=("block",))
+    legit = (F.col("cls") == "doubled_word") & F.lower(F.regexp_extract("matched", r"^(\w+)", 1)).isin(LEGIT_DOUBLE)
+    before, after = F.lower(F.split_part("matched", F.lit("."), F.lit(1))), F.lower(F.split_part("matched", F.lit("."), F.lit(2)))
+    legit = legit | ((F.col("cls") == "missing_space") & (before.isin(ABBREVIATIONS) | after.isin(TLD)))
+    n = numbered(hit.where(~legit).withColumn("key", F.lower("matched")), ["cls", "key"], ["block", "pos"])
     return findings(n, "empty_slot", T.slot(F.col("cls"), F.col("nth")), "warning", [F.col("key")], F.concat(F.lit("broken text: "), F.col("cls")), matched=F.col("matched"))
 
 
@@ -259,33 +277,32 @@ def _actionables(pages: DataFrame) -> DataFrame:
 
 @rule("dead_cta", ("actions",))
 def check_dead_cta(pages: DataFrame) -> DataFrame:
-    """Links that look like calls to action and lead nowhere."""
-    label = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.col("aria_label"))
-    nowhere = F.col("href").isNull() | F.lower(F.trim(F.coalesce("href", F.lit("")))).isin("", "#", "javascript:;", "javascript:void(0)", "javascript:void(0);")
-    button = F.col("classes").rlike(r"(?i)\b(btn|button|cta)\b")
-    acts = label.rlike(ACTION_WORDS)
+    """Links that look like calls to action and lead nowhere. Without an address, or in a menu, only their words count, not their looks."""
+    href = F.lower(F.trim("href"))
+    nowhere = F.col("href").isNull() | href.isin("", "#") | href.startswith("javascript:")
+    looks = (F.col("role") == "button") | F.col("classes").rlike(BUTTON_CLASS)
+    acts = F.col("text").rlike(CALL_TO_ACTION)
     strict = F.col("href").isNull() | F.col("in_nav")
     hit = _actionables(pages).where(
-        (F.col("tag") == "a") & nowhere & ~F.col("has_js_hooks") & ~F.col("role").isin("tab", "menuitem", "button") & ~F.col("has_submenu")
-        & (label != "") & (F.size(F.split(label, r"\s+")) <= 6) & F.when(strict, acts).otherwise(acts | button)
-    ).withColumn("label", label)
-    n = numbered(hit.withColumn("key", F.lower("label")), ["key"], ["pos"])
-    return findings(n, "actions", T.slot("dead_cta", F.col("nth")), "error", [F.col("key")], "a call to action leads nowhere", snippet=F.col("label"), matched=F.col("selector"))
+        (F.col("tag") == "a") & nowhere & ~F.col("has_js_hooks") & ~F.col("role").isin("tab", "menuitem") & ~F.col("has_submenu")
+        & (F.trim("text") != "") & (F.size(F.split(F.trim("text"), r"\s+")) <= 6) & F.when(strict, acts).otherwise(acts | looks)
+    )
+    n = numbered(hit.withColumn("key", F.lower("text")), ["key"], ["pos"])
+    return findings(n, "actions", T.slot("dead_cta", F.col("nth")), "error", [F.col("key")], "a call to action leads nowhere", snippet=F.col("text"), matched=F.col("selector"))
 
 
 @rule("social_misrouted", ("actions",))
 def check_social_misrouted(pages: DataFrame) -> DataFrame:
     """A social icon whose network is not that of the address behind it; share links are left out."""
-    named = F.lower(F.concat_ws(" ", "text", "aria_label", "classes"))
-    intended = F.array_compact(F.array(*[F.when(named.rlike(rf"\b{n}\b"), n) for n in NETWORKS]))
-    landing = T.link_domain(T.host(F.col("href")))
-    actual = F.coalesce(*[F.when(landing.rlike("|".join(rf"(^|\.){h.replace('.', '[.]')}$" for h in hosts)), n) for n, hosts in NETWORKS.items()])
-    rows = _actionables(pages).withColumns({"intended": intended, "actual": actual}).where(
-        (F.size("intended") == 1) & F.col("actual").isNotNull() & ~F.coalesce("href", F.lit("")).rlike("(?i)share|intent/|sharer")
-    )
-    hit = rows.withColumn("want", F.get("intended", F.lit(0))).where("want <> actual")
+    named = F.regexp_extract(F.lower(F.concat_ws(" ", "aria_label", "classes", "text")), SOCIAL_WORD, 1)
+    want = F.regexp_replace(named, r"[\s-]", "")
+    host = F.element_at(F.split(F.regexp_replace(T.host(F.col("href")), r"www\.", ""), "@"), -1)
+    network = F.create_map(*[F.lit(x) for pair in SOCIAL_HOSTS.items() for x in pair])
+    actual = F.get(F.array_compact(F.transform(F.split(host, r"\."), lambda part: F.try_element_at(network, part))), F.lit(0))
+    share = F.col("href").contains("/sharer") | F.col("href").contains("/share") | F.col("href").contains("intent/tweet")
+    hit = _actionables(pages).withColumns({"want": want, "actual": actual}).where(F.col("href").startswith("http") & (F.col("want") != "") & (F.col("want") != F.col("actual")) & ~share)
     n = numbered(hit, ["want", "actual"], ["pos"])
-    return findings(n, "actions", T.slot("social_misrouted", F.col("nth")), "error", [F.col("want"), F.col("actual")], F.concat(F.col("want"), F.lit(" icon leads to "), F.col("actual")), matched=F.col("href"))
+    return findings(n, "actions", T.slot("social_misrouted", F.col("nth")), "error", [F.concat_ws("->", "want", "actual")], F.concat(F.col("want"), F.lit(" icon leads to "), F.col("actual")), matched=F.col("href"))
 
 
 @rule("duplicate_paragraph", ("duplication",))
@@ -338,11 +355,15 @@ def check_sister_brand(texts: DataFrame, names: DataFrame, window: int = 90) ->
     """``texts``: url, brand, text (body), subject (text that says what the page is about). ``names``: brand, name.
 
     Another brand's exact name in the body; pages that name two or more, that are about that brand, or
-    that speak of a relationship right before the name, are left out. ``names`` holds tens of rows.
+    that speak of a relationship right before the name, are left out. Words of texts meet the first words of
+    names in an equi-join, and only those pages are searched for the whole name.
     """
     relation = r"(?i)\b(partner\w*|network|affiliat\w*|sister|family\s+of|part\s+of|owned\s+by|operated\s+by|refer\w*\s+to|alongside|our\s+other)\b"
     names = names.select(F.col("brand").alias("other"), "name").withColumn("pattern", F.concat(F.lit(r"(?<![\w-])\Q"), F.col("name"), F.lit(r"\E(?![\w-])")))
-    hit = texts.join(F.broadcast(names), (F.col("brand") != F.col("other")) & F.expr("regexp_like(text, pattern)"))
+    names = names.withColumn("word", F.regexp_extract("name", r"[\p{L}\p{N}_]+", 0))
+    words = texts.select("url", "brand", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("word"))
+    near = words.join(names, "word").where("brand <> other").select("url", "other", "name", "pattern").distinct()
+    hit = texts.join(near, "url").where(F.expr("regexp_like(text, pattern)"))
     hit = hit.withColumn("at", F.expr("regexp_instr(text, pattern)")).withColumn("brands", F.size(F.collect_set("other").over(W.partitionBy("url"))))
     before = F.substring("text", F.greatest(F.col("at") - window, F.lit(1)), F.least(F.col("at") - 1, F.lit(window)))
     kept = hit.where((F.col("brands") == 1) & ~F.expr("regexp_like(subject, pattern)") & ~before.rlike(relation))
@@ -351,6 +372,5 @@ def check_sister_brand(texts: DataFrame, names: DataFrame, window: int = 90) ->
 
 def with_confidence(found: DataFrame, css: DataFrame) -> DataFrame:
     """``css``: url, css_status. Findings from text on pages with style sheets missing have low confidence."""
-    textual = [F.lit(n) for n, r in RULES.items() if r["reads_visible_text"]]
     bad = css.where(~F.col("css_status").isin("ok", "none")).select("url", F.lit("low").alias("_low"))
-    return found.join(bad, "url", "left").withColumn("confidence", F.when(F.col("check").isin(textual), F.coalesce("_low", F.lit("normal"))).otherwise("normal")).drop("_low")
+    return found.join(bad, "url", "left").withColumn("confidence", F.when(F.col("check").isin(*TEXT_CHECKS), F.coalesce("_low", F.lit("normal"))).otherwise("normal")).drop("_low")

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftwell.functions import text as T
+from siftwell.operators.traffic import union_reach
 
 OPEN = ("new", "persisting")  # fixed values
+GONE = ("resolved", "rule_changed", "page_removed")
+CARRIED = ("page_unsitemapped", "page_removed", "rule_changed")
+MISSING_LIVE = ("indexable_unsitemapped", "noindex_unsitemapped", "cruft_noindex", "cruft_indexable")
+PER_PAGE = ("heading_structure", "meta", "blank", "placeholder")
+SITE_WIDE_PHONE = ("retired", "unknown", "non_canonical")
 TRIAGE_ORDER = ("open", "in_progress", "wontfix", "fixed", "false_positive")
-URL_LIST_CLASSES = ("indexable_unsitemapped", "sitemap_dead", "rest_404")
+URL_LIST_CLASSES = ("enumeration:sitemap_dead", "enumeration:indexable_unsitemapped", "enumeration:noindex_unsitemapped", "enumeration:rest_404", "broken_links:unverified_external")
 
 
 def is_open() -> Column:
@@ -59,11 +65,18 @@ def select_shown(found: DataFrame, most: int) -> DataFrame:
 
 
 def section_rows(found: DataFrame, whole: tuple[str, ...] = URL_LIST_CLASSES) -> DataFrame:
-    """Equal (check, class, issue, snippet) as one row; classes that are lists of addresses are one row each."""
-    listed = F.col("class").isin(*whole)
+    """``found``: with url, sources and page_count. Equal (check, class, issue, snippet) as one row; classes that are lists of addresses are one row each.
+
+    Pages are a union of those the findings name, never a sum of counts where all are named. Severe rows first, then those on most pages.
+    """
+    listed = F.concat_ws(":", "check", "class").isin(*whole)
     keyed = found.withColumns({"i": F.when(listed, F.lit("")).otherwise(F.col("issue")), "s": F.when(listed, F.lit("")).otherwise(F.coalesce("snippet", F.lit("")))})
-    sums = keyed.groupBy("check", "class", "i", "s").agg(F.min_by("severity", T.severity_rank(F.col("severity"))).alias("severity"), F.sum("page_count").alias("page_count"), F.count("*").alias("members"), F.min("fingerprint").alias("fingerprint"))
-    return sums.select("check", "class", F.col("i").alias("issue"), "severity", "page_count", "members", "fingerprint")
+    key = ("check", "class", "i", "s")
+    first = F.struct(T.severity_rank(F.col("severity")).alias("r"), (-F.coalesce("page_count", F.lit(1))).alias("p"), F.col("fingerprint"))
+    sums = keyed.groupBy(*key).agg(F.min_by("severity", first).alias("severity"), F.count("*").alias("members"), F.min_by("fingerprint", first).alias("fingerprint"))
+    spans = union_reach(keyed.select(*key, "url", "sources", "page_count"), key)
+    rows = sums.join(spans, list(key)).select("check", "class", F.col("i").alias("issue"), "severity", F.col("pages").alias("page_count"), "members", "fingerprint")
+    return rows.orderBy(T.severity_rank(F.col("severity")), F.desc("page_count"), "fingerprint")
 
 
 def issue_wording(found: DataFrame, rules: DataFrame) -> DataFrame:
@@ -100,13 +113,30 @@ def run_list(found: DataFrame) -> DataFrame:
     return found.groupBy("run_id").agg(F.count_if((F.col("severity") == "error") & is_open()).alias("open_errors"), F.count_if(F.col("status") == "new").alias("new"))
 
 
+def health(brands: DataFrame, runs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: how many brands, runs and findings there are."""
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in (("brands", brands), ("runs", runs), ("findings", found))]
+    return counts[0].union(counts[1]).union(counts[2]).groupBy().pivot("what", ["brands", "runs", "findings"]).agg(F.first("n"))
+
+
+def triage_age(first_seen: Column, today: Column) -> Column:
+    """Whole days since a finding was first seen, 0 at least."""
+    return F.greatest(F.date_diff(today, first_seen.cast("date")), F.lit(0))
+
+
+def digest_line(brand: Column, new: Column, resolved: Column, open_: Column, untriaged: Column, oldest: Column) -> Column:
+    """The line that says what moved and what nobody has looked at."""
+    stale = F.when(untriaged == 0, "nothing untriaged").otherwise(F.concat(untriaged.cast("string"), F.when(untriaged == 1, " ERROR").otherwise(" ERRORs"), F.lit(" untriaged, oldest is "), oldest.cast("string"), F.lit(" days")))
+    return F.concat(brand, F.lit(": "), new.cast("string"), F.lit(" new, "), resolved.cast("string"), F.lit(" fixed, "), open_.cast("string"), F.lit(" open — "), stale)
+
+
 def new_error_digest(found: DataFrame, most: int = 20) -> DataFrame:
     return found.where("status = 'new' and severity = 'error'").orderBy(F.desc("page_count"), "fingerprint").limit(most)
 
 
 def untriaged_summary(found: DataFrame, today: Column) -> DataFrame:
     """Number and largest age in days of open errors without a decision."""
-    age = F.greatest(F.date_diff(today, F.col("first_seen").cast("date")), F.lit(0))
+    age = triage_age(F.col("first_seen"), today)
     return found.where(is_open() & (F.col("severity") == "error") & (F.col("state") == "open")).agg(F.count("*").alias("untriaged"), F.coalesce(F.max(age), F.lit(0)).alias("oldest_days"))
 
 
@@ -126,6 +156,46 @@ def changes(diffed: DataFrame, most: int = 200) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def on_added_pages(found: DataFrame) -> DataFrame:
+    """``found``: url, check, class. Findings of single pages on pages that are live and that the sitemap lacks."""
+    missing = found.where((F.col("check") == "enumeration") & F.col("class").isin(*MISSING_LIVE)).select("url").distinct()
+    single = F.col("check").isin(*PER_PAGE) | ((F.col("check") == "phone") & ~F.col("class").isin(*SITE_WIDE_PHONE))
+    return found.where(single).join(missing, "url", "left_semi")
+
+
+def locatable_targets(found: DataFrame, classes: tuple[str, ...]) -> DataFrame:
+    """``found``: url, fingerprint, status, selector. Distinct (url, class without its number, selector) of findings that are there."""
+    cls = F.split_part(F.split_part("fingerprint", F.lit(":"), F.lit(2)), F.lit("#"), F.lit(1))
+    there = found.where(~F.col("status").isin(*GONE) & (F.coalesce("selector", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != ""))
+    return there.select("url", cls.alias("class"), "selector").where(F.col("class").isin(*classes)).distinct()
+
+
+def new_check_share(found: DataFrame, checks: tuple[str, ...], classes: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """``found``: brand, check, class, status. Per brand: open rows, those of new checks or classes, their share in percent, rows carried along."""
+    new = F.col("check").isin(*checks)
+    for check, names in (classes or {}).items():
+        new = new | ((F.col("check") == check) & F.col("class").isin(*names))
+    carried = F.col("status").isin(*CARRIED)
+    sums = found.groupBy("brand").agg(F.count_if(~carried).alias("open"), F.count_if(~carried & new).alias("new"), F.count_if(carried).alias("carried"))
+    return sums.withColumn("percent", F.round(100.0 * F.col("new") / F.greatest("open", F.lit(1)), 1))
+
+
+def template_concentration(found: DataFrame) -> DataFrame:
+    """``found``: brand, url, check, class, status, matched, issue. Per brand its largest class: rows, distinct shapes, pages, and whether it is one template."""
+    there = found.where(~F.col("status").isin(*CARRIED))
+    shape = F.lower(F.substring(F.regexp_replace(F.coalesce(F.nullif("matched", F.lit("")), "issue", F.lit("")), r"\d+", "N"), 1, 60))
+    name = F.concat_ws("/", "check", "class")
+    sums = there.groupBy("brand", name.alias("name")).agg(F.count("*").alias("n"), F.count_distinct(shape).alias("shapes"), F.count_distinct("url").alias("pages"))
+    top = sums.groupBy("brand").agg(F.min_by(F.struct("name", "n", "shapes", "pages"), F.struct((-F.col("n")).alias("x"), F.col("name").alias("y"))).alias("t"))
+    return top.select("brand", "t.*").withColumn("one_template", (F.col("shapes") <= 3) & (F.col("n") > 100))
+
+
+def corruption_family(found: DataFrame, family: tuple[str, ...]) -> DataFrame:
+    """``found``: brand, class, status, page_count. Per brand the findings of classes that one template field causes, and the pages they cover."""
+    there = found.where(~F.col("status").isin(*CARRIED) & F.col("class").isin(*family))
+    return there.groupBy("brand").agg(F.count("*").alias("findings"), F.sum(F.greatest(F.coalesce("page_count", F.lit(1)), F.lit(1))).alias("pages"))
+
+
 def data_caveats(runs: DataFrame, now: Column, stale_days: int = 7) -> DataFrame:
     """``runs``: brand, started_at, status, partial_sample, fixed_list. Per brand the caveats that hold of its last run."""
     order = W.partitionBy("brand").orderBy(F.desc("started_at"))

@@ -6,6 +6,9 @@ events for search traffic, labels for verdicts. Two runs are cut from pages by p
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share; a session on one machine without such a setting gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="siftwell-", dir="/tmp")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder, for plans that read it several times."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def query(sql: str | None = None) -> Callable:
     def keep(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
@@ -99,20 +119,6 @@ def r1_meta(spark, sf):
     return page_rules.check_meta(pages(spark, sf)).select(*RULE_COLUMNS)
 
 
-@query(rf"""
-WITH {P_SQL}, hs AS (SELECT url, unnest(headings) AS x, generate_subscripts(headings, 1) - 1 AS pos FROM h),
-o AS (SELECT url, x.level AS level, x.text AS text, pos FROM hs WHERE x.level <= 3),
-l AS (SELECT *, lag(level) OVER (PARTITION BY url ORDER BY pos) AS prev FROM o),
-k AS (SELECT *, row_number() OVER (PARTITION BY url, level, text ORDER BY pos) - 1 AS nth FROM o WHERE regexp_matches(lower(text), '\(pillar\)|\[pillar\]|pillar copy| copy|\(copy\)'))
-SELECT url, 'multi_h1' AS class, {fp("'heading_structure'", "'multi_h1'", 'url')} AS fingerprint, 'warning' AS severity FROM o WHERE level = 1 GROUP BY url HAVING count(*) > 1
-UNION ALL SELECT url, 'empty', {fp("'heading_structure'", "'empty'", 'url', "'H' || level")}, 'warning' FROM o WHERE trim(text) = ''
-UNION ALL SELECT url, 'skipped', {fp("'heading_structure'", "'skipped'", 'url', "'H' || prev || '->H' || level", 'text')}, 'info' FROM l WHERE level > prev + 1
-UNION ALL SELECT url, 'label_leak', {fp("'heading_structure'", "'label_leak'", 'url', "'H' || level || CASE WHEN nth = 0 THEN '' ELSE '#' || nth END", 'text')}, 'error' FROM k
-""")
-def r2_headings(spark, sf):
-    return page_rules.check_headings(pages(spark, sf)).select(*RULE_COLUMNS)
-
-
 BLANK_SQL = f"""
 SELECT url, 'missing_h1' AS class, {fp("'blank'", "'missing_h1'", 'url')} AS fingerprint, 'error' AS severity FROM h WHERE length(list_filter(headings, lambda x: x.level = 1)) = 0
 UNION ALL SELECT url, 'thin', {fp("'blank'", "'thin'", 'url')}, 'warning' FROM h WHERE length(vis) < 500"""
@@ -132,9 +138,17 @@ ALL_SQL = META_SQL.rstrip() + f", f AS (SELECT url, 'meta' AS check_, class, {fp
 DUP_SQL = "v AS (SELECT url, page_id AS pos, 'title' AS field, lower(trim(title)) AS value FROM h UNION ALL SELECT url, page_id, 'meta_description', lower(trim(descr)) FROM h UNION ALL SELECT url, page_id, 'h1_text', lower(trim(h1)) FROM h)"
 
 
-@query(f"""WITH {P_SQL}, {DUP_SQL}
-SELECT field, value, count(DISTINCT url) AS n_pages, min_by(url, (pos, url)) AS url, array_to_string(list_sort(list_distinct(list(url)))[1:8], ' ') AS sources
-FROM v WHERE value <> '' GROUP BY field, value HAVING count(DISTINCT url) > 1""")
+PREFIXES = "list_transform(range(0, length(parts) + 1), lambda i: CASE WHEN i = 0 THEN root ELSE root || '/' || array_to_string(parts[1:i], '/') END)"
+
+
+@query(f"""WITH {P_SQL}, {DUP_SQL}, g AS (SELECT field, value, count(DISTINCT url) AS n_pages, min_by(url, (pos, url)) AS url, array_to_string(list_sort(list_distinct(list(url)))[1:8], ' ') AS sources
+  FROM v WHERE value <> '' GROUP BY field, value HAVING count(DISTINCT url) > 1),
+au AS (SELECT DISTINCT url, regexp_extract(url, '^[^:]*://[^/]*', 0) AS root, list_filter(string_split(regexp_replace(url, '^[^:]*://[^/]*', ''), '/'), lambda s: s <> '') AS parts FROM h),
+pr AS (SELECT url, unnest({PREFIXES}) AS prefix FROM au), cv AS (SELECT prefix, count(DISTINCT url) AS covered FROM pr GROUP BY prefix),
+sr AS (SELECT DISTINCT v.field, v.value, v.url, n_pages FROM v JOIN g ON v.field = g.field AND v.value = g.value),
+k AS (SELECT field, value, n_pages, prefix, count(DISTINCT sr.url) AS m FROM sr JOIN pr ON sr.url = pr.url GROUP BY ALL),
+d AS (SELECT field, value, max_by(prefix, length(prefix)) AS prefix, max(n_pages) AS n FROM k WHERE m = n_pages GROUP BY field, value)
+SELECT g.*, CASE WHEN covered = n THEN d.prefix || '/*' END AS pattern FROM g LEFT JOIN d ON g.field = d.field AND g.value = d.value LEFT JOIN cv ON d.prefix = cv.prefix""")
 def a1_duplicates(spark, sf):
     return collapse.dup_across_pages(pages(spark, sf)).withColumn("sources", F.array_join("sources", " "))
 
@@ -173,11 +187,6 @@ def v2_url_functions(spark, sf):
 # ---- text rules over documents
 
 
-@query()
-def r4_placeholder(spark, sf):
-    return page_rules.check_placeholder(texts(spark, sf)).select(*RULE_COLUMNS, "matched")
-
-
 @query()
 def r5_empty_slot(spark, sf):
     return page_rules.check_empty_slot(texts(spark, sf)).select(*RULE_COLUMNS, "matched")
@@ -193,16 +202,6 @@ def r7_shattered(spark, sf):
     return page_rules.check_shattered(blocks(spark, sf)).select(*RULE_COLUMNS)
 
 
-def _lorem_sql(words: list[str], least: int, check: str, extra: list[str]) -> str:
-    listed = ", ".join(f"'{w}'" for w in words)
-    return f"SELECT url, 'lorem_ipsum' AS class, {fp(f'{chr(39)}{check}{chr(39)}', chr(39) + 'lorem_ipsum' + chr(39), 'url', *extra)} AS fingerprint, 'error' AS severity FROM d WHERE length(list_intersect(list_distinct(regexp_extract_all(lower(txt), '[a-z]+')), [{listed}])) >= {least}"
-
-
-@query(f"WITH {D_SQL} " + _lorem_sql(page_rules.LOREM_PAGE, 3, "empty_slot", ["'lorem'"]))
-def r8_lorem_page(spark, sf):
-    return page_rules.check_lorem_page(texts(spark, sf)).select(*RULE_COLUMNS)
-
-
 # words of these texts, as the known mistakes of the site's own language
 SITE_MISTAKES = {"teh": "the", "adn": "and", "thee": "the", "ofo": "of", "heed": "hed", "tion": "ion"}
 
@@ -212,12 +211,7 @@ n AS (SELECT url, k, row_number() OVER (PARTITION BY url, k ORDER BY pos) - 1 AS
 SELECT url, 'body' || CASE WHEN nth = 0 THEN '' ELSE '#' || nth END AS class, {fp("'misspelling'", "'body' || CASE WHEN nth = 0 THEN '' ELSE '#' || nth END", 'url', 'k')} AS fingerprint, 'error' AS severity FROM n""")
 def r10_known_misspellings(spark, sf):
     found = page_rules.check_known_misspellings(texts(spark, sf), SITE_MISTAKES, {"heath": "health"})
-    return found.where("class not like 'slug%'").select(*RULE_COLUMNS)
-
-
-@query()
-def r11_scope(spark, sf):
-    return page_rules.check_scope(pages(spark, sf)).select(*RULE_COLUMNS)
+    return found.select(*RULE_COLUMNS)
 
 
 @query(rf"""WITH {D_SQL}
@@ -243,43 +237,6 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
     return extract.extract_pages(raw, keep=("page_id", "url")).withColumn("brand", T.host(F.col("url")))
 
 
-@query()
-def x_extract(spark, sf):
-    p = parsed(spark, sf)
-    count = lambda c: F.size(c).alias(f"n_{c}")
-    return p.select("page_id", "title", "is_noindex", "css_status", "content_hash", F.sha1(F.col("visible_text").cast("binary")).alias("text_sha1"), count("headings"), count("links"), count("actionables"), count("blocks"))
-
-
-@query()
-def x13_projection(spark, sf):
-    return extract.to_projection(parsed(spark, sf)).withColumn("link_urls", F.array_join("link_urls", " "))
-
-
-@query()
-def r13_dead_cta(spark, sf):
-    return page_rules.check_dead_cta(parsed(spark, sf)).select(*RULE_COLUMNS)
-
-
-@query()
-def r14_social(spark, sf):
-    return page_rules.check_social_misrouted(parsed(spark, sf)).select(*RULE_COLUMNS)
-
-
-@query()
-def r19_duplicate_link(spark, sf):
-    return page_rules.check_duplicate_link(parsed(spark, sf)).select(*RULE_COLUMNS)
-
-
-@query()
-def r20_empty_group(spark, sf):
-    return page_rules.check_empty_slot_group(parsed(spark, sf)).select(*RULE_COLUMNS)
-
-
-@query()
-def r22_markup(spark, sf):
-    return page_rules.check_markup_access(parsed(spark, sf)).select(*RULE_COLUMNS)
-
-
 # ---- links: root-relative and absolute addresses by pattern
 
 E_SQL = rf"""
@@ -427,10 +384,10 @@ def diffed(spark, sf):
     p = pages(spark, sf)
     audited, live = p.where("page_id % 10 <> 1").select("url"), p.where("page_id % 20 <> 1").select("url")
     moved = spark.createDataFrame([("meta",)], "check string")
-    return history.diff_runs(before, now, audited, live, moved)
+    return history.diff_runs(before, now, audited, live, moved, "2024-02-01T00:00:00Z")
 
 
-@query(RUNS_SQL + " SELECT fingerprint, url, 'meta' AS \"check\", status, CASE WHEN status <> 'new' THEN '2024-01-01T00:00:00Z' END AS first_seen FROM st")
+@query(RUNS_SQL + " SELECT fingerprint, url, 'meta' AS \"check\", status, CASE WHEN status <> 'new' THEN '2024-01-01T00:00:00Z' ELSE '2024-02-01T00:00:00Z' END AS first_seen FROM st")
 def w1_diff_runs(spark, sf):
     return diffed(spark, sf)
 
@@ -473,7 +430,7 @@ def served(spark, sf):
     p = table(spark, sf, "pages").where("url is not null").select("url", "page_id")
     rows = now.join(p, "url").withColumns({
         "brand": T.host(F.col("url")), "fingerprint_hash": T.fp_hash(F.col("fingerprint")), "page_count": F.col("page_id") % 5 + 1, "id": F.col("page_id") * 10 + F.length("class"),
-        "status": F.when(F.col("page_id") % 4 == 0, "new").otherwise("persisting"), "first_seen": F.lit("2024-01-01"),
+        "status": F.when(F.col("page_id") % 4 == 0, "new").otherwise("persisting"), "first_seen": F.lit("2024-01-01"), "sources": F.when(F.col("page_id") % 2 == 0, F.array("url", F.concat("url", F.lit("/more")))),
     })
     triage = rows.where("page_id % 7 = 0").select("brand", "fingerprint_hash", F.lit("wontfix").alias("state"), F.lit("seen").alias("note")).distinct()
     return serving.with_triage(rows, triage)
@@ -506,9 +463,13 @@ def t4_select_shown(spark, sf):
     return serving.select_shown(served(spark, sf), 40).select("severity", "class", "fingerprint")
 
 
-@query(SERVED_SQL + """ SELECT 'meta' AS "check", class, CASE class WHEN 'missing_title' THEN 'missing meta title' WHEN 'title_length' THEN 'title length out of bounds' WHEN 'repeated_segment' THEN 'repeated segment in title'
-  WHEN 'missing_desc' THEN 'missing meta description' WHEN 'collision_slug' THEN 'address ends in -2' ELSE 'malformed slug' END AS issue, min_by(severity, rank) AS severity, CAST(sum(page_count) AS BIGINT) AS page_count, count(*) AS members, min(fingerprint) AS fingerprint
-  FROM (SELECT sv.*, CASE WHEN class IN ('collision_slug', 'malformed_slug') THEN slug ELSE substr(title, 1, 90) END AS snip FROM sv JOIN h USING (url)) GROUP BY class, snip""")
+SPAN_SQL = SERVED_SQL + f""", sp AS (SELECT class, CASE WHEN class IN ('collision_slug', 'malformed_slug') THEN slug ELSE substr(title, 1, 90) END AS snip,
+  CASE WHEN page_id % 2 = 0 THEN [u, {{more}}] ELSE [u] END AS keys FROM (SELECT sv.class, h.page_id, h.slug, h.title, {HOST.format(u="sv.url")} || regexp_replace({PATH.format(u="sv.url")}, '/+$', '') AS u, sv.url FROM sv JOIN h USING (url)))""".replace("{more}", HOST.format(u="url || '/more'") + " || " + PATH.format(u="url || '/more'"))
+
+
+@query(SPAN_SQL + """ SELECT 'meta' AS "check", class, CASE class WHEN 'missing_title' THEN 'missing meta title' WHEN 'title_length' THEN 'title length out of bounds' WHEN 'repeated_segment' THEN 'repeated segment in title'
+  WHEN 'missing_desc' THEN 'missing meta description' WHEN 'collision_slug' THEN 'address ends in -2' ELSE 'malformed slug' END AS issue, min_by(severity, rank) AS severity, CAST(CASE WHEN bool_and(named >= page_count) THEN distinct_pages ELSE greatest(sum(page_count), distinct_pages) END AS BIGINT) AS page_count, count(*) AS members, min_by(fingerprint, (rank, -page_count, fingerprint)) AS fingerprint
+  FROM (SELECT * FROM (SELECT sv.*, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS named, CASE WHEN class IN ('collision_slug', 'malformed_slug') THEN slug ELSE substr(title, 1, 90) END AS snip FROM sv JOIN h USING (url)) JOIN (SELECT class, snip, count(DISTINCT key) AS distinct_pages FROM (SELECT class, snip, unnest(keys) AS key FROM sp) GROUP BY class, snip) USING (class, snip)) GROUP BY class, snip, distinct_pages""")
 def t5_section_rows(spark, sf):
     return serving.section_rows(served(spark, sf))
 
@@ -556,20 +517,13 @@ FS_SQL = META_SQL + f", m AS (SELECT c.url, class, severity, CASE WHEN class IN
 
 
 @query(FS_SQL + rf""", x AS (SELECT url, class, severity, lower(substr(regexp_replace(snip, '\d+', 'N', 'g'), 1, 120)) AS shape FROM m),
-g AS (SELECT class, shape, count(DISTINCT url) AS page_count, min(url) AS url, min(severity) AS severity FROM x GROUP BY class, shape HAVING count(DISTINCT url) >= 3)
+g AS (SELECT class, shape, count(DISTINCT url) AS page_count, min(url) AS url, min_by(severity, CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS severity FROM x GROUP BY class, shape HAVING count(DISTINCT url) >= 3)
 SELECT url, class, {fp("'meta'", 'class', "'template'", 'shape')} AS fingerprint, severity, page_count, true AS template_wide FROM g
 UNION ALL SELECT url, class, {fp("'meta'", 'class', 'url')}, severity, 1, false FROM x WHERE (class, shape) NOT IN (SELECT (class, shape) FROM g)""")
 def a4_collapse_repeats(spark, sf):
     return collapse.collapse_repeats(page_rules.check_meta(pages(spark, sf)), checks=("meta",)).drop("check")
 
 
-@query(f"""WITH a AS (SELECT url, page_id, {SECTION} AS section FROM pages WHERE url IS NOT NULL), n AS (SELECT section, count(DISTINCT url) AS page_count, min(url) AS url, CAST(length({SEGS.format(u="url")}) AS INT) AS depth FROM a WHERE page_id % 3 = 0 GROUP BY section, CAST(length({SEGS.format(u="url")}) AS INT))
-SELECT section, depth, page_count, url FROM n WHERE page_count >= 2""")
-def a5_collapse_headings(spark, sf):
-    found = table(spark, sf, "pages").where("url is not null and page_id % 3 = 0").select("url", F.lit("multi_h1").alias("class"))
-    return collapse.collapse_headings(found)
-
-
 @query(f"""WITH a AS (SELECT DISTINCT url, regexp_extract(url, '^[^:]*://[^/]*', 0) AS root, list_filter(string_split(regexp_replace(url, '^[^:]*://[^/]*', ''), '/'), lambda s: s <> '') AS parts, CAST(page_id % 2 AS VARCHAR) AS finding, {HOST.format(u="url")} AS host FROM pages WHERE url IS NOT NULL),
 x AS (SELECT url, host AS finding, unnest(list_transform(range(0, length(parts) + 1), lambda i: CASE WHEN i = 0 THEN root ELSE root || '/' || array_to_string(parts[1:i], '/') END)) AS prefix FROM a),
 n AS (SELECT finding, count(DISTINCT url) AS n FROM x GROUP BY finding), k AS (SELECT finding, prefix, count(DISTINCT url) AS m FROM x GROUP BY finding, prefix),
@@ -589,10 +543,10 @@ def a6_rare_mentions(spark, sf):
 
 
 @query(rf"""WITH {D_SQL}, f AS (SELECT url, unnest(list_distinct(list_transform(regexp_extract_all(txt, '(?:\+?1[\s.-]?)?\(?[2-9]\d{{2}}\)?[\s.-]?[2-9]\d{{2}}[\s.-]?\d{{4}}'), lambda x: '+1' || right(regexp_replace(x, '[^0-9]', '', 'g'), 10)))) AS number FROM d)
-SELECT 'unknown' AS class, number, count(DISTINCT url) AS page_count, min(url) AS url, 'warning' AS severity FROM f GROUP BY number""")
+SELECT 'unknown' AS class, number, count(DISTINCT url) AS page_count, min(url) AS url, CASE WHEN bool_or(length(url) % 2 = 0) THEN 'warning' ELSE 'info' END AS severity FROM f GROUP BY number""")
 def a3_collapse_phone(spark, sf):
     seen = texts(spark, sf).select("url", F.explode(T.phones_in_text(F.col("visible_text"))).alias("matched"))
-    return collapse.collapse_phone(seen.withColumns({"class": F.lit("unknown"), "severity": F.lit("warning")}))
+    return collapse.collapse_phone(seen.withColumns({"class": F.lit("unknown"), "severity": F.when(F.length("url") % 2 == 0, "warning").otherwise("info")}))
 
 
 @query(f"""WITH {B_SQL}, l AS (SELECT brand, url, sha1(text) AS block, length(text) AS chars FROM b WHERE length(text) >= 40), p AS (SELECT brand, count(DISTINCT url) AS pages, sum(chars) AS chars FROM l GROUP BY brand),
@@ -620,8 +574,8 @@ ag AS (SELECT brand, url_key, CAST(sum(clicks) AS BIGINT) AS clicks, max_by(impr
 
 def raw_traffic(spark, sf):
     p = table(spark, sf, "pages")
-    n = p.count()
-    ev = table(spark, sf, "events").withColumn("page_id", F.col("user_id") % n)
+    n = F.broadcast(p.agg(F.count("*").alias("n_pages")))  # one row
+    ev = table(spark, sf, "events").crossJoin(n).withColumn("page_id", F.col("user_id") % F.col("n_pages"))
     u = F.col("url")
     return (
         ev.groupBy("page_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "view").alias("impressions"))
@@ -640,7 +594,7 @@ def a16_aggregate_traffic(spark, sf):
 
 
 REACH_SQL = RUNS_SQL.replace("WITH ", f"WITH {TR_SQL}, ", 1) + f""", fk AS (SELECT DISTINCT cur.class || ' ' || {HOST.format(u="cur.url")} AS id, {HOST.format(u="cur.url")} || regexp_replace({PATH.format(u="cur.url")}, '/+$', '') AS named FROM cur),
-rd AS (SELECT {HOST.format(u="url")} || regexp_replace({PATH.format(u="url")}, '/+$', '') AS named, {HOST.format(u="url")} AS url_key FROM pages WHERE page_id % 11 = 0 AND url IS NOT NULL AND regexp_replace({PATH.format(u="url")}, '/+$', '') <> ''),
+rd AS (SELECT {HOST.format(u="url")} || regexp_replace({PATH.format(u="url")}, '/+$', '') AS named, {HOST.format(u="url")} AS url_key FROM pages WHERE length(url) % 11 = 0 AND url IS NOT NULL AND regexp_replace({PATH.format(u="url")}, '/+$', '') <> ''),
 kk AS (SELECT id, fk.named, coalesce(rd.url_key, fk.named) AS url_key FROM fk LEFT JOIN (SELECT DISTINCT * FROM rd) rd USING (named)),
 kn AS (SELECT id, count(DISTINCT named) AS known FROM kk GROUP BY id), hit AS (SELECT id, count(*) AS matched, sum(clicks) AS clicks, sum(impressions) AS impressions, max(clicks) AS busiest FROM (SELECT DISTINCT id, url_key FROM kk) JOIN ag USING (url_key) GROUP BY id),
 re AS (SELECT id, known, greatest(known, known + 3) AS total, coalesce(matched, 0) AS matched, CAST(coalesce(clicks, 0) AS BIGINT) AS clicks, CAST(coalesce(impressions, 0) AS BIGINT) AS impressions, coalesce(busiest, 0) AS busiest FROM kn LEFT JOIN hit USING (id))"""
@@ -651,9 +605,13 @@ def reach(spark, sf):
     u = F.col("url")
     keys = now.select(F.concat_ws(" ", "class", T.host(u)).alias("id"), T.url_key(u).alias("url_key")).distinct()
     sizes = keys.groupBy("id").agg((F.count("*") + 3).alias("total"))
-    p = table(spark, sf, "pages").where("page_id % 11 = 0 and url is not null")
-    fetches = p.select("url", F.regexp_extract("url", "^[^:]*://[^/?#]*", 0).alias("final_url"), F.lit(200).alias("status"))
-    return traffic.finding_reach(keys.join(sizes, "id"), page_traffic(spark, sf), traffic.redirect_pairs(fetches))
+    return traffic.finding_reach(keys.join(sizes, "id"), page_traffic(spark, sf), traffic.redirect_pairs(fetches(spark, sf)))
+
+
+def fetches(spark, sf):
+    """Every page as fetched: addresses whose length is a multiple of 11 land on the front page of their host."""
+    landed = F.when(F.length("url") % 11 == 0, F.regexp_extract("url", "^[^:]*://[^/?#]*", 0)).otherwise(F.col("url"))
+    return table(spark, sf, "pages").where("url is not null").select("url", landed.alias("final_url"), F.lit(200).alias("status"))
 
 
 @query(REACH_SQL + " SELECT * FROM re")
@@ -670,12 +628,13 @@ def v14_reach_state(spark, sf):
     return r.select("id", "state", traffic.reach_short(F.col("state"), F.col("known"), F.col("total"), F.col("clicks"), F.col("impressions")).alias("words"))
 
 
-@query(f"""WITH {TR_SQL}, f AS (SELECT DISTINCT {HOST.format(u="url")} AS brand, {HOST.format(u="url")} || regexp_replace({PATH.format(u="url")}, '/+$', '') AS url_key FROM pages WHERE page_id % 2 = 0 AND url IS NOT NULL), t AS (SELECT DISTINCT brand, url_key FROM ag),
+@query(f"""WITH {TR_SQL}, f AS (SELECT DISTINCT {HOST.format(u="url")} AS brand, {HOST.format(u="url")} || regexp_replace({PATH.format(u="url")}, '/+$', '') AS url_key FROM pages WHERE url IS NOT NULL), t AS (SELECT DISTINCT brand, url_key FROM ag),
 g AS (SELECT brand, count(f.url_key) AS finding_pages, count(t.url_key) AS traffic_pages, count(*) FILTER (f.url_key IS NOT NULL AND t.url_key IS NOT NULL) AS "both" FROM f FULL OUTER JOIN t USING (brand, url_key) GROUP BY brand)
-SELECT brand, finding_pages, traffic_pages, "both", coalesce(round("both" / nullif(finding_pages, 0), 6), 0) AS findings_matched, coalesce(round("both" / nullif(traffic_pages, 0), 6), 0) AS traffic_matched FROM g""")
+SELECT brand, finding_pages, traffic_pages, "both", coalesce(round("both" / nullif(finding_pages, 0), 6), 0) AS findings_matched, coalesce(round("both" / nullif(traffic_pages, 0), 6), 0) AS traffic_matched,
+  CASE WHEN traffic_pages = 0 THEN 'not_connected' WHEN "both" >= 0.6 * finding_pages THEN '' WHEN "both" >= 0.5 * traffic_pages THEN 'limited_by_export' ELSE 'check_property' END AS cause FROM g""")
 def j15_match_report(spark, sf):
     u = F.col("url")
-    keys = table(spark, sf, "pages").where("page_id % 2 = 0 and url is not null").select(T.host(u).alias("brand"), T.url_key(u).alias("url_key"))
+    keys = table(spark, sf, "pages").where("url is not null").select(T.host(u).alias("brand"), T.url_key(u).alias("url_key"))
     return traffic.match_report(keys, page_traffic(spark, sf))
 
 
@@ -712,13 +671,13 @@ def a18_token_ledger(spark, sf):
 SELECT r.brand, r.token, array_to_string(list_sort(list(c.token)), ' ') AS candidates, r.freq, r.example_url AS url FROM lg r JOIN lg c ON r.brand = c.brand AND r.freq <= 3 AND c.freq >= 20 AND abs(length(r.token) - length(c.token)) <= 1
 WHERE damerau_levenshtein(r.token, c.token) = 1 AND r.token <> c.token || 's' AND r.token <> c.token || 'es' AND (r.ever_lower OR NOT c.ever_lower) GROUP BY r.brand, r.token, r.freq, r.example_url""")
 def j12_mined_typos(spark, sf):
-    found = mining.mined_typos(mining.token_ledger(blocks(spark, sf)), common_least=20)
+    found = mining.mined_typos(kept(mining.token_ledger(blocks(spark, sf)), "ledger"), common_least=20)
     return found.withColumn("candidates", F.array_join("candidates", " "))
 
 
 @query()
 def j14_british(spark, sf):
-    return mining.british_variants(mining.mined_typos(mining.token_ledger(blocks(spark, sf)), common_least=20))
+    return mining.british_variants(kept(mining.mined_typos(kept(mining.token_ledger(blocks(spark, sf)), "ledger"), common_least=20), "typos"))
 
 
 @query()
@@ -782,7 +741,12 @@ def a27_quantiles(spark, sf):
     return mining.visible_char_quantiles(pages(spark, sf).select(F.length("visible_text").alias("visible_chars")))
 
 
-@query(f"WITH {D_SQL} SELECT brand, count(*) AS kept FROM d WHERE NOT (regexp_matches(txt, '\\b(M\\.?D\\.?|Ph\\.?D\\.?|LCSW|LMFT|RN|MSW|PsyD|CADC)\\b') OR regexp_matches(txt, '(?i)\\b(he|she|they) (is|was|has|holds|earned|received|graduated|joined)\\b') OR (length(txt) < 260 AND regexp_matches(txt, '(?i)\\b(i|my|me)\\b') AND regexp_matches(txt, '(?i)\\b(great|amazing|best|love|loved|recommend|thank|wonderful|helped|saved)\\b'))) GROUP BY brand")
+def _sql_any(words: tuple[str, ...], flags: str = "") -> str:
+    return "'" + flags + r"\\b(" + "|".join(words).replace("'", "''") + r")\\b'"
+
+
+@query(f"""WITH {D_SQL} SELECT brand, count(*) AS kept FROM d WHERE NOT (regexp_matches(txt, {_sql_any(mining.CREDENTIALS)}) OR regexp_matches(txt, {_sql_any(mining.BIOGRAPHY)})
+  OR regexp_matches(txt, {_sql_any(mining.REVIEW_PHRASES, '(?i)')}) OR (length(txt) < 260 AND regexp_matches(txt, {_sql_any(mining.FIRST_PERSON)}) AND regexp_matches(txt, {_sql_any(mining.EVALUATIVE, '(?i)')}))) GROUP BY brand""".replace("\\\\", "\\"))
 def f11_person_review(spark, sf):
     t = texts(spark, sf)
     return t.where(~mining.person_or_review(F.col("visible_text"), F.col("url"))).groupBy("brand").agg(F.count("*").alias("kept"))

@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.operators import history, links, mining, page_rules, reference_data, serving, traffic
-from siftwell.plans.catalog import ALL_SQL, B_SQL, D_SQL, HOST, PATH, RUNS_SQL, TR_SQL, _all_findings, blocks, page_traffic, pages, parsed, query, table, texts, two_runs
+from siftwell.plans.catalog import ALL_SQL, B_SQL, D_SQL, HOST, PATH, RUNS_SQL, TR_SQL, _all_findings, blocks, fetches, page_traffic, pages, query, shared_folder, table, texts, two_runs
 from siftwell.sources import readers, sinks
 from siftwell.streaming import incremental
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share; on one machine without such a setting, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siftwell-", dir="/tmp")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def given(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").where("url is not null")
 
@@ -151,11 +142,10 @@ def f3_off_brand(spark, sf):
     return links.off_brand(landed)[1].select("url", "matched")
 
 
-@query(f"""WITH r AS (SELECT url, regexp_extract(url, '^[^:]*://[^/?#]*', 0) AS final_url FROM pages WHERE page_id % 11 = 0 AND url IS NOT NULL)
+@query(f"""WITH r AS (SELECT url, regexp_extract(url, '^[^:]*://[^/?#]*', 0) AS final_url FROM pages WHERE length(url) % 11 = 0 AND url IS NOT NULL)
 SELECT DISTINCT {HOST.format(u="url")} || regexp_replace({PATH.format(u="url")}, '/+$', '') AS url_key, {HOST.format(u="final_url")} AS final_key FROM r WHERE regexp_replace({PATH.format(u="url")}, '/+$', '') <> ''""")
 def j9_redirect_pairs(spark, sf):
-    p = given(spark, sf).where("page_id % 11 = 0")
-    return traffic.redirect_pairs(p.select("url", F.regexp_extract("url", "^[^:]*://[^/?#]*", 0).alias("final_url"), F.lit(200).alias("status")))
+    return traffic.redirect_pairs(fetches(spark, sf))
 
 
 @query(f"WITH {TR_SQL} SELECT CASE WHEN starts_with(url_key, 'www.') THEN substr(url_key, 5) ELSE url_key END AS url_key, clicks FROM ag")
@@ -178,10 +168,11 @@ def j22_traffic_period(spark, sf):
     return traffic.select_traffic_period(rows, imports).select("brand", "period", "source", "url_key", "measured", "capped")
 
 
-@query(f"""WITH m AS (SELECT {HOST.format(u="url")} AS g, url, page_id % 3 = 0 AS complete, page_id % 50 AS page_count FROM pages WHERE url IS NOT NULL)
-SELECT g AS "group", CASE WHEN bool_and(complete) THEN count(DISTINCT url) ELSE greatest(count(DISTINCT url), max(page_count)) END AS pages, bool_and(complete) AS complete FROM m GROUP BY g""")
+@query(f"""WITH m AS (SELECT {HOST.format(u="url")} AS g, {HOST.format(u="url")} || regexp_replace({PATH.format(u="url")}, '/+$', '') AS key, page_id % 3 AS n FROM pages WHERE url IS NOT NULL)
+SELECT g AS "group", CASE WHEN bool_and(n <= 1) THEN greatest(count(DISTINCT key), 1) ELSE greatest(CAST(sum(n) AS BIGINT), count(DISTINCT key)) END AS pages, bool_and(n <= 1) AS complete FROM m GROUP BY g""")
 def a17_union_reach(spark, sf):
-    return traffic.union_reach(given(spark, sf).select(T.host(F.col("url")).alias("group"), "url", (F.col("page_id") % 3 == 0).alias("complete"), (F.col("page_id") % 50).alias("page_count")))
+    members = given(spark, sf).select(T.host(F.col("url")).alias("group"), "url", F.lit(None).cast("array<string>").alias("sources"), (F.col("page_id") % 3).alias("page_count"))
+    return traffic.union_reach(members)
 
 
 @query("SELECT DISTINCT CAST(page_id % 7 AS VARCHAR) AS component FROM pages WHERE page_id % 7 < 3")
@@ -194,11 +185,12 @@ def o4_changed_components(spark, sf):
 # ---- numbers, brands, structured data
 
 PHONE_SQL = rf"""ph AS (SELECT brand, doc_id, '+1' || right(regexp_replace(unnest(regexp_extract_all(txt, '(?:\+?1[\s.-]?)?\(?[2-9]\d{{2}}\)?[\s.-]?[2-9]\d{{2}}[\s.-]?\d{{4}}')), '[^0-9]', '', 'g'), 10) AS e164 FROM d),
-nu AS (SELECT brand, e164, CASE WHEN min(doc_id % 3) = 0 THEN 'retired' ELSE 'location' END AS kind FROM ph WHERE doc_id % 2 = 0 GROUP BY brand, e164)"""
+nu AS (SELECT brand, e164, CASE WHEN min(doc_id % 3) = 0 THEN 'retired' ELSE 'location' END AS kind FROM ph WHERE right(e164, 1) NOT IN ('7', '8', '9') GROUP BY brand, e164)"""
 
 
 def numbers(spark, sf):
-    seen = texts(spark, sf).where("doc_id % 2 = 0").select("brand", "doc_id", F.explode(T.phones_in_text(F.col("visible_text"))).alias("e164"))
+    """The numbers of all documents but those that end in 7, 8 or 9: pages also show numbers that nobody's list has."""
+    seen = texts(spark, sf).select("brand", "doc_id", F.explode(T.phones_in_text(F.col("visible_text"))).alias("e164")).where("right(e164, 1) not in ('7', '8', '9')")
     return seen.groupBy("brand", "e164").agg(F.when(F.min(F.col("doc_id") % 3) == 0, "retired").otherwise("location").alias("kind"))
 
 
@@ -246,28 +238,6 @@ def r21_structured_data(spark, sf):
     return reference_data.check_structured_data(told, brands, none, p.select("brand", F.lit("a").alias("name"), F.lit("b").alias("address")).limit(0)).select("url", "class", "severity")
 
 
-@query(f"""WITH {B_SQL} SELECT brand, count(*) FILTER (list_contains(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), 'the')) AS hits, count(*) AS n FROM b GROUP BY brand""")
-def a31_defect_sweep(spark, sf):
-    hit = F.col("text").rlike(r"(?i)(?<![\p{L}\p{M}\p{N}_])the(?![\p{L}\p{M}\p{N}_])")
-    return blocks(spark, sf).groupBy("brand").agg(F.count_if(hit).alias("hits"), F.count("*").alias("n"))
-
-
-@query()
-def a30_hidden_text(spark, sf):
-    """Findings on the visible text and on all text, hidden included, by class."""
-    seen = parsed(spark, sf).select("url", "visible_text", "headings")
-    everything = seen.drop("visible_text").join(pages(spark, sf).select("url", "visible_text"), "url")
-    count = lambda df, name: page_rules.union(page_rules.check_blank(df), page_rules.check_empty_slot(df)).groupBy(F.regexp_replace("class", r"#\d+$", "").alias("class")).agg(F.count("*").alias(name))
-    return count(seen, "visible").join(count(everything, "all_text"), "class", "full_outer").na.fill(0)
-
-
-@query()
-def a24_templates(spark, sf):
-    """Largest classes and how few shapes are behind them."""
-    found = page_rules.check_empty_slot(texts(spark, sf)).withColumns({"shape": T.shape(F.col("matched")), "base": F.regexp_replace("class", r"#\d+$", "")})
-    return found.groupBy("base").agg(F.count("*").alias("findings"), F.count_distinct("shape").alias("shapes"), F.count_distinct("url").alias("pages"))
-
-
 @query()
 def t3_triage_order(spark, sf):
     _, now = two_runs(spark, sf)
@@ -275,12 +245,6 @@ def t3_triage_order(spark, sf):
     return serving.triage_order(rows).select("fingerprint", "severity")
 
 
-@query(RUNS_SQL + " SELECT cur.url, min(fingerprint) AS fingerprint FROM cur GROUP BY cur.url")
-def f13_locatable(spark, sf):
-    _, now = two_runs(spark, sf)
-    return now.groupBy("url").agg(F.min("fingerprint").alias("fingerprint"))
-
-
 # ---- streams over files of the tables
 
 
@@ -297,15 +261,6 @@ def st3_event_windows(spark, sf):
     return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query()
-def st1_findings_stream(spark, sf):
-    source = f"{sf}/pages.parquet"
-    raw = incremental.read_page_stream(spark, source + "*", "page_id long, url string, html string")
-    out = shared_folder(spark, "found")
-    incremental.findings_stream(raw.where("url is not null")).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(spark, "ck")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("url string, check string, class string, fingerprint string, severity string").parquet(out)
-
-
 @query("SELECT url, max_by(sha256(html), page_id) AS content_hash FROM pages WHERE url IS NOT NULL AND html IS NOT NULL GROUP BY url")
 def st4_latest_page(spark, sf):
     source = f"{sf}/pages.parquet"

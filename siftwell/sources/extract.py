@@ -21,7 +21,7 @@ PAGE_SCHEMA = (
     "actionables array<struct<pos:int,tag:string,text:string,href:string,classes:string,role:string,aria_label:string,has_js_hooks:boolean,in_nav:boolean,"
     "has_submenu:boolean,region:string,selector:string,group:int>>, "
     "blocks array<struct<pos:int,tag:string,text:string,region:string,group:int,has_media:boolean>>, "
-    "json_ld array<string>, unlabelled_fields int, viewport string"
+    "json_ld array<string>, unlabelled_fields int, viewport string, error string"
 )
 
 # fixed values
@@ -44,6 +44,10 @@ FURNITURE = re.compile(
 ICON = re.compile(r"(?:^|\s)(?:fa[srbld]?|fa-[\w-]+|e?icon|e?icon-[\w-]+|[\w-]*-icon|dashicons(?:-[\w-]+)?|material-icons|glyphicon)(?:\s|$)", re.I)
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 LD = "application/ld+json"
+HOOKS = ("onclick", "aria-controls", "aria-haspopup", "data-toggle", "data-bs-toggle", "data-target")
+HOOK_STARTS = ("data-elementor", "data-popup")
+HOOK_WORDS = ("popup", "modal", "toggle", "accordion", "tab")
+DROPDOWNS = frozenset("dropbtn dropdown dropdown-toggle submenu sub-menu has-children menu-item-has-children expander disclosure".split())
 
 
 class Node:
@@ -220,17 +224,19 @@ def stable_hash(html: str) -> str:
     return hashlib.sha256(kept.encode()).hexdigest()
 
 
-def extract(html: str, base: str, extra_css: str = "") -> dict:
+def extract(html: str, base: str, extra_css: str = "", keep_hidden: bool = False) -> dict:
     tree = Tree()
     try:
         tree.feed(html or "")
         tree.close()
-    except Exception:  # a page that the parser gives up on keeps what was read so far
-        pass
+        error = None
+    except Exception as e:  # a page that the parser gives up on keeps what was read so far
+        error = f"{type(e).__name__}: {e}"[:200]
     nodes = tree.nodes
+    links_below, menus = _menus(nodes)
     css = "\n".join("".join(c for c in n.children if isinstance(c, str)) for n in nodes if n.tag == "style") + "\n" + (extra_css or "")
     rules, complete = hiding_rules(css)
-    hidden = {n.number for n in nodes if _hidden(n, rules)}
+    hidden = set() if keep_hidden else {n.number for n in nodes if _hidden(n, rules)}
     dead = set(hidden)
     for n in nodes:
         if n.parent is not None and (n.parent.number in dead or n.parent.tag in SKIPPED and n.parent.tag != "head"):
@@ -258,14 +264,15 @@ def extract(html: str, base: str, extra_css: str = "") -> dict:
     for n in live:
         if n.tag in ("a", "button"):
             box = next((a for i, a in enumerate(n.ancestors()) if i < 4 and a.tag in LISTS), n.parent)
-            after = n.parent.children[n.parent.children.index(n) + 1 :]
-            sibling = next((c for c in after if isinstance(c, Node)), None)
+            sibling = menus.get(n.number)
             region = region_of(n)
+            classes = n.attrs.get("class", "").split()
+            hooks = any(n.attrs.get(k) for k in HOOKS) or any(k.startswith(HOOK_STARTS) for k in n.attrs) or any(w in c for c in classes for w in HOOK_WORDS) or any(c.lower() in DROPDOWNS for c in classes)
             actionables.append({
-                "pos": n.number, "tag": n.tag, "text": inner(n)[:120], "href": n.attrs.get("href"), "classes": n.attrs.get("class", ""), "role": n.attrs.get("role", ""),
-                "aria_label": n.attrs.get("aria-label", ""), "has_js_hooks": any(k.startswith(("on", "data-", "@", "x-", "v-")) or k == "aria-controls" for k in n.attrs),
-                "in_nav": region in ("nav", "header", "footer"), "region": region, "selector": css_path(n), "group": box.number,
-                "has_submenu": sibling is not None and sum(1 for x in nodes if x.tag == "a" and sibling in x.ancestors()) >= 2,
+                "pos": n.number, "tag": n.tag, "text": inner(n)[:120], "href": n.attrs["href"].strip() if "href" in n.attrs else None, "classes": n.attrs.get("class", ""), "role": n.attrs.get("role", ""),
+                "aria_label": n.attrs.get("aria-label") or n.attrs.get("title", ""), "has_js_hooks": hooks,
+                "in_nav": any(a.tag in ("nav", "header") for a in n.ancestors()), "region": region, "selector": css_path(n), "group": box.number,
+                "has_submenu": sibling is not None and links_below.get(sibling.number, 0) >= 2,
             })
         elif n.tag in BLOCK and not any(isinstance(d, Node) and d.tag in BLOCK for d in _below(n)):
             below = list(_below(n))
@@ -280,10 +287,28 @@ def extract(html: str, base: str, extra_css: str = "") -> dict:
         "headings": [{"level": int(n.tag[1]), "text": inner(n), "pos": n.number} for n in live if re.fullmatch("h[1-6]", n.tag)],
         "links": links, "actionables": actionables, "blocks": blocks,
         "json_ld": ["".join(c for c in n.children if isinstance(c, str)) for n in nodes if n.tag == "script" and n.attrs.get("type", "").lower() == LD],
-        "unlabelled_fields": len(bare), "viewport": named.get("viewport", ""),
+        "unlabelled_fields": len(bare), "viewport": named.get("viewport", ""), "error": error,
     }
 
 
+def _menus(nodes: list[Node]) -> tuple[dict[int, int], dict[int, Node]]:
+    """Links below each node, and for each node the next list, division or nav among its siblings: each in one pass."""
+    links: dict[int, int] = {}
+    for n in reversed(nodes):
+        own = links.get(n.number, 0)
+        links[n.parent.number] = links.get(n.parent.number, 0) + own + (n.tag == "a" and "href" in n.attrs)
+    after: dict[int, Node] = {}
+    for parent in {n.parent.number: n.parent for n in nodes}.values():
+        last = None
+        for child in reversed(parent.children):
+            if isinstance(child, Node):
+                if last is not None:
+                    after[child.number] = last
+                if child.tag in ("ul", "div", "nav"):
+                    last = child
+    return links, after
+
+
 def _below(node: Node) -> Iterator:
     stack = list(node.children)
     while stack:
@@ -293,8 +318,8 @@ def _below(node: Node) -> Iterator:
             stack.extend(item.children)
 
 
-def extract_pages(df: DataFrame, html_col: str = "html", base_col: str = "url", css_col: str | None = None, keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """``keep`` columns with the fields of ``PAGE_SCHEMA``; ``base_col`` resolves relative links."""
+def extract_pages(df: DataFrame, html_col: str = "html", base_col: str = "url", css_col: str | None = None, keep: tuple[str, ...] = ("url",), keep_hidden: bool = False) -> DataFrame:
+    """``keep`` columns with the fields of ``PAGE_SCHEMA``; ``base_col`` resolves relative links, ``error`` says what broke the parser."""
     fields = [df.schema[k] for k in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), PAGE_SCHEMA])
     css = F.col(css_col) if css_col else F.lit("")
@@ -306,7 +331,7 @@ def extract_pages(df: DataFrame, html_col: str = "html", base_col: str = "url",
         for frame in frames:
             for start in range(0, len(frame), 200):
                 part = frame.iloc[start : start + 200]
-                made = pd.DataFrame([extract(h, b, c) for h, b, c in zip(part["_html"], part["_base"], part["_css"])], index=part.index)
+                made = pd.DataFrame([extract(h, b, c, keep_hidden) for h, b, c in zip(part["_html"], part["_base"], part["_css"])], index=part.index)
                 yield pd.concat([part[list(keep)], made], axis=1)
 
     return given.mapInPandas(run, schema)

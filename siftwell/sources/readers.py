@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,11 +21,17 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, line, value: lines in the order of the file, whatever splits it is read in."""
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.text(path).select(*meta, F.monotonically_increasing_id().alias("line"), "value")
+
+
 def read_findings_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One finding a line; blank and broken lines are skipped, the first row of a fingerprint stays."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.from_json("value", FINDING).alias("f"))
+    lines = text_lines(spark, path).where(F.trim("value") != "").select("file", "block", "line", F.from_json("value", FINDING).alias("f"))
     good = lines.where("f.fingerprint is not null")
-    first = good.withColumn("rn", F.row_number().over(W.partitionBy("f.fingerprint").orderBy("file", "line"))).where("rn = 1")
+    first = good.withColumn("rn", F.row_number().over(W.partitionBy("f.fingerprint").orderBy("file", "block", "line"))).where("rn = 1")
     return first.select("f.*")
 
 
@@ -68,8 +76,7 @@ def sitemap_urls(docs: DataFrame, roots: list[str], depth: int = 3) -> tuple[Dat
         failed.append(read.where("xml is null").select("url"))
         pages.append(read.where("xml not like '%<sitemapindex%'").select(loc.alias("url")))
         level = read.where("xml like '%<sitemapindex%'").select(loc.alias("url")).distinct()
-    union = lambda frames: frames[0].union(frames[1]).union(frames[2]) if len(frames) == 3 else frames[0]
-    return union(pages).distinct(), union(failed).distinct()
+    return reduce(DataFrame.union, pages).distinct(), reduce(DataFrame.union, failed).distinct()
 
 
 def cms_listing_urls(docs: DataFrame) -> DataFrame:
@@ -83,11 +90,11 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_cache_latest(spark: SparkSession, path: str, version: str, now, max_hours: int = 48) -> DataFrame:
-    """Newest cached projection of each URL, of this rule version and young enough; torn lines are ignored."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.from_json("value", PROJECTION).alias("p"))
+    """Last cached projection of each URL, of this rule version and not known to be too old; torn lines are ignored."""
+    lines = text_lines(spark, path).select("file", "block", "line", F.from_json("value", PROJECTION).alias("p"))
     at = F.try_to_timestamp("p.fetched_at")
-    fresh = lines.where((F.col("p.url").isNotNull()) & (F.col("p.version") == version) & (at >= now - F.expr(f"interval {max_hours} hours")))
-    return fresh.groupBy(F.col("p.url").alias("_u")).agg(F.max_by("p", F.struct("file", "line")).alias("p")).select("p.*")
+    fresh = lines.where((F.col("p.url").isNotNull()) & (F.col("p.version") == version) & (at.isNull() | (at >= now - F.expr(f"interval {max_hours} hours"))))
+    return fresh.groupBy(F.col("p.url").alias("_u")).agg(F.max_by("p", F.struct("file", "block", "line")).alias("p")).select("p.*")
 
 
 def exclude_urls(df: DataFrame, parts: list[str]) -> DataFrame:

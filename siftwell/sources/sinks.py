@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators.history import upsert_triage
+from siftwell.operators.traffic import aggregate_traffic
 
 CSV_COLUMNS = ("url", "title", "check", "class", "severity", "status", "issue", "location", "snippet", "suggestion", "page_count", "n_sources", "fingerprint")
 
@@ -33,21 +37,38 @@ def write_summary(run: DataFrame, rollup: DataFrame, path: str) -> None:
     run.crossJoin(F.broadcast(counts)).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
+def _swap(spark: SparkSession, path: str, staged: str | None = None) -> None:
+    """Remove ``path`` and, if given, put the staged folder in its place."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    store.delete(target, True)
+    if staged:
+        store.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), target)
+
+
+def _replace_slice(rows: DataFrame, path: str, **slice_: str) -> None:
+    """Write ``rows`` as the one partition named; without rows the old partition goes."""
+    if rows.isEmpty():
+        _swap(rows.sparkSession, "/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in slice_.items())]))
+        return
+    named = rows.withColumns({k: F.lit(v) for k, v in slice_.items()})
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*slice_).parquet(path)
+
+
 def publish_run(found: DataFrame, audited: DataFrame, path: str, brand: str, run_id: str) -> bool:
     """Writes brand and run as one partition, replacing it; False and nothing written when no page was audited.
 
-    Spark's commit makes the files of the partition appear together.
+    Spark's commit makes the files of the partition appear together. A run without findings leaves no rows of an older one.
     """
     if audited.isEmpty():
         return False
-    rows = found.withColumns({"brand": F.lit(brand), "run_id": F.lit(run_id)})
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("brand", "run_id").parquet(path)
+    _replace_slice(found, path, brand=brand, run_id=run_id)
     return True
 
 
 def new_runs(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows of (brand, report_dir) that are not there yet."""
-    return incoming.join(existing.select("brand", "report_dir").distinct(), ["brand", "report_dir"], "left_anti")
+    """Rows of (brand, report_dir) that are not there yet, each once."""
+    return incoming.dropDuplicates(["brand", "report_dir"]).join(existing.select("brand", "report_dir").distinct(), ["brand", "report_dir"], "left_anti")
 
 
 def import_run(incoming: DataFrame, path: str) -> None:
@@ -57,7 +78,7 @@ def import_run(incoming: DataFrame, path: str) -> None:
     except Exception as e:  # the first import
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        fresh = incoming
+        fresh = incoming.dropDuplicates(["brand", "report_dir"])
     fresh.write.mode("append").parquet(path)
 
 
@@ -66,8 +87,28 @@ def merged_projection(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("url").distinct(), "url", "left_anti").unionByName(new)
 
 
-def store_triage(triage: DataFrame, decisions: DataFrame, path: str) -> None:
-    upsert_triage(triage, decisions).write.mode("overwrite").parquet(path)
+def store_projection(new: DataFrame, path: str) -> None:
+    """The stored projections with the new ones in place of theirs; ``new``: one row a URL."""
+    _store_merged(new, path, lambda old: merged_projection(old, new))
+
+
+def store_triage(decisions: DataFrame, path: str) -> None:
+    """The stored decisions with the new ones."""
+    _store_merged(decisions, path, lambda old: upsert_triage(old, decisions))
+
+
+def _store_merged(new: DataFrame, path: str, merged: Callable[[DataFrame], DataFrame]) -> None:
+    """Written beside the table that is read, then put in its place."""
+    spark = new.sparkSession
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+    except Exception as e:  # the first write
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = new.limit(0)
+    staged = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    merged(old).write.parquet(staged)
+    _swap(spark, path, staged)
 
 
 def write_history(found: DataFrame, components: DataFrame, path: str, partial_sample: bool) -> bool:
@@ -79,7 +120,10 @@ def write_history(found: DataFrame, components: DataFrame, path: str, partial_sa
     return True
 
 
-def store_traffic(rows: DataFrame, path: str, brand: str, period: str, source: str) -> None:
-    """Replace one slice of (brand, period, source)."""
-    sliced = rows.withColumns({"brand": F.lit(brand), "period": F.lit(period), "source": F.lit(source)})
-    sliced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("brand", "period", "source").parquet(path)
+def store_traffic(rows: DataFrame, path: str, brand: str, period: str, source: str, imports_path: str | None = None) -> None:
+    """Replace one slice of (brand, period, source); ``rows`` as exported. With ``imports_path``, record rows read and pages stored."""
+    pages = aggregate_traffic(rows) if "pos" in rows.columns else rows
+    _replace_slice(pages, path, brand=brand, period=period, source=source)
+    if imports_path:
+        counts = rows.agg(F.count("*").alias("rows_read"), F.count_distinct("url_key").alias("pages_stored"))
+        _replace_slice(counts, imports_path, brand=brand, period=period, source=source)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from siftwell.operators.page_rules import RULES
+from siftwell.operators.page_rules import RULES, body_blocks
 from siftwell.sources.extract import extract_pages
 
+ON_BLOCKS = ("corruption", "shattered", "duplicate_paragraph")
+ON_PAGES = ("meta", "heading_structure", "blank", "placeholder", "empty_slot", "lorem_page", "misspelling", "scope", "dead_cta", "social_misrouted", "duplicate_link", "empty_row", "markup")
 WINDOWLESS = ("meta", "blank", "lorem_page", "markup")  # rules without a window: each row of a micro-batch on its own
 
 
@@ -28,6 +31,26 @@ def findings_stream(pages: DataFrame) -> DataFrame:
     return out
 
 
+def page_findings(pages: DataFrame) -> DataFrame:
+    """Findings of all rules that need nothing but the page (columns of ``extract_pages``)."""
+    blocks = body_blocks(pages)
+    found = [RULES[name]["run"](pages) for name in ON_PAGES] + [RULES[name]["run"](blocks) for name in ON_BLOCKS]
+    return reduce(DataFrame.unionByName, found)
+
+
+def audit_batches(pages: DataFrame, out_path: str, errors_path: str, checkpoint: str):
+    """All page rules over each micro-batch of raw pages (url, html), as rules number repeats on a page. A batch is written whole and
+    overwrites itself when it runs again; pages that break the parser are listed beside the findings."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        parsed = extract_pages(batch).persist()
+        for rows, path in ((page_findings(parsed), out_path), (parsed.where("error is not null").select("url", "error"), errors_path)):
+            rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        parsed.unpersist()
+
+    return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def counters_stream(found: DataFrame) -> DataFrame:
     return found.groupBy("check", "severity").agg(F.count("*").alias("n"))
 

@@ -161,8 +161,10 @@ def test_traffic(spark):
     imports = spark.createDataFrame([("b", "2024-01", "csv", at, 1000), ("b", "2024-02", "csv", at, 1000), ("b", "2024-02", "api", at, 50)], "brand string, period string, source string, fetched_at timestamp, rows_read int")
     t = spark.createDataFrame([("b", "2024-02", "csv", "k", 1, 1, "unknown"), ("b", "2024-02", "api", "k", 2, 2, "measured")], "brand string, period string, source string, url_key string, clicks int, impressions int, value_state string")
     assert rows(traffic.select_traffic_period(t, imports), "source", "clicks", "measured", "capped") == [("api", 2, True, False)]
-    members = spark.createDataFrame([("g", "u1", True, 2), ("g", "u2", True, 2), ("h", "u1", True, 8), ("h", "u2", False, 1343)], "group string, url string, complete boolean, page_count int")
-    assert rows(traffic.union_reach(members), "group", "pages") == [("g", 2), ("h", 1343)]
+    u = lambda n: f"https://e.com/{n}"
+    members = [("g", u(1), None, 1), ("g", u(1), None, 1), ("g", u(9), [u(1), u(2)], 2), ("h", u(1), [u(1), u(2)], 2), ("h", u(3), [u(3)], 1343), ("i", u(1), None, 100), ("i", u(2), None, 50), ("j", u(1), None, None)]
+    members = spark.createDataFrame(members, "group string, url string, sources array<string>, page_count int")
+    assert rows(traffic.union_reach(members), "group", "pages", "complete") == [("g", 2, True), ("h", 1345, False), ("i", 150, False), ("j", 1, True)]
     fold = traffic.fold_sibling_host(spark.createDataFrame([("www.a.com/x",), ("www.b.com/x",)], "url_key string"), spark.createDataFrame([("www.a.com", "a.com")], "from_host string, to_host string"))
     assert rows(fold, "url_key") == [("a.com/x",), ("www.b.com/x",)]
 
