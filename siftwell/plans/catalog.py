@@ -488,16 +488,6 @@ def a14_facet(spark, sf):
     return serving.check_facet(served(spark, sf))
 
 
-@query(SERVED_SQL + " SELECT fingerprint, page_count FROM sv WHERE status = 'new' AND severity = 'error' ORDER BY page_count DESC, fingerprint LIMIT 20")
-def t6_digest(spark, sf):
-    return serving.new_error_digest(served(spark, sf)).select("fingerprint", "page_count")
-
-
-@query(SERVED_SQL + " SELECT count(*) AS untriaged, CASE WHEN count(*) = 0 THEN 0 ELSE 31 END AS oldest_days FROM sv WHERE severity = 'error' AND state = 'open'")
-def t7_untriaged(spark, sf):
-    return serving.untriaged_summary(served(spark, sf), F.lit("2024-02-01").cast("date"))
-
-
 @query(SERVED_SQL + """ SELECT fingerprint, CASE WHEN class = 'missing_title' THEN 1 WHEN starts_with(class, 'title') THEN 2 ELSE 3 END AS section_no FROM sv""")
 def j17_sections(spark, sf):
     sections = spark.createDataFrame([(1, "meta", "missing_title"), (2, "meta", "title_length"), (3, "meta", "*")], "section_no int, check string, class string")

@@ -66,8 +66,8 @@ def _sql_choice(kinds: dict[int, str]) -> str:
 MP_SQL = f"""mw AS (SELECT doc_id, source AS brand, length(coalesce(text, '')) % 12 AS k, regexp_extract_all(coalesce(text, ''), '[a-z]{{3,}}') AS w FROM documents),
 mt AS (SELECT *, 'https://' || coalesce(brand, 'none') || '.example.com/' || coalesce(w[1], 'x') || '/' || doc_id AS url, coalesce(array_to_string(w[1:5], ' '), '') AS title,
   coalesce(array_to_string(w[6:12], ' '), '') AS words_after, coalesce(array_to_string(w[1:30], ' '), '') AS para FROM mw),
-mp AS (SELECT *, CASE WHEN k % 3 = 0 THEN words_after ELSE '' END AS descr, [{{'level': 1, 'text': title}}] || CASE k WHEN 2 THEN [{{'level': 1, 'text': title || ' (copy)'}}] WHEN 3 THEN [{{'level': 3, 'text': 'deep'}}] WHEN 4 THEN [{{'level': 2, 'text': ''}}] ELSE [] END AS headings,
-  array_to_string(list_filter(['Home', title, CASE k WHEN 2 THEN title || ' (copy)' WHEN 3 THEN 'deep' ELSE '' END, para,
+mp AS (SELECT *, CASE WHEN k % 3 = 0 THEN words_after ELSE '' END AS descr, [{{'level': 1, 'text': title}}] || CASE k WHEN 2 THEN [{{'level': 1, 'text': trim(title || ' (copy)')}}] WHEN 3 THEN [{{'level': 3, 'text': 'deep'}}] WHEN 4 THEN [{{'level': 2, 'text': ''}}] ELSE [] END AS headings,
+  array_to_string(list_filter(['Home', title, CASE k WHEN 2 THEN trim(title || ' (copy)') WHEN 3 THEN 'deep' ELSE '' END, para,
     CASE k WHEN 0 THEN '[some_calculator] lorem ipsum dolor' WHEN 6 THEN para WHEN 7 THEN 'one' || chr(10) || 'three' || chr(10) || 'four' || chr(10) || 'five' WHEN 8 THEN 'View more' WHEN 10 THEN 'Serving across the county today' WHEN 11 THEN 'Same' || chr(10) || 'Same' ELSE '' END], lambda x: x <> ''), chr(10)) AS vis,
   '{PARTS[0]}' || title || '{PARTS[1]}' || CASE WHEN k % 3 = 0 THEN '<meta name="description" content="' || words_after || '">' ELSE '' END || {_sql_choice(HEAD)} || '{PARTS[2]}' || title || '{PARTS[3]}' || {_sql_choice(AFTER_H1)} || '{PARTS[4]}' || para || '{PARTS[5]}' || {_sql_choice(AFTER_P)} || '{PARTS[6]}' AS html FROM mt)"""
 
@@ -153,7 +153,7 @@ def x13_projection(spark, sf):
     return extract.to_projection(made_parsed(spark, sf)).withColumn("link_urls", F.array_join("link_urls", " "))
 
 
-@query(f"WITH {MP_SQL} SELECT url, sha1(array_to_string(list_filter([title, CASE k WHEN 2 THEN title || ' (copy)' WHEN 3 THEN 'deep' ELSE '' END, para, CASE k WHEN 0 THEN '[some_calculator] lorem ipsum dolor' WHEN 6 THEN para WHEN 7 THEN 'one' || chr(10) || 'three' || chr(10) || 'four' || chr(10) || 'five' WHEN 8 THEN 'View more' WHEN 10 THEN 'Serving across the county today' WHEN 11 THEN 'Same' || chr(10) || 'Same' ELSE '' END], lambda x: x <> ''), chr(10))) AS body_sha1 FROM mp WHERE para <> ''")
+@query(f"WITH {MP_SQL} SELECT url, sha1(array_to_string(list_filter([title, CASE k WHEN 2 THEN trim(title || ' (copy)') WHEN 3 THEN 'deep' ELSE '' END, para, CASE k WHEN 0 THEN '[some_calculator] lorem ipsum dolor' WHEN 6 THEN para WHEN 7 THEN 'one' || chr(10) || 'three' || chr(10) || 'four' || chr(10) || 'five' WHEN 8 THEN 'View more' WHEN 10 THEN 'Serving across the county today' WHEN 11 THEN 'Same' || chr(10) || 'Same' ELSE '' END], lambda x: x <> ''), chr(10))) AS body_sha1 FROM mp WHERE para <> ''")
 def x10_body_text(spark, sf):
     p = made_parsed(spark, sf).withColumn("body", extract.body_text())
     return p.where("exists(blocks, b -> b.tag = 'p' and b.text <> '')").where("title <> ''").select("url", F.sha1(F.col("body").cast("binary")).alias("body_sha1"))
@@ -186,6 +186,34 @@ def made_findings(spark, sf):
     return found.join(p.select("url", "brand", F.when(F.length("title") % 5 == 0, "rule_changed").otherwise("new").alias("status")), "url")
 
 
+ERRORS = "class IN ('label_leak', 'lorem_ipsum', 'shortcode', 'dead_cta')"
+
+
+@query(f"""WITH {MF_SQL} SELECT fingerprint, length(url) AS page_count FROM ms WHERE status = 'new' AND {ERRORS} ORDER BY page_count DESC, fingerprint LIMIT 20""")
+def t6_digest(spark, sf):
+    found = made_findings(spark, sf).withColumn("page_count", F.length("url").cast("long"))
+    return serving.new_error_digest(found).select("fingerprint", "page_count")
+
+
+@query(f"""WITH {MF_SQL} SELECT count(*) AS untriaged, 31 - min(length(url) % 5) AS oldest_days FROM ms WHERE status = 'new' AND {ERRORS} AND length(url) % 2 = 0""")
+def t7_untriaged(spark, sf):
+    n = F.length("url")
+    found = made_findings(spark, sf).withColumns({"state": F.when(n % 2 == 0, "open").otherwise("wontfix"), "first_seen": F.concat(F.lit("2024-01-0"), (n % 5 + 1).cast("string"))})
+    out = serving.untriaged_summary(found, F.lit("2024-02-01").cast("date"))
+    return out.withColumn("oldest_days", F.col("oldest_days").cast("long"))
+
+
+@query(f"""WITH {MF_SQL}, r AS (SELECT *, CASE WHEN {ERRORS} THEN 0 WHEN class = 'skipped' THEN 2 ELSE 1 END AS severity, CASE length(url) % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END AS state, '2024-01-0' || (length(url) % 5 + 1) AS seen FROM ms)
+SELECT fingerprint, row_number() OVER (ORDER BY state, severity, seen, sha256(fingerprint)) AS place FROM r QUALIFY place <= 50""")
+def t3_triage_order(spark, sf):
+    """The first fifty in the order of triage, numbered."""
+    n = F.length("url")
+    state = F.when(n % 3 == 0, "open").when(n % 3 == 1, "wontfix").otherwise("fixed")
+    found = made_findings(spark, sf).withColumns({"state": state, "first_seen": F.concat(F.lit("2024-01-0"), (n % 5 + 1).cast("string")), "fingerprint_hash": T.fp_hash(F.col("fingerprint"))})
+    top = serving.triage_order(found.select("fingerprint", "severity", "state", "first_seen", "fingerprint_hash")).limit(50)
+    return top.groupBy().agg(F.collect_list("fingerprint").alias("f")).select(F.posexplode("f").alias("place", "fingerprint")).select("fingerprint", (F.col("place") + 1).cast("long").alias("place"))
+
+
 @query(f"""WITH {MF_SQL}, g AS (SELECT brand, count(*) FILTER (status = 'new') AS open, count(*) FILTER (status = 'new' AND (check_ = 'actions' OR class = 'multi_h1')) AS "new", count(*) FILTER (status <> 'new') AS carried FROM ms GROUP BY brand)
 SELECT *, round(100.0 * "new" / greatest(open, 1), 1) AS percent FROM g""")
 def a24_new_check_share(spark, sf):

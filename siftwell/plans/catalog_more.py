@@ -238,13 +238,6 @@ def r21_structured_data(spark, sf):
     return reference_data.check_structured_data(told, brands, none, p.select("brand", F.lit("a").alias("name"), F.lit("b").alias("address")).limit(0)).select("url", "class", "severity")
 
 
-@query()
-def t3_triage_order(spark, sf):
-    _, now = two_runs(spark, sf)
-    rows = now.select("fingerprint", "severity", T.fp_hash(F.col("fingerprint")).alias("fingerprint_hash"), F.lit("open").alias("state"), F.lit("2024").alias("first_seen"))
-    return serving.triage_order(rows).select("fingerprint", "severity")
-
-
 # ---- streams over files of the tables
 
 

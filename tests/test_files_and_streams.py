@@ -37,6 +37,45 @@ def test_runs_sitemaps_listings_lists(spark, tmp_path):
     assert [r.url for r in readers.url_list(spark, f"file://{tmp_path}/list.txt").collect()] == ["http://h/a"]
 
 
+def test_sitemaps_of_any_depth(spark):
+    docs = [(f"m{i}", f"<sitemapindex><loc>m{i + 1}</loc><loc>lost{i}</loc></sitemapindex>") for i in range(4)] + [("m4", "<urlset><loc>http://h/deep</loc></urlset>")]
+    df = spark.createDataFrame(docs, "url string, xml string")
+    for depth in (1, 2, 3, 4, 5):
+        found, failed = readers.sitemap_urls(df, ["m0"], depth)
+        assert [r.url for r in found.collect()] == (["http://h/deep"] if depth == 5 else [])
+        assert sorted(r.url for r in failed.collect()) == [f"lost{i}" for i in range(depth - 1)]
+        shallow, _ = readers.sitemap_urls(df, ["m4"], depth)
+        assert [r.url for r in shallow.collect()] == ["http://h/deep"]
+
+
+def test_a_run_without_findings_leaves_no_old_rows(spark, tmp_path):
+    at = f"file://{tmp_path}/p"
+    found = spark.createDataFrame([("f", "u")], "fingerprint string, url string")
+    for run in ("r1", "r2"):
+        assert sinks.publish_run(found, found, at, "b", run)
+    assert sinks.publish_run(found.limit(0), found, at, "b", "r1")
+    assert [r.run_id for r in spark.read.parquet(at).collect()] == ["r2"]
+    rows = spark.createDataFrame([("b", "h", "open", "", 1)], "brand string, fingerprint_hash string, state string, note string, updated_at int")
+    sinks.store_triage(rows, f"{at}-t")
+    sinks.store_triage(rows.selectExpr("brand", "fingerprint_hash", "'fixed' state", "note", "2 updated_at"), f"{at}-t")
+    assert [r.state for r in spark.read.parquet(f"{at}-t").collect()] == ["fixed"]
+
+
+def test_the_stream_of_all_rules_equals_one_batch(spark, tmp_path):
+    from siftwell.plans import catalog_kernel
+    from siftwell.sources import extract
+
+    at = f"file://{tmp_path}"
+    pages = catalog_kernel.made_pages(spark, "/root/testdata/sf0.001").select("url", "html")
+    pages.repartition(5).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    for _ in range(2):
+        incremental.audit_batches(stream, f"{at}/out", f"{at}/errors", f"{at}/ck").awaitTermination()
+    got = sorted(r.fingerprint for r in spark.read.parquet(f"{at}/out").collect())
+    assert got == sorted(r.fingerprint for r in incremental.page_findings(extract.extract_pages(pages)).collect()) and len({f.split(":")[0] for f in got}) >= 8
+    assert spark.read.schema("url string, error string").parquet(f"{at}/errors").count() == 0
+
+
 def test_page_cache(spark, tmp_path):
     line = lambda url, v, at, t: json.dumps({"url": url, "version": v, "fetched_at": at, "title": t})
     (tmp_path / "c.jsonl").write_text("\n".join([line("u", "1", "2024-01-02T00:00:00Z", "old"), line("u", "1", "2024-01-02T01:00:00Z", "new"), line("v", "0", "2024-01-02T00:00:00Z", "x"), line("w", "1", "2023-12-01T00:00:00Z", "x"), '{"url":"t']))

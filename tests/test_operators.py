@@ -169,6 +169,33 @@ def test_traffic(spark):
     assert rows(fold, "url_key") == [("a.com/x",), ("www.b.com/x",)]
 
 
+def test_reach_sentences_and_details(spark):
+    cases = [("weighted", 2, 9, 2, 1, 1200, 1, False, True, ""), ("zero", 1, 1, 1, 0, 0, 0, None, True, ""), ("unmatched", 3, 3, 0, 0, 0, 0, True, True, ""), ("unmatched", 1, 1, 0, 0, 0, 0, None, True, ""), ("by_design", 1, 1, 0, 0, 0, 0, None, True, "why"), ("not_connected", 1, 1, 0, 0, 0, 0, None, True, "")]
+    names = "state known total matched clicks impressions busiest capped measured reason".split()
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, state string, known int, total int, matched int, clicks int, impressions int, busiest int, capped boolean, measured boolean, reason string")
+    c = {n: F.col(n) for n in names}
+    said = [r[0] for r in df.orderBy("i").select(traffic.reach_sentence(period=F.lit("May"), **c)).collect()]
+    assert said[0] == "Search traffic, May: at least 1 visit and 1,200 impressions. The busiest affected page had 1 visit. Checked on the 2 of 9 affected pages that are listed by name."
+    assert "No search impressions" in said[1] and "1,000 pages" in said[2] and "gap in the matching" in said[3] and said[4:] == ["why", ""]
+    told = spark.createDataFrame([('{"class":"x","n":3}',), ("{broken",), (None,)], "d string").select(T.detail(F.col("d"), "class"), T.detail(F.col("d"), "n"))
+    assert [tuple(r) for r in told.collect()] == [("x", "3"), (None, None), (None, None)]
+
+
+def test_severities_are_merged_by_rank(spark):
+    found = spark.createDataFrame([(f"https://e.com/{i}", "c", "x", f"f{i}", s, "same 1", None) for i, s in enumerate(["info", "warning", "warning"])], "url string, check string, class string, fingerprint string, severity string, matched string, snippet string")
+    assert rows(collapse.collapse_repeats(found, checks=("c",)), "severity", "page_count") == [("warning", 3)]
+    phones = found.withColumn("class", F.lit("unknown"))
+    assert rows(collapse.collapse_phone(phones), "severity", "page_count") == [("warning", 3)] and collapse.phone_sources(phones).count() == 3
+
+
+def test_added_pages_boards_and_health(spark):
+    f = spark.createDataFrame([("u", "enumeration", "noindex_unsitemapped"), ("u", "meta", "thin"), ("u", "phone", "unknown"), ("u", "phone", "malformed"), ("v", "meta", "thin")], "url string, check string, class string")
+    assert rows(serving.on_added_pages(f), "check", "class") == [("meta", "thin"), ("phone", "malformed")]
+    assert rows(serving.health(f, f.limit(2), f.limit(0)), "brands", "runs", "findings") == [(5, 2, 0)]
+    r = spark.createDataFrame([("r1", "error", "new"), ("r1", "error", "resolved"), ("r1", "info", "new")], "run_id string, severity string, status string")
+    assert rows(serving.run_list(r), "run_id", "open_errors", "new") == [("r1", 1, 2)]
+
+
 def test_reach_counts_a_destination_once(spark):
     pages_of = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "c", 9)], "id int, url_key string, total int")
     t = spark.createDataFrame([("b", 5, 50), ("a", 7, 70)], "url_key string, clicks int, impressions int")
