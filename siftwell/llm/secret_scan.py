@@ -112,12 +112,13 @@ def scan_unseen(df: DataFrame, ledger: DataFrame | None = None, rules: Sequence[
     """
     version = rule_version(rules)
     texts = df.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.dropDuplicates(["blob"])  # first, as each task then sends one copy of a blob that many rows have
     number = F.lit(1)
     if ledger is not None:
         known = ledger.where(F.col("rule_version") == version)
         number = F.lit((known.agg(F.max("scan")).first()[0] or 0) + 1)
         texts = texts.join(known.select("blob"), "blob", "left_anti")
-    return texts.dropDuplicates(["blob"]).select("blob", F.lit(version).alias("rule_version"), number.cast("int").alias("scan"), find_spans(F.col("text"), rules).alias("spans"))
+    return texts.select("blob", F.lit(version).alias("rule_version"), number.cast("int").alias("scan"), find_spans(F.col("text"), rules).alias("spans"))
 
 
 def join_back(
