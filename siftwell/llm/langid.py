@@ -216,13 +216,15 @@ def _fit_threshold(fit: list[tuple], held: list[tuple], number: dict[str, int],
 def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, seed: int) -> list[tuple]:
     """A bounded sample, as bucket counts made on the executors, of each text and of its shuffled form: at most ``per_lang`` rows of each language.
 
-    The first draws of each language are chosen without their texts, so a rare language loses nothing to frequent ones; what is
-    chosen is less than the sample that comes back, and so it is sent to all tasks.
+    Of each language somewhat more than wanted is drawn by a hash and ranked by it, without the texts, so a rare language loses nothing to
+    frequent ones and no task ranks more than that; counts and choice are less than the sample that comes back, and so they are sent to all tasks.
     """
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2))
     usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
-    chosen = usable.groupBy("lang", "draw").agg(F.lit(1).alias("one")).withColumn("rank", rank).where(F.col("rank") <= per_lang).select("lang", "draw")
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language, where the sample has up to per_lang
+    share = F.least(F.lit(1_000_000), F.floor(F.lit(1.2e6 * per_lang) / F.col("n")) + 1)
+    few = usable.select("lang", "draw").join(F.broadcast(counts), "lang").where(F.pmod("draw", F.lit(1_000_000)) < share).select("lang", "draw").distinct()
+    chosen = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("draw"))).where(F.col("rank") <= per_lang).select("lang", "draw")
     drawn = usable.join(F.broadcast(chosen), ["lang", "draw"]).select("lang", "text", "draw").dropDuplicates(["lang", "draw"])
 
     def run(batches: Iterator) -> Iterator:
