@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwell.operators.page_rules import LOREM_PAGE, RULES, URL_IN_TEXT, check_known_misspellings, check_scope, lorem_markers
+from siftwell.functions import text as T
+from siftwell.operators.page_rules import LOREM_PAGE, RULES, URL_IN_TEXT, check_known_misspellings, check_scope, findings, lorem_markers, numbered
 from siftwell.sources.extract import extract_pages
 
 # fixed values
+SURFACES = (("visible_text", "page text"), ("title", "search-result title"), ("meta_description", "search-result description"))
+OPENED_WORD = r"(?:(?:^|[.!?:;“\"])\s*)?[A-Za-z][A-Za-z']*(?:-[A-Za-z']+)*"
+ENDINGS = ("s", "es", "'s", "ed", "d", "ing", "ly", "er", "ers", "est")
 TOKEN = r"[A-Za-z][A-Za-z'’-]*"
 PLACE_AFTER = r"^\s*,\s*(?:A[KLRZ]|C[AOT]|D[CE]|FL|GA|HI|I[ADLN]|K[SY]|LA|M[ADEINOST]|N[CDEHJMVY]|O[HKR]|P[AR]|RI|S[CD]|T[NX]|UT|V[AT]|W[AIVY])\b"
 BRITISH = (
@@ -208,6 +212,71 @@ def unknown_words(words: DataFrame, dictionary: DataFrame, allowed: DataFrame |
     return words.select("brand", "token").distinct().join(ok, ["brand", "token"], "left_anti")
 
 
+def page_words(pages: DataFrame) -> DataFrame:
+    """``pages``: url, brand, visible_text, title, meta_description. Words a dictionary can judge: url, brand, turn, location, word, original (as first written).
+
+    Words of four letters or more without inner capitals; a capital counts as a name unless it opens a sentence.
+    """
+    surfaces = F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(where).alias("location"), F.translate(F.col(c), "’‘", "''").alias("text")) for i, (c, where) in enumerate(SURFACES)])
+    texts = pages.select("url", "brand", F.explode(surfaces).alias("s")).where("s.text <> ''")
+    found = texts.select("url", "brand", "s.turn", "s.location", F.posexplode(F.regexp_extract_all("s.text", F.lit(OPENED_WORD), F.lit(0))).alias("pos", "raw"))
+    original = F.regexp_replace("raw", "^[^A-Za-z]+|['-]+$", "")
+    opens = ~F.col("raw").rlike("^[A-Z]")
+    fit = found.withColumn("original", original).where(F.col("original").rlike("^[a-z][a-z'-]{3,}$") | (opens & F.col("original").rlike("^[A-Z][a-z'-]{3,}$")))
+    return fit.groupBy("url", "brand", "turn", "location", F.lower("original").alias("word")).agg(F.min_by("original", "pos").alias("original"))
+
+
+def inflection_stems(word: Column) -> Column:
+    """What the word may be an ending of: the bare stem, with an e, or with y for i."""
+    stems = []
+    for s in ENDINGS:
+        stem = F.substring(word, F.lit(1), F.length(word) - len(s))
+        fits = word.endswith(s) & (F.length(stem) >= 3)
+        short = F.substring(stem, F.lit(1), F.length(stem) - 1)
+        stems += [F.when(fits, stem), F.when(fits, F.concat(stem, F.lit("e"))), F.when(fits & stem.endswith("i"), short), F.when(fits & stem.endswith("i"), F.concat(short, F.lit("y")))]
+    return F.array_compact(F.array(*stems))
+
+
+def corrections(unknown: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``unknown``: word; ``dictionary``: token, freq. word, fix: the most frequent token one edit away, else two; ties by letters."""
+    no_brand = F.lit("").alias("brand")
+    words, sums = unknown.select(F.col("word").alias("token")).distinct(), dictionary.groupBy("token").agg(F.max("freq").alias("freq"))
+    best = lambda pairs: pairs.join(sums.withColumnRenamed("token", "common"), "common").groupBy(F.col("rare").alias("word")).agg(F.min(F.struct(-F.col("freq"), "common"))["common"].alias("fix"))
+    one = best(fuzzy_pairs(words.select(no_brand, "token"), sums.select(no_brand, "token")))
+    left = words.join(one.select(F.col("word").alias("token")), "token", "left_anti")
+    return one.unionByName(best(fuzzy_pairs_two(left, sums)))
+
+
+def check_vocabulary(pages: DataFrame, dictionary: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """``pages``: as for ``page_words``. ``dictionary``: token, freq. ``allowed``: token, of one word or several. Findings, with ``fix`` (null: none).
+
+    Words in texts, titles, descriptions and the last part of the address that no list, no inflection and no word of the brand's name or
+    host explains; of words with hyphens, each part of four letters or more is judged. Off by default: most of what it finds is rare, not wrong.
+    """
+    pages = pages.withColumn("brand", F.coalesce("brand", F.lit("")))
+    last = F.regexp_extract(F.regexp_replace(T.path(F.col("url")), "/+$", ""), "[^/]*$", 0)
+    slugs = pages.select("url", "brand", F.lit(-1).alias("turn"), F.lit("page address").alias("location"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(last), F.lit("[a-z]{4,}"), F.lit(0)))).alias("word")).withColumn("original", F.col("word"))
+    seen = page_words(pages).unionByName(slugs)
+    names = F.regexp_extract_all(F.lower(F.concat_ws(" ", "brand", F.regexp_extract("url", "^[^:]*://[^/?#]*", 0))), F.lit("[a-z]{3,}"), F.lit(0))
+    of_brand = pages.select("brand", F.explode(names).alias("token")).distinct()
+    lists = dictionary.select("token")
+    if allowed is not None:
+        each = F.explode(F.concat(F.array(F.lower("token")), F.filter(F.split(F.lower("token"), r"[\s/]+"), lambda p: F.length(p) >= 3)))
+        lists = lists.union(allowed.select(each.alias("token")))
+    words = seen.select("brand", "word").distinct()
+    parts = words.select("brand", "word", F.explode(F.when(F.contains("word", F.lit("-")), F.filter(F.split("word", "-"), lambda p: F.length(p) >= 4)).otherwise(F.array("word"))).alias("part"))
+    forms = parts.select("brand", "word", "part", F.explode(F.concat(F.array("part"), inflection_stems(F.col("part")))).alias("token"))
+    key = ["brand", "word", "part"]
+    fine = forms.join(lists.distinct(), "token", "left_semi").select(*key).union(forms.join(of_brand, ["brand", "token"], "left_semi").select(*key)).distinct()
+    whole = words.withColumn("token", F.col("word")).join(lists.distinct(), "token", "left_semi").select("brand", "word")
+    bad = parts.join(fine, key, "left_anti").select("brand", "word").distinct().join(whole, ["brand", "word"], "left_anti")
+    wrong = numbered(seen.join(bad, ["brand", "word"]).withColumn("in_slug", F.col("turn") < 0), ["word", "in_slug"], ["turn"])
+    slot = F.when(F.col("in_slug"), "slug").otherwise(T.slot("word", F.col("nth")))
+    issue = F.concat(F.lit("possible misspelling: "), F.col("original"))
+    found = findings(wrong, "spelling", slot, F.when(F.col("in_slug"), "error").otherwise("warning"), [F.col("word")], issue, F.col("location"), F.col("original"), F.col("word"))
+    return found.join(corrections(bad, dictionary).withColumnRenamed("word", "matched"), "matched", "left").select(*found.columns, "fix")
+
+
 def domain_vocabulary(words: DataFrame, unknown: DataFrame, common: DataFrame, brands: int = 2, contexts: int = 3, span: int = 6, dictionary: DataFrame | None = None, two_edits: int = 10) -> DataFrame:
     """``words``: brand, url, at, token. ``unknown``, ``common``, ``dictionary``: token. Unknown words over all sites, classed.
 

@@ -82,16 +82,21 @@ def check_phones_dial(pages: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 @rule("phone_page", ("phone", "numbers"), reads_visible_text=True)
-def check_phones_page(pages: DataFrame, numbers: DataFrame, hotlines: DataFrame | None = None) -> DataFrame:
-    """``pages``: url, brand, visible_text. Numbers in the text that are not the brand's: retired, hotline or unknown."""
+def check_phones_page(pages: DataFrame, numbers: DataFrame, hotlines: DataFrame | None = None, judge_unlisted: bool = True) -> DataFrame:
+    """``pages``: url, brand, visible_text. Numbers in the text that are not the brand's: retired, hotline or unknown.
+
+    A brand whose numbers are all of kind ``flat`` has only a list of its own: what the list lacks is non_canonical, not unknown.
+    Of brands without any number, all numbers are unknown; without ``judge_unlisted`` their pages are not judged.
+    """
+    lists = numbers.groupBy("brand").agg(F.bool_and(F.col("kind") == "flat").alias("flat"))
     seen = pages.select("url", "brand", F.explode(T.phones_in_text(F.col("visible_text"))).alias("e164"))
     own = numbers.groupBy("brand", "e164").agg(F.min(F.when(F.col("kind") == "retired", 1).otherwise(0)).alias("retired"))
-    joined = seen.join(own, ["brand", "e164"], "left").where("retired is null or retired = 1")
+    joined = seen.join(lists, "brand", "left" if judge_unlisted else "inner").join(own, ["brand", "e164"], "left").where("retired is null or retired = 1")
     if hotlines is not None:
         joined = joined.join(hotlines.select("e164", F.lit(True).alias("hotline")).distinct(), "e164", "left")
     else:
         joined = joined.withColumn("hotline", F.lit(None).cast("boolean"))
-    cls = F.when(F.col("retired") == 1, "retired").when(F.col("hotline"), "hotline").otherwise("unknown")
+    cls = F.when(F.col("retired") == 1, "retired").when(F.col("hotline"), "hotline").when(F.col("flat"), "non_canonical").otherwise("unknown")
     severity = F.when(F.col("cls") == "retired", "error").when(F.col("cls") == "hotline", "info").otherwise("warning")
     return findings(joined.withColumn("cls", cls), "phone", F.col("cls"), severity, [F.col("e164")], F.concat(F.col("cls"), F.lit(" number on the page")), matched=F.col("e164"))
 

@@ -91,6 +91,39 @@ def r2_headings(spark, sf):
     return page_rules.check_headings(made_parsed(spark, sf)).select(*RULE_COLUMNS)
 
 
+WORD_RULE = mining.OPENED_WORD.replace("'", "''")
+STEMS_SQL = ", ".join(
+    f"CASE WHEN ends_with(part, '{e}') AND length(part) >= {len(e) + 3} {more} THEN {form} END".replace("{stem}", f"left(part, length(part) - {len(e)})").replace("{short}", f"left(part, length(part) - {len(e) + 1})")
+    for e in (x.replace("'", "''") for x in mining.ENDINGS if "'" not in x)
+    for more, form in (("", "{stem}"), ("", "{stem} || 'e'"), ("AND right({stem}, 1) = 'i'", "{short}"), ("AND right({stem}, 1) = 'i'", "{short} || 'y'"))
+)
+
+
+@query(f"""WITH {MP_SQL}, vp AS (SELECT url || '/' || replace(title, ' ', '-') AS url, coalesce(brand, '') AS brand, vis, title, descr FROM mp),
+sf AS (SELECT url, brand, 0 AS turn, 'page text' AS location, vis AS t FROM vp UNION ALL SELECT url, brand, 1, 'search-result title', title FROM vp UNION ALL SELECT url, brand, 2, 'search-result description', descr FROM vp),
+rw AS (SELECT url, brand, turn, location, unnest(regexp_extract_all(t, '{WORD_RULE}')) AS raw FROM sf), ow AS (SELECT *, regexp_replace(raw, '^[^A-Za-z]+|[''-]+$', '', 'g') AS o FROM rw),
+se AS (SELECT DISTINCT url, brand, turn, location, lower(o) AS word FROM ow WHERE regexp_matches(o, '^[a-z][a-z''-]{{3,}}$') OR (regexp_matches(o, '^[A-Z][a-z''-]{{3,}}$') AND NOT regexp_matches(raw, '^[A-Z]'))
+  UNION SELECT url, brand, -1, 'page address', unnest(regexp_extract_all(lower(regexp_extract(rtrim(url, '/'), '[^/]*$')), '[a-z]{{4,}}')) FROM vp),
+di AS (SELECT token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS token FROM benchmark) GROUP BY token),
+li AS (SELECT token FROM di UNION SELECT unnest([lower(r_name)] || list_filter(string_split(lower(r_name), ' '), lambda x: length(x) >= 3)) FROM region),
+br AS (SELECT DISTINCT brand, unnest(regexp_extract_all(lower(brand || ' ' || regexp_extract(url, '^[^:]*://[^/?#]*')), '[a-z]{{3,}}')) AS token FROM vp), wo AS (SELECT DISTINCT brand, word FROM se),
+pa AS (SELECT brand, word, unnest(CASE WHEN contains(word, '-') THEN list_filter(string_split(word, '-'), lambda x: length(x) >= 4) ELSE [word] END) AS part FROM wo),
+fo AS (SELECT brand, word, part, unnest([part, {STEMS_SQL}]) AS token FROM pa), ok AS (SELECT brand, word, part FROM fo WHERE token IN (SELECT token FROM li) OR (brand, token) IN (SELECT brand, token FROM br)),
+ba AS (SELECT DISTINCT brand, word FROM pa WHERE (brand, word, part) NOT IN (SELECT brand, word, part FROM ok) AND word NOT IN (SELECT token FROM li)),
+ne AS (SELECT word, token, freq, damerau_levenshtein(word, token) AS far FROM (SELECT DISTINCT word FROM ba) JOIN di ON abs(length(word) - length(token)) <= 2 WHERE damerau_levenshtein(word, token) <= 2),
+fx AS (SELECT word, token AS fix FROM ne QUALIFY row_number() OVER (PARTITION BY word ORDER BY far, freq DESC, token) = 1),
+nm AS (SELECT se.*, row_number() OVER (PARTITION BY url, word, turn < 0 ORDER BY turn) - 1 AS nth FROM se JOIN ba USING (brand, word)),
+cl AS (SELECT *, CASE WHEN turn < 0 THEN 'slug' WHEN nth = 0 THEN 'word' ELSE 'word#' || nth END AS class FROM nm)
+SELECT url, class, {fp("'spelling'", 'class', 'url', 'word')} AS fingerprint, CASE WHEN turn < 0 THEN 'error' ELSE 'warning' END AS severity, location, word AS matched, fix FROM cl LEFT JOIN fx USING (word)""")
+def r12_vocabulary(spark, sf):
+    """The benchmark's words are the dictionary, names of regions the allow list; an address ends in the words of the title."""
+    p = made_parsed(spark, sf).withColumn("url", F.concat("url", F.lit("/"), F.translate("title", " ", "-")))
+    heard = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("token"))
+    names = table(spark, sf, "region").select(F.col("r_name").alias("token"))
+    found = mining.check_vocabulary(kept(p, "parsed"), heard.groupBy("token").agg(F.count("*").alias("freq")), names)
+    return found.select("url", "class", "fingerprint", "severity", "location", "matched", "fix")
+
+
 @query(f"WITH {MP_SQL} " + _kind(0, "placeholder", "lorem_ipsum", "error") + " UNION ALL " + _kind(0, "placeholder", "shortcode", "error", "'[some_calculator]'"))
 def r4_placeholder(spark, sf):
     return page_rules.check_placeholder(made_parsed(spark, sf)).select(*RULE_COLUMNS)

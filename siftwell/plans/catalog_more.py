@@ -205,6 +205,14 @@ def r16_phones_page(spark, sf):
     return reference_data.check_phones_page(texts(spark, sf), numbers(spark, sf)).select("url", "class", "matched")
 
 
+@query(f"""WITH {D_SQL}, {PHONE_SQL}, b AS (SELECT brand FROM nu GROUP BY brand HAVING bool_or(kind <> 'retired')), fl AS (SELECT brand FROM b WHERE length(brand) % 2 = 0), o AS (SELECT brand, e164 FROM nu WHERE kind <> 'retired')
+SELECT DISTINCT 'doc://' || ph.brand || '/' || ph.doc_id AS url, CASE WHEN ph.brand IN (SELECT brand FROM fl) THEN 'non_canonical' ELSE 'unknown' END AS class, ph.e164 AS matched FROM ph JOIN b ON ph.brand = b.brand WHERE (ph.brand, ph.e164) NOT IN (SELECT brand, e164 FROM o)""")
+def r16_flat_lists(spark, sf):
+    """Brands whose name has an even length have a flat list of live numbers in place of a sheet."""
+    live = numbers(spark, sf).where("kind <> 'retired'").withColumn("kind", F.when(F.length("brand") % 2 == 0, "flat").otherwise(F.col("kind")))
+    return reference_data.check_phones_page(texts(spark, sf), live, judge_unlisted=False).select("url", "class", "matched")
+
+
 @query(f"WITH {D_SQL}, {PHONE_SQL} SELECT DISTINCT brand FROM d WHERE brand NOT IN (SELECT brand FROM nu)")
 def a32_validate_numbers(spark, sf):
     national = numbers(spark, sf).withColumn("kind", F.lit("national"))

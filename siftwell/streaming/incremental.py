@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftwell.operators.page_rules import RULES, body_blocks
 from siftwell.sources.extract import extract_pages
@@ -71,42 +71,34 @@ def annotate_batches(found: DataFrame, history_path: str, out_path: str, checkpo
     return found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class LatestPerUrl(StatefulProcessor):
-    """Keeps the newest hash of each URL; emits new, changed or unchanged for every arrival that is not older than it."""
+def changes_of_url(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+    """new, changed or unchanged for every arrival that is not older than what the state knows; the state is the newest hash and its time."""
+    import pandas as pd
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "content_hash string, fetched_at timestamp")
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator:  # noqa: N802
-        import pandas as pd
-
-        url = key[0]
-        for frame in rows:
-            out = []
-            for r in frame.sort_values("fetched_at").itertuples():
-                old = self.last.get() if self.last.exists() else None
-                if old is not None and pd.Timestamp(old[1]) > pd.Timestamp(r.fetched_at):
-                    continue
-                change = "new" if old is None else "unchanged" if old[0] == r.content_hash else "changed"
-                self.last.update((r.content_hash, r.fetched_at))
-                out.append((url, r.content_hash, r.fetched_at, change))
-            yield pd.DataFrame(out, columns=["url", "content_hash", "fetched_at", "change"])
-
-    def close(self) -> None:
-        pass
+    for frame in frames:
+        out = []
+        for r in frame.sort_values(["fetched_at", "content_hash"]).itertuples():
+            old = state.get if state.exists else None
+            if old is not None and pd.Timestamp(old[1]) > r.fetched_at:
+                continue
+            change = "new" if old is None else "unchanged" if old[0] == r.content_hash else "changed"
+            state.update((r.content_hash, r.fetched_at.to_pydatetime()))
+            out.append((key[0], r.content_hash, r.fetched_at, change))
+        yield pd.DataFrame(out, columns=["url", "content_hash", "fetched_at", "change"])
 
 
 def page_changes(pages: DataFrame, late: str = "48 hours") -> DataFrame:
-    """``pages``: url, content_hash, fetched_at. The last arrival of a URL wins; pages older than ``late`` are dropped. State is one hash a URL."""
-    return (
-        pages.withWatermark("fetched_at", late)
-        .groupBy("url")
-        .transformWithStateInPandas(LatestPerUrl(), "url string, content_hash string, fetched_at timestamp, change string", "Append", "None")
-    )
+    """``pages``: url, content_hash, fetched_at. The last arrival of a URL wins; pages older than ``late`` are dropped. State is one hash a URL.
+
+    The event-time timeout is never set: it is there as only with it late rows are dropped. Any state store will do.
+    """
+    kind = "content_hash string, fetched_at timestamp"
+    timed = pages.where("url is not null and fetched_at is not null").withWatermark("fetched_at", late)
+    return timed.groupBy("url").applyInPandasWithState(changes_of_url, f"url string, {kind}, change string", kind, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_in_batches(pages: DataFrame, out_path: str, checkpoint: str):
-    """Last line of each URL by micro-batch, for engines without a state store that Python reaches."""
+    """Last line of each URL by micro-batch, without state."""
 
     def write(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy("url").agg(F.max_by("content_hash", "fetched_at").alias("content_hash"), F.max("fetched_at").alias("fetched_at"))

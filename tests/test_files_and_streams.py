@@ -152,3 +152,23 @@ def test_last_line_of_a_url_wins(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
     incremental.latest_in_batches(stream, f"{at}/out", f"{at}/ck").awaitTermination()
     assert sorted((r.url, r.content_hash) for r in spark.read.parquet(f"{at}/out").collect()) == [("u", "b"), ("v", "c")]
+
+
+def test_page_changes_keep_one_hash_a_url_over_batches(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    schema = "url string, content_hash string, fetched_at timestamp"
+    say = lambda *rows: spark.sql("select url, content_hash, cast(at as timestamp) as fetched_at from values " + ", ".join(map(str, rows)) + " as t(url, content_hash, at)").coalesce(1).write.mode("append").parquet(f"{at}/in")
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(f"{at}/in")
+        query = incremental.page_changes(stream).writeStream.format("parquet").option("checkpointLocation", f"{at}/ck").trigger(availableNow=True).start(f"{at}/out")
+        query.awaitTermination()
+        return sorted((r.url, r.content_hash, r.change) for r in spark.read.schema(f"{schema}, change string").parquet(f"{at}/out").collect())
+
+    say(("u", "a", "2024-01-01"), ("v", "c", "2024-01-02"))
+    first = [("u", "a", "new"), ("v", "c", "new")]
+    assert run() == first
+    say(("u", "b", "2024-01-03"), ("v", "c", "2024-01-03"))
+    assert run() == sorted(first + [("u", "b", "changed"), ("v", "c", "unchanged")])
+    say(("u", "z", "2024-01-02"), ("w", "d", "2024-01-03"), ("x", "e", "2023-12-30"))  # u: older than what is known, x: older than 48 hours
+    assert run() == sorted(first + [("u", "b", "changed"), ("v", "c", "unchanged"), ("w", "d", "new")])

@@ -52,3 +52,34 @@ def test_run_together_has_long_parts_and_long_real_words(spark, tmp_path):
 
     got = {r.token for r in catalog.r9_run_together(spark, path).collect()}
     assert got == {w for w in rare if brute(w)} == {"bestrehabcalifornia", "treatmentcenterscalifornia"}
+
+
+def test_vocabulary_findings_names_endings_compounds_and_slugs(spark):
+    rows = [
+        ("https://h.com/a/treatmant-center/", "acme", "Tretment works. Tretment again, said Krier. We’ll re-admitt stressors at acme EMDR. Ready-made", "treatment tretment", None),
+        ("https://h.com/b", None, "", "", ""),
+        ("https://h.com/c", "acme", None, "McDonald isotoni newport carries", None),
+    ]
+    pages = spark.createDataFrame(rows, "url string, brand string, visible_text string, title string, meta_description string")
+    words = "treatment works again said stressor ready made center carry".split()
+    dictionary = spark.createDataFrame([(w, 9) for w in words] + [("treatments", 2), ("admit", 3), ("we'll", 5)], "token string, freq int")
+    allowed = spark.createDataFrame([("Newport Beach",)], "token string")
+    got = {(r.url[14:], r["class"], r.location, r.matched, r.fix) for r in mining.check_vocabulary(pages, dictionary, allowed).collect()}
+    text, title = "page text", "search-result title"
+    assert got == {
+        ("a/treatmant-center/", "word", text, "tretment", "treatment"), ("a/treatmant-center/", "word#1", title, "tretment", "treatment"), ("a/treatmant-center/", "word", text, "re-admitt", None),
+        ("a/treatmant-center/", "slug", "page address", "treatmant", "treatment"), ("c", "word", title, "isotoni", None),
+    }
+    assert mining.check_vocabulary(pages.limit(0), dictionary).count() == 0
+
+
+def test_flat_lists_and_brands_without_numbers(spark):
+    from siftwell.operators import reference_data
+
+    pages = spark.createDataFrame([(f"u{b}", b, "call (212) 555-0123 or (310) 555-0199") for b in ("flat", "sheet", "none")], "url string, brand string, visible_text string")
+    numbers = spark.createDataFrame([("flat", "+12125550123", "flat"), ("sheet", "+12125550123", "national")], "brand string, e164 string, kind string")
+    got = {(r.url, r["class"], r.matched) for r in reference_data.check_phones_page(pages, numbers, judge_unlisted=False).collect()}
+    want = {("uflat", "non_canonical", "+13105550199"), ("usheet", "unknown", "+13105550199")}
+    assert got == want
+    got = {(r.url, r["class"], r.matched) for r in reference_data.check_phones_page(pages, numbers).collect()}
+    assert got == want | {("unone", "unknown", "+12125550123"), ("unone", "unknown", "+13105550199")}
