@@ -63,7 +63,9 @@ def check_phones_dial(pages: DataFrame, numbers: DataFrame) -> DataFrame:
     """``pages``: url, brand, actionables. Every tel: link against its text and the owners of the number it dials."""
     tel = pages.select("url", "brand", F.explode("actionables").alias("a")).where((F.col("a.tag") == "a") & F.lower(F.trim("a.href")).startswith("tel:"))
     raw = F.trim(F.expr("substring(trim(a.href), 5)"))
-    tel = tel.select("url", "brand", F.col("a.pos").alias("pos"), F.col("a.text").alias("shown"), raw.alias("raw")).withColumn("decoded", F.coalesce(F.try_url_decode("raw"), "raw"))
+    tel = tel.select("url", "brand", F.col("a.pos").alias("pos"), F.col("a.text").alias("shown"), raw.alias("raw"))
+    plain = F.regexp_replace(F.replace("raw", F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")  # a plus sign stands for itself, as does a percent sign without two digits
+    tel = tel.withColumn("decoded", F.coalesce(F.try_url_decode(plain), "raw"))
     tel = tel.withColumns({"dials": T.e164_us(F.col("decoded")), "shows": F.when(F.col("shown").rlike(r"\d"), T.e164_us(F.col("shown")))})
     encoded = findings(tel.where("raw <> decoded"), "phone", "encoded_tel", "warning", [F.col("raw")], "tel: address is URL-encoded", F.lit("tel"), matched=F.col("raw"))
     malformed = findings(tel.where("dials is null"), "phone", "malformed", "warning", [F.col("decoded")], "malformed tel: number", F.lit("tel"), matched=F.col("decoded"))

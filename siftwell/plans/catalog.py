@@ -192,12 +192,36 @@ def r5_empty_slot(spark, sf):
     return page_rules.check_empty_slot(texts(spark, sf)).select(*RULE_COLUMNS, "matched")
 
 
-@query()
+def sql_list(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+TRIPLE = "|".join(c * 2 + c + "+" for c in "abcdefghijklmnopqrstuvwxyz")
+LETTER = r"\p{L}\p{Mn}\p{Nd}_"  # of words, whose edges are those of the patterns
+PAIRED_SQL = rf"""wi AS (SELECT url, pos, l, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT url, pos, regexp_extract_all(clean, '[{LETTER}]+|[^{LETTER}]+') AS l FROM c)),
+pw AS (SELECT url, pos, i, word, word || l[i + 1] || l[i + 2] AS matched, CASE WHEN regexp_full_match(word, '[A-Za-z]{{2,}}') AND regexp_full_match(l[i + 1], '[ \t\r\f\x0B]+') AND lower(word) = lower(l[i + 2]) THEN 'doubled_word'
+  WHEN regexp_full_match(word, '[A-Za-z]{{2,}}') AND l[i + 1] = '.' AND regexp_full_match(l[i + 2], '[A-Z][a-z]{{2,}}') THEN 'missing_space' END AS cls FROM wi),
+pr AS (SELECT *, i - 2 * row_number() OVER (PARTITION BY url, pos, cls ORDER BY i) AS island FROM pw WHERE cls IS NOT NULL),
+pa AS (SELECT *, row_number() OVER (PARTITION BY url, pos, cls, island ORDER BY i) AS j FROM pr)"""
+
+
+@query(rf"""WITH {B_SQL}, c AS (SELECT url, pos, regexp_replace(text, '{page_rules.URL_IN_TEXT}', ' ', 'g') AS clean FROM b), {PAIRED_SQL},
+m AS (SELECT url, pos, cls, matched, i FROM pa WHERE j % 2 = 1 AND NOT (cls = 'doubled_word' AND lower(word) IN ({sql_list(page_rules.LEGIT_DOUBLE)}))
+    AND NOT (cls = 'missing_space' AND (lower(word) IN ({sql_list(page_rules.ABBREVIATIONS)}) OR split_part(lower(matched), '.', 2) IN ({sql_list(page_rules.TLD)})))
+  UNION ALL SELECT url, pos, 'repeated_letters', word, i FROM wi WHERE regexp_full_match(word, '[a-z]*(?:{TRIPLE})[a-z]*')
+  UNION ALL SELECT url, pos, 'stacked_punctuation', unnest(l), generate_subscripts(l, 1) FROM (SELECT url, pos, regexp_extract_all(clean, '[?!]\s*\.|[,;:]\s*[,;:]|\.{{4,}}') AS l FROM c)),
+n AS (SELECT *, row_number() OVER (PARTITION BY url, cls, lower(matched) ORDER BY pos, i) - 1 AS nth FROM m), s AS (SELECT url, cls || CASE WHEN nth = 0 THEN '' ELSE '#' || nth END AS class, matched FROM n)
+SELECT url, class, {fp("'empty_slot'", 'class', 'url', 'lower(matched)')} AS fingerprint, 'warning' AS severity, matched FROM s""")
 def r6_corruption(spark, sf):
     return page_rules.check_corruption(blocks(spark, sf)).select(*RULE_COLUMNS, "matched")
 
 
-@query()
+@query(rf"""WITH {B_SQL}, c AS (SELECT *, regexp_replace(text, '{page_rules.URL_IN_TEXT}', ' ', 'g') AS clean FROM b),
+w AS (SELECT *, list_transform(regexp_extract_all(clean, '[A-Za-z0-9][A-Za-z0-9''’-]*'), lambda x: lower(x)) AS words FROM c WHERE length(regexp_extract_all(clean, '[{{}};]|\w+-\w+:')) < 3),
+o AS (SELECT *, length(list_filter(words, lambda x: regexp_full_match(x, '[a-z]{{1,2}}') AND x NOT IN ({sql_list(page_rules.SHORT_WORDS)}))) AS odd FROM w),
+k AS (SELECT url, lower(substr(text, 1, 60)) AS key, row_number() OVER (PARTITION BY url, lower(substr(text, 1, 60)) ORDER BY pos) - 1 AS nth FROM o WHERE length(words) >= 12 AND odd >= 5 AND odd * 10 >= length(words)),
+s AS (SELECT url, key, 'shattered_text' || CASE WHEN nth = 0 THEN '' ELSE '#' || nth END AS class FROM k)
+SELECT url, class, {fp("'empty_slot'", 'class', 'url', 'key')} AS fingerprint, 'error' AS severity FROM s""")
 def r7_shattered(spark, sf):
     return page_rules.check_shattered(blocks(spark, sf)).select(*RULE_COLUMNS)
 
@@ -665,7 +689,16 @@ def j12_mined_typos(spark, sf):
     return found.withColumn("candidates", F.array_join("candidates", " "))
 
 
-@query()
+def _sql_british(uk: str, us: str) -> str:
+    if uk.endswith("$"):
+        return f"(ends_with(token, '{uk[:-1]}') AND left(token, length(token) - {len(uk) - 1}) || '{us}' = correct)"
+    return f"(contains(token, '{uk}') AND regexp_replace(token, '{uk}', '{us}') = correct)"
+
+
+@query(f"""WITH {B_SQL}, {LEDGER_SQL}, ty AS (SELECT r.brand, r.token, min(c.token) AS correct, r.example_url AS url FROM lg r JOIN lg c ON r.brand = c.brand AND r.freq <= 3 AND c.freq >= 20 AND abs(length(r.token) - length(c.token)) <= 1
+WHERE damerau_levenshtein(r.token, c.token) = 1 AND r.token <> c.token || 's' AND r.token <> c.token || 'es' AND (r.ever_lower OR NOT c.ever_lower) GROUP BY r.brand, r.token, r.example_url),
+mk AS (SELECT *, {" OR ".join(_sql_british(*pair) for pair in mining.BRITISH)} AS british FROM ty), site AS (SELECT brand, min(url) AS url, count(*) AS n FROM mk WHERE british GROUP BY brand HAVING count(*) >= 2)
+SELECT brand, 'british_spelling' AS class, '' AS token, url, n FROM site UNION ALL SELECT brand, 'mined', token, url, 1 FROM mk WHERE NOT british OR brand NOT IN (SELECT brand FROM site)""")
 def j14_british(spark, sf):
     return mining.british_variants(kept(mining.mined_typos(kept(mining.token_ledger(blocks(spark, sf)), "ledger"), common_least=20), "typos"))
 
@@ -767,7 +800,16 @@ def a8_contrast(spark, sf):
     return found.select("fg", "bg", "elements", "pages", F.round("ratio", 2).alias("ratio"))
 
 
-@query()
+STEPS = ", ".join(f"CAST(round(f{i} * (1 - t)) AS INT) AS d{i}, CAST(round(f{i} + (255 - f{i}) * t) AS INT) AS l{i}" for i in (1, 2, 3))
+CONTRAST = "(greatest({a}, lb) + 0.05) / (least({a}, lb) + 0.05)"
+
+
+@query(f"""WITH {C_SQL}, c AS (SELECT DISTINCT fg, bg, page_id * 7 % 256 AS f1, page_id * 5 % 256 AS f2, page_id % 3 * 60 AS f3, CASE WHEN page_id % 2 = 0 THEN 255 ELSE 138 END AS b1, CASE WHEN page_id % 2 = 0 THEN 255 ELSE 138 END AS b2, CASE WHEN page_id % 2 = 0 THEN 255 ELSE 138 END AS b3 FROM m),
+s AS (SELECT *, {STEPS}, {LUM.format(c="f")} AS lf, {LUM.format(c="b")} AS lb FROM (SELECT *, unnest(range(1, 101)) AS k, k / 100.0::DOUBLE AS t FROM c)),
+u AS (SELECT *, {LUM.format(c="d")} AS ld, {LUM.format(c="l")} AS ll FROM s),
+g AS (SELECT fg, bg, round(min({CONTRAST.format(a="lf")}), 4) AS ratio, min({CONTRAST.format(a="lf")}) >= 4.5 AS fine, min(k) FILTER ({CONTRAST.format(a="ld")} >= 4.5) AS dark, min(k) FILTER ({CONTRAST.format(a="ll")} >= 4.5) AS light FROM u GROUP BY fg, bg)
+SELECT g.fg, g.bg, ratio, CASE WHEN fine THEN g.fg WHEN dark IS NOT NULL AND (light IS NULL OR dark <= light) THEN format('#{{:02x}}{{:02x}}{{:02x}}', d1, d2, d3) WHEN light IS NOT NULL THEN format('#{{:02x}}{{:02x}}{{:02x}}', l1, l2, l3) END AS suggested
+FROM g JOIN u ON g.fg = u.fg AND g.bg = u.bg AND u.k = CASE WHEN fine THEN 1 WHEN dark IS NOT NULL AND (light IS NULL OR dark <= light) THEN dark ELSE coalesce(light, 1) END""")
 def a9_nearest_colour(spark, sf):
     found = contrast.collapse_contrast(colours(spark, sf))
     return found.select("fg", "bg", "ratio", "suggested")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.operators import history, links, mining, page_rules, reference_data, serving, traffic
-from siftwell.plans.catalog import ALL_SQL, B_SQL, D_SQL, HOST, PATH, RUNS_SQL, TR_SQL, _all_findings, blocks, fetches, page_traffic, pages, query, shared_folder, table, texts, two_runs
+from siftwell.plans.catalog import ALL_SQL, B_SQL, D_SQL, HOST, P_SQL, PATH, RUNS_SQL, SEGS, TR_SQL, _all_findings, blocks, fetches, page_traffic, pages, query, shared_folder, table, texts, two_runs
 from siftwell.sources import readers, sinks
 from siftwell.streaming import incremental
 
@@ -42,13 +42,21 @@ def k4_publish_run(spark, sf):
 
 @query("SELECT DISTINCT url FROM pages WHERE url IS NOT NULL AND NOT regexp_matches(url, '[<\\s]')")
 def s5_sitemaps(spark, sf):
-    """An index of sitemaps of a host's pages, a thousand ids each, made of the pages and read back through the index."""
+    """Sitemaps of a thousand ids each under three levels of indexes of a thousand children each, made of the pages and read back from the root."""
     p = given(spark, sf).where(~F.col("url").rlike(r"[<\s]"))
-    leaves = p.select(F.concat_ws(":", F.lit("map"), T.host(F.col("url")), F.expr("cast(page_id div 1000 as string)")).alias("url"), F.concat(F.lit("<loc>"), "url", F.lit("</loc>")).alias("loc"))
-    maps = leaves.groupBy("url").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("loc"), ""), F.lit("</urlset>")).alias("xml"))
-    names = maps.select(F.concat(F.lit("<loc>"), "url", F.lit("</loc>")).alias("loc"))
-    index = names.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list("loc"), ""), F.lit("</sitemapindex>")).alias("xml")).select(F.lit("index").alias("url"), "xml")
-    return readers.sitemap_urls(maps.unionByName(index), ["index"])[0]
+
+    def made(rows: DataFrame, tag: str) -> DataFrame:
+        loc = F.concat(F.lit("<loc>"), "child", F.lit("</loc>"))
+        return rows.groupBy("url", "k").agg(F.concat(F.lit(f"<{tag}>"), F.array_join(F.collect_list(loc), ""), F.lit(f"</{tag}>")).alias("xml"))
+
+    above = lambda level: (F.concat(F.lit(f"{level}:"), F.expr("cast(k div 1000 as string)")).alias("url"), F.expr("k div 1000").alias("k"), F.col("url").alias("child"))
+    level = made(p.withColumn("k", F.col("page_id")).select(*above("map")), "urlset")
+    docs = level
+    for name in ("part", "index"):
+        level = made(level.select(*above(name)), "sitemapindex")
+        docs = docs.unionByName(level)
+    root = made(level.select(F.lit("root").alias("url"), F.lit(0).cast("long").alias("k"), F.col("url").alias("child")), "sitemapindex")  # one child for each 10^9 ids
+    return readers.sitemap_urls(docs.unionByName(root).select("url", "xml"), ["root"], depth=4)[0]
 
 
 # ---- runs
@@ -90,25 +98,30 @@ def w8_error_trend(spark, sf):
     return history.error_trend(runs(spark, sf), 2).select("brand", "run_id", "scaled")
 
 
-@query(f"""WITH {RUN_ROWS} SELECT brand, run_id, CASE WHEN pages_audited = 0 THEN 'refused_empty' WHEN errors < pages_audited * 0.5 THEN 'refused_low_yield' ELSE 'ok' END AS verdict FROM ru""")
+@query(f"""WITH {RUN_ROWS} SELECT brand, run_id, CASE WHEN errors = 0 AND pages_audited % 2 = 1 THEN 'refused_blocked' WHEN errors = 0 THEN 'refused_empty' WHEN pages_audited = 0 AND run_id > 1 THEN 'ok' WHEN errors < pages_audited * 0.5 THEN 'refused_low_yield' ELSE 'ok' END AS verdict FROM ru""")
 def a26_crawl_verdict(spark, sf):
-    rows = runs(spark, sf).withColumns({"enumerated": F.col("pages_audited"), "fetched": F.col("pages_audited"), "ok": F.col("errors"), "blocked": F.lit(0), "from_cache": F.lit(0)})
+    rows = runs(spark, sf).withColumns({"enumerated": F.col("errors"), "fetched": F.col("pages_audited"), "ok": F.col("errors"), "blocked": F.col("pages_audited") % 2, "from_cache": F.col("run_id") - 1})
     return history.crawl_verdict(rows).select("brand", "run_id", "verdict")
 
 
-@query(RUNS_SQL + """ SELECT cur.fingerprint, CASE WHEN cur.url IN (SELECT url FROM pages WHERE page_id % 6 = 0) THEN 'wontfix' ELSE 'open' END AS state FROM cur""")
+@query(RUNS_SQL + """ SELECT cur.fingerprint, CASE WHEN cur.url IN (SELECT url FROM pages WHERE page_id % 6 = 0) THEN 'wontfix' ELSE 'open' END AS state,
+CASE WHEN cur.url IN (SELECT url FROM pages WHERE page_id % 6 = 0) THEN 'n' WHEN cur.url IN (SELECT url FROM pages WHERE page_id % 6 = 1) THEN 'rule changed; was fixed' END AS note FROM cur""")
 def j4_merge_triage(spark, sf):
+    """Every sixth page has decisions, every next one decisions on fingerprints that its changed rule no longer makes."""
     before, now = two_runs(spark, sf)
-    decided = given(spark, sf).where("page_id % 6 = 0").select("url")
-    triage = now.join(decided, "url", "left_semi").select("fingerprint", "url", "check", F.lit("wontfix").alias("state"), F.lit("n").alias("note"), F.lit(1).alias("pos"))
-    return history.merge_triage(now, triage, spark.createDataFrame([("none",)], "check string")).select("fingerprint", "state")
+    on = lambda k: now.join(given(spark, sf).where(F.col("page_id") % 6 == k).select("url"), "url", "left_semi")
+    decided = on(0).select("fingerprint", "url", "check", F.lit("wontfix").alias("state"), F.lit("n").alias("note"), F.lit(1).alias("pos"))
+    orphans = on(1).select(F.concat(F.lit("old:"), "fingerprint").alias("fingerprint"), "url", "check", F.lit("fixed").alias("state"), F.lit("o").alias("note"), F.lit(2).alias("pos"))
+    return history.merge_triage(now, decided.unionByName(orphans), now.select("check").distinct()).select("fingerprint", "state", "note")
 
 
-@query(RUNS_SQL + """ SELECT cur.fingerprint, CASE WHEN pri.fingerprint IS NULL THEN 'new' ELSE 'persisting' END AS status FROM cur LEFT JOIN pri USING (fingerprint)""")
+@query(RUNS_SQL + """ SELECT cur.fingerprint, CASE WHEN pri.fingerprint IS NULL THEN 'new' ELSE 'persisting' END AS status FROM cur LEFT JOIN pri USING (fingerprint) WHERE cur.url NOT IN (SELECT url FROM pages WHERE page_id % 9 = 0 AND url IS NOT NULL)""")
 def j20_attach_pass(spark, sf):
+    """What the run has already, here the findings of every ninth page, is not attached again."""
     before, now = two_runs(spark, sf)
+    there = now.join(given(spark, sf).where("page_id % 9 = 0").select("url"), "url", "left_semi")
     earlier = before.select(F.lit("b").alias("brand"), "check", F.lit(1).alias("run_id"), "fingerprint", "first_seen")
-    return history.attach_pass(now.withColumn("brand", F.lit("b")), earlier, now.limit(0)).select("fingerprint", "status")
+    return history.attach_pass(now.withColumn("brand", F.lit("b")), earlier, there).select("fingerprint", "status")
 
 
 @query(RUNS_SQL + """ SELECT sha256(fingerprint) AS fingerprint_hash, CASE WHEN page_id % 2 = 0 THEN 'fixed' ELSE 'open' END AS state FROM cur JOIN ids USING (url)""")
@@ -175,11 +188,15 @@ def a17_union_reach(spark, sf):
     return traffic.union_reach(members)
 
 
-@query("SELECT DISTINCT CAST(page_id % 7 AS VARCHAR) AS component FROM pages WHERE page_id % 7 < 3")
+@query(f"""WITH s AS (SELECT page_id, {HOST.format(u="url")} || '/' || coalesce({SEGS.format(u="url")}[1], '') AS component, length(coalesce(html, '')) AS n FROM pages WHERE url IS NOT NULL),
+a AS (SELECT component, sum(n) AS v FROM s WHERE page_id % 10 <> 0 GROUP BY component), b AS (SELECT component, sum(n) AS v FROM s WHERE page_id % 10 <> 1 GROUP BY component)
+SELECT component FROM a FULL OUTER JOIN b USING (component) WHERE a.v IS DISTINCT FROM b.v""")
 def o4_changed_components(spark, sf):
-    p = table(spark, sf, "pages").select((F.col("page_id") % 7).alias("k")).distinct()
-    name = F.col("k").cast("string").alias("component")
-    return history.changed_components(p.select(name, F.lit("1").alias("value")), p.select(name, F.when(F.col("k") < 3, "2").otherwise("1").alias("value")))
+    """A component is the first folder of a host; its value is the characters of its pages in each of two runs."""
+    u = F.col("url")
+    p = given(spark, sf).select("page_id", F.concat(T.host(u), F.lit("/"), T.first_segment(u)).alias("component"), F.length(F.coalesce("html", F.lit(""))).alias("n"))
+    value = lambda rows: rows.groupBy("component").agg(F.sum("n").cast("string").alias("value"))
+    return history.changed_components(value(p.where("page_id % 10 <> 0")), value(p.where("page_id % 10 <> 1")))
 
 
 # ---- numbers, brands, structured data
@@ -219,7 +236,10 @@ def a32_validate_numbers(spark, sf):
     return reference_data.validate_numbers(texts(spark, sf).where("brand is not null").select("brand"), national)
 
 
-@query()
+@query(rf"""WITH {D_SQL}, {PHONE_SQL}, l AS (SELECT url, brand, n[1] AS shows, n[-1] AS dials FROM (SELECT url, brand, list_sort(list_distinct(list_transform(regexp_extract_all(txt, '(?:\+?1[\s.-]?)?\(?[2-9]\d{{2}}\)?[\s.-]?[2-9]\d{{2}}[\s.-]?\d{{4}}'),
+  lambda x: '+1' || right(regexp_replace(x, '[^0-9]', '', 'g'), 10)))) AS n FROM d) WHERE length(n) > 1),
+o AS (SELECT l.url, l.dials, max(own.kind) AS kind, count(DISTINCT x.brand) AS others FROM l LEFT JOIN nu own ON own.brand = l.brand AND own.e164 = l.dials LEFT JOIN nu x ON x.e164 = l.dials AND x.kind <> 'retired' AND x.brand IS DISTINCT FROM l.brand GROUP BY l.url, l.dials)
+SELECT url, CASE WHEN kind = 'retired' THEN 'dials_retired' WHEN kind IS NOT NULL THEN 'display_dial_mismatch' WHEN others = 1 THEN 'cross_brand_dial' WHEN others > 1 THEN 'display_dial_ambiguous' ELSE 'display_dial_unknown' END AS class, dials AS matched FROM o""")
 def r15_phones_dial(spark, sf):
     """Dial links made of the numbers in documents: each shows the first number and dials the last."""
     found = texts(spark, sf).select("url", "brand", T.phones_in_text(F.col("visible_text")).alias("n")).where("size(n) > 0")
@@ -227,7 +247,14 @@ def r15_phones_dial(spark, sf):
     return reference_data.check_phones_dial(found.select("url", "brand", F.array(link).alias("actionables")), numbers(spark, sf)).select("url", "class", "matched")
 
 
-@query()
+SISTER = "(?s)^((?:.*?[^A-Za-z0-9_-])??)"
+
+
+@query(rf"""WITH {P_SQL}, q AS (SELECT url, regexp_extract(brand, '([^.]*\.)?[^.]*$', 0) AS brand, vis, title FROM h), nm AS (SELECT brand, min(nullif(regexp_extract(title, '^(\w{{4,}})', 1), '')) AS name FROM q GROUP BY brand HAVING name IS NOT NULL),
+hit AS (SELECT q.url, q.title, q.vis, nm.brand AS other, name, regexp_extract(vis, '{SISTER}' || name || '(?:$|[^A-Za-z0-9_-])', 1) AS prefix FROM q JOIN nm ON q.brand <> nm.brand WHERE regexp_matches(vis, '{SISTER}' || name || '(?:$|[^A-Za-z0-9_-])')),
+k AS (SELECT *, count(DISTINCT other) OVER (PARTITION BY url) AS brands FROM hit)
+SELECT url, 'sister_brand' AS class, name AS matched FROM k WHERE brands = 1 AND NOT regexp_matches(title, '{SISTER}' || name || '(?:$|[^A-Za-z0-9_-])')
+  AND NOT regexp_matches(right(prefix, 90), '(?i)\b(partner\w*|network|affiliat\w*|sister|family\s+of|part\s+of|owned\s+by|operated\s+by|refer\w*\s+to|alongside|our\s+other)\b')""")
 def r17_sister_brand(spark, sf):
     """Brands are registrable domains; the first word of their first title stands for their name."""
     p = pages(spark, sf).withColumn("brand", T.registrable(F.col("brand")))
@@ -235,15 +262,24 @@ def r17_sister_brand(spark, sf):
     return page_rules.check_sister_brand(p.select("url", "brand", F.col("visible_text").alias("text"), F.col("title").alias("subject")), names).select("url", "class", "matched")
 
 
-@query()
+@query(f"""WITH {P_SQL}, n AS (SELECT url, brand, page_id, title, page_id % 5 = 0 AS broken, page_id % 2 = 0 AND page_id % 5 <> 0 AS business, '+1212555' || lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') AS e164, page_id || ' oak st' AS address FROM h),
+nb AS (SELECT brand, min(title) AS brand_name FROM n GROUP BY brand), own AS (SELECT DISTINCT brand, e164 FROM n WHERE page_id % 3 <> 0), loc AS (SELECT DISTINCT brand, address FROM n WHERE page_id % 7 <> 0)
+SELECT url, 'invalid_json' AS class, 'error' AS severity FROM n WHERE broken UNION ALL SELECT url, 'missing', 'error' FROM n WHERE NOT business
+UNION ALL SELECT url, 'no_telephone', 'warning' FROM n WHERE business AND page_id % 8 = 2 UNION ALL SELECT url, 'no_address', 'warning' FROM n WHERE business AND page_id % 8 = 4
+UNION ALL SELECT url, 'name', 'warning' FROM n JOIN nb USING (brand) WHERE business AND NOT contains(lower(title), lower(brand_name))
+UNION ALL SELECT url, CASE WHEN e164 IN (SELECT e164 FROM own) THEN 'phone_other_brand' ELSE 'phone_unknown' END, CASE WHEN e164 IN (SELECT e164 FROM own) THEN 'error' ELSE 'warning' END FROM n WHERE business AND page_id % 8 <> 2 AND (brand, e164) NOT IN (SELECT brand, e164 FROM own)
+UNION ALL SELECT url, 'address', 'warning' FROM n WHERE business AND page_id % 8 <> 4 AND brand IN (SELECT brand FROM loc) AND (brand, address) NOT IN (SELECT brand, address FROM loc)""")
 def r21_structured_data(spark, sf):
-    """Structured data made of the page's own title, as a site would print it."""
-    p = pages(spark, sf)
-    node = F.to_json(F.struct(F.when(F.col("page_id") % 2 == 0, "LocalBusiness").otherwise("WebSite").alias("@type"), F.col("title").alias("name")))
-    told = p.select("url", "brand", F.array(F.when(F.col("page_id") % 5 == 0, F.lit("{broken")).otherwise(node)).alias("json_ld"))
+    """Structured data made of the page's own title and id, as a site would print it; some numbers and addresses are missing there, or in the brand's lists."""
+    i = F.col("page_id")
+    number = F.concat(F.lit("212-555-"), F.lpad((i % 10000).cast("string"), 4, "0"))
+    p = pages(spark, sf).select("url", "brand", "page_id", "title", number.alias("number"), F.concat(i.cast("string"), F.lit(" Oak Street")).alias("place"))
+    address = F.when(i % 8 != 4, F.struct(F.col("place").alias("streetAddress")))
+    node = F.to_json(F.struct(F.when(i % 2 == 0, "LocalBusiness").otherwise("WebSite").alias("@type"), F.col("title").alias("name"), F.when(i % 8 != 2, F.col("number")).alias("telephone"), address.alias("address")))
+    told = p.select("url", "brand", F.array(F.when(i % 5 == 0, F.lit("{broken")).otherwise(node)).alias("json_ld"))
     brands = p.groupBy("brand").agg(F.min("title").alias("name"))
-    none = p.select("brand", F.lit("x").alias("e164"), F.lit("national").alias("kind")).limit(0)
-    return reference_data.check_structured_data(told, brands, none, p.select("brand", F.lit("a").alias("name"), F.lit("b").alias("address")).limit(0)).select("url", "class", "severity")
+    own = p.where("page_id % 3 <> 0").select("brand", T.e164_us(F.col("number")).alias("e164"), F.lit("location").alias("kind"))
+    return reference_data.check_structured_data(told, brands, own, p.where("page_id % 7 <> 0").select("brand", F.lit("a").alias("name"), F.col("place").alias("address"))).select("url", "class", "severity")
 
 
 # ---- streams over files of the tables

@@ -122,7 +122,7 @@ def test_numbers_and_phones(spark):
     assert reference_data.validate_numbers(spark.createDataFrame([("A",), ("C",)], "brand string"), numbers).first().brand == "C"
     a = lambda href, text: {"pos": 1, "tag": "a", "text": text, "href": href}
     pages = spark.createDataFrame(
-        [(f"u{i}", "A", [a(*x)], x[1]) for i, x in enumerate([("tel:562-555-0102", "562-555-0100"), ("tel:562-555-0101", "562-555-0100"), ("tel:562-555-0200", "562-555-0100"), ("tel:562-555-0999", "562-555-0100"), ("tel:562%20555%200100", "562-555-0100"), ("tel:12", "call"), ("tel:562-555-0100", "call us")])],
+        [(f"u{i}", "A", [a(*x)], x[1]) for i, x in enumerate([("tel:562-555-0102", "562-555-0100"), ("tel:562-555-0101", "562-555-0100"), ("tel:562-555-0200", "562-555-0100"), ("tel:562-555-0999", "562-555-0100"), ("tel:562%20555%200100", "562-555-0100"), ("tel:12", "call"), ("tel:562-555-0100", "call us"), ("tel:+15625550100", "562-555-0100"), ("tel:562-555-0100%", "562-555-0100")])],
         "url string, brand string, actionables array<struct<pos:int,tag:string,text:string,href:string>>, visible_text string",
     )
     assert rows(reference_data.check_phones_dial(pages, numbers), "url", "class") == [("u0", "dials_retired"), ("u1", "display_dial_mismatch"), ("u2", "cross_brand_dial"), ("u3", "display_dial_unknown"), ("u4", "encoded_tel"), ("u5", "malformed")]

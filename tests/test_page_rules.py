@@ -1,5 +1,8 @@
 """Rules on small pages: what fires, and what stays silent."""
 
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +152,21 @@ def test_sister_brand(spark):
 def test_markup(spark):
     p = parsed(spark, "<meta name='viewport' content='width=device-width, user-scalable=no'><a href='/x'></a><input type='text'>", "<a href='/x' aria-label='go'></a><label for='i'>n</label><input id='i'>")
     assert classes(R.check_markup_access(p)) == [("0", "label"), ("0", "link-name"), ("0", "meta-viewport")]
+
+
+def test_empty_slot_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").cast("string").alias("url"), F.coalesce("text", F.lit("")).alias("visible_text"))
+    want = []
+    for cls, pattern, severity in R.EMPTY_SLOT:
+        for old, new in ((r"[\d.]", "[0-9.]"), (r"[\w.\-]", r"[A-Za-z0-9_.\-]"), (r"\d", "[0-9]"), (r"\w", "[A-Za-z0-9_]"), (r"\s", r"[ \t\n\x0b\f\r]")):
+            pattern = pattern.replace(old, new)
+        for url, text in docs.collect():
+            seen = Counter()
+            for m in re.finditer(pattern, text):
+                key = m.group().lower()
+                slot = cls if not seen[key] else f"{cls}#{seen[key]}"
+                seen[key] += 1
+                parts = (" ".join(re.sub(r"[ \t\n\x0b\f\r]+", " ", p).split(" ")).strip(" ") for p in ("empty_slot", slot, url, key))
+                want.append((url, slot, severity, m.group(), ":".join(p for p in parts if p)))
+    got = R.check_empty_slot(docs).select("url", "class", "severity", "matched", "fingerprint").collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
