@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import isomedia, jaccard, langid, mixing, secret_scan, shared, sharding, spm, syncmers, urlfilter, warc
+from siftwell.llm import isomedia, jaccard, langid, license_scan, mixing, secret_scan, shared, sharding, spm, syncmers, urlfilter, warc, whitening
 
 URL_RULES = (
     urlfilter.Rule("allow", "org", "/"),
@@ -162,6 +162,45 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(_documents(spark, sf_dir))
+    base = F.filter("notices", lambda n: n["base"])
+    places = F.transform(base, lambda n: n["word"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    base_labels, labels = F.transform(base, lambda n: n["label"]), F.transform("notices", lambda n: n["label"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        joined(base_labels).alias("base_labels"),
+        joined(F.concat(labels, F.flatten(F.transform("expressions", lambda e: e["labels"])))).alias("labels"),
+        "score",
+        F.size("expressions").cast("long").alias("n_expressions"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    model = whitening.fit(vectors, k=32)
+    rows = whitening.whiten(vectors, model)
+    error = whitening.identity_error(rows)
+    explained = F.array(*[F.lit(x) for x in model.explained]).cast("array<double>")
+    return (
+        rows.select("vec_id", "deviation", F.posexplode("whitened").alias("_at", "whitened"))
+        .select(
+            "vec_id",
+            (F.col("_at") + 1).cast("int").alias("component"),
+            F.lit(model.n).cast("long").alias("n"),
+            "deviation",
+            "whitened",
+            F.get(explained, F.col("_at")).alias("explained"),
+            F.lit(error).cast("double").alias("identity_error"),
+        )
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
@@ -173,5 +212,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_media_columns": op9_media_columns,
     "op10_secret_scans": op10_secret_scans,
+    "op12_license_scans": op12_license_scans,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {"op4_warc": OP4_SQL, "op8_url_filters": OP8_SQL}
