@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import isomedia, jaccard, langid, license_scan, mixing, secret_scan, shared, sharding, spm, syncmers, urlfilter, warc, whitening
+from siftwell.llm import isomedia, jaccard, langid, license_scan, mixing, secret_scan, shared, sharding, spelling, spm, syncmers, urlfilter, warc, whitening
 
 URL_RULES = (
     urlfilter.Rule("allow", "org", "/"),
@@ -162,6 +162,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_documents(spark, sf_dir))
+
+
 def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(_documents(spark, sf_dir))
     base = F.filter("notices", lambda n: n["base"])
@@ -212,6 +216,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_media_columns": op9_media_columns,
     "op10_secret_scans": op10_secret_scans,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_license_scans": op12_license_scans,
     "op13_whitening": op13_whitening,
 }
