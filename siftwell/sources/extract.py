@@ -1,20 +1,16 @@
-"""HTML to typed columns: the one Python kernel, an Arrow-batched map over pages.
+"""HTML to typed columns: one row a page, put together from the interval table of its elements.
 
-Broken markup, empty or null pages give empty fields, never a failed task. Everything
-after this is column code over ``PAGE_SCHEMA``.
+Broken markup, empty or null pages give empty fields, never a failed task. The only Python is the tokeniser of
+``elements.events``; texts, regions, visibility, blocks, menus and paths are windows and array functions.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urldefrag, urljoin
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.sources import elements as E
+
 PAGE_SCHEMA = (
     "title string, meta_description string, is_noindex boolean, visible_text string, css_status string, content_hash string, "
     "headings array<struct<level:int,text:string,pos:int>>, links array<struct<href:string,url:string>>, "
@@ -23,318 +19,119 @@ PAGE_SCHEMA = (
     "blocks array<struct<pos:int,tag:string,text:string,region:string,group:int,has_media:boolean>>, "
     "json_ld array<string>, unlabelled_fields int, viewport string, error string"
 )
+PATH_LEVELS, GROUP_LEVELS = 8, 4
 
-# fixed values
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template head title".split())
-BLOCK = frozenset("p li td th h1 h2 h3 h4 h5 h6 dd dt blockquote figcaption".split())
-BREAKING = BLOCK | frozenset("address article aside br dl div fieldset figure footer form header hr main nav ol pre section table tbody tfoot thead tr ul body html option".split())
-MEDIA = frozenset("img svg picture video iframe canvas object embed input select textarea".split())
-LANDMARKS = frozenset("nav header footer aside".split())
-LISTS = frozenset("ul ol dl table tbody nav menu".split())
-CLOSED_BY = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"},
-    "p": BREAKING - {"br", "td", "th", "li", "option", "html", "body", "tr", "tbody", "thead", "tfoot", "dd", "dt", "figcaption"},
-}
-SCOPES = {"li": LISTS, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "option": {"select"}, "p": {"td", "th", "li", "body"}}
-FURNITURE = re.compile(
-    r"(?:^|\s)(?:(?:site|main|global|primary|sticky|top|bottom)[_-](header|footer|nav|navigation|menu|bar)|(masthead)|(colophon)|(navbar|nav-?menu|mega-?menu|breadcrumbs?)|(sidebar|widget-area))(?:\s|$)",
-    re.I,
-)
-ICON = re.compile(r"(?:^|\s)(?:fa[srbld]?|fa-[\w-]+|e?icon|e?icon-[\w-]+|[\w-]*-icon|dashicons(?:-[\w-]+)?|material-icons|glyphicon)(?:\s|$)", re.I)
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-LD = "application/ld+json"
-HOOKS = ("onclick", "aria-controls", "aria-haspopup", "data-toggle", "data-bs-toggle", "data-target")
-HOOK_STARTS = ("data-elementor", "data-popup")
-HOOK_WORDS = ("popup", "modal", "toggle", "accordion", "tab")
-DROPDOWNS = frozenset("dropbtn dropdown dropdown-toggle submenu sub-menu has-children menu-item-has-children expander disclosure".split())
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "number")
-
-    def __init__(self, tag: str, attrs: dict, parent: Node | None, number: int):
-        self.tag, self.attrs, self.parent, self.number = tag, attrs, parent, number
-        self.children: list = []
-
-    def ancestors(self) -> Iterator[Node]:
-        node = self.parent
-        while node is not None:
-            yield node
-            node = node.parent
-
-
-class Tree(HTMLParser):
-    """A lenient tree: implied ends for lists, tables and paragraphs; stray ends are ignored."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.count = 0
-        self.root = self.at = Node("#root", {}, None, 0)
-        self.nodes: list[Node] = []
-
-    def handle_starttag(self, tag, attrs):
-        node = self.at
-        while node.parent is not None and node.tag not in SCOPES.get(self.at.tag, ()):
-            if tag in CLOSED_BY.get(node.tag, ()):
-                self.at = node.parent
-                break
-            if node.tag in BREAKING and node.tag != "p":
-                break
-            node = node.parent
-        self.count += 1
-        new = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at, self.count)
-        self.at.children.append(new)
-        self.nodes.append(new)
-        if tag not in VOID:
-            self.at = new
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.at.tag == tag:
-            self.at = self.at.parent
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            node = node.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def hiding_rules(css: str) -> tuple[list[list[tuple]], bool]:
-    """Selectors that hide, as chains of (tag, id, classes); and whether some could not be read."""
-    rules, complete = [], True
-    css = re.sub(r"(?s)/\*.*?\*/", "", css)
-    css = re.sub(r"(?s)@[^{;]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})", "", css)
-    for selectors, body in re.findall(r"([^{}]+)\{([^{}]*)\}", css):
-        if not HIDING.search(body):
-            continue
-        for selector in selectors.split(","):
-            steps = selector.split()
-            if any(not re.fullmatch(r"[\w-]*(?:[.#][\w-]+)*", s) for s in steps):
-                complete = complete and ":" in selector
-                continue
-            chain = []
-            for s in steps:
-                chain.append((re.match(r"[\w-]*", s)[0].lower(), set(re.findall(r"#([\w-]+)", s)), set(re.findall(r"\.([\w-]+)", s))))
-            if chain:
-                rules.append(chain)
-    return rules, complete
-
-
-def _fits(node: Node, step: tuple) -> bool:
-    tag, ids, classes = step
-    return (not tag or node.tag == tag) and ids <= {node.attrs.get("id", "")} and classes <= set(node.attrs.get("class", "").split())
-
-
-def _hidden(node: Node, rules: list[list[tuple]]) -> bool:
-    if "hidden" in node.attrs or HIDING.search(node.attrs.get("style", "")):
-        return True
-    for chain in rules:
-        if _fits(node, chain[-1]):
-            rest = len(chain) - 2
-            for a in node.ancestors():
-                if rest < 0:
-                    break
-                if _fits(a, chain[rest]):
-                    rest -= 1
-            if rest < 0:
-                return True
-    return False
-
-
-def region_of(node: Node) -> str:
-    """Landmarks and site-furniture classes; the outermost wins, and a header or footer inside an article is content."""
-    chain = [node, *node.ancestors()]
-    inside = False
-    region = "body"
-    for n in reversed(chain):
-        if n.tag in ("article", "main"):
-            inside = True
-        found = n.tag if n.tag in LANDMARKS and not (inside and n.tag in ("header", "footer")) else None
-        if found is None and n.tag not in ("html", "body"):
-            m = FURNITURE.search(n.attrs.get("class", ""))
-            if m:
-                word = (m[1] or "").lower()
-                found = "header" if m[2] or word in ("header", "bar") else "footer" if m[3] or word == "footer" else "aside" if m[5] else "nav"
-        if found and region == "body":
-            region = found
-    return region
-
-
-def text_of(node: Node, hidden: set[int]) -> str:
-    """Visible text: a line for each block, white space as one space, a space between two alphanumerics of different elements."""
-    out: list[str] = []
-
-    def put(piece: str) -> None:
-        if piece == "\n":
-            while out and out[-1] == " ":
-                out.pop()
-            if out and out[-1] != "\n":
-                out.append("\n")
-            return
-        if not piece.strip():
-            if out and not out[-1].endswith((" ", "\n")):
-                out.append(" ")
-            return
-        words = " ".join(piece.split())
-        if piece[0].isspace() and out and not out[-1].endswith((" ", "\n")):
-            out.append(" ")
-        elif out and out[-1][-1:].isalnum() and words[0].isalnum():
-            out.append(" ")
-        out.append(words)
-        if piece[-1].isspace():
-            out.append(" ")
-
-    stack: list = [(node, False)]
-    while stack:
-        item, closing = stack.pop()
-        if isinstance(item, str):
-            put(item)
-        elif closing:
-            put("\n")
-        elif item.number in hidden or item.tag in SKIPPED and item is not node:
-            continue
-        else:
-            if item.tag in BREAKING:
-                put("\n")
-                stack.append((item, True))
-            stack.extend((c, False) for c in reversed(item.children))
-    return "".join(out).strip()
-
-
-def css_path(node: Node, most: int = 8) -> str:
-    parts = []
-    while node.parent is not None and len(parts) < most:
-        same = [c for c in node.parent.children if isinstance(c, Node) and c.tag == node.tag]
-        parts.append(f"{node.tag}:nth-of-type({same.index(node) + 1})" if len(same) > 1 else node.tag)
-        node = node.parent
-    return ">".join(reversed(parts))
-
-
-def stable_hash(html: str) -> str:
+
+def stable_hash(html: Column) -> Column:
     """Hash of the markup without scripts, styles and rotating e-mail protection."""
-    kept = re.sub(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>", "", html)
-    kept = re.sub(r"(?i)/cdn-cgi/l/email-protection[^\"'\s>]*|data-cfemail=\"[^\"]*\"", "", kept)
-    return hashlib.sha256(kept.encode()).hexdigest()
-
-
-def extract(html: str, base: str, extra_css: str = "", keep_hidden: bool = False) -> dict:
-    tree = Tree()
-    try:
-        tree.feed(html or "")
-        tree.close()
-        error = None
-    except Exception as e:  # a page that the parser gives up on keeps what was read so far
-        error = f"{type(e).__name__}: {e}"[:200]
-    nodes = tree.nodes
-    links_below, menus = _menus(nodes)
-    css = "\n".join("".join(c for c in n.children if isinstance(c, str)) for n in nodes if n.tag == "style") + "\n" + (extra_css or "")
-    rules, complete = hiding_rules(css)
-    hidden = set() if keep_hidden else {n.number for n in nodes if _hidden(n, rules)}
-    dead = set(hidden)
-    for n in nodes:
-        if n.parent is not None and (n.parent.number in dead or n.parent.tag in SKIPPED and n.parent.tag != "head"):
-            dead.add(n.number)
-    live = [n for n in nodes if n.number not in dead]
-    meta = [n.attrs for n in nodes if n.tag == "meta"]
-    named = {a.get("name", "").lower(): a.get("content", "").strip() for a in reversed(meta)}
-    title = next((" ".join("".join(c for c in n.children if isinstance(c, str)).split()) for n in nodes if n.tag == "title"), "")
-    inner = lambda n: " ".join(text_of(n, hidden).split())
-
-    links, seen = [], set()
-    for n in nodes:
-        href = n.attrs.get("href", "").strip()
-        if n.tag != "a" or not href or href.lower().startswith(("mailto:", "tel:", "javascript:", "#")):
-            continue
-        try:
-            url = urldefrag(urljoin(base or "", href)).url
-        except ValueError:
-            continue
-        if url not in seen:
-            seen.add(url)
-            links.append({"href": href, "url": url})
-
-    actionables, blocks = [], []
-    for n in live:
-        if n.tag in ("a", "button"):
-            box = next((a for i, a in enumerate(n.ancestors()) if i < 4 and a.tag in LISTS), n.parent)
-            sibling = menus.get(n.number)
-            region = region_of(n)
-            classes = n.attrs.get("class", "").split()
-            hooks = any(n.attrs.get(k) for k in HOOKS) or any(k.startswith(HOOK_STARTS) for k in n.attrs) or any(w in c for c in classes for w in HOOK_WORDS) or any(c.lower() in DROPDOWNS for c in classes)
-            actionables.append({
-                "pos": n.number, "tag": n.tag, "text": inner(n)[:120], "href": n.attrs["href"].strip() if "href" in n.attrs else None, "classes": n.attrs.get("class", ""), "role": n.attrs.get("role", ""),
-                "aria_label": n.attrs.get("aria-label") or n.attrs.get("title", ""), "has_js_hooks": hooks,
-                "in_nav": any(a.tag in ("nav", "header") for a in n.ancestors()), "region": region, "selector": css_path(n), "group": box.number,
-                "has_submenu": sibling is not None and links_below.get(sibling.number, 0) >= 2,
-            })
-        elif n.tag in BLOCK and not any(isinstance(d, Node) and d.tag in BLOCK for d in _below(n)):
-            below = list(_below(n))
-            media = any(isinstance(d, Node) and (d.tag in MEDIA or d.tag in ("i", "span") and ICON.search(d.attrs.get("class", ""))) for d in below)
-            blocks.append({"pos": n.number, "tag": n.tag, "text": inner(n), "region": region_of(n), "group": n.parent.number, "has_media": media})
-    labelled = {n.attrs.get("for") for n in nodes if n.tag == "label"}
-    fields = [n for n in live if n.tag in ("input", "select", "textarea") and n.attrs.get("type", "").lower() not in ("hidden", "submit", "button", "image", "reset")]
-    bare = [n for n in fields if not (n.attrs.get("aria-label") or n.attrs.get("aria-labelledby") or n.attrs.get("title") or n.attrs.get("id") in labelled or any(a.tag == "label" for a in n.ancestors()))]
-    return {
-        "title": title, "meta_description": named.get("description", ""), "is_noindex": "noindex" in named.get("robots", "").lower(),
-        "visible_text": text_of(tree.root, hidden), "css_status": ("ok" if complete else "partial") if css.strip() else "none", "content_hash": stable_hash(html or ""),
-        "headings": [{"level": int(n.tag[1]), "text": inner(n), "pos": n.number} for n in live if re.fullmatch("h[1-6]", n.tag)],
-        "links": links, "actionables": actionables, "blocks": blocks,
-        "json_ld": ["".join(c for c in n.children if isinstance(c, str)) for n in nodes if n.tag == "script" and n.attrs.get("type", "").lower() == LD],
-        "unlabelled_fields": len(bare), "viewport": named.get("viewport", ""), "error": error,
-    }
+    kept = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>", "")
+    return F.sha2(F.regexp_replace(kept, r"(?i)/cdn-cgi/l/email-protection[^\"'\s>]*|data-cfemail=\"[^\"]*\"", ""), 256)
 
 
-def _menus(nodes: list[Node]) -> tuple[dict[int, int], dict[int, Node]]:
-    """Links below each node, and for each node the next list, division or nav among its siblings: each in one pass."""
-    links: dict[int, int] = {}
-    for n in reversed(nodes):
-        own = links.get(n.number, 0)
-        links[n.parent.number] = links.get(n.parent.number, 0) + own + (n.tag == "a" and "href" in n.attrs)
-    after: dict[int, Node] = {}
-    for parent in {n.parent.number: n.parent for n in nodes}.values():
-        last = None
-        for child in reversed(parent.children):
-            if isinstance(child, Node):
-                if last is not None:
-                    after[child.number] = last
-                if child.tag in ("ul", "div", "nav"):
-                    last = child
-    return links, after
-
-
-def _below(node: Node) -> Iterator:
-    stack = list(node.children)
-    while stack:
-        item = stack.pop()
-        yield item
-        if isinstance(item, Node):
-            stack.extend(item.children)
+def _attr(name: str) -> Column:
+    return F.coalesce(F.col("attrs")[name], F.lit(""))
 
 
-def extract_pages(df: DataFrame, html_col: str = "html", base_col: str = "url", css_col: str | None = None, keep: tuple[str, ...] = ("url",), keep_hidden: bool = False) -> DataFrame:
-    """``keep`` columns with the fields of ``PAGE_SCHEMA``; ``base_col`` resolves relative links, ``error`` says what broke the parser."""
-    fields = [df.schema[k] for k in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), PAGE_SCHEMA])
-    css = F.col(css_col) if css_col else F.lit("")
-    given = df.select(*[F.col(k) for k in keep], F.col(html_col).alias("_html"), F.col(base_col).alias("_base"), F.coalesce(css, F.lit("")).alias("_css"))
+def _hooks() -> Column:
+    """Whether scripts are likely to act on the element."""
+    named = F.exists(F.map_keys("attrs"), lambda k: F.coalesce(*[F.when(k.startswith(s), True) for s in E.HOOK_STARTS], F.lit(False)))
+    words = F.exists(F.split(_attr("class"), r"\s+"), lambda c: c.rlike("|".join(E.HOOK_WORDS)) | F.lower(c).isin(*sorted(E.DROPDOWNS)))
+    filled = F.lit(False)
+    for name in E.HOOKS:
+        filled = filled | (_attr(name) != "")
+    return filled | named | words
+
+
+def _sorted(what: Column, *fields: Column) -> Column:
+    return F.array_sort(F.collect_list(F.when(what, F.struct(*fields))))
+
+
+def _inner(x: Column) -> Column:
+    """The visible text of an element in one line, from the pieces of its page."""
+    own = F.slice("texts", x["text_from"] + 1, x["text_to"] - x["text_from"])
+    return F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda t: t["piece"]), ""), r"\s+", " "))
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
 
-        for frame in frames:
-            for start in range(0, len(frame), 200):
-                part = frame.iloc[start : start + 200]
-                made = pd.DataFrame([extract(h, b, c, keep_hidden) for h, b, c in zip(part["_html"], part["_base"], part["_css"])], index=part.index)
-                yield pd.concat([part[list(keep)], made], axis=1)
+def _path(number: Column) -> Column:
+    """The element and its ancestors, ``PATH_LEVELS`` at most, each with its place among siblings of its tag."""
+    kind = "struct<at:int,path:string>"
+    start = F.struct(number.alias("at"), F.lit("").alias("path")).cast(kind)
 
-    return given.mapInPandas(run, schema)
+    def up(acc: Column, _: Column) -> Column:
+        here = F.get("tree", acc["at"] - 1)
+        longer = F.struct(here["parent"].alias("at"), F.concat(here["step"], F.when(acc["path"] == "", "").otherwise(">"), acc["path"]).alias("path")).cast(kind)
+        return F.when(acc["at"] > 0, longer).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(PATH_LEVELS)), start, up)["path"]
+
+
+def _list_of(number: Column, parent: Column) -> Column:
+    """The nearest list among the next ancestors, or the parent."""
+    kind = "struct<at:int,found:int>"
+
+    def up(acc: Column, _: Column) -> Column:
+        here = F.get("tree", acc["at"] - 1)
+        is_list = F.coalesce(here["tag"].isin(*sorted(E.LISTS)), F.lit(False))
+        return F.struct(here["parent"].alias("at"), F.coalesce(acc["found"], F.when(is_list, acc["at"])).alias("found")).cast(kind)
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(GROUP_LEVELS)), F.struct(parent.alias("at"), F.lit(None).alias("found")).cast(kind), up)["found"]
+    return F.coalesce(found, parent)
+
+
+def extract_pages(df: DataFrame, html_col: str = "html", base_col: str = "url", css_col: str | None = None, keep: tuple[str, ...] = ("url",), keep_hidden: bool = False) -> DataFrame:
+    """``keep`` columns with the fields of ``PAGE_SCHEMA``; ``base_col`` resolves relative links, ``error`` says what broke the parser."""
+    given = df.withColumn("_hash", stable_hash(F.col(html_col)))
+    rows = E.placed(E.events(given, html_col, base_col, css_col, (*keep, "_hash")), keep_hidden)
+    tag, number, live = F.col("tag"), F.col("number"), F.col("live")
+    is_element, is_a = number > 0, tag == "a"
+    step = F.when(F.col("siblings") > 1, F.concat(tag, F.lit(":nth-of-type("), F.col("nth").cast("string"), F.lit(")"))).otherwise(tag)
+    span = ("text_from", "text_to")
+    kind = F.lower(_attr("type"))
+    field = live & tag.isin("input", "select", "textarea") & ~kind.isin("hidden", "submit", "button", "image", "reset")
+    unnamed = (_attr("aria-label") == "") & (_attr("aria-labelledby") == "") & (_attr("title") == "") & ~F.col("in_label")
+    actionable = live & tag.isin("a", "button")
+    per_page = rows.groupBy("page").agg(
+        F.first("given", ignorenulls=True).alias("given"),
+        F.first(F.when(number == 0, F.struct("css_status", "error")), ignorenulls=True).alias("root"),
+        F.min(F.when(tag == "title", number)).alias("title_at"),
+        _sorted(tag == "#title", F.col("at"), F.col("parent"), F.col("text")).alias("titles"),
+        _sorted(is_element & (tag == "meta"), number.alias("pos"), F.lower(_attr("name")).alias("name"), F.trim(_attr("content")).alias("content")).alias("metas"),
+        _sorted(tag == "#text", F.col("at"), F.col("piece")).alias("texts"),
+        _sorted(is_element, number, F.col("parent"), tag, step.alias("step")).alias("tree"),
+        _sorted(live & tag.isin(*sorted(E.HEADINGS)), number.alias("pos"), F.substring(tag, 2, 1).cast("int").alias("level"), *map(F.col, span)).alias("headings"),
+        _sorted(F.col("first_url"), number.alias("pos"), F.trim(_attr("href")).alias("href"), F.col("url")).alias("links"),
+        _sorted(
+            actionable, number.alias("pos"), tag, *map(F.col, span), F.trim(F.when(is_element, F.col("attrs")["href"])).alias("href"), _attr("class").alias("classes"), _attr("role").alias("role"),
+            F.coalesce(F.nullif(_attr("aria-label"), F.lit("")), _attr("title")).alias("aria_label"), _hooks().alias("has_js_hooks"), F.col("in_nav"), F.col("has_submenu"), F.col("region"), F.col("parent"),
+        ).alias("actionables"),
+        _sorted(live & F.col("leaf"), number.alias("pos"), tag, *map(F.col, span), F.col("region"), F.col("parent").alias("group"), F.col("has_media")).alias("blocks"),
+        _sorted(tag == "#ld", F.col("at"), F.col("text")).alias("ld"),
+        F.collect_set(F.when(is_element & (tag == "label"), F.col("attrs")["for"])).alias("labelled"),
+        F.collect_list(F.when(field & unnamed, F.struct(F.col("attrs")["id"].alias("id")))).alias("fields"),
+    )
+    named = lambda name: F.coalesce(F.get(F.filter("metas", lambda m: m["name"] == name), F.lit(0))["content"], F.lit(""))
+    title = F.array_join(F.transform(F.filter("titles", lambda t: t["parent"] == F.col("title_at")), lambda t: t["text"]), "")
+    bare = F.filter("fields", lambda f: ~F.coalesce(F.array_contains("labelled", f["id"]), F.lit(False)))
+    fields = {
+        "title": F.trim(F.regexp_replace(title, r"(?U)\s+", " ")),
+        "meta_description": named("description"),
+        "is_noindex": F.contains(F.lower(named("robots")), F.lit("noindex")),
+        "visible_text": F.regexp_replace(F.array_join(F.transform("texts", lambda t: t["piece"]), ""), r"^[\n ]+", ""),
+        "css_status": F.col("root.css_status"),
+        "content_hash": F.col("given._hash"),
+        "headings": F.transform("headings", lambda h: F.struct(h["level"], _inner(h).alias("text"), h["pos"])),
+        "links": F.transform("links", lambda x: F.struct(x["href"], x["url"])),
+        "actionables": F.transform("actionables", lambda x: F.struct(
+            x["pos"], x["tag"], F.substring(_inner(x), 1, 120).alias("text"), x["href"], x["classes"], x["role"], x["aria_label"], x["has_js_hooks"], x["in_nav"], x["has_submenu"], x["region"],
+            _path(x["pos"]).alias("selector"), _list_of(x["pos"], x["parent"]).alias("group"),
+        )),
+        "blocks": F.transform("blocks", lambda b: F.struct(b["pos"], b["tag"], _inner(b).alias("text"), b["region"], b["group"], b["has_media"])),
+        "json_ld": F.transform("ld", lambda x: x["text"]),
+        "unlabelled_fields": F.size(bare),
+        "viewport": named("viewport"),
+        "error": F.col("root.error"),
+    }
+    return per_page.select(*[F.col(f"given.`{k}`").alias(k) for k in keep], *[v.alias(k) for k, v in fields.items()])
 
 
 def body_text():
