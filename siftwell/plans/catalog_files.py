@@ -8,7 +8,7 @@ from siftwell.functions import text as T
 from siftwell.operators import links, mining, page_rules, reference_data, serving, traffic
 from siftwell.plans.catalog import ALL_SQL, B_SQL, D_SQL, FS_SQL, HOST, LEDGER_SQL, META_SQL, P_SQL, PATH, RULE_COLUMNS, _all_findings, blocks, fp, page_traffic, pages, query, shared_folder, table, texts
 from siftwell.plans.catalog_more import PHONE_SQL, RUN_ROWS, given, numbers, runs
-from siftwell.sources import readers, sinks
+from siftwell.sources import readers, sinks, versions
 
 TIME = "CAST(epoch_ms(1704067200000 + run_id * 86400000) AS TIMESTAMP)"
 
@@ -115,7 +115,7 @@ def k6_projection(spark, sf):
     p = given(spark, sf)
     sinks.store_projection(p.select("url", F.lit("old").alias("title")), path)
     sinks.store_projection(p.where("page_id % 10 <> 0").select("url", F.lit("new").alias("title")), path)
-    return spark.read.parquet(path)
+    return versions.read(spark, path, "projection")
 
 
 @query(ALL_SQL + " SELECT DISTINCT fingerprint, '2024-01-01' AS first_seen FROM f WHERE severity = 'warning'")
@@ -126,7 +126,7 @@ def k8_history(spark, sf):
     components = spark.range(1).select(F.lit("meta").alias("component"), F.lit("1").alias("value"))
     sinks.write_history(found.where("severity = 'warning'"), components, path, partial_sample=False)
     sinks.write_history(found, components, path, partial_sample=True)
-    return spark.read.parquet(f"{path}/findings").select("fingerprint", "first_seen")
+    return versions.read(spark, path, "findings").select("fingerprint", "first_seen")
 
 
 @query("""WITH t AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL) SELECT 'p2' AS period, 2 * count(*) AS rows_read, count(*) AS pages_stored, count(*) AS stored, CAST(sum(length(url)) AS BIGINT) * 2 AS clicks FROM t""")
@@ -137,8 +137,8 @@ def k9_store_traffic(spark, sf):
     rows = p.select(F.col("url").alias("url_key"), F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"), F.length("url").alias("clicks"), F.lit(1).alias("impressions"), F.lit(1.0).alias("position"))
     for period, part in (("p1", rows), ("p2", rows), ("p1", rows.limit(0))):
         sinks.store_traffic(part, path, "b", period, "csv", imports)
-    stored = spark.read.parquet(path).groupBy("period").agg(F.count("*").alias("stored"), F.sum("clicks").alias("clicks"))
-    return stored.join(spark.read.parquet(imports).where("rows_read > 0").select("period", "rows_read", "pages_stored"), "period")
+    stored = versions.read(spark, path, "traffic").groupBy("period").agg(F.count("*").alias("stored"), F.sum("clicks").alias("clicks"))
+    return stored.join(versions.read(spark, imports, "imports").where("rows_read > 0").select("period", "rows_read", "pages_stored"), "period")
 
 
 # ---- scopes, bounds, words of a report

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as T
 from siftwell.operators import history, links, mining, page_rules, reference_data, serving, traffic
 from siftwell.plans.catalog import ALL_SQL, B_SQL, D_SQL, HOST, P_SQL, PATH, RUNS_SQL, SEGS, TR_SQL, _all_findings, blocks, fetches, page_traffic, pages, query, shared_folder, table, texts, two_runs
-from siftwell.sources import readers, sinks
-from siftwell.streaming import incremental
+from siftwell.sources import readers, sinks, versions
 
 
 def given(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,18 +25,30 @@ def s2_findings_lines(spark, sf):
     return readers.read_findings_jsonl(spark, path).select("url", "check", "class", "fingerprint", "severity")
 
 
-@query(ALL_SQL + ' SELECT f.url, title, check_ AS "check", class, severity, fingerprint FROM f JOIN h USING (url)')
+@query(ALL_SQL + """ SELECT f.url, nullif(title, '') AS title, check_ AS "check", class, severity, fingerprint, 'new' AS status, CAST(NULL AS VARCHAR) AS location, '2' AS n_sources, CAST(length(class) AS VARCHAR) AS page_count,
+  'say "' || class || '", twice' AS issue FROM f JOIN h USING (url)""")
 def k2_findings_csv(spark, sf):
-    return sinks.findings_csv(_all_findings(spark, sf), pages(spark, sf)).select("url", "title", "check", "class", "severity", "fingerprint")
-
-
-@query(ALL_SQL + " SELECT 'site' AS brand, 'r1' AS run_id, check_ AS \"check\", count(*) AS n FROM f GROUP BY check_")
+    """Written as CSV and read back; quotes and commas in the issue, an empty title and a missing column come back as null or as they were."""
+    path = shared_folder(spark, "csv")
+    found = _all_findings(spark, sf).withColumns({
+        "status": F.lit("new"), "sources": F.array(F.lit("a"), F.lit("b")), "page_count": F.length("class"), "issue": F.concat(F.lit('say "'), "class", F.lit('", twice')),
+    })
+    sinks.write_findings_csv(found.drop("location"), pages(spark, sf).select("url", F.coalesce("title", F.lit("")).alias("title")), path)
+    back = spark.read.schema(", ".join(f"`{c}` string" for c in sinks.CSV_COLUMNS)).option("header", True).option("escape", '"').csv(path)
+    return back.select("url", F.nullif("title", F.lit("")).alias("title"), "check", "class", "severity", "fingerprint", "status", "location", "n_sources", "page_count", "issue")
+
+
+@query(ALL_SQL + """, n AS (SELECT check_, count(*) AS n FROM f GROUP BY check_)
+SELECT 'site' AS brand, run_id, check_ AS "check", n, (SELECT CAST(sum(n) AS BIGINT) FROM n) AS total FROM n, (SELECT unnest(['r1', 'r2']) AS run_id)""")
 def k4_publish_run(spark, sf):
+    """Two runs, findings and summary in one version; the first is published twice, and a run of no page not at all."""
     path = shared_folder(spark, "runs")
     found, audited = _all_findings(spark, sf), given(spark, sf)
-    sinks.publish_run(found, audited, path, "site", "r1")
-    sinks.publish_run(found, audited, path, "site", "r1")
-    return spark.read.parquet(path).groupBy("brand", "run_id", "check").agg(F.count("*").alias("n"))
+    summary = found.agg(F.count("*").alias("total"))
+    for run, pages_of in (("r1", audited), ("r2", audited), ("r1", audited), ("r3", audited.limit(0))):
+        sinks.publish_run(found, pages_of, path, "site", run, summary)
+    counts = versions.read(spark, path, "findings", brand="site").groupBy("brand", "run_id", "check").agg(F.count("*").alias("n"))
+    return counts.join(versions.read(spark, path, "summary"), ["brand", "run_id"]).select("brand", "run_id", "check", "n", "total")
 
 
 @query("SELECT DISTINCT url FROM pages WHERE url IS NOT NULL AND NOT regexp_matches(url, '[<\\s]')")
@@ -129,7 +140,10 @@ def k7_upsert_triage(spark, sf):
     _, now = two_runs(spark, sf)
     rows = now.join(given(spark, sf).select("url", "page_id"), "url").select("page_id", F.lit("b").alias("brand"), T.fp_hash(F.col("fingerprint")).alias("fingerprint_hash"), F.lit("open").alias("state"), F.lit("").alias("note"), F.lit(1).alias("updated_at"))
     later = rows.where("page_id % 2 = 0").withColumns({"state": F.lit("fixed"), "updated_at": F.lit(2)})
-    return history.upsert_triage(rows.drop("page_id"), later.drop("page_id")).select("fingerprint_hash", "state")
+    path = shared_folder(spark, "triage")
+    for decisions in (rows, later, rows):  # the last write is older than what is there
+        sinks.store_triage(decisions.drop("page_id"), path)
+    return versions.read(spark, path, "triage").select("fingerprint_hash", "state")
 
 
 @query(RUNS_SQL + f""" SELECT cur.fingerprint FROM cur WHERE {HOST.format(u="cur.url")} IN (SELECT brand FROM (SELECT {HOST.format(u="url")} AS brand, count(*) AS n, count(*) FILTER (page_id % 12 <> 0) AS r FROM pages WHERE url IS NOT NULL GROUP BY 1) WHERE r >= n * 0.9)""")
@@ -280,40 +294,3 @@ def r21_structured_data(spark, sf):
     brands = p.groupBy("brand").agg(F.min("title").alias("name"))
     own = p.where("page_id % 3 <> 0").select("brand", T.e164_us(F.col("number")).alias("e164"), F.lit("location").alias("kind"))
     return reference_data.check_structured_data(told, brands, own, p.where("page_id % 7 <> 0").select("brand", F.lit("a").alias("name"), F.col("place").alias("address"))).select("url", "class", "severity")
-
-
-# ---- streams over files of the tables
-
-
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
-def st3_event_windows(spark, sf):
-    source = f"{sf}/events.parquet"
-    stream = incremental.event_windows(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source + "*"))
-    out = shared_folder(spark, "windows")
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", shared_folder(spark, "ck")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
-
-
-@query("SELECT url, max_by(sha256(html), page_id) AS content_hash FROM pages WHERE url IS NOT NULL AND html IS NOT NULL GROUP BY url")
-def st4_latest_page(spark, sf):
-    source = f"{sf}/pages.parquet"
-    raw = incremental.read_page_stream(spark, source + "*", "page_id long, url string, html string").where("url is not null and html is not null")
-    marked = raw.select("url", F.sha2("html", 256).alias("content_hash"), F.timestamp_seconds("page_id").alias("fetched_at"))
-    out = shared_folder(spark, "latest")
-    incremental.latest_in_batches(marked, out, shared_folder(spark, "ck")).awaitTermination()
-    return spark.read.parquet(out).groupBy("url").agg(F.max_by("content_hash", "fetched_at").alias("content_hash"))
-
-
-@query(RUNS_SQL + " SELECT cur.fingerprint, CASE WHEN pri.fingerprint IS NULL THEN 'new' ELSE 'persisting' END AS status FROM cur LEFT JOIN pri USING (fingerprint)")
-def st2_annotated(spark, sf):
-    before, now = two_runs(spark, sf)
-    prior, landed, out = shared_folder(spark, "history"), shared_folder(spark, "landed"), shared_folder(spark, "annotated")
-    before.select("fingerprint", "first_seen").write.parquet(prior)
-    now.write.parquet(landed)
-    stream = spark.readStream.schema(now.schema).parquet(landed)
-    incremental.annotate_batches(stream, prior, out, shared_folder(spark, "ck")).awaitTermination()
-    return spark.read.parquet(out).select("fingerprint", "status")

@@ -1,15 +1,16 @@
-"""Sinks. Runs are published whole or not at all; slices are replaced, keys upserted; repeats change nothing."""
+"""Sinks. Runs are published whole or not at all; slices are replaced, keys upserted; repeats change nothing.
 
-from __future__ import annotations
+Tables that are replaced in parts are versioned stores (``versions``): read them with ``versions.read``.
+"""
 
-import uuid
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.operators.history import upsert_triage
 from siftwell.operators.traffic import aggregate_traffic
+from siftwell.sources import versions
 
 CSV_COLUMNS = ("url", "title", "check", "class", "severity", "status", "issue", "location", "snippet", "suggestion", "page_count", "n_sources", "fingerprint")
 
@@ -28,7 +29,7 @@ def findings_csv(found: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def write_findings_csv(found: DataFrame, titles: DataFrame, path: str) -> None:
-    findings_csv(found, titles).write.mode("overwrite").option("header", True).csv(path)
+    findings_csv(found, titles).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_summary(run: DataFrame, rollup: DataFrame, path: str) -> None:
@@ -37,32 +38,15 @@ def write_summary(run: DataFrame, rollup: DataFrame, path: str) -> None:
     run.crossJoin(F.broadcast(counts)).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
-def _swap(spark: SparkSession, path: str, staged: str | None = None) -> None:
-    """Remove ``path`` and, if given, put the staged folder in its place."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    store.delete(target, True)
-    if staged:
-        store.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), target)
-
-
-def _replace_slice(rows: DataFrame, path: str, **slice_: str) -> None:
-    """Write ``rows`` as the one partition named; without rows the old partition goes."""
-    if rows.isEmpty():
-        _swap(rows.sparkSession, "/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in slice_.items())]))
-        return
-    named = rows.withColumns({k: F.lit(v) for k, v in slice_.items()})
-    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*slice_).parquet(path)
-
-
-def publish_run(found: DataFrame, audited: DataFrame, path: str, brand: str, run_id: str) -> bool:
-    """Writes brand and run as one partition, replacing it; False and nothing written when no page was audited.
+def publish_run(found: DataFrame, audited: DataFrame, path: str, brand: str, run_id: str, summary: DataFrame | None = None) -> bool:
+    """Replaces the findings of brand and run, and their summary, in one version; False and nothing written when no page was audited.
 
-    Spark's commit makes the files of the partition appear together. A run without findings leaves no rows of an older one.
+    A run without findings leaves no rows of an older one.
     """
     if audited.isEmpty():
         return False
-    _replace_slice(found, path, brand=brand, run_id=run_id)
+    key = (("brand", brand), ("run_id", run_id))
+    versions.commit(found.sparkSession, path, lambda _: {("findings", key): found} | ({("summary", key): summary} if summary is not None else {}))
     return True
 
 
@@ -89,41 +73,37 @@ def merged_projection(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def store_projection(new: DataFrame, path: str) -> None:
     """The stored projections with the new ones in place of theirs; ``new``: one row a URL."""
-    _store_merged(new, path, lambda old: merged_projection(old, new))
+    _store_merged(new, path, "projection", merged_projection)
 
 
 def store_triage(decisions: DataFrame, path: str) -> None:
     """The stored decisions with the new ones."""
-    _store_merged(decisions, path, lambda old: upsert_triage(old, decisions))
+    _store_merged(decisions, path, "triage", upsert_triage)
 
 
-def _store_merged(new: DataFrame, path: str, merged: Callable[[DataFrame], DataFrame]) -> None:
-    """Written beside the table that is read, then put in its place."""
+def _store_merged(new: DataFrame, path: str, table: str, merged) -> None:
     spark = new.sparkSession
-    try:
-        old = spark.read.schema(new.schema).parquet(path)
-    except Exception as e:  # the first write
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = new.limit(0)
-    staged = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    merged(old).write.parquet(staged)
-    _swap(spark, path, staged)
+
+    def change(base: versions.Version) -> versions.Changes:
+        old = versions.read(spark, path, table, base)
+        return {(table, ()): merged(new.limit(0) if old is None else old, new)}
+
+    versions.commit(spark, path, change)
 
 
 def write_history(found: DataFrame, components: DataFrame, path: str, partial_sample: bool) -> bool:
-    """Snapshot of the run's fingerprints and rule components; a cut sample never replaces a baseline."""
+    """Snapshot of the run's fingerprints and rule components, both in one version; a cut sample never replaces a baseline."""
     if partial_sample:
         return False
-    found.select("fingerprint", "url", "check", "first_seen").write.mode("overwrite").parquet(f"{path}/findings")
-    components.write.mode("overwrite").parquet(f"{path}/components")
+    versions.commit(found.sparkSession, path, lambda _: {("findings", ()): found.select("fingerprint", "url", "check", "first_seen"), ("components", ()): components})
     return True
 
 
 def store_traffic(rows: DataFrame, path: str, brand: str, period: str, source: str, imports_path: str | None = None) -> None:
     """Replace one slice of (brand, period, source); ``rows`` as exported. With ``imports_path``, record rows read and pages stored."""
     pages = aggregate_traffic(rows) if "pos" in rows.columns else rows
-    _replace_slice(pages, path, brand=brand, period=period, source=source)
+    key = (("brand", brand), ("period", period), ("source", source))
+    versions.commit(rows.sparkSession, path, lambda _: {("traffic", key): pages})
     if imports_path:
         counts = rows.agg(F.count("*").alias("rows_read"), F.count_distinct("url_key").alias("pages_stored"))
-        _replace_slice(counts, imports_path, brand=brand, period=period, source=source)
+        versions.commit(rows.sparkSession, imports_path, lambda _: {("imports", key): counts})

@@ -7,28 +7,24 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from siftwell.operators.page_rules import RULES, body_blocks
 from siftwell.sources.extract import extract_pages
 
 ON_BLOCKS = ("corruption", "shattered", "duplicate_paragraph")
 ON_PAGES = ("meta", "heading_structure", "blank", "placeholder", "empty_slot", "lorem_page", "misspelling", "scope", "dead_cta", "social_misrouted", "duplicate_link", "empty_row", "markup")
-WINDOWLESS = ("meta", "blank", "lorem_page", "markup")  # rules without a window: each row of a micro-batch on its own
+FINDING = "url string, check string, class string, fingerprint string, severity string, issue string, location string, snippet string, matched string"
+KEPT_HOURS = 48
 
 
 def read_page_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def findings_stream(pages: DataFrame) -> DataFrame:
-    """Page rules over a stream of raw pages (url, html); a page that breaks gives what was read of it."""
-    parsed = extract_pages(pages)
-    out = None
-    for name in WINDOWLESS:
-        found = RULES[name]["run"](parsed)
-        out = found if out is None else out.unionByName(found)
-    return out
+def findings_stream(spark: SparkSession, found_path: str) -> DataFrame:
+    """What ``audit_batches`` has written, as a stream: a batch folder is written once and never again."""
+    return spark.readStream.schema(FINDING).option("recursiveFileLookup", True).parquet(found_path)
 
 
 def page_findings(pages: DataFrame) -> DataFrame:
@@ -38,26 +34,47 @@ def page_findings(pages: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _write_once(rows: DataFrame, path: str, number: int) -> None:
+    """The folder of a batch, unless it stands already: a batch that runs again changes nothing."""
+    spark, folder = rows.sparkSession, f"{path.rstrip('/')}/batch={number}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done):
+        rows.write.mode("overwrite").parquet(folder)
+
+
 def audit_batches(pages: DataFrame, out_path: str, errors_path: str, checkpoint: str):
-    """All page rules over each micro-batch of raw pages (url, html), as rules number repeats on a page. A batch is written whole and
-    overwrites itself when it runs again; pages that break the parser are listed beside the findings."""
+    """All page rules over each micro-batch of raw pages (url, html), as rules number repeats on a page. Each batch has a folder that is
+    written once; pages that break the parser are listed beside the findings."""
 
     def write(batch: DataFrame, number: int) -> None:
         parsed = extract_pages(batch).persist()
-        for rows, path in ((page_findings(parsed), out_path), (parsed.where("error is not null").select("url", "error"), errors_path)):
-            rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        _write_once(page_findings(parsed), out_path, number)
+        _write_once(parsed.where("error is not null").select("url", "error"), errors_path, number)
         parsed.unpersist()
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def counters_stream(found: DataFrame) -> DataFrame:
-    return found.groupBy("check", "severity").agg(F.count("*").alias("n"))
+def counter_batches(found: DataFrame, out_path: str, checkpoint: str):
+    """Findings by check and severity, in update mode: a batch writes the new totals of the keys that it has moved, under its number.
+
+    The state is one number a check and severity. ``read_counters`` takes the newest total of each key.
+    """
+    counts = found.groupBy("check", "severity").agg(F.count("*").alias("n"))
+    write = lambda batch, number: _write_once(batch, out_path, number)
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.schema("check string, severity string, n bigint, batch bigint").parquet(path)
+    return rows.groupBy("check", "severity").agg(F.max_by("n", "batch").alias("n"))
 
 
 def event_windows(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
-    """Views and clicks by hour; rows later than the watermark are left out."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
+    """Views and clicks by hour, for append mode: a window comes out, and its state goes, when the watermark has passed its end; later rows are left out."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    sums = timed.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    return sums.select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
 def annotate_batches(found: DataFrame, history_path: str, out_path: str, checkpoint: str):
@@ -66,42 +83,66 @@ def annotate_batches(found: DataFrame, history_path: str, out_path: str, checkpo
     def write(batch: DataFrame, number: int) -> None:
         prior = batch.sparkSession.read.parquet(history_path).select("fingerprint", F.col("first_seen").alias("seen"))
         joined = batch.join(prior, "fingerprint", "left").withColumn("status", F.when(F.col("seen").isNotNull(), "persisting").otherwise("new"))
-        joined.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out_path)
+        _write_once(joined, out_path, number)
 
     return found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def changes_of_url(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-    """new, changed or unchanged for every arrival that is not older than what the state knows; the state is the newest hash and its time."""
-    import pandas as pd
+class PageMemory(StatefulProcessor):
+    """new, changed or unchanged for every arrival that is not older than what is known of its URL; a timer forgets a URL when the watermark passes its newest arrival."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "content_hash string, fetched_at timestamp")
 
-    for frame in frames:
-        out = []
-        for r in frame.sort_values(["fetched_at", "content_hash"]).itertuples():
-            old = state.get if state.exists else None
-            if old is not None and pd.Timestamp(old[1]) > r.fetched_at:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import pandas as pd
+
+        known, out = self.newest.get() if self.newest.exists() else None, []
+        before = known
+        for r in pd.concat(list(rows)).sort_values(["fetched_at", "content_hash"]).itertuples():
+            if known is not None and pd.Timestamp(known[1]) > r.fetched_at:
                 continue
-            change = "new" if old is None else "unchanged" if old[0] == r.content_hash else "changed"
-            state.update((r.content_hash, r.fetched_at.to_pydatetime()))
-            out.append((key[0], r.content_hash, r.fetched_at, change))
+            out.append((key[0], r.content_hash, r.fetched_at, "new" if known is None else "unchanged" if known[0] == r.content_hash else "changed"))
+            known = (r.content_hash, r.fetched_at.to_pydatetime())
+        if known is not before:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.newest.update(known)
+            self.handle.registerTimer(int(pd.Timestamp(known[1]).timestamp() * 1000) + 1)
         yield pd.DataFrame(out, columns=["url", "content_hash", "fetched_at", "change"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import pandas as pd
+
+        self.newest.clear()
+        yield pd.DataFrame([], columns=["url", "content_hash", "fetched_at", "change"])
+
+    def close(self) -> None:
+        pass
 
-def page_changes(pages: DataFrame, late: str = "48 hours") -> DataFrame:
-    """``pages``: url, content_hash, fetched_at. The last arrival of a URL wins; pages older than ``late`` are dropped. State is one hash a URL.
 
-    The event-time timeout is never set: it is there as only with it late rows are dropped. Any state store will do.
+def page_changes(pages: DataFrame, late: str = f"{KEPT_HOURS} hours") -> DataFrame:
+    """``pages``: url, content_hash, fetched_at. The last arrival of a URL wins; pages older than ``late`` are dropped, and a URL not seen for so long is new again.
+
+    The state is one hash and one time a URL of the last ``late``. Needs the RocksDB state store and UTC sessions.
     """
-    kind = "content_hash string, fetched_at timestamp"
     timed = pages.where("url is not null and fetched_at is not null").withWatermark("fetched_at", late)
-    return timed.groupBy("url").applyInPandasWithState(changes_of_url, f"url string, {kind}, change string", kind, "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("url").transformWithStateInPandas(PageMemory(), "url string, content_hash string, fetched_at timestamp, change string", "Append", "EventTime")
 
 
-def latest_in_batches(pages: DataFrame, out_path: str, checkpoint: str):
-    """Last line of each URL by micro-batch, without state."""
+def latest_in_batches(pages: DataFrame, out_path: str, checkpoint: str, late: str = f"{KEPT_HOURS} hours"):
+    """Last line of each URL of a micro-batch that is at most ``late`` older than the batch's newest, without state; ``read_latest`` takes the newest over batches."""
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy("url").agg(F.max_by("content_hash", "fetched_at").alias("content_hash"), F.max("fetched_at").alias("fetched_at"))
-        newest.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out_path)
+        fresh = batch.join(batch.agg((F.max("fetched_at") - F.expr(f"interval {late}")).alias("oldest")), F.col("fetched_at") >= F.col("oldest")).drop("oldest")  # one row
+        newest = fresh.groupBy("url").agg(F.max(F.struct("fetched_at", "content_hash")).alias("r"))
+        _write_once(newest.select("url", "r.content_hash", "r.fetched_at"), out_path, number)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """url, content_hash, fetched_at of each URL's newest line."""
+    rows = spark.read.schema("url string, content_hash string, fetched_at timestamp").parquet(path)
+    return rows.groupBy("url").agg(F.max(F.struct("fetched_at", "content_hash")).alias("r")).select("url", "r.content_hash", "r.fetched_at")
