@@ -5,8 +5,8 @@ any dictionary gives the same links, a good one shorter lists); grams of 2 alway
 dictionary gram from each place, without those that an earlier one covers. For each place of an edit, a bound of the grams
 it can touch follows from the dictionary's prefixes and suffixes; the most of all places is the word's bound. Two words one edit apart share
 all grams but so many, left of the edit at the same place from the start, right of it at the same place from the end. So both
-words need only their rarest grams in the index, one more than the bound, and the lists of a gram meet by length and place. What
-meets is verified by its edit distance.
+words need only their rarest grams in the index, one more than the bound. On one side of a shared gram nothing is edited, so the lists of a
+gram meet by length, place and that side. What meets is verified by its edit distance.
 
 A word whose bound leaves no shared gram (short words of long grams) has all its grams in the index, and a second index with grams of 2 and
 3 only joins two words of this kind: there an edit touches five code points at most, so words of seven always keep a gram.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.shared import give_back, stored, text_slices
 
-Q_MIN, Q_MAX, MAX_GRAMS = 2, 6, 100_000
+Q_MIN, Q_MAX, MAX_GRAMS = 2, 4, 2_000  # more or longer grams leave words of few grams without a bound, which doubles their lists
 LEAST = 7  # code points of a word; below six, an edit may leave no gram of 2 and 3
 _HELD = 200_000  # distinct words a task counts before it hands them on
 
@@ -208,23 +208,28 @@ def near_words(words: DataFrame, q_max: int = Q_MAX, max_grams: int = MAX_GRAMS)
     frequent = gram_counts(words, q_max).where("n >= 8").orderBy(F.desc("n"), "gram").limit(max_grams).collect()
     lists = stored(postings(words, {r.gram: r.n for r in frequent}, q_max), "lists")
     each = lists.select("word", "level", "size", F.explode(F.arrays_zip("grams", "begins")).alias("_g")).select("word", "level", "size", "_g.grams", "_g.begins")
-    key = lambda size, begin: F.xxhash64("level", "grams", size, begin)
-    size, begin = F.col("size"), F.col("begins")
-    found = each.select(key(size, begin).alias("key"), F.col("word").alias("b"))
-    looked = F.array(key(size, begin), key(size + 1, begin), key(size + 1, begin + 1))  # of one size, left and right of an insertion
+    size, begin, gram = F.col("size"), F.col("begins"), F.col("grams")
+    left, right = F.substring("word", F.lit(1), begin), F.substring("word", begin + F.length(gram) + 1, size)
+    key = lambda size, begin, side, same: F.xxhash64("level", "grams", size, begin, F.lit(side), same)
+    lists_of = F.array(key(size, begin, "left", left), key(size, begin, "right", right))
+    looked = F.array(key(size, begin, "left", left), key(size, begin, "right", right), key(size + 1, begin, "left", left), key(size + 1, begin + 1, "right", right))
+    found = each.select(F.explode(lists_of).alias("key"), F.col("word").alias("b"))
     looks = each.select(F.posexplode(looked).alias("kind", "key"), F.col("word").alias("a"))
-    fits = (F.col("kind") > 0) | (F.col("a") < F.col("b"))  # of one size, each pair once
+    fits = (F.col("kind") > 1) | (F.col("a") < F.col("b"))  # of one size, each pair once
     one_edit = (F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1)
     return looks.join(found, "key").where(fits & one_edit).select("a", "b").distinct()
 
 
 def follow(forms: DataFrame) -> DataFrame:
-    """(word, root) from (word, form): the last form of each chain, by doubling the step."""
-    steps = forms.select("word", F.col("form").alias("root"))
+    """(word, root) from (word, form): the last form of each chain, by doubling the step until none goes on."""
+    steps = stored(forms.select("word", F.col("form").alias("root")), "steps")
     for _ in range(6):  # the count rises tenfold at each step, so a chain of longs has 19 at most
         ahead = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        steps = steps.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"))
-    return steps
+        longer = stored(steps.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "steps")
+        if longer.where("moved").isEmpty():
+            break
+        steps = longer.drop("moved")
+    return longer.select("word", "root")
 
 
 def spelling_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_count: int = 2, ratio: int = 10) -> DataFrame:
