@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftwell.functions import text as T
-from siftwell.operators.page_rules import LOREM_PAGE, RULES, URL_IN_TEXT, check_known_misspellings, check_scope, findings, lorem_markers, numbered
+from siftwell.operators.edit_join import near_pairs
+from siftwell.operators.page_rules import LOREM_PAGE, RULES, check_known_misspellings, check_scope, findings, lorem_markers, numbered, without_urls
 from siftwell.sources.extract import extract_pages
 
 # fixed values
@@ -42,7 +43,7 @@ SUFFIXES = "s es ed ing ly er ers ion ions al able ment ments ness".split()
 def tokens(blocks: DataFrame, keep: tuple[str, ...] = ("brand", "url")) -> DataFrame:
     """``keep``, raw, token of every word of the blocks; blocks of placeholder Latin and web addresses are left out."""
     latin = F.col("text").rlike(r"(?i)\b(?:" + "|".join(LOREM_PAGE) + r")\b") & (F.size(lorem_markers(F.col("text"), LOREM_PAGE)) >= 3)
-    clean = blocks.where(~latin).select(*keep, F.regexp_replace("text", URL_IN_TEXT, " ").alias("clean"))
+    clean = blocks.where(~latin).select(*keep, without_urls(F.col("text")).alias("clean"))
     words = clean.select(*keep, F.posexplode(F.regexp_extract_all("clean", F.lit(TOKEN), F.lit(0))).alias("at", "raw"))
     return words.withColumn("raw", F.regexp_replace("raw", "^['’-]+|['’-]+$", "")).withColumn("token", F.lower("raw")).where(F.col("token").rlike("^[a-z]{5,}$"))
 
@@ -61,7 +62,7 @@ def token_ledger(blocks: DataFrame) -> DataFrame:
 def with_places_and_examples(ledger: DataFrame, blocks: DataFrame, pad: int = 60) -> DataFrame:
     """Adds placelike (a state code follows the word somewhere) and example_text: the words around its first place on its example page."""
     where = blocks.join(ledger.select("brand", F.col("example_url").alias("url")).distinct(), ["brand", "url"], "left_semi")
-    words = tokens(where.withColumn("whole", F.regexp_replace("text", URL_IN_TEXT, " ")), ("brand", "url", "pos", "whole"))
+    words = tokens(where.withColumn("whole", without_urls(F.col("text"))), ("brand", "url", "pos", "whole"))
     first = words.groupBy("brand", "url", "token").agg(F.min_by(F.struct("raw", "whole"), F.struct("pos", "at")).alias("w"))
     at = F.instr(F.col("w.whole"), F.col("w.raw")) - 1
     example = F.trim(F.substring(F.col("w.whole"), F.greatest(at - pad, F.lit(0)) + 1, F.length("w.raw") + pad + F.least(at, F.lit(pad))))
@@ -70,48 +71,14 @@ def with_places_and_examples(ledger: DataFrame, blocks: DataFrame, pad: int = 60
     return marked.join(first, ["brand", "example_url", "token"], "left")
 
 
-def deletions(word: Column) -> Column:
-    """The word and all its one-letter deletions."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.array_distinct(F.concat(F.array(word), cut))
-
-
-def swapped(a: Column) -> Column:
-    """The word with each two neighbours swapped."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))),
-        lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))),
-    )
-
-
-def within_one_edit(a: Column, b: Column) -> Column:
-    """One insertion, deletion, substitution or swap of neighbours apart."""
-    return (a != b) & ((F.levenshtein(a, b) == 1) | ((F.length(a) == F.length(b)) & F.array_contains(swapped(a), b)))
-
-
-def within_two_edits(a: Column, b: Column) -> Column:
-    """Two such edits or fewer apart: a swap may stand before or after the other edit."""
-    other = F.exists(swapped(a), lambda s: (s == b) | within_one_edit(s, b)) | F.exists(swapped(b), lambda s: within_one_edit(s, a))
-    return (a != b) & ((F.levenshtein(a, b) <= 2) | other)
-
-
 def fuzzy_pairs(rare: DataFrame, common: DataFrame) -> DataFrame:
-    """Both: brand, token. Pairs one edit apart: an equi-join over deletion neighbourhoods, then an exact test.
-
-    Both words of such a pair share a word or a deletion, so no pair is missed and nothing is compared with everything.
-    """
-    a = rare.select("brand", F.col("token").alias("rare"), F.explode(deletions(F.col("token"))).alias("k"))
-    b = common.select("brand", F.col("token").alias("common"), F.explode(deletions(F.col("token"))).alias("k"))
-    near = a.join(b, ["brand", "k"]).select("brand", "rare", "common").distinct()
-    return near.where(within_one_edit(F.col("rare"), F.col("common")))
+    """Both: brand, token. Pairs of one site one edit apart."""
+    return near_pairs(rare, common, 1, ("brand",)).select("brand", F.col("a").alias("rare"), F.col("b").alias("common"))
 
 
 def fuzzy_pairs_two(rare: DataFrame, common: DataFrame) -> DataFrame:
-    """Both: token. Pairs two edits apart or fewer, by the same join over neighbourhoods of two deletions."""
-    two = lambda word: F.array_distinct(F.flatten(F.transform(deletions(word), deletions)))
-    a = rare.select(F.col("token").alias("rare"), F.explode(two(F.col("token"))).alias("k"))
-    b = common.select(F.col("token").alias("common"), F.explode(two(F.col("token"))).alias("k"))
-    return a.join(b, "k").select("rare", "common").distinct().where(within_two_edits(F.col("rare"), F.col("common")))
+    """Both: token. Pairs two edits apart or fewer."""
+    return near_pairs(rare, common, 2).select(F.col("a").alias("rare"), F.col("b").alias("common"))
 
 
 def affix_stems(word: Column, least: int = 6) -> Column:

@@ -74,6 +74,11 @@ SOCIAL_HOSTS = {
 RULES: dict[str, dict] = {}
 
 
+def without_urls(text: Column) -> Column:
+    """The text with a space for each web address. What ends in a domain is tried from the start of a token only, so a long token takes one pass."""
+    return F.regexp_replace(text, URL_IN_TEXT.replace(r"\S+\.(?:com", r"(?<!\S)\S+\.(?:com"), " ")
+
+
 def rule(name: str, components: tuple[str, ...], reads_visible_text: bool = False) -> Callable:
     """Register a rule and what its findings depend on: a change of a component makes vanished findings ``rule_changed``."""
 
@@ -210,7 +215,7 @@ def body_blocks(pages: DataFrame) -> DataFrame:
 @rule("corruption", ("empty_slot",))
 def check_corruption(blocks: DataFrame) -> DataFrame:
     """``blocks``: url, pos, text. Doubled words, missing spaces, letter runs and stacked marks, one block at a time."""
-    clean = blocks.select("url", F.col("pos").alias("block"), F.regexp_replace("text", URL_IN_TEXT, " ").alias("clean"))
+    clean = blocks.select("url", F.col("pos").alias("block"), without_urls(F.col("text")).alias("clean"))
     patterns = [
         ("doubled_word", r"(?i)\b([A-Za-z]{2,})[^\S\n]+\1\b", 0), ("missing_space", r"\b[A-Za-z]{2,}\.[A-Z][a-z]{2,}\b", 0),
         ("repeated_letters", r"\b[a-z]*([a-z])\1{2,}[a-z]*\b", 0), ("stacked_punctuation", r"[?!]\s*\.|[,;:]\s*[,;:]|\.{4,}", 0),
@@ -226,7 +231,7 @@ def check_corruption(blocks: DataFrame) -> DataFrame:
 @rule("shattered", ("empty_slot",))
 def check_shattered(blocks: DataFrame, least_words: int = 12, least_odd: int = 5, share: float = 0.10) -> DataFrame:
     """Blocks whose words are broken apart by stray spaces; leaked style sheets are left out."""
-    clean = F.regexp_replace("text", URL_IN_TEXT, " ")
+    clean = without_urls(F.col("text"))
     words = F.transform(F.regexp_extract_all(clean, F.lit(r"[A-Za-z0-9][A-Za-z0-9'’-]*"), F.lit(0)), lambda w: F.lower(w))
     odd = F.filter("words", lambda w: w.rlike("^[a-z]{1,2}$") & ~w.isin(SHORT_WORDS))
     counted = blocks.where(F.regexp_count(clean, F.lit(r"[{};]|\w+-\w+:")) < 3).withColumn("words", words).withColumn("odd", F.size(odd))
