@@ -113,6 +113,8 @@ def probe(data: bytes) -> dict | None:
         timescale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
         codec = bytes(data[found[b"stsd"] + 12 : found[b"stsd"] + 16]).decode("latin-1")
         fixed, count = struct.unpack_from(">II", data, found[b"stsz"] + 4)
+        if fixed * count > len(data):
+            raise ValueError("more samples than bytes")
         if fixed:
             sizes = np.full(count, fixed, dtype=np.int64)
         else:
@@ -123,21 +125,25 @@ def probe(data: bytes) -> dict | None:
         (n_runs,) = struct.unpack_from(">I", data, found[b"stsc"] + 4)
         runs = np.frombuffer(data, ">u4", 3 * n_runs, found[b"stsc"] + 8).reshape(-1, 3).astype(np.int64)
         per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], n_chunks + 1)))
+        if per_chunk.sum() > len(data) or sizes.sum() > len(data):
+            raise ValueError("more samples than bytes")
         chunk_of = np.repeat(np.arange(n_chunks), per_chunk)[:count]
         before = np.cumsum(sizes) - sizes
         first = np.cumsum(per_chunk) - per_chunk
         starts = chunks[chunk_of] + before - before[first[chunk_of]]
-        if len(starts) != count or count and (starts + sizes).max() > len(data):
+        if len(starts) != count or count and (starts.min() < 0 or (starts + sizes).max() > len(data)):
             raise ValueError("samples beyond the end")
         if b"stss" in found:
             (n_keys,) = struct.unpack_from(">I", data, found[b"stss"] + 4)
             keys = np.frombuffer(data, ">u4", n_keys, found[b"stss"] + 8).astype(np.int64) - 1
         else:
             keys = np.arange(count)
+        if len(keys) and not 0 <= keys.min() <= keys.max() < count:
+            raise ValueError("key frames beyond the samples")
         joins = np.flatnonzero(np.append(True, starts[1:] != starts[:-1] + sizes[:-1])) if count else np.array([], int)
         stops = np.append(joins[1:], count) - 1
         payload = b"".join(data[starts[a] : starts[b] + sizes[b]] for a, b in zip(joins, stops))
-    except (KeyError, ValueError, struct.error, IndexError):
+    except (KeyError, ValueError, struct.error, IndexError, RecursionError):
         return None
     return {
         "codec": codec, "timescale": timescale, "duration": duration, "n_samples": int(count),
@@ -168,8 +174,12 @@ def texts_to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def probe_media(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns, the media and what the boxes say of it; null fields where the container is broken."""
-    kept = [f for f in df.schema.fields if f.name in keep]
+    """``keep`` columns, the media and what the boxes say of it; null fields where the container is broken.
+
+    Columns to keep that are named like one of these results are left out.
+    """
+    results = {"media", *(x.split()[0] for x in PROBE_FIELDS.split(", "))}
+    kept = [f for f in df.schema.fields if f.name in keep and f.name not in results]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "media binary", PROBE_FIELDS])
     names = [f.name for f in kept]
 

@@ -256,10 +256,10 @@ class Pieces:
 
         short = [w for w in words if len(w) <= LONG]
         symbols, counts = self.merge_many(short) if short else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for word in (w for w in words if len(w) > LONG):
-            more = self.merge_long(word)
-            short.append(word)
-            symbols, counts = np.append(symbols, np.array(more, dtype=np.int64)), np.append(counts, len(more))
+        long = [w for w in words if len(w) > LONG]
+        merged = [np.array(self.merge_long(w), dtype=np.int64) for w in long]
+        short += long
+        symbols, counts = np.concatenate([symbols, *merged]), np.concatenate([counts, np.array([len(m) for m in merged], dtype=np.int64)])
         known = symbols < len(self.names)
         code = np.maximum(symbols - self.n_symbols, 0)
         width = np.where(symbols < self.n_symbols, self.symbol_bytes[np.minimum(symbols, self.n_symbols - 1)], 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
@@ -347,12 +347,15 @@ def pieces_of(model: bytes) -> Pieces:
 
 
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, ``keep`` columns, ids, begins, ends (byte spans in the text; the end id's is empty) and the decoded text."""
+    """id, ``keep`` columns, ids, begins, ends (byte spans in the text; the end id's is empty) and the decoded text.
+
+    Columns to keep that are named like the id or one of these results are left out.
+    """
     from siftwell.llm.shared import text_slices
 
     with open(model_path, "rb") as f:
         model = f.read()  # half a megabyte, fixed by the vocabulary
-    fields = [df.schema[id_col], *(df.schema[k] for k in keep)]
+    fields = [df.schema[id_col], *(df.schema[k] for k in keep if k not in (id_col, "ids", "begins", "ends", "decoded"))]
     names = [f.name for f in fields]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>, begins array<int>, ends array<int>, decoded string"])
 

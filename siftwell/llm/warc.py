@@ -69,7 +69,7 @@ def record(page: int | None, url: str | None, captured: str, payload: bytes, siz
     if page is not None:
         head.append(f"WARC-Page-ID: {page}")
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",

@@ -115,3 +115,22 @@ def test_gibberish_and_unseen_languages_are_rejected_at_small_samples(spark):
         assert model.judged(mixed)[2].all()
         lost = docs.count() - langid.keep_identified(docs).count()
         assert lost <= (1 if langs else 0)  # one document of 620 is half French, which a model of English alone does not know
+
+
+def test_long_words_take_linear_work_and_clashing_columns_are_left_out(spark):
+    import time
+
+    import public_tokenizers
+
+    pieces = spm.Pieces(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(65)) for _ in range(n))
+    took = []
+    for n in (4000, 16000):
+        began = time.process_time()
+        pieces.encode_all([text(n)])
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * max(took[0], 0.2)
+    df = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, ids string, source string")
+    out = spm.encode(df, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "ids", "source"))
+    assert out.columns == ["doc_id", "source", "ids", "begins", "ends", "decoded"] and out.first().source == "y"

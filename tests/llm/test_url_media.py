@@ -82,3 +82,19 @@ def test_tables_of_other_writers_and_broken_files(spark):
     df = spark.createDataFrame([(1, None), (2, bytearray(b"junk junk"))], "doc_id long, media binary")
     assert all(r.codec is None for r in isomedia.probe_media(df, keep=("doc_id",)).collect())
     assert hashlib.sha256(payload).hexdigest() and zlib.crc32(payload) >= 0
+
+
+def test_broken_counts_give_nulls_without_memory(spark):
+    import struct
+
+    whole = bytearray(isomedia.mux_payload(bytes(range(64))))
+    at = {kind: whole.index(kind) for kind in (b"stsz", b"co64", b"stsc", b"stss")}
+    broken = []
+    for kind, shift, value in ((b"stsz", 12, 2**32 - 1), (b"co64", 8, 2**32 - 1), (b"stsc", 16, 2**32 - 1), (b"stsc", 8, 2**32 - 1), (b"stss", 8, 2**32 - 1), (b"stss", 12, 0), (b"stsz", 8, 2**31)):
+        data = bytearray(whole)
+        struct.pack_into(">I", data, at[kind] + shift, value)
+        broken.append(bytes(data))
+    nested = b"".join(struct.pack(">I4s", 8 * (5000 - i), b"moov") for i in range(5000))
+    rows = [(i, bytearray(d), "clash") for i, d in enumerate([*broken, nested, bytes(whole)])]
+    got = isomedia.probe_media(spark.createDataFrame(rows, "doc_id long, media binary, codec string"), keep=("doc_id", "codec")).collect()
+    assert [r.doc_id for r in got if r.payload is not None] == [len(rows) - 1] and got[-1].codec == "raw "

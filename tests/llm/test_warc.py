@@ -86,3 +86,11 @@ def test_broken_records_raise():
     for bad in (b"", b"HTTP/1.1 200\r\n\r\n", whole[:-8]):
         with pytest.raises(ValueError):
             warc.parse_record(bad)
+
+
+def test_uris_come_back_as_they_were():
+    for url in ("http://h.com/a%20b", "http://h.com/%25?q=é#x", "http://h.com/a%0Db", "no scheme", " http://h.com/x"):
+        head, _, _ = warc.parse_record(warc.record(1, url, "2024-01-01T00:00:00Z", b"x", 1, "00" * 20, None, False))
+        assert head["warc-target-uri"] == url.strip()
+    head, _, _ = warc.parse_record(warc.record(1, "http://h.com/a\r\nb", "2024-01-01T00:00:00Z", b"x", 1, "00" * 20, None, False))
+    assert head["warc-target-uri"] == "http://h.com/a%0D%0Ab"
