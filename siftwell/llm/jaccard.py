@@ -132,24 +132,19 @@ def shared_shingles(df: DataFrame, text_col: str, n_values: int) -> DataFrame:
                 rows = []
                 order = np.argsort(part[owner], kind="stable")
                 order = order[twice[order]]
-                ends = np.searchsorted(part[owner][order], np.arange(n_buckets + 1))
-                for p in np.unique(part):
-                    mine = np.flatnonzero(part == p)
-                    at = order[ends[p] : ends[p + 1]]
+                parts, of_part = np.unique(part), np.argsort(part, kind="stable")
+                for p, at, mine in zip(parts, _slices(part[owner][order], order, parts), _slices(part[of_part], of_part, parts)):
                     counts = np.bincount(owner[at], minlength=len(cids))[mine]
                     rows.append((int(n_buckets + p), cids[mine].tobytes(), sizes[mine].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), values[at].tobytes(), b""))
                 once = np.flatnonzero(~twice)
                 once = once[np.argsort(bucket[once], kind="stable")]
-                ends = np.searchsorted(bucket[once], np.arange(n_buckets + 1))
                 seen = distinct[times > 1]
                 seen_bucket = _bucket(seen, n_buckets)
                 seen_order = np.argsort(seen_bucket, kind="stable")
-                seen_ends = np.searchsorted(seen_bucket[seen_order], np.arange(n_buckets + 1))
-                for b in range(n_buckets):
-                    at, witness = once[ends[b] : ends[b + 1]], seen[seen_order[seen_ends[b] : seen_ends[b + 1]]]
-                    if len(at) or len(witness):
-                        who, counts = np.unique(owner[at], return_counts=True)
-                        rows.append((b, cids[who].tobytes(), b"", counts.astype(np.int32).tobytes(), values[at].tobytes(), witness.tobytes()))
+                present = np.union1d(bucket[once], seen_bucket)
+                for b, at, witness in zip(present, _slices(bucket[once], once, present), _slices(seen_bucket[seen_order], seen[seen_order], present)):
+                    who, counts = np.unique(owner[at], return_counts=True)
+                    rows.append((int(b), cids[who].tobytes(), b"", counts.astype(np.int32).tobytes(), values[at].tobytes(), witness.tobytes()))
                 yield _batch(BLOBS, rows)
 
     def settle(table):
@@ -183,10 +178,10 @@ def shared_shingles(df: DataFrame, text_col: str, n_values: int) -> DataFrame:
             part = (owner.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((owner, part))
             values, owner, part = values[order], owner[order], part[order]
-            ends = np.searchsorted(part, np.arange(n_buckets + 1))
-            for p in np.unique(part):
-                who, counts = np.unique(owner[ends[p] : ends[p + 1]], return_counts=True)
-                rows.append((int(p), who.tobytes(), b"", counts.astype(np.int32).tobytes(), values[ends[p] : ends[p + 1]].tobytes()))
+            parts = np.unique(part)
+            for p, mine, of in zip(parts, _slices(part, values, parts), _slices(part, owner, parts)):
+                who, counts = np.unique(of, return_counts=True)
+                rows.append((int(p), who.tobytes(), b"", counts.astype(np.int32).tobytes(), mine.tobytes()))
         return pa.Table.from_batches([_batch("key long, cids binary, sizes binary, counts binary, values binary", rows)])
 
     def gather(table):
@@ -305,6 +300,14 @@ def probe_entries(n: int, values, starts: list[int], frequency):
     return np.concatenate(out)
 
 
+def _slices(keys, rows, wanted) -> Iterator:
+    """The ``rows`` of each wanted key, where ``keys`` rise with them: the work follows the rows, not the number of keys there could be."""
+    import numpy as np
+
+    for a, b in zip(np.searchsorted(keys, wanted, side="left"), np.searchsorted(keys, wanted, side="right")):
+        yield rows[a:b]
+
+
 def _dealt(found: list, cids, extra, n_buckets: int, places: list | None = None) -> list[tuple]:
     """Rows of ``BLOBS``: the values of each set of a batch, by bucket. ``extra``: a number of each set that goes along, ``places``: one of each value."""
     import numpy as np
@@ -313,13 +316,10 @@ def _dealt(found: list, cids, extra, n_buckets: int, places: list | None = None)
     value, owner = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
     bucket = _bucket(value, n_buckets)
     order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    rows = []
-    for b in range(n_buckets):
-        at = order[ends[b] : ends[b + 1]]
-        if len(at):
-            who, counts = np.unique(owner[at], return_counts=True)
-            rows.append((b, cids[who].tobytes(), extra[who].tobytes(), counts.astype(np.int32).tobytes(), _pack(value[at]), place[at].tobytes() if places else b""))
+    rows, present = [], np.unique(bucket)
+    for b, at in zip(present, _slices(bucket[order], order, present)):
+        who, counts = np.unique(owner[at], return_counts=True)
+        rows.append((int(b), cids[who].tobytes(), extra[who].tobytes(), counts.astype(np.int32).tobytes(), _pack(value[at]), place[at].tobytes() if places else b""))
     return rows
 
 

@@ -221,3 +221,20 @@ def test_components_of_chains(spark):
     assert got[400] == got[300]
     assert jaccard.components(edges.limit(0)).count() == 0
     assert F is not None
+
+
+def test_dealing_a_batch_takes_no_more_time_for_more_buckets():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    found = [rng.integers(0, 1 << 63, 200, dtype=np.uint64) for _ in range(50)]
+    cids, extra = np.arange(50), np.zeros(50, dtype=np.int32)
+    took = []
+    for n_buckets in (20_000, 50_000_000):
+        began = time.process_time()
+        rows = jaccard._dealt(found, cids, extra, n_buckets)
+        took.append(time.process_time() - began)
+        assert sum(np.frombuffer(r[3], np.int32).sum() for r in rows) == 10_000 and [r[0] for r in rows] == sorted({r[0] for r in rows})
+    assert took[1] < 10 * max(took[0], 0.05)
