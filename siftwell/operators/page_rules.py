@@ -356,18 +356,31 @@ def check_markup_access(pages: DataFrame) -> DataFrame:
 
 
 @rule("brands", ("brands",))
+def texts_with_names(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``texts``: url, brand, text. ``names``: other, name, pattern. Texts that have the rarest word of a name, of all that might have the name.
+
+    Words are runs of plain letters, digits and underscores, as at the edges of a pattern; names of other scripts alone go by their own runs.
+    """
+    runs = lambda c: F.array_distinct(F.concat(F.regexp_extract_all(c, F.lit(r"\w+"), F.lit(0)), F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))))
+    plain = F.regexp_extract_all("name", F.lit(r"\w+"), F.lit(0))
+    of_names = names.select("other", "name", "pattern", F.explode(F.when(F.size(plain) > 0, plain).otherwise(runs(F.col("name")))).alias("word")).distinct()
+    wanted = of_names.select("word").distinct()
+    words = texts.select("url", "brand", F.explode(runs(F.col("text"))).alias("word")).join(wanted, "word")
+    counts = words.groupBy("word").agg(F.count("*").alias("texts"))
+    rarest = of_names.join(counts, "word", "left").groupBy("other", "name", "pattern").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "word"))["word"].alias("word"))
+    return words.join(rarest, "word")
+
+
 def check_sister_brand(texts: DataFrame, names: DataFrame, window: int = 90) -> DataFrame:
     """``texts``: url, brand, text (body), subject (text that says what the page is about). ``names``: brand, name.
 
     Another brand's exact name in the body; pages that name two or more, that are about that brand, or
-    that speak of a relationship right before the name, are left out. Words of texts meet the first words of
-    names in an equi-join, and only those pages are searched for the whole name.
+    that speak of a relationship right before the name, are left out. Each name is looked for by its rarest word: texts and names
+    meet in an equi-join on the word of each name that the fewest texts have, and only those pages are searched for the whole name.
     """
     relation = r"(?i)\b(partner\w*|network|affiliat\w*|sister|family\s+of|part\s+of|owned\s+by|operated\s+by|refer\w*\s+to|alongside|our\s+other)\b"
     names = names.select(F.col("brand").alias("other"), "name").withColumn("pattern", F.concat(F.lit(r"(?<![\w-])\Q"), F.col("name"), F.lit(r"\E(?![\w-])")))
-    names = names.withColumn("word", F.regexp_extract("name", r"[\p{L}\p{N}_]+", 0))
-    words = texts.select("url", "brand", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("word"))
-    near = words.join(names, "word").where("brand <> other").select("url", "other", "name", "pattern").distinct()
+    near = texts_with_names(texts, names).where("brand <> other").select("url", "other", "name", "pattern").distinct()
     hit = texts.join(near, "url").where(F.expr("regexp_like(text, pattern)"))
     hit = hit.withColumn("at", F.expr("regexp_instr(text, pattern)")).withColumn("brands", F.size(F.collect_set("other").over(W.partitionBy("url"))))
     before = F.substring("text", F.greatest(F.col("at") - window, F.lit(1)), F.least(F.col("at") - 1, F.lit(window)))

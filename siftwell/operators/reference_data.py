@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftwell.functions import text as T
+from siftwell.operators.ordered import forward_fill
 from siftwell.operators.page_rules import findings, numbered, rule, union
 
 # fixed values
@@ -20,7 +21,7 @@ def parse_number_grid(rows: DataFrame) -> DataFrame:
     brand, e164, kind (national, location, retired); a number that is live anywhere in its brand is not retired.
     """
     cell = F.nullif(T.norm_whitespace(F.col("brand_cell")), F.lit(""))
-    filled = rows.withColumn("brand", F.last(cell, ignorenulls=True).over(W.partitionBy(F.lit(0)).orderBy("row_no")))  # a sheet: thousands of rows
+    filled = forward_fill(rows.withColumn("_cell", cell), "row_no", "_cell", "brand")
     live = filled.withColumn("e164", T.e164_us(T.norm_whitespace(F.col("number")))).where("e164 is not null and brand is not null")
     live = live.select("brand", "e164", F.when(F.lower("channel").contains("national"), "national").otherwise("location").alias("kind")).distinct()
     gone = filled.withColumn("e164", T.e164_us(T.norm_whitespace(F.col("retired")))).where("e164 is not null and brand is not null").select("brand", "e164", F.lit("retired").alias("kind")).distinct()
@@ -28,16 +29,17 @@ def parse_number_grid(rows: DataFrame) -> DataFrame:
 
 
 def parse_location_grid(cells: DataFrame) -> DataFrame:
-    """``cells``: row_label, values array. Rows are found by label; a bare code in the code row opens a block of columns.
+    """``cells``: row_no, row_label, values array. Rows are found by label, the first of several; a bare code in the code row opens a block of columns.
 
     brand, name, address of every column with an address.
     """
-    each = cells.select("row_label", F.posexplode("values").alias("col", "value"))
-    label = F.lower(T.norm_whitespace(F.col("row_label")))
-    of = lambda prefix: each.where(label.startswith(prefix)).groupBy("col").agg(F.first(T.norm_whitespace(F.col("value"))).alias(prefix))
-    wide = of("code").join(of("name"), "col", "full_outer").join(of("address"), "col", "full_outer")
+    label, labels = F.lower(T.norm_whitespace(F.col("row_label"))), ("code", "name", "address")
+    starts = cells.select("row_no", "values", F.explode(F.array(*[F.when(label.startswith(x), x) for x in labels])).alias("label")).where("label is not null")
+    first = starts.groupBy("label").agg(F.min_by("values", "row_no").alias("values"))  # three rows
+    each = first.select("label", F.posexplode("values").alias("col", "value"))
+    wide = each.groupBy("col").pivot("label", list(labels)).agg(F.first(T.norm_whitespace(F.col("value"))))
     code = F.when(F.col("code").rlike("^[A-Z]{2,6}$"), F.col("code"))
-    block = wide.withColumn("brand", F.last(code, ignorenulls=True).over(W.partitionBy(F.lit(0)).orderBy("col")))
+    block = forward_fill(wide.withColumn("_code", code), "col", "_code", "brand")
     return block.where("coalesce(address, '') <> '' and brand is not null").select("brand", "name", "address")
 
 
@@ -135,7 +137,7 @@ def check_structured_data(pages: DataFrame, brands: DataFrame, numbers: DataFram
     missing = findings(none, "schema", "missing", "error", [], "no business in the structured data", "head")
     local = kinds(LOCAL_TYPES)
     gaps = F.array_compact(F.array(F.when(local & (F.coalesce("telephone", F.lit("")) == ""), "no_telephone"), F.when(local & (F.coalesce("address", F.lit("")) == ""), "no_address")))
-    named = business.join(F.broadcast(brands.select("brand", F.col("name").alias("brand_name"))), "brand", "left")
+    named = business.join(brands.select("brand", F.col("name").alias("brand_name")), "brand", "left")
     gap = findings(business.withColumn("c", F.explode(gaps)), "schema", F.col("c"), "warning", [F.col("block")], F.concat(F.lit("structured data: "), F.col("c")), "head")
     other = findings(named.where(~F.contains(F.lower("name"), F.lower("brand_name"))), "schema", "name", "warning", [F.col("name")], "the name lacks the brand", "head", matched=F.col("name"))
     e164 = business.where("telephone is not null").withColumn("e164", T.e164_us(F.col("telephone"))).where("e164 is not null")

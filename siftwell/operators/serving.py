@@ -82,7 +82,7 @@ def section_rows(found: DataFrame, whole: tuple[str, ...] = URL_LIST_CLASSES) ->
 def issue_wording(found: DataFrame, rules: DataFrame) -> DataFrame:
     """``rules``: rule_no, check, prefix, wording (tens of rows). The first rule whose check and issue prefix fit; a suggestion of its own wins."""
     fits = (F.col("r.check") == F.col("f.check")) & F.startswith("f.issue", "r.prefix")
-    pairs = found.alias("f").join(F.broadcast(rules).alias("r"), fits, "left")
+    pairs = found.alias("f").join(rules.alias("r"), fits, "left")
     best = pairs.groupBy("f.fingerprint").agg(F.min_by("r.wording", "r.rule_no").alias("wording"))
     return found.join(best, "fingerprint").withColumn("wording", F.coalesce(F.nullif("suggestion", F.lit("")), "wording", "issue"))
 
@@ -91,7 +91,7 @@ def section_assign(found: DataFrame, sections: DataFrame) -> DataFrame:
     """``sections``: section_no, check, class (``*`` for any); tens of rows. Each finding goes to the first section that claims it."""
     base = F.regexp_replace("f.class", r"#\d+$", "")
     fits = (F.col("s.check") == F.col("f.check")) & ((F.col("s.class") == "*") | (F.col("s.class") == base))
-    return found.alias("f").join(F.broadcast(sections).alias("s"), fits, "left").groupBy("f.fingerprint").agg(F.min("s.section_no").alias("section_no"))
+    return found.alias("f").join(sections.alias("s"), fits, "left").groupBy("f.fingerprint").agg(F.min("s.section_no").alias("section_no"))
 
 
 def brand_board(found: DataFrame, runs: DataFrame) -> DataFrame:
@@ -225,12 +225,18 @@ def stratified_round_robin(pages: DataFrame, n: int, seed: int = 7) -> DataFrame
 
 
 def stratified_proportional(pages: DataFrame, n: int, seed: int = 7) -> DataFrame:
-    """Sections by their share, the second largest with one at least; what rounding leaves comes from the largest."""
+    """Sections by their share, the second largest with one at least; what rounding leaves comes from the largest.
+
+    Pages of a section are cut to ``n`` by rank before they meet the quotas; the total and the two largest sections are one row and two.
+    """
     by = pages.select("url", T.first_segment(F.col("url")).alias("section"))
     sizes = by.groupBy("section").agg(F.count("*").alias("size"))
-    ranked = sizes.withColumns({"r": F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("size"), "section")), "all": F.sum("size").over(W.partitionBy(F.lit(0)))})
-    quota = F.greatest(F.floor(F.lit(n) * F.col("size") / F.col("all")), F.when(F.col("r") == 2, 1).otherwise(0))
-    ranked = ranked.withColumn("quota", quota)
-    inside = F.row_number().over(W.partitionBy("section").orderBy(seeded("url", seed), "url"))
-    picked = by.withColumn("turn", inside).join(ranked, "section")
-    return picked.orderBy((F.col("turn") > F.col("quota")), "r", "turn").limit(n).select("url", "section")
+    top = sizes.orderBy(F.desc("size"), "section").limit(2)
+    second = top.agg(F.when(F.count("*") == 2, F.max_by(F.struct("section"), F.struct(-F.col("size"), "section"))).alias("second"))
+    total = sizes.agg(F.sum("size").alias("all"))
+    quotas = sizes.join(total.join(second))  # one row each
+    quota = F.greatest(F.floor(F.lit(n) * F.col("size") / F.col("all")), F.when(F.struct("section").eqNullSafe(F.col("second")), 1).otherwise(0))
+    turn = F.row_number().over(W.partitionBy("section").orderBy(seeded("url", seed), "url"))
+    few = by.withColumn("turn", turn).where(F.col("turn") <= n)
+    picked = few.join(quotas.select("section", "size", quota.alias("quota")), few["section"].eqNullSafe(quotas["section"])).drop(quotas["section"])
+    return picked.orderBy(F.col("turn") > F.col("quota"), F.desc("size"), "section", "turn").limit(n).select("url", "section")

@@ -67,7 +67,9 @@ def sheet(spark, sf):
     n = numbers(spark, sf).where("brand is not null")
     heads = n.select("brand").distinct().select("brand", F.lit(0).alias("pos"), F.col("brand").alias("brand_cell"), F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("retired"))
     rows = n.select("brand", F.lit(1).alias("pos"), F.lit(" ").alias("brand_cell"), F.when(F.col("kind") == "location", F.col("e164")).alias("number"), F.when(F.col("kind") == "retired", T.format_phone(F.col("e164"))).alias("retired"))
-    return heads.union(rows).select(F.struct("brand", "pos", F.coalesce("number", "retired", F.lit(""))).alias("row_no"), "brand_cell", F.lit("Office").alias("channel"), "number", "retired")
+    crc = lambda c: F.crc32(F.coalesce(c, F.lit("")).cast("binary"))
+    row_no = crc(F.col("brand")) % 1_000_000 * 1_000_000_000 + F.when(F.col("pos") == 0, 0).otherwise(1 + crc(F.coalesce("number", "retired")) % 999_999_999)
+    return heads.union(rows).select(row_no.alias("row_no"), "brand_cell", F.lit("Office").alias("channel"), "number", "retired")
 
 
 @query(f"WITH {D_SQL}, {PHONE_SQL} SELECT brand, e164, kind FROM nu WHERE brand IS NOT NULL")
@@ -80,8 +82,9 @@ def s10_location_grid(spark, sf):
     """Nations as places: a bare code opens the columns of a region, every fourth nation is a column without an address."""
     n = table(spark, sf, "nation").select("n_regionkey", "n_nationkey", "n_name")
     each = n.select(F.struct("n_regionkey", "n_nationkey").alias("at"), F.concat(F.lit("B"), F.char(65 + F.col("n_regionkey"))).alias("code"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 4 != 0, F.concat(F.lit("Street "), F.col("n_nationkey").cast("string"))).alias("address"))
-    row = lambda label, c: each.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce(F.col(c), F.lit("")).alias("v")))), lambda x: x["v"]).alias("values")).select(F.lit(label).alias("row_label"), "values")  # noqa: E731  25 nations
-    return reference_data.parse_location_grid(row("Code of brand", "code").union(row("Name", "name")).union(row("Address", "address")))
+    row = lambda n, label, c: each.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce(F.col(c), F.lit("")).alias("v")))), lambda x: x["v"]).alias("values")).select(F.lit(n).alias("row_no"), F.lit(label).alias("row_label"), "values")  # noqa: E731  25 nations
+    again = [row(9, "Name of old", "code"), row(8, "Address, former", "name")]  # rows of labels that came before
+    return reference_data.parse_location_grid(row(1, "Code of brand", "code").union(again[0]).union(again[1]).union(row(2, "Name", "name")).union(row(5, "Address", "address")))
 
 
 @query(f"WITH {D_SQL}, {PHONE_SQL} SELECT DISTINCT e164 FROM ph WHERE brand IS NOT NULL")

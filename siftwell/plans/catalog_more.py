@@ -51,23 +51,30 @@ def k4_publish_run(spark, sf):
     return counts.join(versions.read(spark, path, "summary"), ["brand", "run_id"]).select("brand", "run_id", "check", "n", "total")
 
 
-@query("SELECT DISTINCT url FROM pages WHERE url IS NOT NULL AND NOT regexp_matches(url, '[<\\s]')")
+@query("""WITH p AS (SELECT url, page_id FROM pages WHERE url IS NOT NULL AND NOT regexp_matches(url, '[<\\s]'))
+SELECT DISTINCT url, 'page' AS kind FROM p UNION ALL SELECT DISTINCT 'lost:' || page_id // 1000000, 'failed' FROM p UNION ALL SELECT DISTINCT 'unread:' || page_id // 1000000000, 'failed' FROM p""")
 def s5_sitemaps(spark, sf):
-    """Sitemaps of a thousand ids each under three levels of indexes of a thousand children each, made of the pages and read back from the root."""
+    """Sitemaps of a thousand ids each under three levels of indexes of a thousand children each, made of the pages and read back from the root.
+
+    Every index also names one sitemap that is not there, or that could not be fetched, and the root, as a circle. URLs that a sitemap cannot hold, with white space or ``<``, are left out.
+    """
     p = given(spark, sf).where(~F.col("url").rlike(r"[<\s]"))
 
-    def made(rows: DataFrame, tag: str) -> DataFrame:
+    def made(rows: DataFrame, tag: str, more: str = "") -> DataFrame:
         loc = F.concat(F.lit("<loc>"), "child", F.lit("</loc>"))
-        return rows.groupBy("url", "k").agg(F.concat(F.lit(f"<{tag}>"), F.array_join(F.collect_list(loc), ""), F.lit(f"</{tag}>")).alias("xml"))
+        lost = F.concat(F.lit(f"<loc>{more}:"), F.col("k").cast("string"), F.lit("</loc><loc>root</loc>")) if more else F.lit("")
+        return rows.groupBy("url", "k").agg(F.array_join(F.collect_list(loc), "").alias("x")).select("url", "k", F.concat(F.lit(f"<{tag}>"), "x", lost, F.lit(f"</{tag}>")).alias("xml"))
 
     above = lambda level: (F.concat(F.lit(f"{level}:"), F.expr("cast(k div 1000 as string)")).alias("url"), F.expr("k div 1000").alias("k"), F.col("url").alias("child"))
     level = made(p.withColumn("k", F.col("page_id")).select(*above("map")), "urlset")
     docs = level
-    for name in ("part", "index"):
-        level = made(level.select(*above(name)), "sitemapindex")
+    for name, more in (("part", "lost"), ("index", "unread")):
+        level = made(level.select(*above(name)), "sitemapindex", more)
         docs = docs.unionByName(level)
     root = made(level.select(F.lit("root").alias("url"), F.lit(0).cast("long").alias("k"), F.col("url").alias("child")), "sitemapindex")  # one child for each 10^9 ids
-    return readers.sitemap_urls(docs.unionByName(root).select("url", "xml"), ["root"], depth=4)[0]
+    unread = level.select(F.concat(F.lit("unread:"), F.col("k").cast("string")).alias("url"), "k", F.lit(None).cast("string").alias("xml"))
+    pages_found, failed = readers.sitemap_urls(docs.unionByName(root).unionByName(unread).select("url", "xml"), ["root"], depth=4)
+    return pages_found.select("url", F.lit("page").alias("kind")).unionByName(failed.select("url", F.lit("failed").alias("kind")))
 
 
 # ---- runs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,18 +65,23 @@ def read_traffic_csv(spark: SparkSession, path: str) -> DataFrame:
 def sitemap_urls(docs: DataFrame, roots: list[str], depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """``docs``: url, xml (null: could not be fetched). Page URLs below the root sitemaps, each once, and the sitemaps that failed.
 
-    ``depth`` joins follow indexes to their children; what is deeper is left out.
+    A recursive query follows indexes to their children, ``depth`` levels at most; a way down never comes to a sitemap twice, so
+    indexes that name each other end. What is deeper is left out. Only names of sitemaps recur; the documents are read once more, for their pages.
     """
-    spark = docs.sparkSession
-    level = spark.createDataFrame([(r,) for r in roots], "url string")
-    pages, failed = [], []
+    spark, name = docs.sparkSession, f"_sitemap_index_{uuid.uuid4().hex}"
     loc = F.explode(F.regexp_extract_all("xml", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1)))
-    for _ in range(depth):
-        read = level.join(docs, "url", "left")
-        failed.append(read.where("xml is null").select("url"))
-        pages.append(read.where("xml not like '%<sitemapindex%'").select(loc.alias("url")))
-        level = read.where("xml like '%<sitemapindex%'").select(loc.alias("url")).distinct()
-    return reduce(DataFrame.union, pages).distinct(), reduce(DataFrame.union, failed).distinct()
+    is_index = F.contains("xml", F.lit("<sitemapindex"))
+    spark.createDataFrame([(r,) for r in roots], "url string").createOrReplaceTempView(f"{name}_roots")
+    docs.where(is_index).select(F.col("url").alias("above"), loc.alias("url")).distinct().createOrReplaceTempView(name)
+    reached = spark.sql(
+        f"""WITH RECURSIVE way(url, level, seen) AS (
+          SELECT url, 1, array(url) FROM {name}_roots
+          UNION ALL SELECT below.url, way.level + 1, array_append(way.seen, below.url) FROM way JOIN {name} AS below ON below.above = way.url
+          WHERE way.level < {int(depth)} AND NOT array_contains(way.seen, below.url))
+        SELECT DISTINCT url FROM way"""
+    )
+    read = reached.join(docs, "url", "left")
+    return read.where(~is_index).select(loc.alias("url")).distinct(), read.where("xml is null").select("url").distinct()
 
 
 def cms_listing_urls(docs: DataFrame) -> DataFrame:

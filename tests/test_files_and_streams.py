@@ -48,6 +48,13 @@ def test_sitemaps_of_any_depth(spark):
         assert [r.url for r in shallow.collect()] == ["http://h/deep"]
 
 
+def test_sitemaps_that_name_each_other_end(spark):
+    index = lambda *x: "<sitemapindex>" + "".join(f"<loc>{u}</loc>" for u in x) + "</sitemapindex>"
+    docs = spark.createDataFrame([("a", index("b", "c", "a")), ("b", index("a", "c", "gone")), ("c", "<urlset><loc>http://h/x</loc></urlset>"), ("d", None), ("e", "<urlset><loc>http://h/never</loc></urlset>")], "url string, xml string")
+    found, failed = readers.sitemap_urls(docs, ["a", "d", "nowhere"], 9)
+    assert [r.url for r in found.collect()] == ["http://h/x"] and sorted(r.url for r in failed.collect()) == ["d", "gone", "nowhere"]
+
+
 def test_a_run_without_findings_leaves_no_old_rows(spark, tmp_path):
     at = f"file://{tmp_path}/p"
     found = spark.createDataFrame([("f", "u")], "fingerprint string, url string")

@@ -134,7 +134,7 @@ def test_numbers_and_phones(spark):
 
 
 def test_locations_and_structured_data(spark):
-    cells = spark.createDataFrame([("Code", ["AA", None, "BB", None]), ("Name of place", ["One", "Two", "Three", "Four"]), ("Address", ["1 Main Street, Town CA 90210", "", "2 Oak Ave, Town CA 90211", "3 Elm Rd, Town CA 90212"])], "row_label string, values array<string>")
+    cells = spark.createDataFrame([(4, "Name again", ["x", "x", "x", "x"]), (1, "Code", ["AA", None, "BB", None]), (2, "Name of place", ["One", "Two", "Three", "Four"]), (3, "Address", ["1 Main Street, Town CA 90210", "", "2 Oak Ave, Town CA 90211", "3 Elm Rd, Town CA 90212"])], "row_no int, row_label string, values array<string>")
     places = reference_data.parse_location_grid(cells).cache()
     assert rows(places, "brand", "name") == [("AA", "One"), ("BB", "Four"), ("BB", "Three")]
     ld = lambda s: [s]
@@ -240,3 +240,39 @@ def test_edit_distance_join_misses_nothing(spark):
 
     want = sorted((a, b) for a in letters for b in letters if near(a, b))
     assert rows(mining.fuzzy_pairs(df, df), "rare", "common") == want
+
+
+def test_forward_fill_over_ranges(spark):
+    import random
+
+    from siftwell.operators.ordered import forward_fill
+
+    rng = random.Random(1)
+    data = [(i, rng.choice([None, None, None, f"v{i}"])) for i in rng.sample(range(5000), 700)] + [(None, "lost"), (None, None)]
+    df = spark.createDataFrame(data, "n long, v string").repartition(7)
+    got = {r.n: r.f for r in forward_fill(df, "n", "v", "f", size=10, levels=4).where("n is not null").collect()}
+    last, want = None, {}
+    for n, v in sorted(x for x in data if x[0] is not None):
+        last = v if v is not None else last
+        want[n] = last
+    assert got == want and forward_fill(df, "n", "v", "f", size=10).count() == len(data) and forward_fill(df.limit(0), "n", "v", "f").count() == 0
+
+
+def test_names_are_met_by_their_rarest_word(spark):
+    from siftwell.operators import page_rules
+
+    texts = [(f"u{i}", "a", "The quick place The Foo", "") for i in range(50)] + [("x", "a", "Visit The Bar House today", ""), ("y", "a", "The Bar-House", ""), ("z", "b", "our Ünion Café Bar", ""), ("w", "b", "株式 会社名 here", ""), ("v", "a", "in Bar House and 会社名", "")]
+    df = spark.createDataFrame(texts, "url string, brand string, text string, subject string")
+    names = spark.createDataFrame([("c", "The Bar House"), ("d", "Bar House"), ("e", "Café Bar"), ("f", "会社名"), ("g", "The Missing"), ("h", "--")], "brand string, name string")
+    met = page_rules.texts_with_names(df, names.selectExpr("brand other", "name", "'' pattern"))
+    assert rows(met.where("name = 'The Missing'"), "url") == [] and met.where("name = 'The Bar House'").select("url").distinct().count() == 3
+    assert rows(page_rules.check_sister_brand(df, names), "url", "matched") == [("w", "会社名"), ("z", "Café Bar")]
+    one = names.where("brand = 'd'")
+    assert rows(page_rules.check_sister_brand(df, one), "url", "matched") == [("v", "Bar House"), ("x", "Bar House")]
+
+
+def test_proportional_sample_of_few_and_one_section(spark):
+    pages = spark.createDataFrame([(f"https://h.com/{s}/{i}",) for s, n in (("a", 90), ("b", 9), ("c", 1)) for i in range(n)], "url string")
+    counts = lambda n, df: {r.section: r["count"] for r in serving.stratified_proportional(df, n).groupBy("section").count().collect()}
+    assert counts(5, pages) == {"a": 4, "b": 1} and counts(200, pages) == {"a": 90, "b": 9, "c": 1}
+    assert counts(3, pages.where("url like '%/a/%'")) == {"a": 3} and counts(3, pages.limit(0)) == {}
