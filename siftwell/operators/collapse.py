@@ -124,6 +124,22 @@ def rollup(found: DataFrame) -> DataFrame:
     return counted.select("level", "severity", "check", "status", "n")
 
 
+def sentence_blocks(texts: DataFrame, keep: tuple[str, ...] = ("brand", "url"), least: int = 40) -> DataFrame:
+    """``texts``: ``keep`` and text, one row a page and ``keep`` its key. ``keep``, pos, start, text of each sentence of ``least`` characters or more.
+
+    A line is a block, and blocks end before sentences do: a text is cut at line ends first and then behind ``.``, ``!`` or ``?``
+    and white space. ``start`` is the code point, from 0, where the sentence stands; its white space is one space each.
+    """
+    ends = F.lit(r"(?U)\n|(?<=[.!?])[\s\x1c-\x1f&&[^\n]]+")
+    parts = F.arrays_zip(F.split("text", ends).alias("part"), F.concat(F.regexp_extract_all("text", ends, F.lit(0)), F.array(F.lit(""))).alias("gap"))
+    each = texts.select(*keep, F.posexplode(parts).alias("pos", "p")).select(*keep, "pos", F.col("p.part").alias("part"), F.col("p.gap").alias("gap"))
+    before = W.partitionBy(*keep).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    lead = F.length("part") - F.length(F.regexp_replace("part", r"(?U)^[\s\x1c-\x1f]+", ""))
+    start = F.coalesce(F.sum(F.length("part") + F.length("gap")).over(before), F.lit(0)) + lead
+    clean = F.trim(F.regexp_replace("part", r"(?U)[\s\x1c-\x1f]+", " "))
+    return each.select(*keep, "pos", start.alias("start"), clean.alias("text")).where(F.length("text") >= least)
+
+
 def boilerplate_share(blocks: DataFrame, share: float = 0.3, least_pages: int = 2, least_chars: int = 40) -> DataFrame:
     """``blocks``: brand, url, text. Per brand: pages, characters, share in blocks of many pages, share saved by storing each block once."""
     long = blocks.where(F.length("text") >= least_chars).select("brand", "url", F.sha1(F.col("text").cast("binary")).alias("block"), F.length("text").alias("chars"))

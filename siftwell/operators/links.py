@@ -27,6 +27,16 @@ def sources_of(edges: DataFrame, stored: int = 5) -> DataFrame:
     return named.join(first_of(edges, ["target"], "url", stored, "sources"), "target").withColumn("truncated", F.col("page_count") > stored)
 
 
+def moved_counts(counts: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """``counts``: target, page_count, as kept. ``old``, ``new``: link edges of the pages that were added, changed or removed, before and after. The counts after.
+
+    Only the edges of these pages are read; a target that no page names any more goes. An edge that stays on a page moves nothing.
+    """
+    moves = new.select("target", F.lit(1).cast("long").alias("page_count")).unionByName(old.select("target", F.lit(-1).cast("long").alias("page_count")))
+    net = moves.groupBy("target").agg(F.sum("page_count").alias("page_count")).where("page_count <> 0")
+    return counts.select("target", "page_count").unionByName(net).groupBy("target").agg(F.sum("page_count").alias("page_count")).where("page_count > 0")
+
+
 def link_class(target: Column, internal: Column) -> Column:
     """First class that fits; ``probe`` where only a request can tell; null for addresses that are no links at all."""
     return (

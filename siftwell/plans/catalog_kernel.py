@@ -1,6 +1,6 @@
 """Queries over pages that are made of the documents' words: html, through the kernel, to the rules.
 
-A page has its title, first heading and a paragraph from the words of a document; the length of the text decides which one defect
+A page has its title and first heading from the first words of a document and all of its words as a paragraph; the length of the text decides which one defect
 of twelve it has besides. The SQL says what must be found from that construction alone, without parsing.
 """
 
@@ -46,7 +46,7 @@ def made_pages(spark, sf):
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("brand"), (F.length(text) % 12).alias("k"), F.regexp_extract_all(text, F.lit("[a-z]{3,}"), F.lit(0)).alias("w"))
     words = lambda a, n: F.array_join(F.slice("w", a, n), " ")
-    docs = docs.withColumns({"title_text": words(1, 5), "descr": words(6, 7), "para": words(1, 30)})
+    docs = docs.withColumns({"title_text": words(1, 5), "descr": words(6, 7), "para": F.array_join("w", " ")})
     url = F.concat(F.lit("https://"), F.coalesce("brand", F.lit("none")), F.lit(".example.com/"), F.coalesce(F.get("w", F.lit(0)), F.lit("x")), F.lit("/"), F.col("doc_id").cast("string"))
     meta = F.when(F.col("k") % 3 == 0, F.concat(F.lit('<meta name="description" content="'), F.col("descr"), F.lit('">'))).otherwise("")
     a, b, c, d, e, f, g = [F.lit(p) for p in PARTS]
@@ -65,7 +65,7 @@ def _sql_choice(kinds: dict[int, str]) -> str:
 
 MP_SQL = f"""mw AS (SELECT doc_id, source AS brand, length(coalesce(text, '')) % 12 AS k, regexp_extract_all(coalesce(text, ''), '[a-z]{{3,}}') AS w FROM documents),
 mt AS (SELECT *, 'https://' || coalesce(brand, 'none') || '.example.com/' || coalesce(w[1], 'x') || '/' || doc_id AS url, coalesce(array_to_string(w[1:5], ' '), '') AS title,
-  coalesce(array_to_string(w[6:12], ' '), '') AS words_after, coalesce(array_to_string(w[1:30], ' '), '') AS para FROM mw),
+  coalesce(array_to_string(w[6:12], ' '), '') AS words_after, coalesce(array_to_string(w, ' '), '') AS para FROM mw),
 mp AS (SELECT *, CASE WHEN k % 3 = 0 THEN words_after ELSE '' END AS descr, [{{'level': 1, 'text': title}}] || CASE k WHEN 2 THEN [{{'level': 1, 'text': trim(title || ' (copy)')}}] WHEN 3 THEN [{{'level': 3, 'text': 'deep'}}] WHEN 4 THEN [{{'level': 2, 'text': ''}}] ELSE [] END AS headings,
   array_to_string(list_filter(['Home', title, CASE k WHEN 2 THEN trim(title || ' (copy)') WHEN 3 THEN 'deep' ELSE '' END, para,
     CASE k WHEN 0 THEN '[some_calculator] lorem ipsum dolor' WHEN 6 THEN para WHEN 7 THEN 'one' || chr(10) || 'three' || chr(10) || 'four' || chr(10) || 'five' WHEN 8 THEN 'View more' WHEN 10 THEN 'Serving across the county today' WHEN 11 THEN 'Same' || chr(10) || 'Same' ELSE '' END], lambda x: x <> ''), chr(10)) AS vis,
@@ -164,7 +164,7 @@ def r22_markup(spark, sf):
     return page_rules.check_markup_access(made_parsed(spark, sf)).select(*RULE_COLUMNS)
 
 
-@query(f"""WITH {MP_SQL}, n AS (SELECT url, trim(regexp_replace(para, '\\s+', ' ', 'g')) AS norm FROM mp WHERE k = 6 AND length(para) >= 120 AND len(w[1:30]) >= 18)
+@query(f"""WITH {MP_SQL}, n AS (SELECT url, trim(regexp_replace(para, '\\s+', ' ', 'g')) AS norm FROM mp WHERE k = 6 AND length(para) >= 120 AND len(w) >= 18)
 SELECT url, 'duplicate_paragraph' AS class, {fp("'duplication'", "'duplicate_paragraph'", 'url', 'substr(sha1(norm), 1, 16)')} AS fingerprint, 'warning' AS severity FROM n""")
 def r18_duplicate_paragraph_parsed(spark, sf):
     return page_rules.check_duplicate_paragraph(page_rules.body_blocks(made_parsed(spark, sf))).select(*RULE_COLUMNS)
@@ -282,7 +282,7 @@ def a30_hidden_text(spark, sf):
 WRONG = ", ".join(f"'{w}'" for w in [*SITE_MISTAKES, "heath"])
 
 
-@query(f"""WITH {MP_SQL}, c AS (SELECT *, len(list_filter(w[1:5], lambda x: list_contains([{WRONG}], x))) AS in_title, len(list_filter(w[1:30], lambda x: list_contains([{WRONG}], x))) AS in_para FROM mp)
+@query(f"""WITH {MP_SQL}, c AS (SELECT *, len(list_filter(w[1:5], lambda x: list_contains([{WRONG}], x))) AS in_title, len(list_filter(w, lambda x: list_contains([{WRONG}], x))) AS in_para FROM mp)
 SELECT brand, count(*) AS pages, count(*) FILTER (w[1] IN ({", ".join(f"'{w}'" for w in SITE_MISTAKES)})) AS slug_hits,
   CAST(sum(in_title * (1 + (k = 2)::INT) + in_para * (1 + (k = 6)::INT)) AS BIGINT) AS body_hits, count(*) FILTER (k = 10) AS scope_pages FROM c GROUP BY brand""")
 def a31_defect_sweep(spark, sf):
