@@ -215,7 +215,18 @@ def corrections(unknown: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def check_vocabulary(pages: DataFrame, dictionary: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """``pages``: as for ``page_words``. ``dictionary``: token, freq. ``allowed``: token, of one word or several. Findings, with ``fix`` (null: none).
+    """``vocabulary_findings`` with ``fix``, the word that was meant (null: none). On large tables, store the findings in between."""
+    return with_corrections(vocabulary_findings(pages, dictionary, allowed), dictionary)
+
+
+def with_corrections(found: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``found``: findings whose ``matched`` is a word. Adds ``fix``."""
+    fixes = corrections(found.select(F.col("matched").alias("word")), dictionary).withColumnRenamed("word", "matched")
+    return found.join(fixes, "matched", "left").select(*found.columns, "fix")
+
+
+def vocabulary_findings(pages: DataFrame, dictionary: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """``pages``: as for ``page_words``. ``dictionary``: token, freq. ``allowed``: token, of one word or several. Findings.
 
     Words in texts, titles, descriptions and the last part of the address that no list, no inflection and no word of the brand's name or
     host explains; of words with hyphens, each part of four letters or more is judged. Off by default: most of what it finds is rare, not wrong.
@@ -240,8 +251,7 @@ def check_vocabulary(pages: DataFrame, dictionary: DataFrame, allowed: DataFrame
     wrong = numbered(seen.join(bad, ["brand", "word"]).withColumn("in_slug", F.col("turn") < 0), ["word", "in_slug"], ["turn"])
     slot = F.when(F.col("in_slug"), "slug").otherwise(T.slot("word", F.col("nth")))
     issue = F.concat(F.lit("possible misspelling: "), F.col("original"))
-    found = findings(wrong, "spelling", slot, F.when(F.col("in_slug"), "error").otherwise("warning"), [F.col("word")], issue, F.col("location"), F.col("original"), F.col("word"))
-    return found.join(corrections(bad, dictionary).withColumnRenamed("word", "matched"), "matched", "left").select(*found.columns, "fix")
+    return findings(wrong, "spelling", slot, F.when(F.col("in_slug"), "error").otherwise("warning"), [F.col("word")], issue, F.col("location"), F.col("original"), F.col("word"))
 
 
 def domain_vocabulary(words: DataFrame, unknown: DataFrame, common: DataFrame, brands: int = 2, contexts: int = 3, span: int = 6, dictionary: DataFrame | None = None, two_edits: int = 10) -> DataFrame:

@@ -120,8 +120,9 @@ def r12_vocabulary(spark, sf):
     p = made_parsed(spark, sf).withColumn("url", F.concat("url", F.lit("/"), F.translate("title", " ", "-")))
     heard = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("token"))
     names = table(spark, sf, "region").select(F.col("r_name").alias("token"))
-    found = mining.check_vocabulary(kept(p, "parsed"), heard.groupBy("token").agg(F.count("*").alias("freq")), names)
-    return found.select("url", "class", "fingerprint", "severity", "location", "matched", "fix")
+    counted = heard.groupBy("token").agg(F.count("*").alias("freq"))
+    found = kept(mining.vocabulary_findings(kept(p, "parsed"), counted, names), "unknown")
+    return mining.with_corrections(found, counted).select("url", "class", "fingerprint", "severity", "location", "matched", "fix")
 
 
 @query(f"WITH {MP_SQL} " + _kind(0, "placeholder", "lorem_ipsum", "error") + " UNION ALL " + _kind(0, "placeholder", "shortcode", "error", "'[some_calculator]'"))
