@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftwell.functions import text as T
-from siftwell.operators.edit_join import near_pairs
+from siftwell.operators.edit_join import near_pairs, within_one_edit
 from siftwell.operators.page_rules import LOREM_PAGE, RULES, check_known_misspellings, check_scope, findings, lorem_markers, numbered, without_urls
 from siftwell.sources.extract import extract_pages
 
@@ -17,6 +17,7 @@ OPENED_WORD = r"(?:(?:^|[.!?:;“\"])\s*)?[A-Za-z][A-Za-z']*(?:-[A-Za-z']+)*"
 ENDINGS = ("s", "es", "'s", "ed", "d", "ing", "ly", "er", "ers", "est")
 TOKEN = r"[A-Za-z][A-Za-z'’-]*"
 PLACE_AFTER = r"^\s*,\s*(?:A[KLRZ]|C[AOT]|D[CE]|FL|GA|HI|I[ADLN]|K[SY]|LA|M[ADEINOST]|N[CDEHJMVY]|O[HKR]|P[AR]|RI|S[CD]|T[NX]|UT|V[AT]|W[AIVY])\b"
+ADDRESS_WORDS = "county counties city township borough parish avenue street road drive boulevard suite highway district village province".split()
 BRITISH = (
     ("our", "or"), ("re$", "er"), ("res$", "ers"), ("ise", "ize"), ("isation", "ization"), ("yse", "yze"), ("lling", "ling"), ("lled", "led"),
     ("llor", "lor"), ("ence$", "ense"), ("ogue$", "og"), ("ae", "e"), ("oe", "e"),
@@ -49,9 +50,13 @@ def tokens(blocks: DataFrame, keep: tuple[str, ...] = ("brand", "url")) -> DataF
 
 
 def places(blocks: DataFrame) -> DataFrame:
-    """brand, token of words that a state code follows, as in a town's address."""
+    """brand, token of words that a state code follows, as in a town's address; not words one edit from a word of addresses, as "coutny" is one misspelled."""
     found = F.regexp_extract_all("text", F.lit(rf"({TOKEN}){PLACE_AFTER[1:]}"), F.lit(1))
-    return blocks.select("brand", F.explode(found).alias("t")).select("brand", F.lower("t").alias("token")).distinct()
+    named = blocks.select("brand", F.explode(found).alias("t")).select("brand", F.lower("t").alias("token")).distinct()
+    misspelled = F.lit(False)
+    for word in ADDRESS_WORDS:
+        misspelled = misspelled | within_one_edit(F.col("token"), F.lit(word)) | (F.col("token") == word)
+    return named.where(~misspelled)
 
 
 def token_ledger(blocks: DataFrame) -> DataFrame:

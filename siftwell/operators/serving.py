@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -148,12 +150,15 @@ def run_summary(diffed: DataFrame) -> DataFrame:
     )
 
 
-def changes(diffed: DataFrame, most: int = 200) -> DataFrame:
-    """New and resolved rows, at most ``most`` of each."""
+def changes(diffed: DataFrame, registry: DataFrame | None = None, run: int | str | None = None, most: int = 200) -> DataFrame:
+    """New and resolved rows, and pages that the ``registry`` (url, first_seen_run) first saw in ``run``, at most ``most`` of each."""
     out = []
     for status in ("new", "resolved"):
         out.append(diffed.where(F.col("status") == status).orderBy("fingerprint").limit(most).select(F.lit(status).alias("kind"), "fingerprint", "url"))
-    return out[0].unionByName(out[1])
+    if registry is not None:
+        first = registry.where(F.col("first_seen_run") == run).select("url").distinct().orderBy("url").limit(most)
+        out.append(first.select(F.lit("new_page").alias("kind"), F.lit(None).cast("string").alias("fingerprint"), "url"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def on_added_pages(found: DataFrame) -> DataFrame:

@@ -153,10 +153,12 @@ def a1_duplicates(spark, sf):
     return collapse.dup_across_pages(pages(spark, sf)).withColumn("sources", F.array_join("sources", " "))
 
 
-@query(ALL_SQL + " SELECT DISTINCT url, class, severity, fingerprint, false AS collision FROM f")
+@query(ALL_SQL + """, u AS (SELECT DISTINCT url, class, severity, fingerprint FROM f) SELECT *, length(url) % 5 = 0 AS collision FROM u UNION ALL SELECT url, class, 'info', fingerprint, true FROM u WHERE length(url) % 5 = 0""")
 def a2_dedupe(spark, sf):
+    """All findings twice, and on some pages a third time with another severity: a collision."""
     found = _all_findings(spark, sf)
-    return collapse.dedupe_findings(found.unionByName(found)).select("url", "class", "severity", "fingerprint", "collision")
+    other = found.where(F.length("url") % 5 == 0).withColumn("severity", F.lit("info"))
+    return collapse.dedupe_findings(found.unionByName(found).unionByName(other)).select("url", "class", "severity", "fingerprint", "collision")
 
 
 @query(ALL_SQL + """
@@ -174,10 +176,12 @@ SELECT page_id, {HOST.format(u="url")} || regexp_replace({PATH.format(u="url")},
   regexp_matches({SLUG.format(u="url")}, '(^|[^0-9])-2$') AS collision, regexp_matches({PATH.format(u="url")}, '(?i)-(old|copy|delete)(-\d+)?/?$') AS cruft,
   regexp_matches({PATH.format(u="url")}, '(?i)/(feed|rss|rss2|atom)/?$') AS feed, contains({PATH.format(u="url")}, '//') AS double_slash,
   sha256(url) AS hash
-FROM pages WHERE url IS NOT NULL""")
+FROM (SELECT page_id, regexp_extract(url, '^[^?#]*') || CASE page_id % 6 WHEN 1 THEN '-2' WHEN 2 THEN '-old-3/' WHEN 3 THEN '/feed/' WHEN 4 THEN '//x' WHEN 5 THEN '?q#f' ELSE '' END AS url FROM pages WHERE url IS NOT NULL)""")
 def v2_url_functions(spark, sf):
-    u = F.col("url")
-    return table(spark, sf, "pages").where("url is not null").select(
+    """Addresses with endings by the id, so that each predicate is true somewhere."""
+    u, k = F.col("url"), F.col("page_id") % 6
+    ending = F.when(k == 1, "-2").when(k == 2, "-old-3/").when(k == 3, "/feed/").when(k == 4, "//x").when(k == 5, "?q#f").otherwise("")
+    return table(spark, sf, "pages").where("url is not null").withColumn("url", F.concat(F.regexp_extract("url", "^[^?#]*", 0), ending)).select(
         "page_id", T.url_key(u).alias("url_key"), T.host(u).alias("host"), T.registrable(T.host(u)).alias("registrable"), T.link_domain(T.host(u)).alias("link_domain"),
         T.first_segment(u).alias("first_segment"), T.depth(u).alias("depth"), T.slug(u).alias("slug"), T.is_collision_slug(u).alias("collision"), T.is_cruft(u).alias("cruft"),
         T.is_feed(u).alias("feed"), T.has_double_slash(u).alias("double_slash"), T.fp_hash(u).alias("hash"),
@@ -285,6 +289,23 @@ def j21_link_sources(spark, sf):
     return links.sources_of(edges(spark, sf)).withColumn("sources", F.array_join("sources", " "))
 
 
+ROOT_SQL = "regexp_extract(url, '^[^:]*://[^/?#]*')"
+ODD_SQL = E_SQL.replace("\ne AS (", "\nplain AS (", 1) + f""", e AS (SELECT * FROM plain UNION SELECT url, CASE page_id % 9 WHEN 0 THEN 'https://nodot/x' WHEN 1 THEN {ROOT_SQL} || '/a//b' WHEN 2 THEN {ROOT_SQL} || '/page-copy-2/' WHEN 3 THEN {ROOT_SQL} || '/feed/' WHEN 4 THEN 'https://site.wpengine.com/x'
+  WHEN 5 THEN {ROOT_SQL} || '/https://other.example.com/' WHEN 6 THEN {ROOT_SQL} || '/cdn-cgi/l/x' WHEN 7 THEN 'https://elsewhere.example.com/old-copy/' ELSE 'https://elsewhere.example.com/feed' END FROM pages WHERE url IS NOT NULL)"""
+
+
+def odd_edges(spark, sf):
+    """The links of the pages and one more on each, of another class by its id."""
+    root, k = F.regexp_extract("url", "^[^:]*://[^/?#]*", 0), F.col("page_id") % 9
+    target = (
+        F.when(k == 0, "https://nodot/x").when(k == 1, F.concat(root, F.lit("/a//b"))).when(k == 2, F.concat(root, F.lit("/page-copy-2/"))).when(k == 3, F.concat(root, F.lit("/feed/")))
+        .when(k == 4, "https://site.wpengine.com/x").when(k == 5, F.concat(root, F.lit("/https://other.example.com/"))).when(k == 6, F.concat(root, F.lit("/cdn-cgi/l/x")))
+        .when(k == 7, "https://elsewhere.example.com/old-copy/").otherwise("https://elsewhere.example.com/feed")
+    )
+    more = table(spark, sf, "pages").where("url is not null").select("url", target.alias("target"))
+    return edges(spark, sf).union(more).distinct()
+
+
 CLASS_SQL = rf"""
 c AS (SELECT target, site, CASE WHEN contains(target, '/cdn-cgi/') THEN NULL WHEN NOT contains({HOST.format(u="target")}, '.') THEN 'malformed'
     WHEN regexp_matches({HOST.format(u="target")} || {PATH.format(u="target")}, 'https?://?') THEN 'fused' WHEN contains({PATH.format(u="target")}, '//') THEN 'double_slash'
@@ -295,15 +316,15 @@ k AS (SELECT target, class, min(site) AS site FROM c WHERE class IS NOT NULL GRO
 n AS (SELECT target, count(*) AS page_count FROM e GROUP BY target)"""
 
 
-@query(f"""WITH {E_SQL}, {CLASS_SQL} SELECT target, class, site, page_count,
+@query(f"""WITH {ODD_SQL}, {CLASS_SQL} SELECT target, class, site, page_count,
   CASE WHEN class IN ('malformed', 'fused', 'cruft', 'staging') THEN 'error' WHEN class IN ('double_slash', 'feed') THEN 'warning' END AS severity FROM k JOIN n USING (target)""")
 def l1_classify_links(spark, sf):
-    return links.classify_links(edges(spark, sf), sites(spark, sf)).select("target", "class", "site", "page_count", "severity")
+    return links.classify_links(odd_edges(spark, sf), sites(spark, sf)).select("target", "class", "site", "page_count", "severity")
 
 
-@query(f"WITH {E_SQL}, {CLASS_SQL} SELECT class, count(*) AS targets, CAST(sum(page_count) AS BIGINT) AS links FROM k JOIN n USING (target) GROUP BY class")
+@query(f"WITH {ODD_SQL}, {CLASS_SQL} SELECT class, count(*) AS targets, CAST(sum(page_count) AS BIGINT) AS links FROM k JOIN n USING (target) GROUP BY class")
 def l4_link_stats(spark, sf):
-    return links.link_stats(links.classify_links(edges(spark, sf), sites(spark, sf)))
+    return links.link_stats(links.classify_links(odd_edges(spark, sf), sites(spark, sf)))
 
 
 @query(rf"""WITH {E_SQL}, w AS (SELECT target, st, row_number() OVER (PARTITION BY st ORDER BY seeded, target) AS turn FROM (
@@ -398,20 +419,26 @@ RUNS_SQL = META_SQL.rstrip() + f""", pc AS (
   SELECT url, 'title_length' AS class FROM h WHERE title <> '' AND (length(title) < 15 OR length(title) > 60) UNION ALL SELECT url, class FROM c WHERE class <> 'title_length'),
 ids AS (SELECT url, page_id FROM h), cur AS (SELECT url, class, {fp("'meta'", 'class', 'url')} AS fingerprint, severity FROM c JOIN ids USING (url) WHERE page_id % 10 <> 1),
 pri AS (SELECT url, class, {fp("'meta'", 'class', 'url')} AS fingerprint FROM pc JOIN ids USING (url) WHERE page_id % 10 <> 0),
-dif AS (SELECT coalesce(cur.fingerprint, pri.fingerprint) AS fingerprint, coalesce(cur.url, pri.url) AS url, cur.fingerprint IS NOT NULL AS now, pri.fingerprint IS NOT NULL AS before FROM pri FULL OUTER JOIN cur USING (fingerprint)),
-st AS (SELECT fingerprint, dif.url, CASE WHEN now AND before THEN 'persisting' WHEN now THEN 'new' WHEN page_id % 10 = 1 AND page_id % 20 = 1 THEN 'page_removed' WHEN page_id % 10 = 1 THEN 'page_unsitemapped' ELSE 'rule_changed' END AS status
+gone AS (SELECT url, 'blank:mended:' || url AS fingerprint FROM ids WHERE page_id % 7 = 0 UNION ALL SELECT url, 'meta:moved:' || url FROM ids WHERE page_id % 9 = 0), pra AS (SELECT url, fingerprint FROM pri UNION ALL SELECT * FROM gone),
+dif AS (SELECT coalesce(cur.fingerprint, pra.fingerprint) AS fingerprint, coalesce(cur.url, pra.url) AS url, cur.fingerprint IS NOT NULL AS now, pra.fingerprint IS NOT NULL AS before FROM pra FULL OUTER JOIN cur USING (fingerprint)),
+st AS (SELECT fingerprint, dif.url, CASE WHEN now AND before THEN 'persisting' WHEN now THEN 'new' WHEN page_id % 10 = 1 AND page_id % 20 = 1 THEN 'page_removed' WHEN page_id % 10 = 1 THEN 'page_unsitemapped' WHEN starts_with(fingerprint, 'meta') THEN 'rule_changed' ELSE 'resolved' END AS status
   FROM dif JOIN ids ON dif.url = ids.url)"""
 
 
 def diffed(spark, sf):
+    """The prior run also has findings that are gone now: of a rule that has not changed (mended) on every seventh page, and of one that has on every ninth."""
     before, now = two_runs(spark, sf)
     p = pages(spark, sf)
+    before = before.select("fingerprint", "url", "check", "first_seen")
+    for k, check, kind in ((7, "blank", "mended"), (9, "meta", "moved")):
+        gone = p.where(F.col("page_id") % k == 0).select(F.concat(F.lit(f"{check}:{kind}:"), "url").alias("fingerprint"), "url", F.lit(check).alias("check"), F.lit("2024-01-01T00:00:00Z").alias("first_seen"))
+        before = before.unionByName(gone)
     audited, live = p.where("page_id % 10 <> 1").select("url"), p.where("page_id % 20 <> 1").select("url")
     moved = spark.createDataFrame([("meta",)], "check string")
     return history.diff_runs(before, now, audited, live, moved, "2024-02-01T00:00:00Z")
 
 
-@query(RUNS_SQL + " SELECT fingerprint, url, 'meta' AS \"check\", status, CASE WHEN status <> 'new' THEN '2024-01-01T00:00:00Z' ELSE '2024-02-01T00:00:00Z' END AS first_seen FROM st")
+@query(RUNS_SQL + " SELECT fingerprint, url, split_part(fingerprint, ':', 1) AS \"check\", status, CASE WHEN status <> 'new' THEN '2024-01-01T00:00:00Z' ELSE '2024-02-01T00:00:00Z' END AS first_seen FROM st")
 def w1_diff_runs(spark, sf):
     return diffed(spark, sf)
 
@@ -423,9 +450,11 @@ def t8_run_summary(spark, sf):
 
 
 @query(RUNS_SQL + """ SELECT * FROM (SELECT status AS kind, fingerprint, url FROM st WHERE status = 'new' ORDER BY fingerprint LIMIT 200)
-UNION ALL SELECT * FROM (SELECT status, fingerprint, url FROM st WHERE status = 'resolved' ORDER BY fingerprint LIMIT 200)""")
+UNION ALL SELECT * FROM (SELECT status, fingerprint, url FROM st WHERE status = 'resolved' ORDER BY fingerprint LIMIT 200)
+UNION ALL SELECT * FROM (SELECT DISTINCT 'new_page', NULL, url FROM ids WHERE page_id % 10 = 0 ORDER BY url LIMIT 200)""")
 def o6_changes(spark, sf):
-    return serving.changes(diffed(spark, sf))
+    registry = pages(spark, sf).select("url", F.when(F.col("page_id") % 10 == 0, 2).otherwise(1).alias("first_seen_run"))
+    return serving.changes(diffed(spark, sf), registry, 2)
 
 
 @query("""WITH reg AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS brand, url, 1 AS a, 2 AS z FROM pages WHERE page_id % 10 <> 0 AND url IS NOT NULL),
@@ -633,13 +662,22 @@ def j8_reach(spark, sf):
     return reach(spark, sf)
 
 
-@query(REACH_SQL + """ SELECT id, state, CASE state WHEN 'weighted' THEN 'at least ' || format('{:,}', clicks) || ' search visits · ' || format('{:,}', impressions) || ' impressions' WHEN 'zero' THEN 'no search visits recorded' WHEN 'unmatched' THEN 'not in the traffic data' END AS words
-FROM (SELECT *, CASE WHEN matched = 0 THEN 'unmatched' WHEN clicks > 0 OR impressions > 0 THEN 'weighted' ELSE 'zero' END AS state FROM re)""")
+@query(REACH_SQL + """, sv AS (SELECT *, length(id) % 5 <> 0 AS connected, length(id) % 7 = 0 AS designed FROM re),
+sx AS (SELECT *, CASE WHEN NOT connected THEN 'not_connected' WHEN designed THEN 'by_design' WHEN matched = 0 THEN 'unmatched' WHEN clicks > 0 OR impressions > 0 THEN 'weighted' ELSE 'zero' END AS state FROM sv),
+sz AS (SELECT *, format('{:,}', clicks) || CASE WHEN clicks = 1 THEN ' visit' ELSE ' visits' END AS v, format('{:,}', impressions) || CASE WHEN impressions = 1 THEN ' impression' ELSE ' impressions' END AS m, format('{:,}', busiest) || CASE WHEN busiest = 1 THEN ' visit' ELSE ' visits' END AS b FROM sx)
+SELECT id, state, CASE state WHEN 'weighted' THEN CASE WHEN known < total THEN 'at least ' ELSE '' END || format('{:,}', clicks) || ' search visits · ' || format('{:,}', impressions) || ' impressions' WHEN 'zero' THEN 'no search visits recorded' WHEN 'unmatched' THEN 'not in the traffic data' WHEN 'by_design' THEN 'not weighted' END AS words,
+CASE state WHEN 'not_connected' THEN '' WHEN 'by_design' THEN 'left out' ELSE CASE state WHEN 'weighted' THEN 'Traffic in May: ' || CASE WHEN known < total THEN 'at least ' ELSE '' END || v || ', ' || m || CASE WHEN matched > 1 THEN '; top page ' || b ELSE '' END
+  WHEN 'zero' THEN 'Traffic in May' || CASE WHEN length(id) % 2 = 0 THEN ': none measured' ELSE ': none listed, blanks count as none' END ELSE 'No traffic row: ' || CASE length(id) % 3 WHEN 0 THEN 'list cut at its limit' WHEN 1 THEN 'list complete' ELSE 'list of unknown extent' END END
+  || CASE WHEN known < total THEN ' (' || format('{:,}', known) || ' of ' || format('{:,}', total) || CASE WHEN total = 1 THEN ' page' ELSE ' pages' END || ' looked up)' ELSE '' END || '.' END AS sentence FROM sz""")
 def v14_reach_state(spark, sf):
-    r = reach(spark, sf)
-    state = traffic.reach_state(F.lit("meta"), F.lit("x"), F.lit(True), F.col("matched"), F.col("clicks"), F.col("impressions"))
-    r = r.withColumn("state", state)
-    return r.select("id", "state", traffic.reach_short(F.col("state"), F.col("known"), F.col("total"), F.col("clicks"), F.col("impressions")).alias("words"))
+    """States, short words and sentences; sites that are not connected, classes that no traffic weighs and figures that nobody measured by the length of the id."""
+    r, i = reach(spark, sf), F.length("id")
+    check, cls = F.when(i % 7 == 0, "enumeration").otherwise("meta"), F.when(i % 7 == 0, F.lit(sorted(traffic.BY_DESIGN)[0])).otherwise("x")
+    r = r.withColumn("state", traffic.reach_state(check, cls, i % 5 != 0, F.col("matched"), F.col("clicks"), F.col("impressions")))
+    columns = {c: F.col(c) for c in ("state", "known", "total", "matched", "clicks", "impressions", "busiest")}
+    capped = F.when(i % 3 == 0, True).when(i % 3 == 1, False)
+    words = traffic.reach_short(*[columns[c] for c in ("state", "known", "total", "clicks", "impressions")])
+    return r.select("id", "state", words.alias("words"), traffic.reach_sentence(**columns, capped=capped, measured=i % 2 == 0, period=F.lit("May"), reason=F.lit("left out")).alias("sentence"))
 
 
 @query(f"""WITH {TR_SQL}, f AS (SELECT DISTINCT {HOST.format(u="url")} AS brand, {HOST.format(u="url")} || regexp_replace({PATH.format(u="url")}, '/+$', '') AS url_key FROM pages WHERE url IS NOT NULL), t AS (SELECT DISTINCT brand, url_key FROM ag),
@@ -768,10 +806,13 @@ def _sql_any(words: tuple[str, ...], flags: str = "") -> str:
     return "'" + flags + r"\\b(" + "|".join(words).replace("'", "''") + r")\\b'"
 
 
-@query(f"""WITH {D_SQL} SELECT brand, count(*) AS kept FROM d WHERE NOT (regexp_matches(txt, {_sql_any(mining.CREDENTIALS)}) OR regexp_matches(txt, {_sql_any(mining.BIOGRAPHY)})
+@query(f"""WITH {D_SQL}, d2 AS (SELECT brand, txt || CASE doc_id % 7 WHEN 1 THEN ' Seen by an LCSW.' WHEN 2 THEN ' Anna graduated from here.' WHEN 3 THEN ' I would recommend this.' WHEN 4 THEN ' my stay was amazing' ELSE '' END AS txt FROM d) SELECT brand, count(*) AS kept FROM d2 WHERE NOT (regexp_matches(txt, {_sql_any(mining.CREDENTIALS)}) OR regexp_matches(txt, {_sql_any(mining.BIOGRAPHY)})
   OR regexp_matches(txt, {_sql_any(mining.REVIEW_PHRASES, '(?i)')}) OR (length(txt) < 260 AND regexp_matches(txt, {_sql_any(mining.FIRST_PERSON)}) AND regexp_matches(txt, {_sql_any(mining.EVALUATIVE, '(?i)')}))) GROUP BY brand""".replace("\\\\", "\\"))
 def f11_person_review(spark, sf):
-    t = texts(spark, sf)
+    """Texts of which some end in words of a biography or a review."""
+    t, k = texts(spark, sf), F.regexp_extract("url", "[0-9]+$", 0).cast("long") % 7
+    more = F.when(k == 1, " Seen by an LCSW.").when(k == 2, " Anna graduated from here.").when(k == 3, " I would recommend this.").when(k == 4, " my stay was amazing").otherwise("")
+    t = t.withColumn("visible_text", F.concat("visible_text", more))
     return t.where(~mining.person_or_review(F.col("visible_text"), F.col("url"))).groupBy("brand").agg(F.count("*").alias("kept"))
 
 

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwell.operators import collapse, links
-from siftwell.plans.catalog import D_SQL, parsed, query, shared_folder, table, texts
+from siftwell.operators import collapse, links, mining
+from siftwell.plans.catalog import D_SQL, kept, parsed, query, shared_folder, table, texts
 from siftwell.sources import elements, extract
 from siftwell.sources.versions import commit, read
 from siftwell.streaming import incremental
@@ -109,3 +109,26 @@ def l6_link_counts(spark, sf):
     stored = read(spark, path, "projection").where("page_id % 10 in (1, 2)")
     return links.moved_counts(read(spark, path, "counts"), links.link_edges(stored), links.link_edges(changed))
 
+
+
+# ---- mined typos with everything that acquits a word
+
+PLANTED = "county treatment and tailortown chapel"
+RARE = "near palm coutny, FL and tailertown, SC with treatmint or treatmant or treatmens"
+
+
+@query(f"""WITH {D_SQL}, n AS (SELECT brand, count(*) AS n FROM d WHERE brand IS NOT NULL GROUP BY brand HAVING count(*) >= 5)
+SELECT brand, unnest(['coutny', 'treatmint']) AS token, unnest(['county', 'treatment']) AS candidates FROM n""")
+def j13_vetoes(spark, sf):
+    """Every document is followed by a line of right words, the first one of a brand by rare ones too.
+
+    Of these, a town before a state code is no mistake but a misspelled word of addresses is; a dictionary acquits one as it stands, another by its stem (treatmen for "treatmens").
+    Only words of the planted lines are looked at, as others are the matter of j12.
+    """
+    d = texts(spark, sf).where("brand is not null")
+    first = d.groupBy("brand").agg(F.min("url").alias("first"), F.count("*").alias("n")).where("n >= 5")
+    lines = F.concat(F.array(F.lit(PLANTED)), F.when(F.col("url") == F.col("first"), F.array(F.lit(RARE))).otherwise(F.array().cast("array<string>")))
+    planted = d.join(first, "brand").select("brand", "url", F.posexplode(lines).alias("pos", "text"))
+    dictionary = spark.createDataFrame([("treatmant",), ("treatmen",)], "token string")
+    found = mining.mined_typos(kept(mining.token_ledger(planted), "ledger"), dictionary, common_least=5, place_names=mining.places(planted))
+    return found.select("brand", "token", F.array_join("candidates", " ").alias("candidates"))

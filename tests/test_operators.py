@@ -175,8 +175,8 @@ def test_reach_sentences_and_details(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, state string, known int, total int, matched int, clicks int, impressions int, busiest int, capped boolean, measured boolean, reason string")
     c = {n: F.col(n) for n in names}
     said = [r[0] for r in df.orderBy("i").select(traffic.reach_sentence(period=F.lit("May"), **c)).collect()]
-    assert said[0] == "Search traffic, May: at least 1 visit and 1,200 impressions. The busiest affected page had 1 visit. Checked on the 2 of 9 affected pages that are listed by name."
-    assert "No search impressions" in said[1] and "1,000 pages" in said[2] and "gap in the matching" in said[3] and said[4:] == ["why", ""]
+    assert said[0] == "Traffic in May: at least 1 visit, 1,200 impressions; top page 1 visit (2 of 9 pages looked up)."
+    assert said[1:] == ["Traffic in May: none measured.", "No traffic row: list cut at its limit.", "No traffic row: list of unknown extent.", "why", ""]
     told = spark.createDataFrame([('{"class":"x","n":3}',), ("{broken",), (None,)], "d string").select(T.detail(F.col("d"), "class"), T.detail(F.col("d"), "n"))
     assert [tuple(r) for r in told.collect()] == [("x", "3"), (None, None), (None, None)]
 
