@@ -175,7 +175,7 @@ class GramIndex:
         return (ranked[: bound + 1], True) if bound < len(grams) else (ranked, False)
 
 
-_POSTED = "word string, level int, size int, grams array<string>, begins array<int>"
+_POSTED = "word string, n bigint, level int, size int, grams array<string>, begins array<int>"
 
 
 def postings(words: DataFrame, counts: dict[str, int], q_max: int = Q_MAX) -> DataFrame:
@@ -188,36 +188,36 @@ def postings(words: DataFrame, counts: dict[str, int], q_max: int = Q_MAX) -> Da
         levels = [GramIndex(sent.value, q_max)]
         if q_max > Q_MIN + 1:
             levels.append(GramIndex({g: n for g, n in sent.value.items() if len(g) == Q_MIN + 1}, Q_MIN + 1))
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()))
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()))
         for batch in batches:
             rows = []
-            for word in batch.column(0).to_pylist():
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for level, index in enumerate(levels):
                     grams, shared = index.posted(word)
-                    rows.append((word, level, len(word), [g for g, _ in grams], [b for _, b in grams]))
+                    rows.append((word, n, level, len(word), [g for g, _ in grams], [b for _, b in grams]))
                     if shared:
                         break
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["word", "level", "size", "grams", "begins"])
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["word", "n", "level", "size", "grams", "begins"])
 
-    return words.select("word").mapInArrow(run, _POSTED)
+    return words.select("word", F.col("n").cast("long").alias("n")).mapInArrow(run, _POSTED)
 
 
 def near_words(words: DataFrame, q_max: int = Q_MAX, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """(a, b) of all pairs of the distinct ``word``s, of ``LEAST`` code points or more, that are one edit apart, each once."""
+    """``words``: word, n. (a, n_a, b, n_b) of all pairs of the distinct words, of ``LEAST`` code points or more, that are one edit apart, each once."""
     frequent = gram_counts(words, q_max).where("n >= 8").orderBy(F.desc("n"), "gram").limit(max_grams).collect()
     lists = stored(postings(words, {r.gram: r.n for r in frequent}, q_max), "lists")
-    each = lists.select("word", "level", "size", F.explode(F.arrays_zip("grams", "begins")).alias("_g")).select("word", "level", "size", "_g.grams", "_g.begins")
+    each = lists.select("word", "n", "level", "size", F.explode(F.arrays_zip("grams", "begins")).alias("_g")).select("word", "n", "level", "size", "_g.grams", "_g.begins")
     size, begin, gram = F.col("size"), F.col("begins"), F.col("grams")
     left, right = F.substring("word", F.lit(1), begin), F.substring("word", begin + F.length(gram) + 1, size)
     key = lambda size, begin, side, same: F.xxhash64("level", "grams", size, begin, F.lit(side), same)
     lists_of = F.array(key(size, begin, "left", left), key(size, begin, "right", right))
     looked = F.array(key(size, begin, "left", left), key(size, begin, "right", right), key(size + 1, begin, "left", left), key(size + 1, begin + 1, "right", right))
-    found = each.select(F.explode(lists_of).alias("key"), F.col("word").alias("b"))
-    looks = each.select(F.posexplode(looked).alias("kind", "key"), F.col("word").alias("a"))
+    found = each.select(F.explode(lists_of).alias("key"), F.col("word").alias("b"), F.col("n").alias("n_b"))
+    looks = each.select(F.posexplode(looked).alias("kind", "key"), F.col("word").alias("a"), F.col("n").alias("n_a"))
     fits = (F.col("kind") > 1) | (F.col("a") < F.col("b"))  # of one size, each pair once
     one_edit = (F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1)
-    return looks.join(found, "key").where(fits & one_edit).select("a", "b").distinct()
+    return looks.join(found, "key").where(fits & one_edit).select("a", "n_a", "b", "n_b").distinct()
 
 
 def follow(forms: DataFrame) -> DataFrame:
@@ -238,13 +238,14 @@ def spelling_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("a ratio below 10 allows chains longer than follow() goes")
     words = stored(count_words(df, id_col, text_col).where(F.col("n") >= least_count), "words")
     pairs = stored(near_words(words), "near")
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near")))
-    counted = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
-    best = counted.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("order"), "near")).alias("best"))
-    joined = words.join(best, "word", "left")
-    form = F.when(-F.col("best.order") >= ratio * F.col("n"), F.col("best.near"))
+    one, other = pairs.select(F.col("a").alias("word"), F.col("n_a").alias("n"), F.col("b").alias("near"), F.col("n_b").alias("near_n")), pairs.select(F.col("b").alias("word"), F.col("n_b").alias("n"), F.col("a").alias("near"), F.col("n_a").alias("near_n"))
+    both = one.unionByName(other)
+    sums = both.groupBy("word").agg(F.count("*").alias("n_near"))
+    forms = both.where(F.col("near_n") >= ratio * F.col("n")).groupBy("word").agg(F.min(F.struct((-F.col("near_n")).alias("order"), "near")).alias("best"))  # few
+    joined = words.join(sums, "word", "left").join(forms, "word", "left")
+    form = F.col("best.near")
     rows = stored(
-        joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), form.alias("form"), F.when(form.isNotNull(), -F.col("best.order")).alias("form_n")), "forms"
+        joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), form.alias("form"), (-F.col("best.order")).alias("form_n")), "forms"
     )
     roots = follow(rows.where("form is not null").select("word", "form"))
     return rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

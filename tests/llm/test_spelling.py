@@ -107,7 +107,7 @@ def test_bound_holds_for_every_edit(q_max):
 def test_any_dictionary_gives_the_same_links(spark):
     rng = random.Random(9)
     words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(7, 11))) for _ in range(1500)})
-    df = spark.createDataFrame([(w,) for w in words], "word string")
+    df = spark.createDataFrame([(w, 2) for w in words], "word string, n int")
     known = set(words)
     want = {tuple(sorted((w, v))) for w in words for v in edits(w, "abcd") if v in known}
     for q_max, max_grams in ((6, 100_000), (6, 50), (3, 100_000), (4, 0)):
