@@ -120,10 +120,12 @@ def attach_pass(found: DataFrame, earlier: DataFrame, existing: DataFrame) -> Da
 
 
 def stale_passes(runs: DataFrame, findings: DataFrame, checks: tuple[str, ...]) -> DataFrame:
-    """Brands whose findings of separately run checks sit on a run that is not their latest: brand, check, run_id, latest."""
-    latest = latest_run_per_brand(runs).select("brand", F.col("run_id").alias("latest"))
-    newest = findings.where(F.col("check").isin(*checks)).groupBy("brand", "check").agg(F.max("run_id").alias("run_id"))
-    return newest.join(latest, "brand").where("run_id <> latest")
+    """Brands whose latest complete run has no findings of a separately run check: brand, check, latest, run_id they sit on and how many (null: that check never ran)."""
+    wanted = latest_run_per_brand(runs).select("brand", F.col("run_id").alias("latest"), F.explode(F.array(*map(F.lit, checks))).alias("check"))
+    per_run = findings.where(F.col("check").isin(*checks)).groupBy("brand", "check", "run_id").agg(F.count("*").alias("findings"))
+    met = wanted.join(per_run, ["brand", "check"], "left").groupBy("brand", "check", "latest")
+    last = met.agg(F.max("run_id").alias("run_id"), F.max_by("findings", "run_id").alias("findings"), F.coalesce(F.bool_or(F.col("run_id") == F.col("latest")), F.lit(False)).alias("current"))
+    return last.where("not current").drop("current")
 
 
 def crawl_verdict(runs: DataFrame, least_ok: float = 0.5) -> DataFrame:

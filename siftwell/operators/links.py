@@ -64,6 +64,11 @@ def classify_links(edges: DataFrame, sites: DataFrame) -> DataFrame:
     return one.join(sources_of(edges), "target").withColumn("severity", link_severity(F.col("class")))
 
 
+def relink(projection: DataFrame, sites: DataFrame) -> DataFrame:
+    """The link rules over a stored projection (url, link_urls) alone: after a change of these rules no page is read or parsed again."""
+    return classify_links(link_edges(projection.select("url", "link_urls")), sites)
+
+
 def link_stats(classified: DataFrame) -> DataFrame:
     return classified.groupBy("class").agg(F.count("*").alias("targets"), F.sum("page_count").alias("links"))
 

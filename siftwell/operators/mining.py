@@ -149,7 +149,8 @@ def run_together(words: DataFrame, vocabulary: DataFrame, dictionary: DataFrame
     """``words``: token. ``vocabulary``: token of frequent words. Long tokens that are ``parts`` frequent words or more without spaces.
 
     Works on distinct tokens: all substrings meet the vocabulary in one equi-join, and a fold over the token's matches in order of
-    their ends keeps the split that covers most.
+    their ends keeps for each place the split whose last word is longest. Of the ends that leave at most ``tail`` letters the last one counts.
+    Words of the vocabulary have 3 to 24 letters.
     """
     long = words.select("token").distinct().where(F.col("token").rlike("^[a-z]{%d,}$" % least_chars))
     if dictionary is not None:
@@ -169,9 +170,16 @@ def run_together(words: DataFrame, vocabulary: DataFrame, dictionary: DataFrame
         return F.transform(best, lambda b, i: F.when((i == e["end"]) & better, new).otherwise(b)).cast(kind)
 
     best = F.aggregate("edges", start, step)
-    solved = edges.withColumn("best", F.explode(F.slice(F.reverse(best), 1, tail + 1)))
-    fit = solved.where((F.col("best.covered") >= size * coverage) & (F.col("best.parts") >= parts))
-    return fit.groupBy("token").agg(F.max("best.parts").alias("parts"))
+    ends = F.filter(F.slice(F.reverse(best), 1, tail + 1), lambda b: b["covered"] >= size * coverage)
+    return edges.select("token", F.get(ends, F.lit(0))["parts"].alias("parts")).where(F.col("parts") >= parts)
+
+
+def check_run_together(blocks: DataFrame, vocabulary: DataFrame, dictionary: DataFrame | None = None, least_chars: int = 16) -> DataFrame:
+    """``blocks``: url, text. A finding for each page and long small-letter token that ``run_together`` can split; a token beside a full stop is part of an address."""
+    word = rf"(?<![\p{{L}}\p{{N}}_.])[a-z]{{{least_chars},}}(?![\p{{L}}\p{{N}}_.])"
+    seen = blocks.select("url", F.explode(F.regexp_extract_all("text", F.lit(word), F.lit(0))).alias("token")).distinct()
+    split = run_together(seen, vocabulary, dictionary, least_chars)
+    return findings(seen.join(split, "token"), "empty_slot", "run_together", "warning", [F.col("token")], F.concat(F.col("parts").cast("string"), F.lit(" words run together")), matched=F.col("token"))
 
 
 def unknown_words(words: DataFrame, dictionary: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
@@ -303,6 +311,22 @@ def precision_report(verdicts: DataFrame, floor: float = 0.8, least: int = 10) -
     return sums.withColumn("precision", F.round(F.try_divide(F.col("true"), judged), 6)).withColumn("passes", F.when(judged >= least, F.col("true") >= judged * floor))
 
 
+def locator_report(attempts: DataFrame, intended: DataFrame, floor: float = 0.7, least: int = 10) -> DataFrame:
+    """``attempts``: class, outcome (captured, uncapturable: found but without a box, none, many), copies (equal elements met). ``intended``: class, wanted.
+
+    ``located`` is the share of selectors that found one element, ``hit`` that of pictures; the floor judges the former, as a missing box is the
+    page's matter. Few attempts decide nothing, and a class that was wanted and never tried is ``not_measured``, not passed.
+    """
+    outcomes = ("captured", "uncapturable", "none", "many")
+    sums = attempts.groupBy("class").agg(F.count("*").alias("attempted"), *[F.count_if(F.col("outcome") == o).alias(o) for o in outcomes], F.count_if(F.col("copies") > 1).alias("via_copies"))
+    both = sums.join(intended.groupBy("class").agg(F.sum("wanted").alias("wanted")), "class", "full").na.fill(0, ["attempted", *outcomes, "via_copies", "wanted"])
+    found, n = F.col("captured") + F.col("uncapturable"), F.col("attempted")
+    verdict = F.when(n == 0, "not_measured").when(n < least, "no_verdict").when(found >= n * floor, "ships").otherwise("below_floor")
+    return both.withColumns({
+        "located": F.round(F.try_divide(found, n), 6), "hit": F.round(F.try_divide(F.col("captured"), n), 6), "verdict": verdict, "partial": (n > 0) & (n < F.col("wanted")),
+    })
+
+
 def seed_mistakes(texts: DataFrame, mistakes: dict[str, str]) -> DataFrame:
     """``texts``: url, text. The texts with right words replaced by known wrong ones; url, text, wrong."""
     out = []

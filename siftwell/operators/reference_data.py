@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftwell.functions import text as T
+from siftwell.operators.collapse import first_of
 from siftwell.operators.ordered import forward_fill
 from siftwell.operators.page_rules import findings, numbered, rule, union
+from siftwell.sources.elements import HIDING
 
 # fixed values
 BUSINESS_TYPES = ("Organization", "LocalBusiness", "MedicalBusiness", "MedicalClinic", "MedicalOrganization", "Hospital", "Physician", "HealthAndBeautyBusiness")
@@ -111,6 +113,16 @@ def cross_brand_rollup(found: DataFrame, owners: DataFrame) -> DataFrame:
     return joined.groupBy("brand", "owner").agg(F.count_distinct("matched").alias("numbers"), F.count("*").alias("findings"))
 
 
+def unlisted_numbers(found: DataFrame, examples: int = 3) -> DataFrame:
+    """``found``: brand, url, class, matched of dial findings. Dialled numbers that are in no list or in several others': findings, brands, shared, pages.
+
+    ``shared``: several brands dial it, so that it is likely one line which the lists lack and not as many mistakes. ``pages``: the first by address.
+    """
+    hits = found.where(F.regexp_replace("class", "#.*$", "").isin("display_dial_unknown", "display_dial_ambiguous"))
+    sums = hits.groupBy("matched", "brand").agg(F.count("*").alias("n")).groupBy("matched").agg(F.sum("n").alias("findings"), F.count("brand").alias("brands"))
+    return sums.join(first_of(hits, ["matched"], "url", examples, "pages"), "matched").withColumn("shared", F.col("brands") > 1)
+
+
 def json_ld_nodes(pages: DataFrame) -> DataFrame:
     """url, block, valid, and of every node (top level, list item or ``@graph`` child): types, name, telephone, address.
 
@@ -152,11 +164,33 @@ def check_structured_data(pages: DataFrame, brands: DataFrame, numbers: DataFram
     return union(invalid, missing, gap, other, phone, address)
 
 
-def css_health(sheets: DataFrame) -> DataFrame:
-    """``sheets``: brand, url, status (null: no answer), capped. none, ok, partial or unavailable; a missing sheet (404) is no loss."""
-    lost = F.col("status").isNull() | ((F.col("status") >= 400) & (F.col("status") != 404))
-    sums = sheets.groupBy("brand").agg(F.count("*").alias("n"), F.count_if(lost).alias("lost"), F.bool_or("capped").alias("capped"))
-    return sums.select("brand", F.when(F.col("n") == 0, "none").when(F.col("lost") == F.col("n"), "unavailable").when((F.col("lost") > 0) | F.col("capped"), "partial").otherwise("ok").alias("css_status"))
+def css_health(sheets: DataFrame, brands: DataFrame | None = None) -> DataFrame:
+    """``sheets``: brand, url, status (null: no answer), capped. none, ok, partial or unavailable; a sheet that does not exist (404, 410) is no loss.
+
+    ``brands``: brand. Those without any sheet are none; they have no row where it is not given.
+    """
+    read = F.coalesce(F.col("status") == 200, F.lit(False))
+    lost = ~read & ~F.coalesce(F.col("status").isin(404, 410), F.lit(False))
+    sums = sheets.groupBy("brand").agg(F.count_if(read).alias("read"), F.count_if(lost).alias("lost"), F.bool_or("capped").alias("capped"))
+    status = F.when((F.col("read") == 0) & (F.col("lost") > 0), "unavailable").when((F.col("lost") > 0) | F.col("capped"), "partial").otherwise("ok")
+    known = sums.select("brand", status.alias("css_status"))
+    return known if brands is None else brands.select("brand").distinct().join(known, "brand", "left").na.fill("none", ["css_status"])
+
+
+def hiding_styles(sheets: DataFrame) -> DataFrame:
+    """``sheets``: brand, pos, status, body. brand, css: rules of the sheets that were read, as far as they hide something, in order.
+
+    A sheet is cut at its braces and the depth of each piece is a running sum, so rules inside media queries and other at-rules are left out
+    however they nest. Only rules that hide reach the pages: whole sheets, joined to each page of their brand, would be larger than the pages.
+    """
+    plain = F.regexp_replace(F.regexp_replace("body", r"(?s)/\*.*?\*/", ""), "@[^{};]*;", "")
+    cut = sheets.where("status = 200").select("brand", "pos", F.posexplode(F.regexp_extract_all(plain, F.lit(r"[^{}]*[{}]"), F.lit(0))).alias("i", "piece"))
+    opens = F.endswith("piece", F.lit("{"))
+    w = W.partitionBy("brand", "pos").orderBy("i")
+    placed = cut.withColumns({"depth": F.sum(F.when(opens, 1).otherwise(-1)).over(w), "body": F.lead("piece").over(w)})
+    rule_ = placed.where(opens & (F.col("depth") == 1) & ~F.ltrim("piece").startswith("@") & F.endswith("body", F.lit("}")) & F.col("body").rlike("(?i)" + HIDING.pattern))
+    kept = rule_.groupBy("brand").agg(F.array_sort(F.collect_list(F.struct("pos", "i", F.concat("piece", "body").alias("rule")))).alias("rules"))
+    return kept.select("brand", F.array_join(F.transform("rules", lambda r: r["rule"]), "\n").alias("css"))
 
 
 def masked_number(e164: Column) -> Column:

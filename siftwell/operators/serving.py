@@ -201,15 +201,21 @@ def corruption_family(found: DataFrame, family: tuple[str, ...]) -> DataFrame:
     return there.groupBy("brand").agg(F.count("*").alias("findings"), F.sum(F.greatest(F.coalesce("page_count", F.lit(1)), F.lit(1))).alias("pages"))
 
 
-def data_caveats(runs: DataFrame, now: Column, stale_days: int = 7) -> DataFrame:
-    """``runs``: brand, started_at, status, partial_sample, fixed_list. Per brand the caveats that hold of its last run."""
-    order = W.partitionBy("brand").orderBy(F.desc("started_at"))
-    last = runs.withColumn("rn", F.row_number().over(order)).where("rn = 1")
+def data_caveats(brands: DataFrame, runs: DataFrame) -> DataFrame:
+    """``brands``: brand, fixed_list. ``runs``: brand, run_id, started_at, status, partial_sample, fixed_list. What to know before reading a brand's numbers.
+
+    never: no run has ended. stale: the last that ended did not succeed, so the numbers are of an earlier one. in_flight: one is queued or running; it says
+    nothing of the numbers yet. partial: the last that ended read a part of the site. fixed_list: pages come from a list kept by hand.
+    """
+    waiting = F.col("status").isin("queued", "running")
+    last = F.max_by(F.when(~waiting, F.struct("status", "partial_sample", "fixed_list")), F.when(~waiting, F.struct("started_at", "run_id")))
+    state = runs.groupBy("brand").agg(last.alias("last"), F.bool_or(waiting).alias("in_flight"))
+    row = brands.select("brand", "fixed_list").join(state, "brand", "left")
     named = F.array_compact(F.array(
-        F.when(F.col("started_at").isNull(), "never"), F.when(F.date_diff(now, F.col("started_at").cast("date")) > stale_days, "stale"),
-        F.when(F.col("status") == "running", "in_flight"), F.when(F.col("partial_sample"), "partial"), F.when(F.col("fixed_list"), "fixed_list"),
+        F.when(F.col("last").isNull(), "never"), F.when(F.col("last.status") != "ok", "stale"), F.when(F.col("in_flight"), "in_flight"),
+        F.when(F.col("last.partial_sample"), "partial"), F.when(F.coalesce("fixed_list", F.lit(False)) | F.coalesce("last.fixed_list", F.lit(False)), "fixed_list"),
     ))
-    return last.select("brand", F.explode(named).alias("caveat"))
+    return row.select("brand", F.explode(named).alias("caveat"))
 
 
 def seeded(url: str, seed: int) -> Column:

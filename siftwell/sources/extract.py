@@ -140,11 +140,12 @@ def body_text():
     return F.coalesce(F.nullif(F.array_join(F.transform(body, lambda b: b["text"]), "\n"), F.lit("")), F.col("visible_text"))
 
 
-def to_projection(pages: DataFrame) -> DataFrame:
-    """One compact row per page."""
+def to_projection(pages: DataFrame, robots_col: str | None = None) -> DataFrame:
+    """One compact row per page. ``robots_col`` names the column of the response's robots header, which keeps a page out of indexes as its meta tag does."""
+    by_header = F.contains(F.lower(F.coalesce(robots_col, F.lit(""))), F.lit("noindex")) if robots_col else F.lit(False)
     h1 = F.get(F.filter("headings", lambda h: h["level"] == 1), F.lit(0))["text"]
     return pages.select(
-        "url", "title", "meta_description", "is_noindex", "content_hash", F.coalesce(h1, F.lit("")).alias("h1_text"),
+        "url", "title", "meta_description", (F.col("is_noindex") | by_header).alias("is_noindex"), "content_hash", F.coalesce(h1, F.lit("")).alias("h1_text"),
         F.transform("links", lambda x: x["url"]).alias("link_urls"), F.length("visible_text").alias("visible_chars"),
     )
 

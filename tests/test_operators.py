@@ -104,13 +104,19 @@ def test_attach_and_stale_passes(spark):
     got = history.attach_pass(found, earlier, spark.createDataFrame([("f3",)], "fingerprint string"))
     assert rows(got, "fingerprint", "status", "first_seen") == [("f1", "persisting", "then"), ("f2", "new", None)]
     runs = spark.createDataFrame([(1, "b", 1, "ok"), (3, "b", 3, "ok")], "run_id int, brand string, started_at int, status string")
-    assert rows(history.stale_passes(runs, earlier, ("a11y",)), "run_id", "latest") == [(2, 3)]
+    assert rows(history.stale_passes(runs, earlier, ("a11y", "contrast")), "check", "run_id", "latest", "findings") == [("a11y", 2, 3, 1), ("contrast", None, 3, None)]
+    later = earlier.selectExpr("brand", "check", "run_id + 1 as run_id")
+    assert history.stale_passes(runs, later, ("a11y",)).count() == 0
 
 
 def test_caveats_and_orders(spark):
-    runs = spark.createDataFrame([("a", datetime.datetime(2024, 1, 1), "running", True, False), ("b", None, "ok", False, True)], "brand string, started_at timestamp, status string, partial_sample boolean, fixed_list boolean")
-    got = serving.data_caveats(runs, F.lit("2024-02-01").cast("date"))
-    assert rows(got, "brand", "caveat") == [("a", "in_flight"), ("a", "partial"), ("a", "stale"), ("b", "fixed_list"), ("b", "never")]
+    runs = spark.createDataFrame(
+        [("a", 1, 1, "ok", True, False), ("a", 2, 2, "running", False, False), ("b", 1, 1, "ok", True, False), ("b", 2, 2, "failed", False, True), ("c", 1, 1, "queued", True, True), ("d", 1, 1, "ok", None, None)],
+        "brand string, run_id int, started_at int, status string, partial_sample boolean, fixed_list boolean",
+    )
+    brands = spark.createDataFrame([("a", False), ("b", None), ("c", False), ("d", None), ("e", True)], "brand string, fixed_list boolean")
+    got = serving.data_caveats(brands, runs)
+    assert rows(got, "brand", "caveat") == [("a", "in_flight"), ("a", "partial"), ("b", "fixed_list"), ("b", "stale"), ("c", "in_flight"), ("c", "never"), ("e", "fixed_list"), ("e", "never")]
     f = spark.createDataFrame([("open", "warning", "2024", "h1"), ("open", "error", None, "h2"), ("fixed", "error", "2023", "h3")], "state string, severity string, first_seen string, fingerprint_hash string")
     assert [r.fingerprint_hash for r in serving.triage_order(f).collect()] == ["h2", "h1", "h3"]
 
@@ -152,6 +158,36 @@ def test_locations_and_structured_data(spark):
     assert got == [("bad", "invalid_json"), ("bad", "missing"), ("gaps", "no_address"), ("gaps", "no_telephone"), ("local", "address"), ("local", "name"), ("local", "phone_other_brand"), ("none", "missing")]
     sheets = spark.createDataFrame([("a", "x", 200, False), ("a", "y", 404, False), ("b", "x", 500, False), ("b", "y", 200, False), ("c", "x", None, False)], "brand string, url string, status int, capped boolean")
     assert rows(reference_data.css_health(sheets), "brand", "css_status") == [("a", "ok"), ("b", "partial"), ("c", "unavailable")]
+    more = sheets.union(spark.createDataFrame([("d", "x", 410, False), ("e", "x", 410, False), ("e", "y", 503, False), ("f", "x", 200, True)], sheets.schema))
+    brands = spark.createDataFrame([(b,) for b in "adefg"], "brand string")
+    assert rows(reference_data.css_health(more, brands), "brand", "css_status") == [("a", "ok"), ("d", "ok"), ("e", "unavailable"), ("f", "partial"), ("g", "none")]
+
+
+def test_only_top_level_rules_that_hide_reach_the_pages(spark):
+    body = "/* .a{display:none} */ @import url(x); @media print { .b { display: none } @supports (x) { .c { display:none } } } .d , .e { color: red; Display : none } .f { color: blue } .g{visibility:hidden} .h { display: none"
+    sheets = spark.createDataFrame([("a", 1, 200, body), ("a", 0, 200, ".z{display:none}"), ("a", 2, 500, ".y{display:none}"), ("b", 0, 200, "p{color:red}"), ("c", 0, 200, None)], "brand string, pos int, status int, body string")
+    got = {r.brand: [r.strip() for r in r.css.split("\n")] for r in reference_data.hiding_styles(sheets).collect()}
+    assert got == {"a": [".z{display:none}", ".d , .e { color: red; Display : none }", ".g{visibility:hidden}"]}
+
+
+def test_unlisted_numbers_and_locators(spark):
+    found = spark.createDataFrame(
+        [("a", f"u{i}", "display_dial_unknown#2", "1") for i in range(5)] + [("b", "v", "display_dial_ambiguous", "1"), ("b", "v", "cross_brand_dial", "2"), (None, "w", "display_dial_unknown", "3")],
+        "brand string, url string, class string, matched string",
+    )
+    assert rows(reference_data.unlisted_numbers(found), "matched", "findings", "brands", "shared", "pages") == [("1", 6, 2, True, ["u0", "u1", "u2"]), ("3", 1, 0, False, ["w"])]
+    tries = [("good", "captured", 1)] * 6 + [("good", "uncapturable", 1)] + [("good", "many", 3)] * 3 + [("bad", "none", 0)] * 4 + [("bad", "captured", 2)] * 6 + [("few", "captured", 1)]
+    attempts = spark.createDataFrame(tries, "class string, outcome string, copies int")
+    intended = spark.createDataFrame([("good", 10), ("bad", 12), ("never", 4)], "class string, wanted int")
+    got = rows(mining.locator_report(attempts, intended), "class", "attempted", "located", "hit", "via_copies", "verdict", "partial")
+    assert got == [("bad", 10, 0.6, 0.6, 6, "below_floor", True), ("few", 1, 1.0, 1.0, 0, "no_verdict", False), ("good", 10, 0.7, 0.6, 3, "ships", False), ("never", 0, None, None, 0, "not_measured", False)]
+
+
+def test_run_together_takes_the_furthest_end(spark):
+    vocabulary = spark.createDataFrame([(w,) for w in ["alcohol", "use", "disorder", "best", "rehab", "centers", "disorderaud", "alcoholuse"]], "token string")
+    blocks = spark.createDataFrame([("u", "an alcoholusedisorderaud bestrehabcenters, www.bestrehabcenters.com"), ("v", "bestrehabcenters.org xbestrehabcenterséx BESTREHABCENTERS"), ("w", "bestrehabcenters bestrehabcenters"), ("x", None)], "url string, text string")
+    got = mining.check_run_together(blocks, vocabulary)
+    assert rows(got, "url", "matched", "issue") == [("u", "bestrehabcenters", "3 words run together"), ("w", "bestrehabcenters", "3 words run together")]  # the furthest split of the other has two words
 
 
 def test_traffic(spark):
