@@ -741,7 +741,19 @@ def j14_british(spark, sf):
     return mining.british_variants(kept(mining.mined_typos(kept(mining.token_ledger(blocks(spark, sf)), "ledger"), common_least=20), "typos"))
 
 
-@query()
+R9_SQL = rf"""{B_SQL}, {LEDGER_SQL},
+hd AS (SELECT w AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(txt), '[\p{{L}}\p{{N}}_]+')) AS w FROM d) WHERE regexp_full_match(w, '[a-z]{{3,}}') GROUP BY w),
+lt AS (SELECT DISTINCT token FROM lg WHERE length(token) >= 16 AND token NOT IN (SELECT token FROM hd WHERE n >= 5)),
+sp AS (SELECT token, i, unnest(generate_series(3, least(length(token) - i + 1, 24))) AS n FROM (SELECT token, unnest(generate_series(1, length(token) - 2)) AS i FROM lt)),
+ed AS (SELECT token, i - 1 AS a, i - 1 + n AS z FROM sp WHERE substr(token, i, n) IN (SELECT token FROM hd WHERE n >= 100)),
+re AS (SELECT DISTINCT token, CAST(0 AS BIGINT) AS place FROM ed UNION SELECT ed.token, z FROM re JOIN ed ON ed.token = re.token AND ed.a = re.place),
+pr AS (SELECT ed.token, z, min(a) AS a FROM ed JOIN re ON re.token = ed.token AND re.place = ed.a GROUP BY ed.token, z),
+en AS (SELECT token, max(z) AS z FROM pr WHERE z >= length(token) * 0.8 AND z >= length(token) - 4 GROUP BY token),
+ba AS (SELECT token, z AS place, 0 AS parts FROM en UNION ALL SELECT ba.token, pr.a, parts + 1 FROM ba JOIN pr ON pr.token = ba.token AND pr.z = ba.place),
+rt AS (SELECT token, CAST(max(parts) AS INT) AS parts FROM ba WHERE place = 0 GROUP BY token HAVING max(parts) >= 3)"""
+
+
+@query(f"WITH RECURSIVE {R9_SQL} SELECT token, parts FROM rt")
 def r9_run_together(spark, sf):
     ledger = mining.token_ledger(blocks(spark, sf)).groupBy("token").agg(F.sum("freq").alias("freq"))
     heard = texts(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("visible_text"), F.lit(r"\b[a-z]{3,}\b"), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
