@@ -148,7 +148,8 @@ def british_variants(typos: DataFrame, least: int = 2) -> DataFrame:
 def run_together(words: DataFrame, vocabulary: DataFrame, dictionary: DataFrame | None = None, least_chars: int = 16, parts: int = 3, coverage: float = 0.8, tail: int = 4) -> DataFrame:
     """``words``: token. ``vocabulary``: token of frequent words. Long tokens that are ``parts`` frequent words or more without spaces.
 
-    Works on distinct tokens: all substrings meet the vocabulary in one equi-join, and a fold over the token's matches in order of
+    Works on distinct tokens: all substrings meet the vocabulary in one semi-join, which can send the words to the tasks but never the substrings,
+    many times more than the tokens they are estimated by; and a fold over the token's matches in order of
     their ends keeps for each place the split whose last word is longest. Of the ends that leave at most ``tail`` letters the last one counts.
     Words of the vocabulary have 3 to 24 letters.
     """
@@ -157,7 +158,7 @@ def run_together(words: DataFrame, vocabulary: DataFrame, dictionary: DataFrame
         long = long.join(dictionary.select("token").distinct(), "token", "left_anti")
     starts = F.sequence(F.lit(1), F.length("token") - 2)
     spans = long.select("token", F.explode(starts).alias("i")).select("token", "i", F.explode(F.sequence(F.lit(3), F.least(F.length("token") - F.col("i") + 1, F.lit(24)))).alias("n"))
-    hit = spans.withColumn("part", F.expr("substring(token, i, n)")).join(vocabulary.select(F.col("token").alias("part")).distinct(), "part")
+    hit = spans.withColumn("part", F.expr("substring(token, i, n)")).join(vocabulary.select(F.col("token").alias("part")).distinct(), "part", "left_semi")
     edges = hit.groupBy("token").agg(F.sort_array(F.collect_list(F.struct((F.col("i") + F.col("n") - 1).alias("end"), (F.col("i") - 1).alias("start"), F.col("n").alias("n")))).alias("edges"))
     size = F.length("token")
     kind = "array<struct<covered:int,parts:int>>"
