@@ -41,10 +41,14 @@ PREFIXES = "re de un non pre post over under anti semi multi co mis sub inter in
 SUFFIXES = "s es ed ing ly er ers ion ions al able ment ments ness".split()
 
 
+def without_latin(blocks: DataFrame) -> DataFrame:
+    latin = F.col("text").rlike(r"(?i)\b(?:" + "|".join(LOREM_PAGE) + r")\b") & (F.size(lorem_markers(F.col("text"), LOREM_PAGE)) >= 3)
+    return blocks.where(~latin)
+
+
 def tokens(blocks: DataFrame, keep: tuple[str, ...] = ("brand", "url")) -> DataFrame:
     """``keep``, raw, token of every word of the blocks; blocks of placeholder Latin and web addresses are left out."""
-    latin = F.col("text").rlike(r"(?i)\b(?:" + "|".join(LOREM_PAGE) + r")\b") & (F.size(lorem_markers(F.col("text"), LOREM_PAGE)) >= 3)
-    clean = blocks.where(~latin).select(*keep, without_urls(F.col("text")).alias("clean"))
+    clean = without_latin(blocks).select(*keep, without_urls(F.col("text")).alias("clean"))
     words = clean.select(*keep, F.posexplode(F.regexp_extract_all("clean", F.lit(TOKEN), F.lit(0))).alias("at", "raw"))
     return words.withColumn("raw", F.regexp_replace("raw", "^['’-]+|['’-]+$", "")).withColumn("token", F.lower("raw")).where(F.col("token").rlike("^[a-z]{5,}$"))
 
@@ -65,13 +69,20 @@ def token_ledger(blocks: DataFrame) -> DataFrame:
 
 
 def with_places_and_examples(ledger: DataFrame, blocks: DataFrame, pad: int = 60) -> DataFrame:
-    """Adds placelike (a state code follows the word somewhere) and example_text: the words around its first place on its example page."""
-    where = blocks.join(ledger.select("brand", F.col("example_url").alias("url")).distinct(), ["brand", "url"], "left_semi")
-    words = tokens(where.withColumn("whole", without_urls(F.col("text"))), ("brand", "url", "pos", "whole"))
-    first = words.groupBy("brand", "url", "token").agg(F.min_by(F.struct("raw", "whole"), F.struct("pos", "at")).alias("w"))
-    at = F.instr(F.col("w.whole"), F.col("w.raw")) - 1
-    example = F.trim(F.substring(F.col("w.whole"), F.greatest(at - pad, F.lit(0)) + 1, F.length("w.raw") + pad + F.least(at, F.lit(pad))))
-    first = first.select("brand", F.col("url").alias("example_url"), "token", example.alias("example_text"))
+    """Adds placelike (a state code follows the word somewhere) and example_text: the words around its first place on its example page.
+
+    Blocks meet the list of words that their page is to show; a block's text is cut before anything but its few matches is dealt again.
+    """
+    wanted = ledger.groupBy("brand", F.col("example_url").alias("url")).agg(F.collect_set("token").alias("wanted"))
+    words = F.transform(F.regexp_extract_all("whole", F.lit(TOKEN), F.lit(0)), lambda w: F.regexp_replace(w, "^['’-]+|['’-]+$", ""))
+    shown = without_latin(blocks).join(wanted, ["brand", "url"]).select("brand", "url", "pos", "wanted", without_urls(F.col("text")).alias("whole")).withColumn("raws", words)
+    shown = shown.withColumn("lows", F.transform("raws", F.lower))
+    met = shown.select("brand", "url", "pos", "whole", "raws", "lows", F.explode(F.array_intersect("lows", "wanted")).alias("token"))
+    raw = F.element_at("raws", F.array_position("lows", F.col("token")).cast("int"))
+    at = F.instr(F.col("whole"), F.col("raw")) - 1
+    example = F.trim(F.substring(F.col("whole"), F.greatest(at - pad, F.lit(0)) + 1, F.length("raw") + pad + F.least(at, F.lit(pad))))
+    met = met.withColumn("raw", raw).select("brand", F.col("url").alias("example_url"), "token", "pos", example.alias("example_text"))
+    first = met.groupBy("brand", "example_url", "token").agg(F.min_by("example_text", "pos").alias("example_text"))
     marked = ledger.join(places(blocks).withColumn("placelike", F.lit(True)), ["brand", "token"], "left").withColumn("placelike", F.coalesce("placelike", F.lit(False)))
     return marked.join(first, ["brand", "example_url", "token"], "left")
 

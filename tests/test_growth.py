@@ -19,3 +19,13 @@ def test_substrings_of_run_together_words_are_never_sent_to_the_tasks(spark):
     split = mining.run_together(words, vocabulary)
     assert [tuple(r) for r in split.collect()] == [("bestrehabcenters", 3)]
     assert "Join LeftSemi" in plan(split)  # only the right side of a semi-join can be broadcast
+
+
+def test_examples_are_cut_before_their_words_are_dealt(spark):
+    rows = [("b", "u1", 0, "Alpha beside " + "filler " * 30 + "alpha again"), ("b", "u1", 1, "beside alpha"), ("b", "u2", 0, "alpha gamma")]
+    blocks = spark.createDataFrame(rows, "brand string, url string, pos int, text string")
+    got = mining.with_places_and_examples(mining.token_ledger(blocks), blocks, pad=10)
+    shown = {r.token: (r.freq, r.example_url, r.example_text, r.placelike) for r in got.collect()}
+    assert shown["alpha"] == (4, "u1", "Alpha beside fi", False) and shown["gamma"] == (1, "u2", "alpha gamma", False) and shown["again"][2].endswith("again")
+    dealt = [line for line in plan(got).split("== Physical Plan ==")[0].splitlines() if "min_by(" in line]
+    assert dealt and not any("whole" in line.split("min_by(")[1] for line in dealt)
