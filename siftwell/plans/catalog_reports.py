@@ -9,7 +9,7 @@ from siftwell.operators import history, links, mining, reference_data, serving
 from siftwell.plans.catalog import CLASS_SQL, D_SQL, HOST, ROOT_SQL, SERVED_SQL, query, served, shared_folder, sites, table, texts
 from siftwell.plans.catalog_more import RUN_ROWS, given, runs
 from siftwell.plans.catalog_pages import TAGS_SQL
-from siftwell.sources import extract, readers
+from siftwell.sources import elements, extract, readers
 from siftwell.sources.versions import commit, read
 
 # ---- landed pages
@@ -65,7 +65,7 @@ def x8_external_sheets(spark, sf):
     """The given pages with the sheets of their host: one hides all of nav, and other rules of it stand in comments and at-rules."""
     raw = table(spark, sf, "pages").where("url is not null and html is not null").withColumn("brand", T.host(F.col("url")))
     styled = raw.join(reference_data.hiding_styles(sheets(spark, sf)[1]), "brand", "left")
-    p = extract.extract_pages(styled, css_col="css", keep=("page_id", "url"))
+    p = extract.extract_pages(styled, css_col="css", keep=("page_id", "url"), parts=elements.parts_of(raw))
     return p.select("page_id", F.size("blocks").cast("long").alias("n_blocks"), F.size("actionables").cast("long").alias("n_actionables"))
 
 

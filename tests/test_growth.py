@@ -4,6 +4,7 @@ import contextlib
 import io
 
 from siftwell.operators import mining
+from siftwell.sources import elements
 
 
 def plan(df) -> str:
@@ -29,3 +30,12 @@ def test_examples_are_cut_before_their_words_are_dealt(spark):
     assert shown["alpha"] == (4, "u1", "Alpha beside fi", False) and shown["gamma"] == (1, "u2", "alpha gamma", False) and shown["again"][2].endswith("again")
     dealt = [line for line in plan(got).split("== Physical Plan ==")[0].splitlines() if "min_by(" in line]
     assert dealt and not any("whole" in line.split("min_by(")[1] for line in dealt)
+
+
+def test_events_are_dealt_into_more_parts_as_pages_take_more(spark):
+    """Partitions that Spark joins by their pressed size would grow with the input; a number that is asked for stays."""
+    pages = spark.range(64).selectExpr("concat('https://a.example.com/', id) AS url", "'<h1>x</h1><p>y</p>' AS html")
+    for parts in (1, 3):
+        made = elements.events(pages.coalesce(parts))
+        assert made.rdd.getNumPartitions() == elements.SPREAD * parts
+        assert made.select("page").distinct().count() == 64
