@@ -4,6 +4,7 @@ import contextlib
 import io
 
 from siftwell.operators import mining
+from siftwell.plans import catalog_streams
 from siftwell.sources import elements
 
 
@@ -39,3 +40,8 @@ def test_events_are_dealt_into_more_parts_as_pages_take_more(spark):
         made = elements.events(pages.coalesce(parts))
         assert made.rdd.getNumPartitions() == elements.SPREAD * parts
         assert made.select("page").distinct().count() == 64
+
+
+def test_landed_rows_are_not_written_by_one_task(spark, tmp_path):
+    catalog_streams.land(spark.range(40).repartition(4), str(tmp_path / "landed"))
+    assert len(list((tmp_path / "landed").glob("*.parquet"))) == 4
