@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -360,11 +362,14 @@ def known_defect_sweep(pages: DataFrame, known: dict[str, str], lower_only: dict
     return each.groupBy("brand").pivot("what", ["pages", "slug_hits", "body_hits", "scope_pages"]).count().na.fill(0)
 
 
-def hidden_text_impact(raw: DataFrame, rules: tuple[str, ...] = ("blank", "lorem_page", "placeholder", "empty_slot", "misspelling", "scope")) -> DataFrame:
-    """``raw``: url, html. Findings of each rule, and visible characters, with hidden text read and without: what, before, after."""
+def hidden_text_impact(raw: DataFrame, rules: tuple[str, ...] = ("blank", "lorem_page", "placeholder", "empty_slot", "misspelling", "scope"), keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
+    """``raw``: url, html. Findings of each rule, and visible characters, with hidden text read and without: what, before, after.
+
+    ``keep`` stores the pages of either reading under a name, as all rules read them.
+    """
     out = None
     for name, hidden in (("before", True), ("after", False)):
-        pages = extract_pages(raw, keep_hidden=hidden)
+        pages = keep(extract_pages(raw, keep_hidden=hidden), name)
         counts = pages.agg(F.sum(F.length("visible_text")).alias("n")).select(F.lit("visible_chars").alias("what"), "n")
         for rule in rules:
             counts = counts.union(RULES[rule]["run"](pages).agg(F.count("*").alias("n")).select(F.lit(rule), "n"))

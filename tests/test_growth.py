@@ -4,10 +4,14 @@ import contextlib
 import io
 
 from siftwell.operators import mining
-from siftwell.plans import catalog_streams
+from siftwell.plans import catalog, catalog_kernel, catalog_pages, catalog_streams
 from siftwell.sources import elements
 
 
+STORED = ["a30_hidden_text"]
+assert catalog_kernel and catalog_pages
+
+
 def plan(df) -> str:
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
@@ -45,3 +49,8 @@ def test_events_are_dealt_into_more_parts_as_pages_take_more(spark):
 def test_landed_rows_are_not_written_by_one_task(spark, tmp_path):
     catalog_streams.land(spark.range(40).repartition(4), str(tmp_path / "landed"))
     assert len(list((tmp_path / "landed").glob("*.parquet"))) == 4
+
+
+def test_rules_read_stored_pages(spark):
+    for name in STORED:
+        assert "MapInArrow" not in plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
