@@ -54,7 +54,7 @@ def x_pages(spark, sf):
 @query()
 def r_pages(spark, sf):
     """Every rule that needs nothing but the page, on each of the given pages. Tests hold it against the rules one by one."""
-    return incremental.page_findings(parsed(spark, sf)).select("url", "check", "class", "fingerprint", "severity")
+    return incremental.page_findings(kept(parsed(spark, sf), "parsed")).select("url", "check", "class", "fingerprint", "severity")
 
 
 # ---- sentences as blocks

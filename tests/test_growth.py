@@ -8,7 +8,7 @@ from siftwell.plans import catalog, catalog_kernel, catalog_pages, catalog_strea
 from siftwell.sources import elements
 
 
-STORED = ["a30_hidden_text"]
+STORED = ["a30_hidden_text", "r_pages"]
 assert catalog_kernel and catalog_pages
 
 
