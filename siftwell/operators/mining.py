@@ -43,16 +43,27 @@ PREFIXES = "re de un non pre post over under anti semi multi co mis sub inter in
 SUFFIXES = "s es ed ing ly er ers ion ions al able ment ments ness".split()
 
 
+def one_of(words: list[str]) -> str:
+    """A pattern of any of the words that tries one branch for each next letter, not each word."""
+    heads = sorted({w[0] for w in words if w})
+    branches = [h + one_of([w[1:] for w in words if w.startswith(h)]) for h in heads]
+    return ("(?:" + "|".join(branches) + ")" + "?" * ("" in words) if len(branches) > 1 or "" in words else branches[0]) if branches else ""
+
+
 def without_latin(blocks: DataFrame) -> DataFrame:
+    """Blocks without three words of placeholder Latin; only blocks that have one are searched for all."""
+    some = F.lower("text").rlike(f"(?<![a-z]){one_of(LOREM_PAGE)}(?![a-z])")
     latin = F.col("text").rlike(r"(?i)\b(?:" + "|".join(LOREM_PAGE) + r")\b") & (F.size(lorem_markers(F.col("text"), LOREM_PAGE)) >= 3)
-    return blocks.where(~latin)
+    return blocks.where(~(some & latin))
 
 
 def tokens(blocks: DataFrame, keep: tuple[str, ...] = ("brand", "url")) -> DataFrame:
     """``keep``, raw, token of every word of the blocks; blocks of placeholder Latin and web addresses are left out."""
     clean = without_latin(blocks).select(*keep, without_urls(F.col("text")).alias("clean"))
     words = clean.select(*keep, F.posexplode(F.regexp_extract_all("clean", F.lit(TOKEN), F.lit(0))).alias("at", "raw"))
-    return words.withColumn("raw", F.regexp_replace("raw", "^['’-]+|['’-]+$", "")).withColumn("token", F.lower("raw")).where(F.col("token").rlike("^[a-z]{5,}$"))
+    trimmed = words.withColumn("raw", F.btrim("raw", F.lit("'’-")))
+    whole = (F.length("raw") >= 5) & (F.translate("raw", "'’-", "") == F.col("raw"))  # a match of TOKEN has no other letters than A-Z
+    return trimmed.where(whole).withColumn("token", F.lower("raw"))
 
 
 def places(blocks: DataFrame) -> DataFrame:
@@ -66,8 +77,13 @@ def places(blocks: DataFrame) -> DataFrame:
 
 
 def token_ledger(blocks: DataFrame) -> DataFrame:
-    """brand, token, freq, ever_lower, example_url. Counts are partial sums before the shuffle; no text is kept."""
-    return tokens(blocks).groupBy("brand", "token").agg(F.count("*").alias("freq"), F.bool_or(F.col("raw").rlike("^[a-z]")).alias("ever_lower"), F.min("url").alias("example_url"))
+    """brand, token, freq, ever_lower, example_url. Counts are partial sums before the shuffle; no text is kept.
+
+    The least of strings is found by sorting, whose first key is the token: of brands, one prefix is that of most rows.
+    """
+    lower = F.substring("raw", 1, 1) == F.substring("token", 1, 1)
+    sums = tokens(blocks).groupBy("token", "brand").agg(F.count("*").alias("freq"), F.bool_or(lower).alias("ever_lower"), F.min("url").alias("example_url"))
+    return sums.select("brand", "token", "freq", "ever_lower", "example_url")
 
 
 def with_places_and_examples(ledger: DataFrame, blocks: DataFrame, pad: int = 60) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import contextlib
 import io
+import random
 
-from siftwell.operators import mining
+from pyspark.sql import functions as F
+
+from siftwell.operators import mining, page_rules
 from siftwell.plans import catalog, catalog_kernel, catalog_pages, catalog_streams
 from siftwell.sources import elements
 
@@ -54,3 +57,22 @@ def test_landed_rows_are_not_written_by_one_task(spark, tmp_path):
 def test_rules_read_stored_pages(spark):
     for name in STORED:
         assert "MapInArrow" not in plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_unknown_words_count_the_documents_once(spark):
+    assert "regexp_extract_all" not in plan(catalog.r12_unknown_words(spark, "/root/testdata/sf0.001"))  # the ledger is stored
+
+
+def test_ledger_is_sorted_by_token_first_and_holds_what_the_plain_patterns_find(spark):
+    rng = random.Random(3)
+    bits = ["http://", "www.", ".com", ".html", "b.org", " ", "\n", "lorem", "Ipsum", "dolor-", "Kolor", "alpha", "Bravo’s", "charlie-", "'delta'", "éclair", "x", "İpsum", "_risus"]
+    texts = [("b" * (i % 2), f"u{i}", "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(14)))) for i in range(600)] + [("b", "n", None)]
+    blocks = spark.createDataFrame(texts, "brand string, url string, text string")
+    got = mining.token_ledger(blocks)
+    latin = F.col("text").rlike(r"(?i)\b(?:" + "|".join(page_rules.LOREM_PAGE) + r")\b") & (F.size(page_rules.lorem_markers(F.col("text"), page_rules.LOREM_PAGE)) >= 3)
+    raw = F.explode(F.regexp_extract_all(F.regexp_replace("text", page_rules.URL_IN_TEXT, " "), F.lit(mining.TOKEN), F.lit(0)))
+    words = blocks.where(~latin).select("brand", "url", raw.alias("raw")).withColumn("raw", F.regexp_replace("raw", "^['’-]+|['’-]+$", "")).withColumn("token", F.lower("raw")).where("token rlike '^[a-z]{5,}$'")
+    want = words.groupBy("brand", "token").agg(F.count("*"), F.bool_or(F.col("raw").rlike("^[a-z]")), F.min("url"))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) > 10
+    assert "SortAggregate(key=[token" in plan(got).replace(" ", "")
