@@ -3,6 +3,7 @@
 import contextlib
 import io
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -76,3 +77,12 @@ def test_ledger_is_sorted_by_token_first_and_holds_what_the_plain_patterns_find(
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(got) == rows(want) and len(rows(got)) > 10
     assert "SortAggregate(key=[token" in plan(got).replace(" ", "")
+
+
+def test_contexts_are_dealt_as_one_hash_without_their_neighbours(spark):
+    rows = [("a", f"u{i % 3}", i, w) for i, w in enumerate("alpha bravo gamma alpha bravo delta alpha gamma omega".split())] + [(None, "n", 0, "omega")]
+    words = spark.createDataFrame(rows, "brand string, url string, at long, token string")
+    only = lambda *w: spark.createDataFrame([(x,) for x in w], "token string")
+    got = mining.domain_vocabulary(words, only("alpha", "omega"), only("gamma"))
+    assert {(r.token, r.brands, r.contexts, r.freq) for r in got.collect()} == {("alpha", 1, 2, 3), ("omega", 1, 2, 2)}
+    assert re.search(r"Aggregate \[token#\d+, context#\d+L\]", plan(got))
