@@ -86,3 +86,11 @@ def test_contexts_are_dealt_as_one_hash_without_their_neighbours(spark):
     got = mining.domain_vocabulary(words, only("alpha", "omega"), only("gamma"))
     assert {(r.token, r.brands, r.contexts, r.freq) for r in got.collect()} == {("alpha", 1, 2, 3), ("omega", 1, 2, 2)}
     assert re.search(r"Aggregate \[token#\d+, context#\d+L\]", plan(got))
+
+
+def test_words_are_judged_without_their_addresses(spark):
+    pages = spark.createDataFrame([("https://h.com/a/treatmant", "acme", "Tretment works", "tretment", "")], "url string, brand string, visible_text string, title string, meta_description string")
+    unknown = mining.unexplained_words(pages, spark.createDataFrame([("treatment", 2), ("works", 3)], "token string, freq int"))
+    assert {tuple(r) for r in unknown.collect()} == {("acme", "tretment"), ("acme", "treatmant")}
+    dealt = [line for line in plan(unknown).split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1].splitlines() if "Aggregate [" in line]
+    assert dealt and not any("url" in line for line in dealt)
