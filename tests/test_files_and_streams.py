@@ -225,3 +225,40 @@ def test_page_changes_keep_one_hash_a_url_over_batches(spark, tmp_path):
     say(("v", "c", "2024-01-09"))  # forgotten meanwhile
     assert ("v", "c", "new") in [r for r in run() if r not in first] or run().count(("v", "c", "new")) == 2
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def _changes_by_hand(batches, kept_ms):
+    """What ``page_changes`` must say of batches of (url, hash, hour); the watermark of a batch comes from the rows before it and, for timers, from itself."""
+    known, out, newest, floor = {}, [], None, 0
+    for rows in batches:
+        for url, h, hour in sorted(rows, key=lambda r: (r[2], r[1])):
+            at = hour * 3_600_000
+            if at > floor and (url not in known or known[url][1] <= at):
+                out.append((url, h, hour, "new" if url not in known else "unchanged" if known[url][0] == h else "changed"))
+                known[url] = (h, at)
+        newest = max([at * 3_600_000 for _, _, at in rows] + ([newest] if newest is not None else []))
+        floor = max(floor, newest - kept_ms)
+        known = {u: k for u, k in known.items() if k[1] + 1 >= floor}
+    return sorted(out)
+
+
+def test_page_memory_is_kept_by_bucket_and_forgets_as_by_url(spark, tmp_path):
+    import random
+
+    rng, name = random.Random(5), "spark.sql.streaming.stateStore.providerClass"
+    hours = [(0, 0), (20, 45), (30, 60), (70, 75), (100, 130)]
+    batches = [[(f"u{rng.randrange(40)}", rng.choice("ab"), 1000 + rng.randint(*h)) for _ in range(50)] for h in hours]
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        at, buckets, updated = f"file://{tmp_path}", 3, []
+        for rows in batches:
+            spark.createDataFrame(rows, "url string, content_hash string, hour long").selectExpr("url", "content_hash", "timestamp_seconds(hour * 3600) AS fetched_at").coalesce(1).write.mode("append").parquet(f"{at}/in")
+            stream = incremental.page_changes(spark.readStream.schema("url string, content_hash string, fetched_at timestamp").parquet(f"{at}/in"), buckets=buckets)
+            run = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/ck").trigger(availableNow=True).start(f"{at}/out")
+            run.awaitTermination()
+            updated += [p["stateOperators"][0]["numRowsUpdated"] for p in run.recentProgress]
+        got = spark.read.schema("url string, content_hash string, fetched_at timestamp, change string").parquet(f"{at}/out").selectExpr("url", "content_hash", "unix_seconds(fetched_at) DIV 3600 AS hour", "change")
+        assert sorted(map(tuple, got.collect())) == _changes_by_hand(batches, 48 * 3_600_000)
+        assert updated and max(updated) <= 4 * buckets  # a value and both keys of a timer, not one of each URL
+    finally:
+        spark.conf.unset(name)
