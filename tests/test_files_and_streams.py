@@ -262,3 +262,26 @@ def test_page_memory_is_kept_by_bucket_and_forgets_as_by_url(spark, tmp_path):
         assert updated and max(updated) <= 4 * buckets  # a value and both keys of a timer, not one of each URL
     finally:
         spark.conf.unset(name)
+
+
+def test_parsed_pages_of_a_batch_are_stored_until_both_are_written(spark, tmp_path, monkeypatch):
+    from pyspark.errors import StreamingQueryException
+
+    at, plans, real = f"file://{tmp_path}", [], incremental.page_findings
+    spark.createDataFrame([("https://h.com/Bad_Slug", "<p>short</p>"), ("https://h.com/ok", None)], "url string, html string").write.parquet(f"{at}/in")
+    run = lambda: incremental.audit_batches(incremental.read_page_stream(spark, f"{at}/in", "url string, html string"), f"{at}/found", f"{at}/errors", f"{at}/ck").awaitTermination()
+
+    def fails(pages):
+        plans.append(pages._jdf.queryExecution().toString())
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(incremental, "page_findings", fails)
+        with pytest.raises(StreamingQueryException):
+            run()
+    assert len(plans) == 1 and "MapInArrow" not in plans[0] and "InMemoryRelation" not in plans[0]  # rules read files, not a cache
+    assert (tmp_path / "ck-parsed" / "batch=0" / "_SUCCESS").exists()
+    run()
+    assert {r.url for r in spark.read.parquet(f"{at}/found").collect()} == {"https://h.com/Bad_Slug", "https://h.com/ok"}
+    assert spark.read.parquet(f"{at}/found").count() == real(incremental.extract_pages(spark.read.parquet(f"{at}/in"))).count()
+    assert not list((tmp_path / "ck-parsed").glob("batch=*"))

@@ -170,3 +170,21 @@ def test_empty_slot_equals_brute_force(spark):
                 want.append((url, slot, severity, m.group(), ":".join(p for p in parts if p)))
     got = R.check_empty_slot(docs).select("url", "class", "severity", "matched", "fingerprint").collect()
     assert want and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_signs_lose_no_match(spark):
+    """Each class finds with its signs and quick patterns what its plain pattern finds, over texts made of bits of all of them."""
+    import random
+    from unittest import mock
+
+    rng = random.Random(11)
+    bits = ["[acf field='x", "[some_calculator]", "{{", "}}", "GEO", "CITY", "FULL_GEO", "NEAR-IN", " ", "  ", "\n", "in", "of", ",", " , ", "%", "Not found", "1", " beds", "b", "aaab", "word", "Word", ".", "word.Word", "no results found", "?!", ";;", "...."]
+    texts = [(f"https://h.com/{i}", "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 14)))) for i in range(1500)] + [("https://h.com/n", None)]
+    pages = spark.createDataFrame(texts, "url string, visible_text string")
+    blocks = pages.where("visible_text is not null").select("url", F.lit(0).alias("pos"), F.col("visible_text").alias("text"))
+    find = lambda: [sorted((r["class"], r.fingerprint) for r in x.collect()) for x in (R.check_placeholder(pages), R.check_empty_slot(pages), R.check_corruption(blocks))]
+    quick = find()
+    with mock.patch.object(R, "may_hold", lambda text, cls: F.lit(True)):
+        assert quick == find()
+    found = {c.split("#")[0] for rows in quick for c, _ in rows}
+    assert set(R.SIGNS) | set(R.PARTS) <= found
