@@ -94,3 +94,17 @@ def test_words_are_judged_without_their_addresses(spark):
     assert {tuple(r) for r in unknown.collect()} == {("acme", "tretment"), ("acme", "treatmant")}
     dealt = [line for line in plan(unknown).split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1].splitlines() if "Aggregate [" in line]
     assert dealt and not any("url" in line for line in dealt)
+
+
+def test_words_of_pages_are_read_once_for_what_the_lists_explain(spark):
+    pages = spark.createDataFrame([("http://a/b-word", "a", "some qwxrt here", "title", "")], "url string, brand string, visible_text string, title string, meta_description string")
+    words = spark.createDataFrame([("some",), ("here",), ("title",), ("word",)], "token string")
+    kept = []
+
+    def keep(df, name):
+        kept.append(name)
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    got = mining.unexplained_words(pages, words, keep=keep)
+    assert kept == ["words"] and "regexp_extract_all" not in plan(got).replace("regexp_extract_all(lower(concat_ws", "")  # but for the names of brands
+    assert {tuple(r) for r in got.collect()} == {("a", "qwxrt")} == {tuple(r) for r in mining.unexplained_words(pages, words).collect()}
